@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, quality_classifier, quality_rules
+from . import bpe, mixing, quality_classifier, quality_rules, simhash, tiff
 
 HELD_OUT_FOLDS = 5
 KEEP_FROM = 0.3
@@ -24,6 +30,41 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= KEEP_FROM).cast("int").alias("predicted"))
 
 
+def _stored(media: bytes, payload: bytes) -> dict:
+    return {
+        "payload_bytes": len(payload),
+        "payload_sha256": hashlib.sha256(payload).hexdigest(),
+        "tail_crc32": zlib.crc32(payload[-32:]),
+        "media_bytes": len(media),
+        "media_sha256": hashlib.sha256(media).hexdigest(),
+        "feature": tiff.feature(np.frombuffer(payload, np.uint8)),
+    }
+
+
+_stored.columns = {"payload_bytes": pa.int64(), "payload_sha256": pa.string(), "tail_crc32": pa.int64(), "media_bytes": pa.int64(), "media_sha256": pa.string(), "feature": pa.string()}
+
+
+def op3_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text stored as a TIFF file, and what is read back from it."""
+    return tiff.read_back(tiff.encode(_read(spark, sf_dir, "documents")), _stored)
+
+
+def encoded_digests(docs: DataFrame) -> DataFrame:
+    """Digests of each text's ids and of what they decode to."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    both = bpe.decode(bpe.encode(docs, path), path)
+    return both.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
+
+
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoded_digests(_read(spark, sf_dir, "documents"))
+
+
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(_read(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     report = quality_rules.quality_report(_read(spark, sf_dir, "documents"))
     return report.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
@@ -34,7 +75,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality_classifier, op8_quality_rules, op10_mixing)}
+    return {f.__name__: f for f in (op1_quality_classifier, op3_tiff, op6_bpe, op7_simhash, op8_quality_rules, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
