@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, quality_classifier, quality_rules, simhash, tiff
+from . import bpe, mixing, quality_classifier, quality_rules, secrets, simhash, tiff
 
 HELD_OUT_FOLDS = 5
 KEEP_FROM = 0.3
@@ -70,12 +70,18 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
 
 
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    found = secrets.scan(docs, secrets.fit(docs))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base_spans", 256).alias("base_sha256"), "spans")
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(_read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality_classifier, op3_tiff, op6_bpe, op7_simhash, op8_quality_rules, op10_mixing)}
+    return {f.__name__: f for f in (op1_quality_classifier, op3_tiff, op6_bpe, op7_simhash, op8_quality_rules, op9_secrets, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
