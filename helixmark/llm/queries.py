@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, quality_classifier, quality_rules, secrets, simhash, tiff
+from . import bpe, mixing, quality_classifier, quality_rules, secrets, simhash, tiff, warc
 
 HELD_OUT_FOLDS = 5
 KEEP_FROM = 0.3
@@ -49,6 +49,11 @@ def op3_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiff.read_back(tiff.encode(_read(spark, sf_dir, "documents")), _stored)
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to archives, normalised, and read back."""
+    return warc.round_trip(_read(spark, sf_dir, "pages"))
+
+
 def encoded_digests(docs: DataFrame) -> DataFrame:
     """Digests of each text's ids and of what they decode to."""
     path = public_tokenizers.path("byte_bpe_50k.json")
@@ -81,7 +86,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality_classifier, op3_tiff, op6_bpe, op7_simhash, op8_quality_rules, op9_secrets, op10_mixing)}
+    return {f.__name__: f for f in (op1_quality_classifier, op3_tiff, op5_warc, op6_bpe, op7_simhash, op8_quality_rules, op9_secrets, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
