@@ -11,10 +11,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, quality_classifier, quality_rules, secrets, simhash, tiff, warc
+from . import bpe, mixing, pii, quality_classifier, quality_rules, secrets, simhash, tiff, warc
 
 HELD_OUT_FOLDS = 5
 KEEP_FROM = 0.3
+PII_KEY = b"demonstration"
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -30,6 +31,12 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= KEEP_FROM).cast("int").alias("predicted"))
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with surrogates for personal data. The key is a parameter; in production it's a secret."""
+    out = pii.pseudonymise(_read(spark, sf_dir, "documents"), PII_KEY)
+    return out.select("doc_id", "text", *[f"n_{k}" for k in pii.KINDS], "entities")
+
+
 def _stored(media: bytes, payload: bytes) -> dict:
     return {
         "payload_bytes": len(payload),
@@ -86,7 +93,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality_classifier, op3_tiff, op5_warc, op6_bpe, op7_simhash, op8_quality_rules, op9_secrets, op10_mixing)}
+    return {f.__name__: f for f in (op1_quality_classifier, op2_pii, op3_tiff, op5_warc, op6_bpe, op7_simhash, op8_quality_rules, op9_secrets, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
