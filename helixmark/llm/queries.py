@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, pii, quality_classifier, quality_rules, secrets, simhash, tiff, warc
+from . import bpe, chat, mixing, pii, quality_classifier, quality_rules, secrets, simhash, tiff, warc
 
 HELD_OUT_FOLDS = 5
 KEEP_FROM = 0.3
@@ -56,6 +56,30 @@ def op3_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiff.read_back(tiff.encode(_read(spark, sf_dir, "documents")), _stored)
 
 
+#: How the transcripts of op4 mark speakers; a transcript has one style.
+STYLES = (("System: ", "User: ", "Assistant: "), ("### System\n", "### Human\n", "### Assistant\n"), ("[sys] ", "[q] ", "[a] "), ("<|system|>", "<|user|>", "<|assistant|>"), ("**Instructions**: ", "**Customer**: ", "**Agent**: "))
+
+
+def transcripts(conversations: DataFrame) -> DataFrame:
+    """Conversations as raw transcripts: each row's text behind a speaker marker of its transcript's style; a quarter of the rows have none."""
+    style = F.crc32(F.coalesce(F.col("conv_id").cast("string"), F.lit(""))) % len(STYLES)
+    bare = F.crc32(F.concat_ws(":", F.col("conv_id"), F.col("turn"))) % 4 == 0
+    mark = F.lit("")
+    for k, names in enumerate(STYLES):
+        for role, name in zip(("system", "user", "assistant"), names):
+            mark = F.when((style == k) & (F.col("role") == role) & ~bare, F.lit(name)).otherwise(mark)
+    return conversations.withColumn("raw", F.concat(mark, F.coalesce("text", F.lit(""))))
+
+
+def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Roles recovered from raw transcripts of all conversations, and the canonical turns; roles of the held-out fold are never learned from."""
+    raw = transcripts(_read(spark, sf_dir, "conversations"))
+    held_out = F.crc32(F.coalesce(F.col("conv_id").cast("string"), F.lit(""))) % HELD_OUT_FOLDS == 0
+    rows = chat.arranged(raw, "conv_id", "turn", "raw", F.when(~held_out, F.col("role")).alias("learned"), F.col("role").alias("given_role"), held_out.alias("held_out"))
+    found = chat.parse(rows.drop("learned"), chat.fit(rows.select("ident", "place", "text", "learned")))
+    return found.select(F.col("ident").alias("conv_id"), F.col("place").alias("turn"), "block", "role", "continues", "turn_text", "given_role", "held_out")
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page written to archives, normalised, and read back."""
     return warc.round_trip(_read(spark, sf_dir, "pages"))
@@ -93,7 +117,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality_classifier, op2_pii, op3_tiff, op5_warc, op6_bpe, op7_simhash, op8_quality_rules, op9_secrets, op10_mixing)}
+    return {f.__name__: f for f in (op1_quality_classifier, op2_pii, op3_tiff, op4_chat, op5_warc, op6_bpe, op7_simhash, op8_quality_rules, op9_secrets, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
