@@ -60,7 +60,7 @@ def counted(docs: DataFrame) -> DataFrame:
     df = df.withColumn("__hx_n_words", F.size("__hx_w").cast("long"))
     df = _repeat_words(df, "__hx_w", "__hx_n_repeat_words")
     df = df.withColumn("__hx_lines", F.filter(F.split("__hx_text", "\n"), lambda x: x.rlike(WORD)))
-    return df.withColumns(
+    df = df.withColumns(
         {
             "__hx_word_chars": F.length(F.regexp_replace("__hx_text", SPACE, "")).cast("long"),
             "__hx_n_symbols": F.regexp_count("__hx_text", F.lit("[#*$%&|<>]")).cast("long"),
@@ -69,6 +69,10 @@ def counted(docs: DataFrame) -> DataFrame:
             "__hx_n_dup_lines": (F.size("__hx_lines") - F.size(F.array_distinct("__hx_lines"))).cast("long"),
         }
     )
+    # A filter on the counts would be pushed down with their expressions written out, arrays within lambdas
+    # included; it can't pass a generator.
+    counts = F.struct(*[F.col(f"__hx_{c}") for c in COUNTS])
+    return df.select(*[F.col(f"`{c}`") for c in docs.columns], F.inline(F.array(counts)))
 
 
 def base_failed(prefix: str = "__hx_") -> Column:
