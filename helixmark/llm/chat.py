@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_dir
+from .common import bounded_batches, shared_dir
 
 ROLES = ("system", "user", "assistant", "tool")
 #: Speaker names by class.
@@ -92,6 +92,7 @@ class Model:
 def arranged(rows: DataFrame, ident: str, place: str, text: str, *keep: Column) -> DataFrame:
     """Rows (ident, place, text, kept columns), sorted over range partitions that stay as they are."""
     shared_dir(rows.sparkSession)
+    bounded_batches(rows.sparkSession)
     df = rows.select(F.col(ident).alias("ident"), F.col(place).alias("place"), F.col(text).alias("text"), *keep)
     df = df.withColumn("__hx_tie", F.rand(7))  # so that equal rows, which are alike, can go to several partitions
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -24,15 +24,21 @@ def shared_dir(spark: SparkSession) -> str:
     return here.rstrip("/")
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it back.
+def bounded_batches(spark: SparkSession) -> None:
+    """Keep Arrow batches of texts small: by default they have up to 10,000 rows or 64 MB, twice for each task."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+
+
+def materialise(df: DataFrame, name: str, few: bool = False) -> DataFrame:
+    """Write df as Parquet into the shared folder and read it back; few: as a file for each core at most.
 
     Lineage ends there, a lost executor costs a reread only, and Spark knows the size: whether a join
     with the result broadcasts it follows from that size and spark.sql.autoBroadcastJoinThreshold.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/helixmark/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.coalesce(max(1, spark.sparkContext.defaultParallelism)) if few else df).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

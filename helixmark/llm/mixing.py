@@ -97,14 +97,14 @@ def _bin(finish: Column, bins: int) -> Column:
 def plan(rows: DataFrame, weights: tuple = WEIGHTS, max_copies: int = MAX_COPIES, rows_per_bucket: int = ROWS_PER_BUCKET) -> Mix:
     """The mix of all prepared rows; of a table's texts only sizes and digests are kept."""
     light = materialise(rows.select("__hx_queue", "__hx_digest", "__hx_size"), "mix-rows")
-    queues = materialise(targets(light.groupBy("__hx_queue").agg(F.sum("__hx_size").alias("source_size")), weights, max_copies), "mix-targets")
+    queues = materialise(targets(light.groupBy("__hx_queue").agg(F.sum("__hx_size").alias("source_size")), weights, max_copies), "mix-targets", few=True)
     n = light.count()
     total = light.agg(F.coalesce(F.sum("__hx_size"), F.lit(0))).first()[0]
     digits = min(max(1, math.ceil(math.log(max(n, 1) / rows_per_bucket + 1, 16))), 16)
     bins = max(64, math.isqrt(n))
     sums = light.groupBy("__hx_queue", F.substring("__hx_digest", 1, digits).alias("__hx_bucket")).agg(F.sum("__hx_size").alias("n"))
     before = Window.partitionBy("__hx_queue").orderBy("__hx_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = materialise(sums.select("__hx_queue", "__hx_bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__hx_offset")), "mix-offsets")
+    offsets = materialise(sums.select("__hx_queue", "__hx_bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__hx_offset")), "mix-offsets", few=True)
     copies = _queued(light, queues, offsets, digits).withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(max_copies - 1))))
     copies = copies.withColumn("finish", _finish(F.col("copy"))).withColumn("bin", _bin(F.col("finish"), bins)).where(F.col("__hx_size") > 0)
     copies = materialise(copies.select("bin", "finish", "__hx_queue", (F.col("copy") * F.col("__hx_source_size") + F.col("__hx_from")).alias("from"), "__hx_size"), "mix-copies")

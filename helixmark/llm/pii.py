@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import bounded_batches, materialise
 
 KINDS = ("email", "iban", "card", "ssn", "ip", "phone", "person")
 MAX_BROADCAST = 100_000
@@ -253,22 +253,23 @@ def _drawn(rows: DataFrame, key: bytes) -> DataFrame:
 
 def assign(found: DataFrame, key: bytes) -> DataFrame:
     """Rows (kind, canon, attempt, surrogate) for all distinct entities: surrogates are distinct, and none is an entity."""
-    found = materialise(found.select("kind", "canon"), "pii-entities")
-    now = materialise(_drawn(found.withColumn("attempt", F.lit(0)), key), "pii-surrogates")
+    found = materialise(found.select("kind", "canon"), "pii-entities", few=True)
+    now = materialise(_drawn(found.withColumn("attempt", F.lit(0)), key), "pii-surrogates", few=True)
     while True:
         first = now.groupBy("kind", "surrogate").agg(F.min("canon").alias("holder"), F.count("*").alias("n")).where("n > 1").select("kind", "surrogate", "holder")
         shared = now.join(first, ["kind", "surrogate"]).where("canon <> holder").select("kind", "canon")
         real = now.join(found.select("kind", F.col("canon").alias("surrogate")), ["kind", "surrogate"], "left_semi").select("kind", "canon")
-        bad = materialise(shared.unionByName(real).distinct(), "pii-collisions")
+        bad = materialise(shared.unionByName(real).distinct(), "pii-collisions", few=True)
         if bad.isEmpty():
             return now
         again = _drawn(now.join(bad, ["kind", "canon"], "left_semi").withColumn("attempt", F.col("attempt") + 1), key)
-        now = materialise(now.join(bad, ["kind", "canon"], "left_anti").unionByName(again), "pii-surrogates")
+        now = materialise(now.join(bad, ["kind", "canon"], "left_anti").unionByName(again), "pii-surrogates", few=True)
 
 
 def pseudonymise(docs: DataFrame, key: bytes, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
     """docs' columns with surrogates in the text, the number of entities of each kind (n_<kind>), and the entities' places in the input text."""
-    later = materialise(assign(entities(docs), key).where("attempt > 0").select("kind", "canon", "attempt"), "pii-later")
+    bounded_batches(docs.sparkSession)
+    later = materialise(assign(entities(docs), key).where("attempt > 0").select("kind", "canon", "attempt"), "pii-later", few=True)
     outputs = ["text", *[f"n_{k}" for k in KINDS], "entities"]
     given = [c for c in docs.columns if c.lower() not in outputs]
     df = docs.select(*[F.col(f"`{c}`") for c in given], "text")

@@ -25,6 +25,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_batches
+
 BITS = 20
 MAX_ROWS = 6000
 #: FTRL: learning rate, its smoothing, L1 and L2, passes.
@@ -129,6 +131,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model:
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """Rows (doc_id, score) for all of docs."""
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.bias))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -132,7 +132,7 @@ def thresholds(sketch: DataFrame, min_rows: int = MIN_ROWS, reach: int = REACH)
 
 def fit(docs: DataFrame, min_rows: int = MIN_ROWS, reach: int = REACH) -> DataFrame:
     """The thresholds of all of docs, kept in the shared folder."""
-    return materialise(thresholds(sketches(counted(docs)), min_rows, reach), "quality-thresholds")
+    return materialise(thresholds(sketches(counted(docs)), min_rows, reach), "quality-thresholds", few=True)
 
 
 def judged(features: DataFrame, bounds: DataFrame, given: list[str]) -> DataFrame:
@@ -155,5 +155,5 @@ def quality_report(docs: DataFrame, min_rows: int = MIN_ROWS, reach: int = REACH
     """As apply_rules, without the texts: counts are made once, and kept for sketches and verdicts."""
     given = [c for c in docs.columns if c.lower() != "text"]
     features = materialise(counted(docs).select(*[F.col(f"`{c}`") for c in given], *[f"__hx_{c}" for c in COUNTS]), "quality-counts")
-    bounds = materialise(thresholds(sketches(features), min_rows, reach), "quality-thresholds")
+    bounds = materialise(thresholds(sketches(features), min_rows, reach), "quality-thresholds", few=True)
     return judged(features, bounds, given)

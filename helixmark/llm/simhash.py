@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import bounded_batches, materialise
 
 BITS, SHINGLE, SEED, DISTANCE = 64, 4, 42, 4
 SAMPLE, LIGHT, BLOCK = 2048, 64, 2048
@@ -176,14 +176,14 @@ def links(nodes: DataFrame, parts: list[tuple[int, int]], distance: int = DISTAN
     near = F.flatten(F.array(*[around(i, mask, t) for i, (mask, t) in enumerate(parts)]))
     index = nodes.select("fp", F.explode(own).alias("k")).select("k.part", "k.key", "fp")
     probes = nodes.select("fp", F.explode(near).alias("k")).select("k.part", "k.key", F.col("fp").alias("other"))
-    heavy = materialise(index.groupBy("part", "key").agg(F.count("*").alias("n_index")).where(F.col("n_index") > light), "simhash-heavy")
+    heavy = materialise(index.groupBy("part", "key").agg(F.count("*").alias("n_index")).where(F.col("n_index") > light), "simhash-heavy", few=True)
     few = index.join(heavy, ["part", "key"], "left_anti").join(probes, ["part", "key"])
     few = few.where((F.col("fp") != F.col("other")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= distance)).select(F.least("fp", "other").alias("a"), F.greatest("fp", "other").alias("b")).distinct()
     if heavy.isEmpty():
         return few
     reached = probes.join(heavy.select("part", "key"), ["part", "key"], "left_semi")
     sizes = heavy.join(reached.groupBy("part", "key").agg(F.count("*").alias("n_probes")), ["part", "key"])
-    sizes = materialise(sizes.select("part", "key", F.ceil(F.col("n_index") / block).cast("int").alias("rows"), F.ceil(F.col("n_probes") / block).cast("int").alias("cols")), "simhash-cells")
+    sizes = materialise(sizes.select("part", "key", F.ceil(F.col("n_index") / block).cast("int").alias("rows"), F.ceil(F.col("n_probes") / block).cast("int").alias("cols")), "simhash-cells", few=True)
     own_block = lambda col, n: F.pmod(F.xxhash64(col), F.col(n)).cast("int")
     left = index.join(sizes, ["part", "key"]).select("part", "key", own_block("fp", "rows").alias("row"), F.explode(F.sequence(F.lit(0), F.col("cols") - 1)).alias("col"), "fp")
     right = reached.join(sizes, ["part", "key"]).select("part", "key", F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("row"), own_block("other", "cols").alias("col"), F.col("other").alias("fp"))
@@ -198,7 +198,7 @@ def links(nodes: DataFrame, parts: list[tuple[int, int]], distance: int = DISTAN
 
 def components(edges: DataFrame) -> DataFrame:
     """Rows (node, root) for all nodes of edges (a, b); root is the least node of the component."""
-    e = materialise(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "components")
+    e = materialise(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "components", few=True)
     state = None
     while True:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -206,7 +206,7 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).distinct()
-        e = materialise(small, "components")
+        e = materialise(small, "components", few=True)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == state:
             return e.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
@@ -215,12 +215,13 @@ def components(edges: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """Rows (doc_id, fp, component_id) for all of docs."""
+    bounded_batches(docs.sparkSession)
     prints = materialise(fingerprints(docs), "simhash-fingerprints")
-    nodes = materialise(prints.where("doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("rep")), "simhash-nodes")
+    nodes = materialise(prints.where("doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("rep")), "simhash-nodes", few=True)
     n = nodes.count()
     sample = np.array([r[0] for r in nodes.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).select("fp").collect()], np.int64).view(np.uint64)
     parts = design(bit_order(_together(nodes), n), sample, n, distance)
-    found = materialise(links(nodes, parts, distance), "simhash-links")
+    found = materialise(links(nodes, parts, distance), "simhash-links", few=True)
     ends = found.join(nodes.select(F.col("fp").alias("a"), F.col("rep").alias("rep_a")), "a").join(nodes.select(F.col("fp").alias("b"), F.col("rep").alias("rep_b")), "b")
     roots = components(ends.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")))
     labelled = nodes.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
@@ -230,8 +231,8 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
 def deduplicate(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """docs without the documents that have a near-duplicate with a smaller doc_id, or a row before them with the same doc_id."""
     found = materialise(near_duplicates(docs, distance), "simhash-components")
-    gone = materialise(found.where("doc_id <> component_id").select("doc_id").distinct(), "simhash-gone")
-    again = materialise(found.groupBy("doc_id").count().where("count > 1 AND doc_id IS NOT NULL").select("doc_id"), "simhash-again")
+    gone = materialise(found.where("doc_id <> component_id").select("doc_id").distinct(), "simhash-gone", few=True)
+    again = materialise(found.groupBy("doc_id").count().where("count > 1 AND doc_id IS NOT NULL").select("doc_id"), "simhash-again", few=True)
     kept = docs.join(gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
     if again.isEmpty():
         return kept

@@ -25,6 +25,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import bounded_batches
+
 BLOCK = 576
 SIDE = 24
 #: Tags, field types' sizes, compressions.
@@ -320,6 +322,7 @@ def encode(docs: DataFrame) -> DataFrame:
                     ["doc_id", "n_bytes", "media"],
                 )
 
+    bounded_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_bytes long, media binary")
 

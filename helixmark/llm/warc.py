@@ -32,7 +32,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, shared_dir
+from .common import bounded_batches, materialise, shared_dir
 
 ARCHIVE_BYTES = 1 << 28
 CHUNK = 1 << 20
@@ -120,7 +120,7 @@ def write(pages: DataFrame, folder: str, min_bytes: int = 0) -> DataFrame:
     """A manifest (archive, records) of the archives of all pages, each one gzip stream."""
     df = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html")).withColumn("sha", F.sha2("html", 256))
     repeats = df.where(F.octet_length("html") >= min_bytes).groupBy("sha").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("sha", "first")
-    df = df.join(materialise(repeats, "warc-repeats"), "sha", "left")
+    df = df.join(materialise(repeats, "warc-repeats", few=True), "sha", "left")
     again = (F.octet_length("html") >= min_bytes) & F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     df = df.select(F.col("page_id").cast("string"), F.col("url").cast("string"), "html", F.when(again, F.col("first")).cast("string").alias("refers_to"))
 
@@ -214,6 +214,7 @@ def read(archives: DataFrame) -> DataFrame:
 def round_trip(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """Pages written, normalised and read back; page_id and refers_to have the table's type."""
     spark = pages.sparkSession
+    bounded_batches(spark)
     folder = f"{shared_dir(spark)}/helixmark/warc-{uuid.uuid4().hex}"
     whole = materialise(write(pages, f"{folder}/whole", min_bytes), "warc-whole")
     files = max(1, whole.count())
