@@ -61,7 +61,7 @@ def nearest(points: DataFrame, blocks: DataFrame, keys: list[str], pos: str, sta
     df = df.withColumn("__l", F.max(F.when(F.col("__p") == 0, F.struct(F.col(f"__b.{end}").alias("e"), (-F.col(f"__b.{order}")).alias("o"), F.col("__b").alias("b")))).over(left))
     df = df.withColumn("__r", F.min(F.when(F.col("__p") == 0, F.struct(F.col(f"__b.{start}").alias("s"), F.col(f"__b.{order}").alias("o"), F.col("__b").alias("b")))).over(right))
     df = df.where("__p = 1").select("__row.*", F.col("__l.b").alias("__l"), F.col("__r.b").alias("__r"))
-    dl, dr = F.greatest(F.col(pos) - F.col(f"__l.{end}"), F.lit(0)), F.col(f"__r.{start}") - F.col(pos)
+    dl, dr = F.when(F.col("__l").isNotNull(), F.greatest(F.col(pos) - F.col(f"__l.{end}"), F.lit(0))), F.col(f"__r.{start}") - F.col(pos)
     right_wins = F.col("__l").isNull() | (dr < dl) | ((dr == dl) & (F.col(f"__r.{order}") < F.col(f"__l.{order}")))
     best = F.when(F.col("__r").isNotNull() & right_wins, F.col("__r")).otherwise(F.col("__l"))
     df = df.withColumns({"__best": best, "distance": F.when(F.col("__r").isNotNull() & right_wins, dr).otherwise(dl)})
