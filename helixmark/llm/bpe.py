@@ -28,10 +28,14 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from .common import bounded_batches
+
 #: Fixed value: the pattern that splits text before merges.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-CHUNK = 1_000_000
-CACHE = 200_000
+CHUNK = 500_000
+CACHE = 150_000
+#: Pairs of tokens whose outcome is kept, at most.
+PAIRS = 150_000
 NEVER = 1 << 60
 
 
@@ -70,7 +74,11 @@ class Vocabulary:
         self.right = [None] * size
         self.left = [None] * size
         self.split = split
-        self.longest = max(map(len, self.ids))
+        self.tails: dict[bytes, int] = {}  # every ending of a token; its id if it's a token itself, else -1
+        for t in self.ids:
+            for at in range(len(t) - 1, 0, -1):
+                self.tails.setdefault(t[at:], -1)
+        self.tails.update(self.ids)
         self.apart: dict[int, bool] = {}
 
     def _chain(self, token: int, side: int) -> list[tuple[int, int]]:
@@ -109,14 +117,15 @@ class Vocabulary:
                 i += 1
             else:
                 j += 1
-        if len(self.apart) > 2_000_000:
+        if len(self.apart) >= PAIRS:
             self.apart.clear()
         self.apart[a * self.size + b] = ok
         return ok
 
     def encode_words(self, words: list[bytes]) -> Iterator[tuple[bytes, list[int]]]:
         """Each distinct word with its ids, in depth-first order of the trie of all words."""
-        ids, longest, apart = self.ids, self.longest, self.stay_apart
+        tails, apart = self.tails.get, self.stay_apart
+        known, n_ids = self.apart.get, self.size
         last: list[int] = []  # of each prefix on the path, the last token
         size: list[int] = []  # and its length
         before = b""
@@ -128,12 +137,20 @@ class Vocabulary:
                 shared += 1
             del last[shared:], size[shared:]
             for end in range(shared + 1, len(word) + 1):
-                for start in range(max(0, end - longest), end):
-                    token = ids.get(word[start:end])
-                    if token is not None and (start == 0 or apart(last[start - 1], token)):
-                        last.append(token)
-                        size.append(end - start)
-                        break
+                start, found = end - 1, []
+                while start >= 0 and (token := tails(word[start:end])) is not None:
+                    if token >= 0:
+                        found.append((start, token))
+                    start -= 1
+                for start, token in reversed(found):
+                    if start:
+                        left = last[start - 1]
+                        ok = known(left * n_ids + token)
+                        if not (apart(left, token) if ok is None else ok):
+                            continue
+                    last.append(token)
+                    size.append(end - start)
+                    break
                 else:
                     raise ValueError("no token fits: the vocabulary lacks a byte, or a token doesn't encode to itself")
             at, out = len(word), []
@@ -192,21 +209,31 @@ def _chunks(texts: list[str]) -> Iterator[list[str]]:
         yield chunk
 
 
-def encode(docs: DataFrame, path: str) -> DataFrame:
-    """Rows (doc_id, ids); ids is binary, little-endian unsigned 32-bit numbers. path: the vocabulary file, on every executor."""
+def _part(encoder: Encoder, b: pa.RecordBatch, both: bool) -> pa.RecordBatch:
+    texts = [t or "" for t in b.column(1).to_pylist()]
+    ids = [x for c in _chunks(texts) for x in encoder.encode(c)]
+    columns = [b.column(0), pa.array(ids, pa.binary())]
+    if both:
+        columns.append(pa.array([encoder.decode(x) for x in ids], pa.string()))
+    return pa.RecordBatch.from_arrays(columns, ["doc_id", "ids", "text"][: len(columns)])
+
+
+def encode(docs: DataFrame, path: str, decoded: bool = False) -> DataFrame:
+    """Rows (doc_id, ids), and with `decoded` the text that the ids decode to.
+
+    ids is binary, little-endian unsigned 32-bit numbers. path: the vocabulary file, on every executor.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = None
         for b in batches:
             encoder = encoder or Encoder(path)
-            for at in range(0, b.num_rows, 512):
-                part = b.slice(at, 512)
-                texts = [t or "" for t in part.column(1).to_pylist()]
-                ids = [x for c in _chunks(texts) for x in encoder.encode(c)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+            for at in range(0, b.num_rows, 256):
+                yield _part(encoder, b.slice(at, 256), decoded)
 
+    bounded_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, ids binary")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, ids binary" + ", text string" * decoded)
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
@@ -216,8 +243,8 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
         encoder = None
         for b in batches:
             encoder = encoder or Encoder(path)
-            for at in range(0, b.num_rows, 512):
-                part = b.slice(at, 512)
+            for at in range(0, b.num_rows, 256):
+                part = b.slice(at, 256)
                 texts = [encoder.decode(x or b"") for x in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string())], ["doc_id", "ids", "text"])
 

@@ -87,8 +87,7 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def encoded_digests(docs: DataFrame) -> DataFrame:
     """Digests of each text's ids and of what they decode to."""
-    path = public_tokenizers.path("byte_bpe_50k.json")
-    both = bpe.decode(bpe.encode(docs, path), path)
+    both = bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.json"), decoded=True)
     return both.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
 
 
