@@ -122,4 +122,4 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     from . import sql
 
-    return {"op8_quality_rules": sql.QUALITY_RULES, "op10_mixing": sql.MIXING}
+    return {"op5_warc": sql.WARC, "op8_quality_rules": sql.QUALITY_RULES, "op10_mixing": sql.MIXING}

@@ -89,3 +89,11 @@ WITH d AS (
 )
 SELECT q.doc_id, q.size, q.source_size, q.target, (coalesce(n.copies, 0) * q.size)::BIGINT AS taken
 FROM q LEFT JOIN n ON q.source IS NOT DISTINCT FROM n.source AND q.before_ = n.before_ AND q.digest = n.digest AND q.size = n.size"""
+
+WARC = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, unhex(sha1(coalesce(html, '')))::BIT::VARCHAR AS bits FROM pages), f AS (SELECT html, min(page_id) AS first FROM p GROUP BY html)
+SELECT page_id, strlen(html)::BIGINT AS payload_bytes,
+       array_to_string(list_transform(range(32), lambda i: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[1 + list_sum(list_transform(range(5), lambda j: (16 >> j::INT) * substr(bits, (i * 5 + j + 1)::INT, 1)::INT))::INT]), '') AS payload_digest,
+       CASE WHEN page_id IS NOT DISTINCT FROM first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers_to
+FROM p JOIN f USING (html)"""
