@@ -11,6 +11,7 @@ grows by merges of rising rank, as it does on the right, and a crossing merge ha
 before the next merge of either side (of equal ranks, the leftmost is first). This needs a vocabulary
 where each token's own encoding is itself, and a merge's rank is above those of its parts.
 
+Which tokens end a prefix comes from an automaton over all tokens, whose state is part of the prefix's state.
 A chunk has at most CHUNK characters (or one text); encodings of words are kept between chunks, at most
 CACHE of them. Nothing depends on how texts are dealt out.
 
@@ -21,7 +22,10 @@ stands; a lone id list that isn't UTF-8 decodes with replacement characters; rep
 from __future__ import annotations
 
 import json
+import sys
+import types
 from collections.abc import Iterator
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -33,9 +37,9 @@ from .common import bounded_batches
 #: Fixed value: the pattern that splits text before merges.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 CHUNK = 500_000
-CACHE = 150_000
+CACHE = 250_000
 #: Pairs of tokens whose outcome is kept, at most.
-PAIRS = 150_000
+PAIRS = 300_000
 NEVER = 1 << 60
 
 
@@ -74,13 +78,35 @@ class Vocabulary:
         self.right = [None] * size
         self.left = [None] * size
         self.split = split
-        self.tails: dict[bytes, int] = {}  # every ending of a token; its id if it's a token itself, else -1
-        for t in self.ids:
-            for at in range(len(t) - 1, 0, -1):
-                self.tails.setdefault(t[at:], -1)
-        self.tails.update(self.ids)
+        self._automaton()
         self.apart: dict[int, bool] = {}
 
+    def _automaton(self) -> None:
+        """States are the prefixes of tokens. A state's token is its longest ending that is one; shorter ones follow by `shorter`."""
+        step: dict[int, int] = {}  # (state << 8 | byte) to state
+        depth, token = [0], [-1]
+        for t, i in self.ids.items():
+            s = 0
+            for b in t:
+                n = step.get(s << 8 | b)
+                if n is None:
+                    n = step[s << 8 | b] = len(depth)
+                    depth.append(depth[s] + 1)
+                    token.append(-1)
+                s = n
+            token[s] = i
+        fail, shorter = [0] * len(depth), [0] * len(depth)
+        for key, n in sorted(step.items(), key=lambda x: depth[x[1]]):
+            s, b = key >> 8, key & 255
+            if s:
+                f = fail[s]
+                while f and f << 8 | b not in step:
+                    f = fail[f]
+                f = step.get(f << 8 | b, 0)
+                fail[n] = f
+                shorter[n] = f if token[f] >= 0 else shorter[f]
+        self.step, self.fail, self.shorter, self.depth, self.token = step, fail, shorter, depth, token
+
     def _chain(self, token: int, side: int) -> list[tuple[int, int]]:
         out, end = [], NEVER
         while True:
@@ -124,9 +150,10 @@ class Vocabulary:
 
     def encode_words(self, words: list[bytes]) -> Iterator[tuple[bytes, list[int]]]:
         """Each distinct word with its ids, in depth-first order of the trie of all words."""
-        tails, apart = self.tails.get, self.stay_apart
-        known, n_ids = self.apart.get, self.size
-        last: list[int] = []  # of each prefix on the path, the last token
+        step, fail, shorter, depth, tokens = self.step.get, self.fail, self.shorter, self.depth, self.token
+        known, apart, n_ids = self.apart.get, self.stay_apart, self.size
+        states = [0]  # of each prefix on the path, the automaton's state,
+        last: list[int] = []  # the last token,
         size: list[int] = []  # and its length
         before = b""
         for word in sorted(words):
@@ -135,24 +162,27 @@ class Vocabulary:
                 if p != q:
                     break
                 shared += 1
-            del last[shared:], size[shared:]
-            for end in range(shared + 1, len(word) + 1):
-                start, found = end - 1, []
-                while start >= 0 and (token := tails(word[start:end])) is not None:
-                    if token >= 0:
-                        found.append((start, token))
-                    start -= 1
-                for start, token in reversed(found):
-                    if start:
-                        left = last[start - 1]
-                        ok = known(left * n_ids + token)
-                        if not (apart(left, token) if ok is None else ok):
-                            continue
-                    last.append(token)
-                    size.append(end - start)
-                    break
+            del states[shared + 1 :], last[shared:], size[shared:]
+            s = states[-1]
+            for end in range(shared, len(word)):
+                b = word[end]
+                while (n := step(s << 8 | b)) is None and s:
+                    s = fail[s]
+                s = n or 0
+                states.append(s)
+                c = s if tokens[s] >= 0 else shorter[s]
+                while c:
+                    token, start = tokens[c], end + 1 - depth[c]
+                    if not start:
+                        break
+                    ok = known(last[start - 1] * n_ids + token)
+                    if apart(last[start - 1], token) if ok is None else ok:
+                        break
+                    c = shorter[c]
                 else:
                     raise ValueError("no token fits: the vocabulary lacks a byte, or a token doesn't encode to itself")
+                last.append(token)
+                size.append(depth[c])
             at, out = len(word), []
             while at:
                 out.append(last[at - 1])
@@ -189,7 +219,7 @@ class Encoder:
         for w in special:
             self.known[w] = w.to_bytes(4, "little")
         for word, ids in self.vocabulary.encode_words([w.encode() for w in new - special]):
-            self.known[word.decode()] = np.array(ids, "<u4").tobytes()
+            self.known[word.decode()] = pack(f"<{len(ids)}I", *ids)
         get = self.known.__getitem__
         return [b"".join(map(get, p)) for p in pieces]
 
@@ -209,6 +239,14 @@ def _chunks(texts: list[str]) -> Iterator[list[str]]:
         yield chunk
 
 
+def _encoder(path: str) -> Encoder:
+    """A worker process's encoder for a file; it stays, with the words it knows, for the worker's later tasks."""
+    kept = sys.modules.setdefault("_helixmark_kept", types.ModuleType("_helixmark_kept")).__dict__
+    if path not in kept:
+        kept[path] = Encoder(path)
+    return kept[path]
+
+
 def _part(encoder: Encoder, b: pa.RecordBatch, both: bool) -> pa.RecordBatch:
     texts = [t or "" for t in b.column(1).to_pylist()]
     ids = [x for c in _chunks(texts) for x in encoder.encode(c)]
@@ -225,9 +263,8 @@ def encode(docs: DataFrame, path: str, decoded: bool = False) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = None
+        encoder = _encoder(path)
         for b in batches:
-            encoder = encoder or Encoder(path)
             for at in range(0, b.num_rows, 256):
                 yield _part(encoder, b.slice(at, 256), decoded)
 
@@ -240,9 +277,8 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     """Rows (doc_id, ids, text) of rows (doc_id, ids)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = None
+        encoder = _encoder(path)
         for b in batches:
-            encoder = encoder or Encoder(path)
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
                 texts = [encoder.decode(x or b"") for x in part.column(1).to_pylist()]
