@@ -5,9 +5,7 @@ Each query has the operator's columns under the names of its SQL; doubles are ro
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import encode, genotype, sequence
@@ -15,22 +13,7 @@ from ..operators import cohort, hierarchy, joins, pileup, selection, stats
 from ..sources import readers, writers
 from ..streaming import calls as streams
 from . import adapters as a
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
-
-
-def query(sql: str | None):
-    """Registers a function under its name, with its SQL."""
-
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLE[f.__name__] = sql
-        return f
-
-    return add
-
+from .registry import ORACLE, QUERIES, query  # noqa: F401
 
 def r6(c):
     return F.round(c, 6)
@@ -700,3 +683,6 @@ def event_sessions(s, d):
 @query("SELECT epoch(date_trunc('day', ts))::BIGINT AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def event_windows(s, d):
     return streams.windowed_counts(a.table(s, d, "events")).select(F.unix_timestamp("start").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+from . import extended  # noqa: E402, F401  (registers its queries)
