@@ -104,7 +104,8 @@ def imputed(matrix: DataFrame, fill: DataFrame) -> DataFrame:
 def aligned(matrix: DataFrame, features: DataFrame) -> DataFrame:
     """matrix for the features asked for (feature, ord), absent ones NULL, in their order; `present` tells them apart."""
     samples = matrix.select("sample").distinct()
-    grid = samples.withColumn("__k", F.lit(1)).join(features.groupBy().agg(F.collect_list(F.struct("feature", "ord")).alias("f")).withColumn("__k", F.lit(1)), "__k").select("sample", F.inline("f"))
+    listed = features.groupBy().agg(F.collect_list(F.struct("feature", "ord")).alias("f"))
+    grid = samples.join(F.broadcast(listed)).select("sample", F.inline("f"))  # one row: a model's feature list
     m = matrix.select("sample", "feature", "value", F.lit(True).alias("present"))
     return grid.join(m, ["sample", "feature"], "left").withColumn("present", F.coalesce("present", F.lit(False)))
 

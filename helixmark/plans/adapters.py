@@ -47,10 +47,10 @@ def latest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "part").where("p_partkey < 200")
+    p = table(spark, sf_dir, "part")
     base = lambda n: F.expr(f"substring('ACGT', cast(({n}) % 4 AS int) + 1, 1)")
-    df = p.select(F.when(F.col("p_size") % 2 == 0, "F").otherwise("O").alias("chrom"), (F.col("p_partkey") % 200).alias("pos"), base("p_partkey").alias("ref"), base("p_partkey + 1 + p_size % 3").alias("alt"), "p_size")
-    df = df.withColumn("baseline", F.when(F.col("p_size") % 5 == 0, F.col("alt")).otherwise(F.col("ref")))
+    df = p.select(F.when(F.col("p_size") % 2 == 0, "F").otherwise("O").alias("chrom"), (F.col("p_partkey") % 200).alias("pos"), base("p_partkey").alias("ref"), base("p_partkey + 1 + p_size % 3").alias("alt")).distinct()
+    df = df.withColumn("baseline", F.when(F.col("pos") % 5 == 0, F.col("alt")).otherwise(F.col("ref")))
     return df.select(F.concat_ws(":", "chrom", "pos", "ref", "alt").alias("feature"), "chrom", "pos", "ref", "alt", "baseline")
 
 
@@ -59,7 +59,7 @@ def resolved(spark: SparkSession, sf_dir: str, absent_is_reference: bool = True)
     calls = latest(spark, sf_dir)
     m = manifest(spark, sf_dir)
     samples = calls.select("sample").distinct()
-    listed = m.groupBy().agg(F.collect_list(F.struct(*m.columns)).alias("f"))  # below 200 rows
+    listed = m.groupBy().agg(F.collect_list(F.struct(*m.columns)).alias("f"))  # at most 2 * 200 * 3 rows
     grid = samples.join(F.broadcast(listed)).select("sample", F.inline("f"))
     c = calls.select("sample", "chrom", "pos", F.col("state").alias("called"), "allele")
     df = grid.join(c, ["sample", "chrom", "pos"], "left")
@@ -70,10 +70,10 @@ def resolved(spark: SparkSession, sf_dir: str, absent_is_reference: bool = True)
 
 
 def matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Long matrix (sample, feature, value) of suppliers and the first 200 parts."""
-    li = table(spark, sf_dir, "lineitem").where("l_partkey <= 200")
+    """Long matrix (sample, feature, value) of suppliers and parts (modulo 200)."""
+    li = table(spark, sf_dir, "lineitem")
     v = F.when(F.max((F.col("l_returnflag") == "A").cast("int")) == 1, 1.0).when(F.max((F.col("l_returnflag") == "N").cast("int")) == 1, 0.0)
-    return li.groupBy(F.col("l_suppkey").alias("sample"), F.col("l_partkey").alias("feature")).agg(v.alias("value"))
+    return li.groupBy(F.col("l_suppkey").alias("sample"), (F.col("l_partkey") % 200 + 1).alias("feature")).agg(v.alias("value"))
 
 
 def sample_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,15 +95,15 @@ def coords(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Intervals (k, start, end, ord): three events of a user make one, with overlaps; k is the user modulo 8."""
+    """Intervals (k, start, end, ord) of users, of up to five hours, from events."""
     e = table(spark, sf_dir, "events")
     s = F.unix_timestamp("ts")
-    return e.where("event_id % 3 = 0").select((F.col("user_id") % 8).alias("k"), s.alias("start"), (s + F.col("event_id") % 11 * 1800).alias("end"), F.col("event_id").alias("ord"))
+    return e.select(F.col("user_id").alias("k"), s.alias("start"), (s + F.col("event_id") % 11 * 1800).alias("end"), F.col("event_id").alias("ord"))
 
 
 def probes(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
-    return e.where("event_id % 3 = 1").select(F.col("event_id").alias("id"), (F.col("user_id") % 8).alias("k"), F.unix_timestamp("ts").alias("pos"))
+    return e.select(F.col("event_id").alias("id"), F.col("user_id").alias("k"), (F.unix_timestamp("ts") - 900).alias("pos"))
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -125,8 +125,8 @@ classified AS (SELECT *, CASE WHEN len(reasons) > 0 THEN 'FILTERED_OR_LOW_QUALIT
 called AS (SELECT *, CASE state WHEN 'CALLED_REFERENCE' THEN ref WHEN 'CALLED_ALTERNATE' THEN alt END AS allele FROM classified),
 latest AS (SELECT * FROM called QUALIFY row_number() OVER (PARTITION BY sample, chrom, pos ORDER BY l_shipdate DESC, l_orderkey DESC, l_linenumber DESC, l_partkey DESC, l_extendedprice DESC) = 1)"""
 MANIFEST = f"""
-m0 AS (SELECT CASE WHEN p_size % 2 = 0 THEN 'F' ELSE 'O' END AS chrom, p_partkey % 200 AS pos, {BASE.format(n="p_partkey")} AS ref, {BASE.format(n="p_partkey + 1 + p_size % 3")} AS alt, p_size FROM part WHERE p_partkey < 200),
-manifest AS (SELECT chrom || ':' || pos || ':' || ref || ':' || alt AS feature, chrom, pos, ref, alt, CASE WHEN p_size % 5 = 0 THEN alt ELSE ref END AS baseline FROM m0)"""
+m0 AS (SELECT CASE WHEN p_size % 2 = 0 THEN 'F' ELSE 'O' END AS chrom, p_partkey % 200 AS pos, {BASE.format(n="p_partkey")} AS ref, {BASE.format(n="p_partkey + 1 + p_size % 3")} AS alt FROM part GROUP BY ALL),
+manifest AS (SELECT chrom || ':' || pos || ':' || ref || ':' || alt AS feature, chrom, pos, ref, alt, CASE WHEN pos % 5 = 0 THEN alt ELSE ref END AS baseline FROM m0)"""
 RESOLVED = f"""{CALLS}, {MANIFEST},
 grid AS (SELECT s.sample, m.*, l.state AS called, CASE WHEN l.state IS NULL THEN m.ref ELSE l.allele END AS allele, l.state IS NULL AS assumed, coalesce(l.state, 'CALLED_REFERENCE') AS state
   FROM (SELECT DISTINCT sample FROM latest) s CROSS JOIN manifest m LEFT JOIN latest l ON l.sample = s.sample AND l.chrom = m.chrom AND l.pos = m.pos),
@@ -135,15 +135,15 @@ labelled AS (SELECT *, CASE WHEN state = 'CALLED_REFERENCE' AND assumed AND alle
   WHEN state = 'CALLED_ALTERNATE' AND allele = alt THEN 'alt_match' WHEN state = 'CALLED_ALTERNATE' AND allele IN (baseline, ref) THEN 'baseline_match' WHEN state = 'CALLED_ALTERNATE' THEN 'non_training_allele' ELSE lower(state) END AS label FROM grid),
 resolved AS (SELECT sample, feature, chrom, pos, state, assumed, CASE WHEN label IN ('assumed_reference', 'baseline_match') THEN 0.0::DOUBLE WHEN label IN ('assumed_reference_non_baseline', 'alt_match', 'non_baseline_callable') THEN 1.0::DOUBLE END AS value, label FROM labelled)"""
 MATRIX = """
-matrix AS (SELECT l_suppkey AS sample, l_partkey AS feature, CASE WHEN bool_or(l_returnflag = 'A') THEN 1.0::DOUBLE WHEN bool_or(l_returnflag = 'N') THEN 0.0::DOUBLE END AS value FROM lineitem WHERE l_partkey <= 200 GROUP BY ALL)"""
+matrix AS (SELECT l_suppkey AS sample, l_partkey % 200 + 1 AS feature, CASE WHEN bool_or(l_returnflag = 'A') THEN 1.0::DOUBLE WHEN bool_or(l_returnflag = 'N') THEN 0.0::DOUBLE END AS value FROM lineitem GROUP BY ALL)"""
 LABELS = """
 slabels AS (SELECT s_suppkey AS sample, r_name, n_name, r_name || '|' || n_name AS path FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"""
 PROFILES = f"""{MATRIX}, {LABELS},
 members AS (SELECT sample, '' AS node, r_name AS child FROM slabels UNION ALL SELECT sample, r_name, path FROM slabels),
 profiles AS (SELECT node, child, feature, avg(value) AS mean FROM matrix JOIN members USING (sample) WHERE value IS NOT NULL GROUP BY ALL)"""
 BLOCKS = """
-blocks AS (SELECT user_id % 8 AS k, floor(epoch(ts))::BIGINT AS start, floor(epoch(ts))::BIGINT + event_id % 11 * 1800 AS end_, event_id AS ord FROM events WHERE event_id % 3 = 0),
-probes AS (SELECT event_id AS id, user_id % 8 AS k, floor(epoch(ts))::BIGINT AS pos FROM events WHERE event_id % 3 = 1)"""
+blocks AS (SELECT user_id AS k, floor(epoch(ts))::BIGINT AS start, floor(epoch(ts))::BIGINT + event_id % 11 * 1800 AS end_, event_id AS ord FROM events),
+probes AS (SELECT event_id AS id, user_id AS k, floor(epoch(ts))::BIGINT - 900 AS pos FROM events)"""
 VECTORS = """
 bits AS (SELECT vec_id AS id, label, list_transform(embedding, lambda x: (x > 0)::INT) AS bits FROM embeddings),
 pairs AS (SELECT a.id AS i, b.id AS j, a.label AS li, b.label AS lj, list_sum(list_transform(range(1, len(a.bits) + 1), lambda k: a.bits[k] * b.bits[k])) AS c, list_sum(a.bits) AS ni, list_sum(b.bits) AS nj, len(a.bits) AS n FROM bits a JOIN bits b ON a.id < b.id),

@@ -278,10 +278,10 @@ def mode_imputation(s, d):
     return cohort.imputed(m, cohort.fills(m, "mode"))
 
 
-@query(f"""WITH {a.MATRIX}, p AS (SELECT feature, string_agg(sample || ':' || coalesce(value::INT::VARCHAR, '?'), ',' ORDER BY sample) AS pat FROM matrix WHERE sample % 50 = 0 GROUP BY feature), q AS (SELECT feature, row_number() OVER (PARTITION BY pat ORDER BY feature) - 1 AS place, count(*) OVER (PARTITION BY pat) AS pattern_size FROM p)
+@query(f"""WITH {a.MATRIX}, p AS (SELECT feature, string_agg(sample || ':' || coalesce(value::INT::VARCHAR, '?'), ',' ORDER BY sample) AS pat FROM matrix GROUP BY feature), q AS (SELECT feature, row_number() OVER (PARTITION BY pat ORDER BY feature) - 1 AS place, count(*) OVER (PARTITION BY pat) AS pattern_size FROM p)
 SELECT feature, pattern_size, place FROM q WHERE pattern_size <= 2 OR place IN (0, pattern_size - 1)""")
 def pattern_dedupe(s, d):
-    m = a.matrix(s, d).where("sample % 50 = 0").withColumn("ord", F.col("feature"))
+    m = a.matrix(s, d).withColumn("ord", F.col("feature"))
     return cohort.pattern_representatives(m, "ord", 2).select("feature", "pattern_size", F.col("place").cast("long").alias("place"))
 
 
@@ -292,15 +292,16 @@ def even_pick(s, d):
     return t.where(cohort.even_picks(F.col("i"), F.col("n"), 4)).select("p_partkey")
 
 
-@query(f"WITH {a.MATRIX}, f AS (SELECT DISTINCT l_partkey + 100 AS feature, l_partkey AS ord FROM lineitem WHERE l_partkey <= 150) SELECT g.sample, f.feature, f.ord, m.value, m.sample IS NOT NULL AS present FROM (SELECT DISTINCT sample FROM matrix) g CROSS JOIN f LEFT JOIN matrix m ON m.sample = g.sample AND m.feature = f.feature")
+@query(f"WITH {a.MATRIX}, f AS (SELECT DISTINCT l_partkey % 150 + 100 AS feature, l_partkey % 150 AS ord FROM lineitem ) SELECT g.sample, f.feature, f.ord, m.value, m.sample IS NOT NULL AS present FROM (SELECT DISTINCT sample FROM matrix) g CROSS JOIN f LEFT JOIN matrix m ON m.sample = g.sample AND m.feature = f.feature")
 def feature_alignment(s, d):
-    f = a.table(s, d, "lineitem").where("l_partkey <= 150").select((F.col("l_partkey") + 100).alias("feature"), F.col("l_partkey").alias("ord")).distinct()
+    k = F.col("l_partkey") % 150
+    f = a.table(s, d, "lineitem").select((k + 100).alias("feature"), k.alias("ord")).distinct()
     return cohort.aligned(a.matrix(s, d), f).select("sample", "feature", "ord", "value", "present")
 
 
-@query(f"WITH {a.MATRIX} SELECT sample, max(value) FILTER (feature = 1) AS f1, max(value) FILTER (feature = 2) AS f2, max(value) FILTER (feature = 3) AS f3 FROM matrix WHERE feature <= 3 GROUP BY sample")
+@query(f"WITH {a.MATRIX} SELECT sample, max(value) FILTER (feature = 1) AS f1, max(value) FILTER (feature = 2) AS f2, max(value) FILTER (feature = 3) AS f3 FROM matrix GROUP BY sample")
 def matrix_pivot(s, d):
-    m = a.matrix(s, d).where("feature <= 3").withColumn("feature", F.concat(F.lit("f"), "feature"))
+    m = a.matrix(s, d).withColumn("feature", F.concat(F.lit("f"), "feature"))
     return cohort.wide(m, ["f1", "f2", "f3"])
 
 
@@ -333,10 +334,10 @@ def feature_differences(s, d):
     return x.join(y, "feature", "left_anti").withColumn("side", F.lit("missing")).unionByName(y.join(x, "feature", "left_anti").withColumn("side", F.lit("extra")))
 
 
-@query("WITH u AS (SELECT l_partkey AS feature, min(l_orderkey) AS ord FROM lineitem WHERE l_orderkey < 500 GROUP BY ALL UNION ALL SELECT p_partkey, 1000000 + p_partkey FROM part WHERE p_partkey < 300) SELECT feature, min(ord) AS ord FROM u GROUP BY feature")
+@query("WITH u AS (SELECT l_partkey AS feature, min(l_orderkey) AS ord FROM lineitem GROUP BY ALL UNION ALL SELECT p_partkey, 1000000 + p_partkey FROM part) SELECT feature, min(ord) AS ord FROM u GROUP BY feature")
 def ordered_union(s, d):
-    x = a.table(s, d, "lineitem").where("l_orderkey < 500").select(F.col("l_partkey").alias("feature"), F.col("l_orderkey").alias("ord"))
-    y = a.table(s, d, "part").where("p_partkey < 300").select(F.col("p_partkey").alias("feature"), (F.col("p_partkey") + 1000000).alias("ord"))
+    x = a.table(s, d, "lineitem").select(F.col("l_partkey").alias("feature"), F.col("l_orderkey").alias("ord"))
+    y = a.table(s, d, "part").select(F.col("p_partkey").alias("feature"), (F.col("p_partkey") + 1000000).alias("ord"))
     return x.unionByName(y).groupBy("feature").agg(F.min("ord").alias("ord"))
 
 
@@ -366,26 +367,27 @@ def tiered_lookup(s, d):
     return joins.tiered_lookup(a.table(s, d, "customer").select("c_custkey"), [("urgent", o.where("o_orderpriority LIKE '1%'"), True), ("any", o, False)], ["c_custkey"], ["v"])
 
 
-_SUBJECTS = "subj AS (SELECT page_id AS subject_id, upper(substr(url, 1, 60)) AS seq FROM pages)"
+_SUBJECTS = "subj AS (SELECT page_id AS subject_id, upper(url) AS seq FROM pages)"
 
 
 def _subjects(s, d):
-    return a.table(s, d, "pages").select(F.col("page_id").alias("subject_id"), F.upper(F.substring("url", 1, 60)).alias("seq"))
+    return a.table(s, d, "pages").select(F.col("page_id").alias("subject_id"), F.upper("url").alias("seq"))
 
 
-@query(f"WITH {_SUBJECTS}, pat AS (SELECT DISTINCT substr(seq, 9, 8) AS pattern FROM subj WHERE subject_id % 10 = 0 AND length(seq) >= 20), places AS (SELECT subject_id, seq, unnest(range(0, length(seq) - 7)) AS p FROM subj) SELECT pattern AS pattern_id, subject_id, p::INT AS \"at\", hamming(substr(seq, p + 1, 8), pattern)::INT AS mismatches FROM places JOIN pat ON hamming(substr(seq, p + 1, 8), pattern) <= 1")
+@query(f"WITH {_SUBJECTS}, pat AS (SELECT DISTINCT substr(seq, 9, 8) AS pattern FROM subj WHERE subject_id % 100 = 0 AND length(seq) >= 20), places AS (SELECT subject_id, seq, unnest(range(0, length(seq) - 7)) AS p FROM subj) SELECT pattern AS pattern_id, subject_id, p::INT AS \"at\", hamming(substr(seq, p + 1, 8), pattern)::INT AS mismatches FROM places JOIN pat ON hamming(substr(seq, p + 1, 8), pattern) <= 1")
 def mismatch_search(s, d):
     x = _subjects(s, d)
-    pat = x.where("subject_id % 10 = 0 AND length(seq) >= 20").select(F.substring("seq", 9, 8).alias("pattern")).distinct()
+    pat = x.where("subject_id % 100 = 0 AND length(seq) >= 20")  # the search's queries
+    pat = pat.select(F.substring("seq", 9, 8).alias("pattern")).distinct()
     return joins.seeded_search(x, pat.select(F.col("pattern").alias("pattern_id"), "pattern"), 1)
 
 
-@query(f"""WITH {_SUBJECTS}, ctx AS (SELECT subject_id AS context_id, substr(seq, 10, 4) AS l, substr(seq, 15, 4) AS r FROM subj WHERE subject_id % 25 = 0 AND length(seq) >= 30),
+@query(f"""WITH {_SUBJECTS}, ctx AS (SELECT subject_id AS context_id, substr(seq, 10, 4) AS l, substr(seq, 15, 4) AS r FROM subj WHERE subject_id % 100 = 0 AND length(seq) >= 30),
 both_ AS (SELECT context_id, l, r, '+' AS strand FROM ctx UNION ALL SELECT context_id, reverse(translate(r, 'ACGTN', 'TGCAN')), reverse(translate(l, 'ACGTN', 'TGCAN')), '-' FROM ctx), places AS (SELECT subject_id, seq, unnest(range(4, length(seq) - 4)) AS p FROM subj)
 SELECT context_id, subject_id, p::INT AS "at", strand, CASE WHEN strand = '-' THEN translate(substr(seq, p + 1, 1), 'ACGTN', 'TGCAN') ELSE substr(seq, p + 1, 1) END AS centre FROM places JOIN both_ ON substr(seq, p - 3, 4) = l AND substr(seq, p + 2, 4) = r""")
 def flank_context_search(s, d):
     x = _subjects(s, d)
-    ctx = x.where("subject_id % 25 = 0 AND length(seq) >= 30").select(F.col("subject_id").alias("context_id"), F.substring("seq", 10, 4).alias("left"), F.substring("seq", 15, 4).alias("right"))
+    ctx = x.where("subject_id % 100 = 0 AND length(seq) >= 30").select(F.col("subject_id").alias("context_id"), F.substring("seq", 10, 4).alias("left"), F.substring("seq", 15, 4).alias("right"))
     return joins.flank_search(x, ctx)
 
 
@@ -441,9 +443,12 @@ def synchronised_selection(s, d):
 @query(None)
 def redundancy_clusters(s, d):
     """Complete linkage within blocks of 64 consecutive features."""
-    m = a.matrix(s, d).where("sample <= 100")
-    states = m.groupBy("feature").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("sample", F.coalesce(F.col("value").cast("int").cast("string"), F.lit("?")).alias("v")))), lambda x: F.concat(x["v"])), "").alias("t"))
-    states = states.select((F.col("feature") % 4).cast("long").alias("group"), "feature", F.col("feature").cast("long").alias("rank"), F.substring(F.rpad("t", 20, "?"), 1, 20).alias("states"))
+    m = a.matrix(s, d)
+    m = cohort.aligned(m, m.select("feature", F.col("feature").alias("ord")).distinct())
+    v = F.coalesce(F.col("value").cast("int").cast("string"), F.lit("?"))
+    each = F.array_sort(F.collect_list(F.struct("sample", v.alias("v"))))
+    states = m.groupBy("feature").agg(F.array_join(F.transform(each, lambda x: x["v"]), "").alias("states"))
+    states = states.select(F.floor((F.col("feature") - 1) / 64).cast("long").alias("group"), "feature", F.col("feature").cast("long").alias("rank"), "states")
     return selection.redundancy(states, 0.4, 2)
 
 
@@ -665,9 +670,9 @@ def fasta_wrapping(s, d):
     return a.table(s, d, "documents").select("doc_id", writers.wrapped(F.regexp_replace("text", r"[\t\n\f\r ]+", "")).alias("value"))
 
 
-@query("SELECT DISTINCT l_returnflag || chr(9) || (l_partkey - 1) || chr(9) || l_partkey AS value FROM lineitem WHERE l_partkey > 0")
+@query("SELECT DISTINCT l_returnflag || chr(9) || (l_partkey - 1) || chr(9) || l_partkey AS value FROM lineitem")
 def bed_text(s, d):
-    return writers.bed_lines(a.table(s, d, "lineitem").where("l_partkey > 0").select(F.col("l_returnflag").alias("chrom"), F.col("l_partkey").alias("pos")))
+    return writers.bed_lines(a.table(s, d, "lineitem").select(F.col("l_returnflag").alias("chrom"), F.col("l_partkey").alias("pos")))
 
 
 # streams (extensions) -------------------------------------------------------------------------------

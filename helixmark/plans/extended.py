@@ -73,14 +73,14 @@ def deepest_picks(s, d):
 # calls and markers ----------------------------------------------------------------------------------
 
 
-@query(f"""WITH {a.CALLS}, al AS (SELECT 'F' AS chrom, 'chrF' AS alias UNION ALL SELECT 'O', 'chrO' UNION ALL SELECT 'O', 'chrX'), req AS (SELECT l_suppkey AS sample, CASE WHEN l_partkey % 3 = 0 THEN 'F' WHEN l_partkey % 3 = 1 THEN 'chrF' ELSE 'chrX' END AS asked, l_partkey % 200 AS pos FROM lineitem WHERE l_linenumber = 1 GROUP BY ALL)
+@query(f"""WITH {a.CALLS}, al AS (SELECT 'F' AS chrom, 'chrF' AS alias UNION ALL SELECT 'O', 'chrO' UNION ALL SELECT 'O', 'chrX'), req AS (SELECT l_suppkey AS sample, CASE WHEN l_partkey % 3 = 0 THEN 'F' WHEN l_partkey % 3 = 1 THEN 'chrF' ELSE 'chrX' END AS asked, l_partkey % 200 AS pos FROM lineitem GROUP BY ALL)
 SELECT r.sample, r.asked, r.pos, coalesce(e.state, x.state) AS state, CASE WHEN e.state IS NOT NULL THEN 'exact' WHEN x.state IS NOT NULL THEN 'alias' ELSE 'absent' END AS match FROM req r LEFT JOIN latest e ON e.sample = r.sample AND e.chrom = r.asked AND e.pos = r.pos LEFT JOIN al ON al.alias = r.asked LEFT JOIN latest x ON x.sample = r.sample AND x.chrom = al.chrom AND x.pos = r.pos""")
 def alias_lookup(s, d):
     """Calls by contig: as named, else by an alias, which must be unique."""
     calls = a.latest(s, d).select("sample", "chrom", "pos", "state")
     alias = s.createDataFrame([("F", "chrF"), ("O", "chrO"), ("O", "chrX")], "chrom string, asked string")
     k = F.col("l_partkey") % 3
-    req = a.table(s, d, "lineitem").where("l_linenumber = 1").select(F.col("l_suppkey").alias("sample"), F.when(k == 0, "F").when(k == 1, "chrF").otherwise("chrX").alias("asked"), (F.col("l_partkey") % 200).alias("pos")).distinct()
+    req = a.table(s, d, "lineitem").select(F.col("l_suppkey").alias("sample"), F.when(k == 0, "F").when(k == 1, "chrF").otherwise("chrX").alias("asked"), (F.col("l_partkey") % 200).alias("pos")).distinct()
     exact = calls.withColumnRenamed("chrom", "asked")
     return joins.tiered_lookup(req, [("exact", exact, True), ("alias", calls.join(alias, "chrom"), True)], ["sample", "asked", "pos"], ["state"])
 
@@ -141,20 +141,19 @@ def symbol_profiles(s, d):
 
 # sequences and annotation ---------------------------------------------------------------------------
 
-_GENOME = "genome AS (SELECT 'c' || region.r_regionkey AS contig, (SELECT string_agg(substr('ACGT', (p_partkey * 7 + p_size * r_regionkey) % 4 + 1, 1), '' ORDER BY p_partkey) FROM part WHERE p_partkey <= 600) AS seq FROM region)"
+_GENOME = "genome AS (SELECT 'c' || p_size % 5 AS contig, string_agg(substr('ACGT', (p_partkey * 7 + p_size) % 4 + 1, 1), '' ORDER BY p_partkey) AS seq FROM part GROUP BY p_size % 5)"
 
 
 def _genome(s, d):
-    part = a.table(s, d, "part").where("p_partkey <= 600").select("p_partkey", "p_size")
-    listed = part.groupBy().agg(F.array_sort(F.collect_list(F.struct("p_partkey", "p_size"))).alias("p"))  # at most 600
-    g = a.table(s, d, "region").join(F.broadcast(listed))
-    letter = lambda p: F.substring(F.lit("ACGT"), ((p["p_partkey"] * 7 + p["p_size"] * F.col("r_regionkey")) % 4 + 1).cast("int"), F.lit(1))
-    return g.select(F.concat(F.lit("c"), "r_regionkey").alias("contig"), F.array_join(F.transform("p", letter), "").alias("seq"))
+    """Five contigs of letters from all parts."""
+    letter = F.substring(F.lit("ACGT"), ((F.col("p_partkey") * 7 + F.col("p_size")) % 4 + 1).cast("int"), F.lit(1))
+    each = F.array_sort(F.collect_list(F.struct("p_partkey", letter.alias("l"))))
+    return a.table(s, d, "part").groupBy(F.concat(F.lit("c"), F.col("p_size") % 5).alias("contig")).agg(F.array_join(F.transform(each, lambda x: x["l"]), "").alias("seq"))
 
 
 def _snps(s, d):
     g = _genome(s, d)
-    at = g.select("contig", "seq", F.explode(F.sequence(F.lit(1), F.lit(180))).alias("k")).withColumn("pos", (F.col("k") * 3 - 2 + F.col("k") % 3).cast("long"))
+    at = g.select("contig", "seq", F.explode(F.sequence(F.lit(1), F.floor((F.length("seq") + 2) / 3))).alias("k")).withColumn("pos", (F.col("k") * 3 - 2 + F.col("k") % 3).cast("long")).where(F.col("pos") <= F.length("seq"))
     ref = F.expr("substring(seq, cast(pos AS int), 1)")
     return g, at.select("contig", "pos", F.when(F.col("k") % 20 == 0, "N").otherwise(ref).alias("ref"), F.translate(ref, "ACGT", "CGTA").alias("alt"))
 
@@ -165,7 +164,7 @@ _RC = lambda x: f"reverse(translate({x}, 'ACGTN', 'TGCAN'))"
 
 
 @query(
-    f"""WITH {_GENOME}, k AS (SELECT unnest(range(1, 181)) AS k), s0 AS (SELECT contig, seq, k, k * 3 - 2 + k % 3 AS pos FROM genome, k), snps AS (SELECT contig, pos, seq, CASE WHEN k % 20 = 0 THEN 'N' ELSE substr(seq, pos, 1) END AS ref, translate(substr(seq, pos, 1), 'ACGT', 'CGTA') AS alt FROM s0),
+    f"""WITH {_GENOME}, kk AS (SELECT contig, seq, unnest(range(1, (length(seq) + 2) // 3 + 1)) AS k FROM genome), s0 AS (SELECT contig, seq, k, k * 3 - 2 + k % 3 AS pos FROM kk WHERE k * 3 - 2 + k % 3 <= length(seq)), snps AS (SELECT contig, pos, seq, CASE WHEN k % 20 = 0 THEN 'N' ELSE substr(seq, pos, 1) END AS ref, translate(substr(seq, pos, 1), 'ACGT', 'CGTA') AS alt FROM s0),
 parts AS (SELECT * FROM (VALUES {", ".join(f"('{c}', {f}, {p}, {x}, {y}, {z})" for c, f, p, x, y, z in _PARTS)}) t(contig, feature_order, part_order, s, e, strand)),
 cds AS (SELECT p.contig, feature_order, string_agg(CASE WHEN strand < 0 THEN {_RC("substr(seq, s, e - s + 1)")} ELSE substr(seq, s, e - s + 1) END, '' ORDER BY CASE WHEN strand < 0 THEN -s ELSE s END) AS coding FROM parts p JOIN genome USING (contig) GROUP BY ALL),
 offs AS (SELECT *, coalesce(sum(e - s + 1) OVER (PARTITION BY feature_order ORDER BY CASE WHEN strand < 0 THEN -s ELSE s END ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::INT AS o FROM parts),
@@ -183,7 +182,7 @@ def snp_annotation(s, d):
     return out.select("contig", "pos", "region", F.when(F.col("region") == "coding", F.col("feature_order")).alias("feature_order"), "codon_number", "codon", "alt_codon", "effect")
 
 
-@query(f"WITH {_GENOME}, k AS (SELECT unnest(range(1, 181)) AS k), s0 AS (SELECT contig, seq, k * 3 - 2 + k % 3 AS pos FROM genome, k) SELECT contig, pos, array_to_string(list_transform(range(-10, 11), lambda j: substr(seq, ((pos - 1 + j) % length(seq) + length(seq)) % length(seq) + 1, 1)), '') AS context FROM s0")
+@query(f"WITH {_GENOME}, kk AS (SELECT contig, seq, unnest(range(1, (length(seq) + 2) // 3 + 1)) AS k FROM genome), s0 AS (SELECT contig, seq, k * 3 - 2 + k % 3 AS pos FROM kk WHERE k * 3 - 2 + k % 3 <= length(seq)) SELECT contig, pos, array_to_string(list_transform(range(-10, 11), lambda j: substr(seq, ((pos - 1 + j) % length(seq) + length(seq)) % length(seq) + 1, 1)), '') AS context FROM s0")
 def snp_contexts(s, d):
     from ..functions import sequence
 
@@ -204,20 +203,20 @@ def final_matrix(s, d):
     return m.join(keep, "feature", "left_semi").select("sample", "feature", "value")
 
 
-@query(f"WITH {a.MATRIX}, p AS (SELECT x.sample AS i, y.sample AS j, count(*) FILTER (x.value IS NOT NULL AND y.value IS NOT NULL) AS c FROM matrix x JOIN matrix y ON x.feature = y.feature AND x.sample < y.sample WHERE x.sample % 25 = 0 AND y.sample % 25 = 0 GROUP BY ALL) SELECT i, j, c FROM p WHERE c >= 5")
+@query(f"WITH {a.MATRIX}, p AS (SELECT x.sample AS i, y.sample AS j, count(*) FILTER (x.value IS NOT NULL AND y.value IS NOT NULL) AS c FROM matrix x JOIN matrix y ON x.feature = y.feature AND x.sample < y.sample GROUP BY ALL) SELECT i, j, c FROM p WHERE c >= 5")
 def pairwise_complete(s, d):
-    """Pairs of a set of queries with enough features that both have."""
-    m = a.matrix(s, d).where("sample % 25 = 0 AND value IS NOT NULL")
+    """Pairs of samples with enough features that both have."""
+    m = a.matrix(s, d).where("value IS NOT NULL")
     x, y = m.select(F.col("sample").alias("i"), "feature"), m.select(F.col("sample").alias("j"), "feature")
     return x.join(y, "feature").where("i < j").groupBy("i", "j").agg(F.count("*").alias("c")).where("c >= 5")
 
 
-@query(f"WITH {a.MATRIX} SELECT feature, string_agg(coalesce(value::INT::VARCHAR, '?'), '' ORDER BY sample) AS states FROM matrix WHERE sample <= 40 GROUP BY feature")
+@query(f"WITH {a.MATRIX} SELECT feature, string_agg(coalesce(value::INT::VARCHAR, '?'), '' ORDER BY sample) AS states FROM matrix GROUP BY feature")
 def transposed_states(s, d):
     """Features as rows: each one's states over the samples, in order."""
     v = F.coalesce(F.col("value").cast("int").cast("string"), F.lit("?"))
     each = F.array_sort(F.collect_list(F.struct("sample", v.alias("v"))))
-    return a.matrix(s, d).where("sample <= 40").groupBy("feature").agg(F.array_join(F.transform(each, lambda x: x["v"]), "").alias("states"))
+    return a.matrix(s, d).groupBy("feature").agg(F.array_join(F.transform(each, lambda x: x["v"]), "").alias("states"))
 
 
 @query(f"WITH {a.MATRIX} SELECT sample, string_agg(coalesce(value::INT::VARCHAR, 'N'), '' ORDER BY feature) AS seq FROM matrix WHERE feature % 2 = 1 GROUP BY sample")
@@ -274,9 +273,9 @@ def vcf_text(s, d):
 
 def _training(s, d):
     m = a.matrix(s, d)
-    features = list(range(1, 41))
+    features = list(range(1, 201))
     labels = a.sample_labels(s, d).select("sample", F.col("labels")[0].alias("label"))
-    return models.table(m.where("feature <= 40"), features), labels, features
+    return models.table(m, features), labels, features
 
 
 @query(None)
