@@ -95,3 +95,19 @@ def test_sessions_of_a_stream_equal_those_of_a_table(spark, tmp_path):
 def test_reports(spark):
     rows = spark.createDataFrame([("a<b", 1)], "x string, y int")
     assert "a&lt;b" in writers.html_report(rows, "t") and writers.text_report(rows) == "x: a<b; y: 1"
+
+
+def test_audit_and_distribution(spark):
+    from helixmark.operators import selection
+
+    steps = spark.createDataFrame([("s", 2, "A", "A|1", 0.5), ("s", 1, "", "A", 0.9)], "sample string, depth int, node string, child string, score double")
+    assert writers.audit(steps).first()["route"].index('"child":"A"') < writers.audit(steps).first()["route"].index('"child":"A|1"')
+    assert [r["f"] for r in selection.distribution(3.0, iter([1.0, 2.0]), spark, "f").orderBy("replicate").collect()] == [3.0, 1.0, 2.0]
+
+
+def test_matrix_files_are_written(spark, tmp_path):
+    m = spark.createDataFrame([("b", "f", 1.0), ("a", "f", 0.0)], "sample string, feature string, value double")
+    writers.write_lines(writers.matrix_lines(m), str(tmp_path / "m"), ["sample"])
+    assert [r["value"] for r in spark.read.text(str(tmp_path / "m")).collect()] == ["a\t0", "b\t1"]
+    writers.write_tsv(m, str(tmp_path / "t"), ["sample", "absent", "value"])
+    assert spark.read.csv(str(tmp_path / "t"), sep="\t", header=True).columns == ["sample", "value"]
