@@ -39,12 +39,12 @@ SUB_BITS = 5
 def _repeat_words(df: DataFrame, words: str, out: str) -> DataFrame:
     """Adds the number of words that lie in a 3-word window found at least twice in the array of words.
 
-    Windows are compared as joined strings (words have no spaces). Only texts with some window twice
-    sort their windows; the rest end with a hash set.
+    Windows are compared as joined strings (words have no spaces). Only texts where two windows have the
+    same hash sort their windows; the rest, where no two can be equal, end with a set of hashes.
     """
-    df = df.withColumn("__hx_tri", F.expr(f"transform(slice({words}, 1, greatest(size({words}) - 2, 0)), (x, i) -> concat(x, ' ', {words}[i + 1], ' ', {words}[i + 2]))"))
-    df = df.withColumn("__hx_twice", F.expr("size(array_distinct(__hx_tri)) < size(__hx_tri)"))
-    df = df.withColumn("__hx_sorted", F.expr("CASE WHEN __hx_twice THEN array_sort(transform(__hx_tri, (t, i) -> struct(t AS t, i AS i))) END"))
+    df = df.withColumn("__hx_hash", F.expr(f"transform(slice({words}, 1, greatest(size({words}) - 2, 0)), (x, i) -> xxhash64(x, {words}[i + 1], {words}[i + 2]))"))
+    df = df.withColumn("__hx_twice", F.expr("size(array_distinct(__hx_hash)) < size(__hx_hash)"))
+    df = df.withColumn("__hx_sorted", F.expr(f"CASE WHEN __hx_twice THEN array_sort(transform(slice({words}, 1, size({words}) - 2), (x, i) -> struct(concat(x, ' ', {words}[i + 1], ' ', {words}[i + 2]) AS t, i AS i))) END"))
     df = df.withColumn(
         "__hx_at",
         F.expr("CASE WHEN __hx_twice THEN sort_array(filter(transform(__hx_sorted, (e, k) -> CASE WHEN coalesce(e.t = get(__hx_sorted, k - 1).t, false) OR coalesce(e.t = get(__hx_sorted, k + 1).t, false) THEN e.i END), p -> p IS NOT NULL)) END"),
