@@ -23,7 +23,7 @@ tot AS (SELECT sample, node, sum(score) AS t FROM sc GROUP BY ALL), top AS (SELE
 branch AS (SELECT sample, node, string_split(child, '|')[-1] AS branch, score / t AS sup FROM top JOIN tot USING (sample, node)),
 nodes AS (SELECT '' AS node, 'region' AS lc, 'success' AS status, NULL AS constant UNION ALL SELECT r_name, 'nation', CASE r_name WHEN 'ASIA' THEN 'constant' WHEN 'AFRICA' THEN 'failed' ELSE 'success' END, CASE r_name WHEN 'ASIA' THEN 'NATION_8' END FROM region),
 smp AS (SELECT DISTINCT sample FROM matrix), gate AS (SELECT sample, r_name AS node, CASE WHEN sample % 9 = 0 THEN 'abstain' ELSE 'predict' END AS verdict FROM smp, region),
-fb AS (SELECT sample, 2 AS depth, 'NATION_0' AS label, CASE WHEN sample % 4 = 0 THEN 1.0 ELSE 0.0 END AS support FROM smp WHERE sample % 5 <> 0), pol AS (SELECT 'nation' AS lc, n_name AS class, count(*) < 5 AS review FROM slabels GROUP BY n_name),
+fb AS (SELECT sample, 2 AS depth, CASE WHEN sample % 5 <> 0 THEN 'NATION_0' END AS label, CASE WHEN sample % 4 = 0 THEN 1.0 ELSE 0.0 END AS support FROM smp), pol AS (SELECT 'nation' AS lc, n_name AS class, count(*) < 5 AS review FROM slabels GROUP BY n_name),
 one AS (SELECT sample, 1 AS depth, '' AS node, 'region' AS lc, 'success' AS status, branch AS label, sup AS support, NULL AS reason FROM branch WHERE node = ''),
 t2 AS (SELECT one.sample, one.label AS node, n.lc, n.status AS ns, n.constant, g.verdict, b.branch, b.sup, fb.label AS other, fb.support AS os FROM one LEFT JOIN nodes n ON n.node = one.label LEFT JOIN gate g ON g.sample = one.sample AND g.node = one.label LEFT JOIN branch b ON b.sample = one.sample AND b.node = one.label AND n.status = 'success' AND g.verdict = 'predict' LEFT JOIN fb ON fb.sample = one.sample),
 s2 AS (SELECT *, CASE WHEN ns = 'constant' THEN 'constant' WHEN ns = 'success' AND verdict = 'abstain' THEN 'abstained' WHEN ns = 'success' AND branch IS NOT NULL THEN 'success' ELSE 'unavailable' END AS s FROM t2),
@@ -44,7 +44,7 @@ def hierarchy_walk(s, d):
     samples = m.select("sample").distinct()
     regions = region.groupBy().agg(F.collect_list("r_name").alias("r"))  # five
     gates = samples.join(F.broadcast(regions)).select("sample", F.explode("r").alias("node"), F.when(F.col("sample") % 9 == 0, "abstain").otherwise("predict").alias("verdict"))
-    fallback = samples.where("sample % 5 <> 0").select("sample", F.lit(2).alias("depth"), F.lit("NATION_0").alias("label"), F.when(F.col("sample") % 4 == 0, 1.0).otherwise(0.0).alias("support"))
+    fallback = samples.select("sample", F.lit(2).alias("depth"), F.when(F.col("sample") % 5 != 0, "NATION_0").alias("label"), F.when(F.col("sample") % 4 == 0, 1.0).otherwise(0.0).alias("support"))
     labels = a.sample_labels(s, d).select(F.lit("nation").alias("label_column"), F.col("labels")[1].alias("label"))
     policy = hierarchy.support_policy(labels, 2, 5)
     out = traverse.walk(samples, root.unionByName(rest), scorer, gates, policy, fallback, 2)
