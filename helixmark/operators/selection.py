@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import pairs
+
 
 def significant(predictions: DataFrame, p: float, fdr: float, gfdr: float) -> DataFrame:
     """Rows (snp, p, fdr, gfdr, ...) within all three thresholds; what isn't a number drops out."""
@@ -50,44 +52,72 @@ def complete_linkage(distance: np.ndarray, threshold: float) -> list[int]:
     n = len(distance)
     d = distance.astype(float).copy()
     np.fill_diagonal(d, np.inf)
-    members = [[i] for i in range(n)]
-    alive = list(range(n))
-    while len(alive) > 1:
-        sub = d[np.ix_(alive, alive)]
-        at = int(sub.argmin())
-        i, j = alive[at // len(alive)], alive[at % len(alive)]
-        if d[i, j] > threshold:
-            break
-        i, j = min(i, j), max(i, j)
+    cluster = np.arange(n)
+    alive = np.ones(n, bool)
+    to = np.zeros(n, np.int64)  # each cluster's nearest later one
+    least = np.full(n, np.inf)
+
+    def look(k: int) -> None:
+        if k + 1 < n:
+            to[k] = k + 1 + d[k, k + 1 :].argmin()
+            least[k] = d[k, to[k]]
+
+    for k in range(n):
+        look(k)
+    while n and least.min() <= threshold and np.isfinite(least.min()):
+        i = int(least.argmin())
+        j = int(to[i])
         d[i] = np.maximum(d[i], d[j])
         d[:, i] = d[i]
         d[i, i] = np.inf
-        members[i] += members[j]
-        alive.remove(j)
-    out = [0] * n
-    for k, i in enumerate(alive):
-        for m in members[i]:
-            out[m] = k
-    return out
+        d[j] = d[:, j] = np.inf
+        alive[j], least[j] = False, np.inf
+        cluster[cluster == j] = i
+        for k in np.flatnonzero(alive & ((to == i) | (to == j) | (np.arange(n) == i))):
+            least[k] = np.inf
+            look(k)
+    return np.unique(cluster, return_inverse=True)[1].tolist()
 
 
 def redundancy(states: DataFrame, threshold: float, keep: int) -> DataFrame:
     """Clusters of features (group, feature, rank, states: one text per feature) whose states differ in at most a share `threshold`: (group, feature, rank, cluster, kept).
 
-    Features are clustered within their group (a neighbourhood, or a block of the ranked list of bounded
-    length), one group per task.
+    A group is what is clustered as a whole: a neighbourhood, or the ranked list. All its pairs are compared,
+    by blocks. Features with equal states merge first in any case, so they count as one; and clusters never
+    go beyond the features that links within the threshold connect, so each such component is clustered by
+    itself, in one task. A cluster has the name of its best feature.
     """
+    from ..llm.common import materialise
+    from ..llm.simhash import components
+
+    kinds = dict(states.dtypes)
+    states = materialise(states.select("group", "feature", "rank", "states"), "redundancy-states", few=True)
+    patterns = states.groupBy("group", "states").agg(F.min(F.struct("rank", "feature")).alias("f")).select("group", "f.rank", "f.feature", "states")
+    patterns = materialise(patterns, "redundancy-patterns", few=True)
+
+    def links(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        out = pairs.forest(pairs.differing(x["states"].tolist(), y["states"].tolist()) <= threshold)
+        i, j = (np.array([p[k] for p in out], np.int64) for k in (0, 1))
+        u, v = x.iloc[i].reset_index(drop=True), y.iloc[j].reset_index(drop=True)
+        return pd.DataFrame({"group": u["group"], "rank_a": u["rank"], "feature_a": u["feature"], "rank_b": v["rank"], "feature_b": v["feature"]})
+
+    ends = ", ".join(f"rank_{k} {kinds['rank']}, feature_{k} {kinds['feature']}" for k in "ab")
+    found = pairs.block_pairs(patterns, "states", links, f"group {kinds['group']}, {ends}", "group")
+    node = lambda r, f: F.struct("group", F.col(r).alias("rank"), F.col(f).alias("feature"))
+    roots = components(found.select(node("rank_a", "feature_a").alias("a"), node("rank_b", "feature_b").alias("b")))
+    placed = patterns.withColumn("node", node("rank", "feature")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
     def cluster(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["rank", "feature"], ignore_index=True)
-        x = np.array([list(s) for s in pdf["states"]])
-        d = (x[:, None, :] != x[None, :, :]).mean(axis=2) if x.size else np.zeros((len(pdf), len(pdf)))
-        pdf["cluster"] = complete_linkage(d, threshold)
-        pdf["kept"] = pdf.groupby("cluster").cumcount() < keep
-        return pdf[["group", "feature", "rank", "cluster", "kept"]]
-
-    kinds = dict(states.dtypes)
-    return states.groupBy("group").applyInPandas(cluster, f"group {kinds['group']}, feature {kinds['feature']}, rank {kinds['rank']}, cluster int, kept boolean")
+        number = complete_linkage(pairs.differing(pdf["states"].tolist(), pdf["states"].tolist()), threshold)
+        pdf["cluster"] = pdf["feature"].groupby(number).transform("first")
+        return pdf[["group", "states", "cluster"]]
+
+    clusters = placed.select("root", "group", "rank", "feature", "states").groupBy("root").applyInPandas(cluster, f"group {kinds['group']}, states string, cluster {kinds['feature']}")
+    clusters = clusters.select(F.col("group").alias("__group"), F.col("states").alias("__states"), "cluster")
+    out = states.join(clusters, F.col("group").eqNullSafe(F.col("__group")) & (F.col("states") == F.col("__states")))
+    nth = F.row_number().over(Window.partitionBy("group", "cluster").orderBy("rank", "feature"))
+    return out.select("group", "feature", "rank", "cluster", (nth <= keep).alias("kept"))
 
 
 def synchronised(selected: DataFrame, *tables: DataFrame) -> DataFrame:

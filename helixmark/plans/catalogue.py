@@ -442,13 +442,13 @@ def synchronised_selection(s, d):
 
 @query(None)
 def redundancy_clusters(s, d):
-    """Complete linkage within blocks of 64 consecutive features."""
+    """Complete linkage over the whole list of features."""
     m = a.matrix(s, d)
     m = cohort.aligned(m, m.select("feature", F.col("feature").alias("ord")).distinct())
     v = F.coalesce(F.col("value").cast("int").cast("string"), F.lit("?"))
     each = F.array_sort(F.collect_list(F.struct("sample", v.alias("v"))))
     states = m.groupBy("feature").agg(F.array_join(F.transform(each, lambda x: x["v"]), "").alias("states"))
-    states = states.select(F.floor((F.col("feature") - 1) / 64).cast("long").alias("group"), "feature", F.col("feature").cast("long").alias("rank"), "states")
+    states = states.select(F.lit(0).cast("long").alias("group"), "feature", F.col("feature").cast("long").alias("rank"), "states")
     return selection.redundancy(states, 0.4, 2)
 
 

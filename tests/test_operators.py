@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from helixmark.operators import cohort, hierarchy, joins, pileup, selection, stats
+from helixmark.operators import cohort, hierarchy, joins, pairs, pileup, selection, stats
 
 
 def test_range_join_with_long_blocks(spark):
@@ -78,6 +78,35 @@ def test_complete_linkage():
     assert len(set(selection.complete_linkage(d, 0.0))) == 5 and len(set(selection.complete_linkage(d, 2.0))) == 1
 
 
+def _linked(x, threshold):
+    """Complete linkage by definition: the nearest two clusters, the first of equal ones, merge."""
+    d = (x[:, None] != x[None]).mean(axis=2)
+    clusters = [[i] for i in range(len(x))]
+    while len(clusters) > 1:
+        far, i, j = min((d[np.ix_(a, b)].max(), i, j) for i, a in enumerate(clusters) for j, b in enumerate(clusters) if i < j)
+        if far > threshold:
+            break
+        clusters[i] += clusters.pop(j)
+    return {frozenset(c) for c in clusters}
+
+
+@pytest.mark.parametrize("threshold", [0.0, 0.15, 0.3, 0.4])
+def test_redundancy_over_the_whole_list(spark, monkeypatch, threshold):
+    """As by definition over all features, which meet in many blocks; equal ones far apart in the list are together."""
+    monkeypatch.setattr(pairs, "BLOCK", 16)
+    rng = np.random.default_rng(7)
+    kinds = rng.integers(0, 3, (9, 20))
+    x = kinds[rng.integers(0, 9, 90)]
+    x = np.where(rng.random(x.shape) < 0.12, rng.integers(0, 3, x.shape), x)
+    x[64] = x[63]
+    rows = [(0, k + 1, k + 1, "".join("01?"[v] for v in r)) for k, r in enumerate(x)]
+    got = selection.redundancy(spark.createDataFrame(rows, "group long, feature long, rank long, states string"), threshold, 2).toPandas()
+    assert {frozenset(g.feature - 1) for _, g in got.groupby("cluster")} == _linked(x, threshold)
+    assert got.set_index("feature").cluster[64] == got.set_index("feature").cluster[65]
+    for c, g in got.groupby("cluster"):
+        assert c == g.feature.min() and set(g[g.kept].feature) == set(sorted(g.feature)[:2])
+
+
 def test_permanova_against_numpy(spark):
     rng = np.random.default_rng(3)
     x = (rng.random((12, 20)) < 0.4).astype(int)
