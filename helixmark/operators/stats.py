@@ -2,45 +2,70 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import pairs
+
+
+def _set_features(bits: str) -> Column:
+    return F.filter(F.transform(bits, lambda b, k: F.when(b == 1, k)), lambda k: k.isNotNull())
+
 
 def ones(vectors: DataFrame) -> DataFrame:
-    """(id, feature) of set features, of vectors (id, bits array of 0/1)."""
-    return vectors.select("id", F.posexplode("bits").alias("feature", "bit")).where("bit = 1").select("id", "feature")
+    """(id, feature) of set features, of vectors (id, bits array of 0/1); an id without any has one row, whose feature is NULL."""
+    return vectors.where("bits IS NOT NULL").select("id", F.explode_outer(_set_features("bits")).alias("feature"))
+
+
+def _distances(sets: DataFrame, distance, within: float | None) -> DataFrame:
+    """(i, j, d), i < j, of all pairs of rows (id, features, size) at most `within` apart; distance: of the numbers (shared, of both together, size of i)."""
 
+    def both(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        order = pd.factorize(pd.concat([x["id"], y["id"]]), sort=True)[0]
+        p, q = order[: len(x)], order[len(x) :]
+        first = p[:, None] < q[None]
+        n, m = (t["features"].map(len).to_numpy(np.int64) for t in (x, y))
+        size = np.where(first, x["size"].to_numpy()[:, None], y["size"].to_numpy()[None])
+        d = distance(pairs.shared(x["features"].tolist(), y["features"].tolist()), n[:, None] + m[None], size)
+        keep = first if np.array_equal(p, q) else p[:, None] != q[None]
+        a, b = np.nonzero(keep if within is None else keep & (d <= within))
+        u, v, first = x["id"].to_numpy()[a], y["id"].to_numpy()[b], first[a, b]
+        return pd.DataFrame({"i": np.where(first, u, v), "j": np.where(first, v, u), "d": d[a, b]})
 
-def jaccard(members: DataFrame) -> DataFrame:
-    """Distances (i, j, d), i < j, of all pairs that share a feature; pairs that share none have distance 1, or 0 if both are empty.
+    kind = dict(sets.dtypes)["id"]
+    return pairs.block_pairs(sets.where("id IS NOT NULL"), "id", both, f"i {kind}, j {kind}, d double")
 
-    members: (id, feature), distinct. Co-occurrences are counted per feature pair-wise; dense features make
-    that as large as the answer itself, which is every pair.
+
+def jaccard(members: DataFrame, within: float | None = None) -> DataFrame:
+    """Distances (i, j, d), i < j, of all pairs, or those at most `within` apart; pairs that share no feature have distance 1, or 0 if both are empty.
+
+    members: (id, feature), distinct; a NULL feature is none, so that an id can be empty. Pairs meet by
+    blocks of ids, and co-occurrences are products of matrices.
     """
-    n = members.groupBy("id").agg(F.count("*").alias("n"))
-    a, b = members.select(F.col("id").alias("i"), "feature"), members.select(F.col("id").alias("j"), "feature")
-    both = a.join(b, "feature").where("i < j").groupBy("i", "j").agg(F.count("*").alias("c"))
-    out = both.join(n.select(F.col("id").alias("i"), F.col("n").alias("ni")), "i").join(n.select(F.col("id").alias("j"), F.col("n").alias("nj")), "j")
-    return out.select("i", "j", (1 - F.col("c") / (F.col("ni") + F.col("nj") - F.col("c"))).alias("d"))
+    sets = members.groupBy("id").agg(F.collect_list("feature").alias("features")).withColumn("size", F.size("features").cast("long"))
+
+    def distance(c, n, _):
+        union = n - c
+        return np.where(union > 0, 1 - c / np.maximum(union, 1), 0.0)
+
+    return _distances(sets, distance, within)
 
 
-def hamming(vectors: DataFrame) -> DataFrame:
-    """Shares of differing symbols (i, j, d), i < j, of vectors (id, bits): sums over features, as |a| + |b| - 2 |a and b|."""
-    n = vectors.select("id", F.size("bits").alias("len"), F.aggregate("bits", F.lit(0), lambda a, x: a + x).alias("n"))
-    m = ones(vectors)
-    a, b = m.select(F.col("id").alias("i"), "feature"), m.select(F.col("id").alias("j"), "feature")
-    both = a.join(b, "feature").where("i < j").groupBy("i", "j").agg(F.count("*").alias("c"))
-    out = both.join(n.select(F.col("id").alias("i"), "len", F.col("n").alias("ni")), "i").join(n.select(F.col("id").alias("j"), F.col("n").alias("nj")), "j")
-    return out.select("i", "j", ((F.col("ni") + F.col("nj") - 2 * F.col("c")) / F.col("len")).alias("d"))
+def hamming(vectors: DataFrame, within: float | None = None) -> DataFrame:
+    """Shares of differing symbols (i, j, d), i < j, of all pairs of vectors (id, bits), or of those at most `within` apart, as |a| + |b| - 2 |a and b|."""
+    sets = vectors.where("bits IS NOT NULL").select("id", _set_features("bits").alias("features"), F.size("bits").cast("long").alias("size"))
+    return _distances(sets, lambda c, n, size: (n - 2 * c) / np.maximum(size, 1), within)
 
 
 def permanova(distances: DataFrame, labels: DataFrame) -> DataFrame:
     """Pseudo-F of groups: one row (n, k, ss_total, ss_within, f). labels: (id, label), all ids."""
     sizes = labels.groupBy("label").agg(F.count("*").alias("n"))
-    pairs = distances.join(labels.select(F.col("id").alias("i"), F.col("label").alias("li")), "i").join(labels.select(F.col("id").alias("j"), F.col("label").alias("lj")), "j")
-    within = pairs.where("li = lj").groupBy(F.col("li").alias("label")).agg(F.sum(F.col("d") * F.col("d")).alias("s"))
+    met = distances.join(labels.select(F.col("id").alias("i"), F.col("label").alias("li")), "i").join(labels.select(F.col("id").alias("j"), F.col("label").alias("lj")), "j")
+    within = met.where("li = lj").groupBy(F.col("li").alias("label")).agg(F.sum(F.col("d") * F.col("d")).alias("s"))
     w = sizes.join(within, "label", "left").agg(F.sum("n").alias("n"), F.count("*").alias("k"), F.sum(F.coalesce("s", F.lit(0.0)) / F.col("n")).alias("ss_within"))
-    t = pairs.agg(F.sum(F.col("d") * F.col("d")).alias("s"))
+    t = met.agg(F.sum(F.col("d") * F.col("d")).alias("s"))
     df = w.join(F.broadcast(t))  # one row each
     df = df.withColumn("ss_total", F.col("s") / F.col("n"))
     f = ((F.col("ss_total") - F.col("ss_within")) / (F.col("k") - 1)) / (F.col("ss_within") / (F.col("n") - F.col("k")))
@@ -49,9 +74,9 @@ def permanova(distances: DataFrame, labels: DataFrame) -> DataFrame:
 
 def mantel(distances: DataFrame, labels: DataFrame) -> DataFrame:
     """One row (r): correlation of distance with label inequality; NULL without variance."""
-    pairs = distances.join(labels.select(F.col("id").alias("i"), F.col("label").alias("li")), "i").join(labels.select(F.col("id").alias("j"), F.col("label").alias("lj")), "j")
+    met = distances.join(labels.select(F.col("id").alias("i"), F.col("label").alias("li")), "i").join(labels.select(F.col("id").alias("j"), F.col("label").alias("lj")), "j")
     x = (F.col("li") != F.col("lj")).cast("double")
-    return pairs.agg(F.when((F.stddev_pop("d") > 0) & (F.stddev_pop(x) > 0), F.corr("d", x)).alias("r"))
+    return met.agg(F.when((F.stddev_pop("d") > 0) & (F.stddev_pop(x) > 0), F.corr("d", x)).alias("r"))
 
 
 def permuted_f(distances: DataFrame, labels: DataFrame, replicates: int, seed: int) -> DataFrame:
@@ -65,10 +90,10 @@ def permuted_f(distances: DataFrame, labels: DataFrame, replicates: int, seed: i
     dealt = reps.withColumn("to", F.row_number().over(Window.partitionBy("replicate").orderBy(key)))
     new = reps.select("replicate", "id", F.col("at").alias("to")).join(dealt.select("replicate", "to", "label"), ["replicate", "to"]).select("replicate", "id", "label")
     sizes = new.groupBy("replicate", "label").agg(F.count("*").alias("n"))
-    pairs = distances.join(new.select("replicate", F.col("id").alias("i"), F.col("label").alias("li")), "i").join(new.select("replicate", F.col("id").alias("j"), F.col("label").alias("lj")), ["replicate", "j"])
-    within = pairs.where("li = lj").groupBy("replicate", F.col("li").alias("label")).agg(F.sum(F.col("d") * F.col("d")).alias("s"))
+    met = distances.join(new.select("replicate", F.col("id").alias("i"), F.col("label").alias("li")), "i").join(new.select("replicate", F.col("id").alias("j"), F.col("label").alias("lj")), ["replicate", "j"])
+    within = met.where("li = lj").groupBy("replicate", F.col("li").alias("label")).agg(F.sum(F.col("d") * F.col("d")).alias("s"))
     w = sizes.join(within, ["replicate", "label"], "left").groupBy("replicate").agg(F.sum("n").alias("n"), F.count("*").alias("k"), F.sum(F.coalesce("s", F.lit(0.0)) / F.col("n")).alias("w"))
-    total = pairs.groupBy("replicate").agg(F.sum(F.col("d") * F.col("d")).alias("s"))
+    total = met.groupBy("replicate").agg(F.sum(F.col("d") * F.col("d")).alias("s"))
     df = w.join(total, "replicate").withColumn("t", F.col("s") / F.col("n"))
     return df.select("replicate", (((F.col("t") - F.col("w")) / (F.col("k") - 1)) / (F.col("w") / (F.col("n") - F.col("k")))).alias("f"))
 

@@ -463,12 +463,12 @@ def top_supporting_markers(s, d):
 
 @query(f"WITH {a.VECTORS} SELECT i, j, round(d, 6) AS d FROM dist WHERE d <= 0.5")
 def jaccard_neighbours(s, d):
-    return stats.jaccard(stats.ones(a.vectors(s, d))).where("d <= 0.5").select("i", "j", r6("d").alias("d"))
+    return stats.jaccard(stats.ones(a.vectors(s, d)), 0.5).select("i", "j", r6("d").alias("d"))
 
 
 @query(f"WITH {a.VECTORS} SELECT i, j, round(h, 6) AS d FROM dist WHERE h <= 0.3")
 def hamming_neighbours(s, d):
-    return stats.hamming(a.vectors(s, d)).where("d <= 0.3").select("i", "j", r6("d").alias("d"))
+    return stats.hamming(a.vectors(s, d), 0.3).select("i", "j", r6("d").alias("d"))
 
 
 @query(f"WITH {a.VECTORS}, z AS (SELECT label, count(*) AS n FROM bits GROUP BY label), w AS (SELECT li AS label, sum(d * d) AS s FROM dist WHERE li = lj GROUP BY li), t AS (SELECT sum(n) AS n, count(*) AS k, sum(coalesce(s, 0) / n) AS wi FROM z LEFT JOIN w USING (label)), u AS (SELECT sum(d * d) AS s FROM dist) SELECT n::BIGINT AS n, k, round(s / n, 6) AS ss_total, round(wi, 6) AS ss_within, round(((s / n - wi) / (k - 1)) / (wi / (n - k)), 6) AS f FROM t, u")

@@ -124,6 +124,33 @@ def test_permanova_against_numpy(spark):
     assert 0 < stats.permutation_p(values, "f").first()["p"] <= 0.1
 
 
+def test_distances_of_sparse_vectors(spark, monkeypatch):
+    """All pairs, with those that share no set bit; permanova, mantel and neighbours as over full matrices."""
+    monkeypatch.setattr(pairs, "BLOCK", 8)
+    rng = np.random.default_rng(5)
+    x = (rng.random((40, 64)) < 0.04).astype(int)
+    x[:3] = 0
+    x[3:6] = np.eye(64, dtype=int)[:3]
+    g = [k % 3 for k in range(40)]
+    v = spark.createDataFrame([(k, r.tolist(), g[k]) for k, r in enumerate(x)], "id long, bits array<int>, label int")
+    labels = v.select("id", "label")
+    jac = np.array([[1 - (a & b).sum() / (a | b).sum() if (a | b).any() else 0 for b in x] for a in x])
+    ham = (x[:, None] != x[None]).mean(axis=2)
+    for got, want in ((stats.jaccard(stats.ones(v)), jac), (stats.hamming(v), ham)):
+        rows = {(r["i"], r["j"]): r["d"] for r in got.collect()}
+        assert len(rows) == got.count() == 40 * 39 // 2
+        assert all(rows[i, j] == pytest.approx(want[i, j]) for i in range(40) for j in range(i + 1, 40))
+    assert stats.hamming(v, 0.02).count() == (ham[np.triu_indices(40, 1)] <= 0.02).sum()
+    d = stats.jaccard(stats.ones(v))
+    got = stats.permanova(d, labels).first()
+    assert got["ss_total"] == pytest.approx((np.triu(jac) ** 2).sum() / 40)
+    assert got["ss_within"] == pytest.approx(sum((np.triu(jac[np.ix_(m, m)]) ** 2).sum() / len(m) for m in ([k for k in range(40) if g[k] == t] for t in range(3))))
+    upper = np.triu_indices(40, 1)
+    assert stats.mantel(d, labels).first()["r"] == pytest.approx(np.corrcoef(jac[upper], [g[i] != g[j] for i, j in zip(*upper)])[0, 1])
+    near = {r["id"]: r["predicted"] for r in stats.knn(stats.hamming(v), labels, 1).collect()}
+    assert near == {k: g[min((ham[k, o], o) for o in range(40) if o != k)[1]] for k in range(40)}
+
+
 def test_pileup():
     assert pileup.bases_of(".,$^I.+2ACg-1t*T", "a") == "AAAG*T"
     assert pileup.bases_of(None, "A") == ""
