@@ -1,10 +1,12 @@
 """Transcript parsing: a hidden Markov model recovers who speaks, then turns are rendered canonically.
 
-A transcript's rows are cut into blocks: a row's start, and each of its lines that begins with a speaker
-marker, opens one. Hidden states are the roles; a block's observations are its marker's class, whether it
-opens the transcript, its length, and whether it has a question, a list or code. Probabilities are smoothed
-counts over labelled rows. Viterbi finds the likeliest roles; each block is then rendered as a turn, without
-its marker, and `continues` tells the blocks that go on with the turn before (same role, no marker).
+A row is a text of one turn or of many. With by_line, each of its lines is an observation, so that a line
+without a marker can open a turn; else it is cut into blocks: its start, and each line that begins with a
+speaker marker, opens one. Hidden states are the roles; an observation is its marker's class, its length,
+and whether it has a question, a list or code. What follows a role depends on the step: to a marker or a new
+row, to an unmarked line, to one after a blank line. Probabilities are smoothed counts over labelled rows.
+Viterbi finds the likeliest roles; unmarked lines of one role are then rendered as one turn, without its
+marker, and `continues` tells the turns that go on with the row before (same role, no marker).
 
 No transcript is gathered in one task: rows are sorted by transcript and place over range partitions,
 and one transcript may span many of them. A first pass gives, for the first and the last transcript of
@@ -65,13 +67,33 @@ def blocks(text: str | None) -> list[tuple[str, str]]:
     out: list[tuple[str, list[str]]] = []
     for line in (text or "").split("\n"):
         kind, at = marker_of(line)
-        if kind == "none" and out or kind == "name" and out and out[-1][0] == "none":
+        if kind == "none" and out:
             out[-1][1].append(line)
         else:
             out.append((kind, [line[at:]] if kind != "none" else [line]))
     return [(k, "\n".join(lines).strip("\n")) for k, lines in out]
 
 
+def lines(text: str | None) -> list[tuple[str, str, int, int]]:
+    """(marker class, text without marker, step, number) of each line of a row; a blank line goes with the one before it."""
+    out: list[list] = []
+    blank = False
+    for number, line in enumerate((text or "").split("\n")):
+        if not line.strip():
+            blank = True
+            if out:
+                out[-1][1] += "\n"
+            continue
+        kind, at = marker_of(line)
+        out.append([kind, line[at:], 0 if kind != "none" or not out else 2 if blank else 1, number])
+        blank = False
+    return [tuple(x) for x in out] or [("none", "", 0, 0)]
+
+
+def _cut(text: str | None, by_line: bool) -> list[tuple[str, str, int, int]]:
+    return lines(text) if by_line else [(kind, t, 0, k) for k, (kind, t) in enumerate(blocks(text))]
+
+
 def observe(kind: str, text: str) -> tuple[int, ...]:
     n = len(text.split())
     return CLASSES.index(kind), min(n.bit_length(), 9), int("?" in text), int(bool(re.search(r"^\s*(?:[-*•]|\d+[.)])\s|```", text, re.M)))
@@ -79,11 +101,15 @@ def observe(kind: str, text: str) -> tuple[int, ...]:
 
 @dataclass
 class Model:
-    """Logarithms of probabilities: of the first role, of role after role, and of each observation by role."""
+    """Logarithms of probabilities: of the first role, of role after role, of each observation by role, and of role after role at steps 1 and 2."""
 
     start: np.ndarray
     after: np.ndarray
     seen: list[np.ndarray]
+    within: np.ndarray | None = None
+
+    def step(self, k: int) -> np.ndarray:
+        return self.within[k - 1] if k else self.after
 
     def emissions(self, obs: list[tuple[int, ...]]) -> np.ndarray:
         return sum(table[:, [o[k] for o in obs]].T for k, table in enumerate(self.seen))
@@ -113,24 +139,24 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[object, list]]:
         yield who, held
 
 
-def fit(rows: DataFrame) -> Model:
-    """From arranged rows whose fourth column is the role of all their blocks (null: not used)."""
+def fit(rows: DataFrame, by_line: bool = False) -> Model:
+    """From arranged rows whose fourth column is the role of the whole row, or an array with that of each line (null: not used)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n: Counter = Counter()
         before, who = None, object()
         for ident, chunk in _runs(batches):
             for row in chunk:
-                role = row[3]
-                if role not in ROLES:
-                    before, who = None, ident
-                    continue
-                r = ROLES.index(role)
-                for kind, text in blocks(row[2]):
+                for kind, text, step, at in _cut(row[2], by_line):
+                    role = row[3][at] if isinstance(row[3], list) else row[3]
+                    if role not in ROLES:
+                        before, who = None, ident
+                        continue
+                    r = ROLES.index(role)
                     if ident != who:
                         n["start", 0, r] += 1
                     elif before is not None:
-                        n["after", before, r] += 1
+                        n["within" if step else "after", before + len(ROLES) * max(step - 1, 0), r] += 1
                     for k, o in enumerate(observe(kind, text)):
                         n[f"seen{k}", r, o] += 1
                     before, who = r, ident
@@ -139,7 +165,7 @@ def fit(rows: DataFrame) -> Model:
 
     counts = rows.mapInArrow(run, "what string, a long, b long, n long").groupBy("what", "a", "b").agg(F.sum("n").alias("n")).collect()  # roles x observations
     s = len(ROLES)
-    tables = {"start": np.zeros((1, s)), "after": np.zeros((s, s))} | {f"seen{k}": np.zeros((s, size)) for k, size in enumerate(OBSERVED.values())}
+    tables = {"start": np.zeros((1, s)), "after": np.zeros((s, s)), "within": np.zeros((2 * s, s))} | {f"seen{k}": np.zeros((s, size)) for k, size in enumerate(OBSERVED.values())}
     for what, a, b, n in counts:
         tables[what][a, b] = n
     logs = {k: np.log((t + SMOOTH) / (t + SMOOTH).sum(axis=1, keepdims=True)) for k, t in tables.items()}
@@ -147,25 +173,29 @@ def fit(rows: DataFrame) -> Model:
     for r, role in enumerate(ROLES):
         if not tables["seen0"][r].any():
             logs["seen0"][r] = np.log(np.where(np.array(CLASSES) == role, 0.9, 0.1 / (len(CLASSES) - 1)))
-    return Model(logs["start"][0], logs["after"], [logs[f"seen{k}"] for k in range(len(OBSERVED))])
+    # a name that no labelled row has tells nothing of the role
+    name = CLASSES.index("name")
+    if not tables["seen0"][:, name].any():
+        logs["seen0"][:, name] = logs["seen0"][:, name].min()
+    return Model(logs["start"][0], logs["after"], [logs[f"seen{k}"] for k in range(len(OBSERVED))], logs["within"].reshape(2, s, s))
 
 
-def _through(model: Model, emissions: np.ndarray, before: np.ndarray) -> np.ndarray:
+def _through(model: Model, emissions: np.ndarray, before: np.ndarray, steps: list[int]) -> np.ndarray:
     """Best scores at the end of a run, for each row of scores before it."""
-    for e in emissions:
-        before = (before[:, :, None] + model.after[None]).max(axis=1) + e
+    for e, k in zip(emissions, steps):
+        before = (before[:, :, None] + model.step(k)[None]).max(axis=1) + e
     return before
 
 
-def viterbi(model: Model, emissions: np.ndarray, before: np.ndarray | None = None, end: np.ndarray | None = None) -> tuple[list[int], int | None]:
-    """Roles of a run, given scores of the roles before (None: it starts here) and of what follows; and the role before."""
+def viterbi(model: Model, emissions: np.ndarray, before: np.ndarray | None = None, end: np.ndarray | None = None, steps: list[int] | None = None) -> tuple[list[int], int | None]:
+    """Roles of a run, given scores of the roles before (None: it starts here) and of what follows, and its steps (None: all 0); and the role before."""
     back = np.zeros(emissions.shape, np.int64)
     score = None
     for t, e in enumerate(emissions):
         if t == 0 and before is None:
             score = model.start + e
             continue
-        each = (before if t == 0 else score)[:, None] + model.after
+        each = (before if t == 0 else score)[:, None] + model.step(steps[t] if steps else 0)
         back[t] = each.argmax(axis=0)
         score = each.max(axis=0) + e
     path = [int((score + (0 if end is None else end)).argmax())]
@@ -174,29 +204,28 @@ def viterbi(model: Model, emissions: np.ndarray, before: np.ndarray | None = Non
     return path[::-1], None if before is None else int(back[0, path[-1]])
 
 
-def _observed(chunk: list) -> tuple[list, np.ndarray]:
-    out = []
-    for row in chunk:
-        out += [(row, k, kind, text) for k, (kind, text) in enumerate(blocks(row[2]))]
-    return out
+def _observed(chunk: list, by_line: bool) -> list[tuple]:
+    return [(row, *x) for row in chunk for x in _cut(row[2], by_line)]
 
 
-def parse(rows: DataFrame, model: Model) -> DataFrame:
-    """Arranged rows as turns: their columns but text, and block, role, continues, turn_text."""
+def parse(rows: DataFrame, model: Model, by_line: bool = False) -> DataFrame:
+    """Arranged rows as turns: their columns but text, and block (the turn's number in its row), role, continues, turn_text; by_line: and line, the number of its first line."""
     s = len(ROLES)
     names = [c for c in rows.columns if c != "text"]
     keep = [i for i, c in enumerate(rows.columns) if c != "text"]
+    outputs = ["block", "role", "continues", "turn_text", *(["line"] if by_line else [])]
 
     def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         identity = np.where(np.eye(s, dtype=bool), 0.0, -np.inf)
         first = last = None  # [ident as text, whether null, matrix, scores from the start]
         for ident, chunk in _runs(batches):
-            e = model.emissions([observe(kind, text) for *_, kind, text in _observed(chunk)])
+            parts = _observed(chunk, by_line)
+            e, steps = model.emissions([observe(*x[1:3]) for x in parts]), [x[3] for x in parts]
             if last is None or ident != last[0]:
                 last = [ident, identity, None]
                 first = first or last
-            last[1] = _through(model, e, last[1])
-            last[2] = _through(model, e[1:], (model.start + e[0])[None]) if last[2] is None else _through(model, e, last[2])
+            last[1] = _through(model, e, last[1], steps)
+            last[2] = _through(model, e[1:], (model.start + e[0])[None], steps[1:]) if last[2] is None else _through(model, e, last[2], steps)
         if first is not None:
             both = [first] if first is last else [first, last]
             yield pa.RecordBatch.from_arrays(
@@ -235,33 +264,42 @@ def parse(rows: DataFrame, model: Model) -> DataFrame:
             start = known_before.get(pid) if opened else None
             # scores before each chunk, then backwards: each chunk's ends follow from the next one
             starts, score = [], start
-            for _, e in held:
+            for parts, e in held:
                 starts.append(score)
-                score = (_through(model, e[1:], (model.start + e[0])[None]) if score is None else _through(model, e, score[None]))[0]
+                steps = [x[3] for x in parts]
+                score = (_through(model, e[1:], (model.start + e[0])[None], steps[1:]) if score is None else _through(model, e, score[None], steps))[0]
             end = known_after.get(pid) if is_last else None
             role_after, out = None, []
             for (parts, e), b in zip(reversed(held), reversed(starts)):
                 if role_after is not None:
                     end = np.where(np.arange(s) == role_after, 0.0, -np.inf)
-                path, role_after = viterbi(model, e, b, end)
+                path, role_after = viterbi(model, e, b, end, [x[3] for x in parts])
                 out.append((parts, path, role_after))
             for parts, path, role in reversed(out):
-                rows_out = []
-                for (row, k, kind, text), r in zip(parts, path):
-                    rows_out.append((*(row[i] for i in keep), k, ROLES[r], kind == "none" and role == r, f"<|{ROLES[r]}|>\n{text}\n<|end|>\n"))
+                found: list[list] = []  # row, number in it, role, continues, texts, first line
+                for (row, kind, text, step, at), r in zip(parts, path):
+                    same = kind == "none" and role == r
+                    if same and step:
+                        found[-1][4].append(text)
+                    else:
+                        found.append([row, found[-1][1] + 1 if found and found[-1][0] is row else 0, r, same, [text], at])
                     role = r
+                rows_out = []
+                for row, k, r, same, texts, at in found:
+                    text = "\n".join(texts).strip("\n")
+                    rows_out.append((*(row[i] for i in keep), k, ROLES[r], same, f"<|{ROLES[r]}|>\n{text}\n<|end|>\n", *([at] if by_line else [])))
                 yield rows_out
 
         def flush(is_last: bool) -> Iterator[pa.RecordBatch]:
             for rows_out in turns(is_last):
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows_out), kinds)], [*names, "block", "role", "continues", "turn_text"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows_out), kinds)], [*names, *outputs])
 
         kinds = None
         source = iter(batches)
         first = next(source, None)
         if first is None:
             return
-        kinds = [first.schema.field(i).type for i in keep] + [pa.int32(), pa.string(), pa.bool_(), pa.string()]
+        kinds = [first.schema.field(i).type for i in keep] + [pa.int32(), pa.string(), pa.bool_(), pa.string(), *([pa.int32()] if by_line else [])]
 
         def again():
             yield first
@@ -272,10 +310,10 @@ def parse(rows: DataFrame, model: Model) -> DataFrame:
                 yield from flush(False)
                 held, opened = [], False
             who = ident
-            parts = _observed(chunk)
-            held.append((parts, model.emissions([observe(kind, text) for *_, kind, text in parts])))
+            parts = _observed(chunk, by_line)
+            held.append((parts, model.emissions([observe(*x[1:3]) for x in parts])))
         if held:
             yield from flush(True)
 
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "text"]
-    return rows.mapInArrow(decode, ", ".join([*fields, "block int", "role string", "continues boolean", "turn_text string"]))
+    return rows.mapInArrow(decode, ", ".join([*fields, "block int", "role string", "continues boolean", "turn_text string", *(["line int"] if by_line else [])]))

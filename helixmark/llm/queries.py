@@ -71,13 +71,26 @@ def transcripts(conversations: DataFrame) -> DataFrame:
     return conversations.withColumn("raw", F.concat(mark, F.coalesce("text", F.lit(""))))
 
 
+#: Turns of a transcript that op4 has in one text, at most.
+TURNS = 8
+
+
+def joined(raw: DataFrame) -> DataFrame:
+    """Transcripts with TURNS turns to a text, one after another: (conv_id, place, text), and of each line its role and turn."""
+    given = F.sort_array(F.collect_list(F.struct("turn", "raw", "role")))
+    each = lambda f: F.flatten(F.transform("given", lambda x: F.array_repeat(x[f], F.size(F.split(x["raw"], "\n")))))
+    texts = raw.groupBy("conv_id", F.floor(F.col("turn") / TURNS).alias("place")).agg(given.alias("given"))
+    return texts.select("conv_id", "place", F.array_join(F.transform("given", lambda x: x["raw"]), "\n").alias("text"), each("role").alias("roles"), each("turn").alias("turns"))
+
+
 def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Roles recovered from raw transcripts of all conversations, and the canonical turns; roles of the held-out fold are never learned from."""
-    raw = transcripts(_read(spark, sf_dir, "conversations"))
+    """Turns and their roles recovered from raw transcripts, many turns to a text; roles of the held-out fold are never learned from. `turn` and `given_role` are those of a turn's first line."""
+    raw = joined(transcripts(_read(spark, sf_dir, "conversations")))
     held_out = F.crc32(F.coalesce(F.col("conv_id").cast("string"), F.lit(""))) % HELD_OUT_FOLDS == 0
-    rows = chat.arranged(raw, "conv_id", "turn", "raw", F.when(~held_out, F.col("role")).alias("learned"), F.col("role").alias("given_role"), held_out.alias("held_out"))
-    found = chat.parse(rows.drop("learned"), chat.fit(rows.select("ident", "place", "text", "learned")))
-    return found.select(F.col("ident").alias("conv_id"), F.col("place").alias("turn"), "block", "role", "continues", "turn_text", "given_role", "held_out")
+    rows = chat.arranged(raw, "conv_id", "place", "text", F.when(~held_out, F.col("roles")).alias("learned"), F.col("roles"), F.col("turns"), held_out.alias("held_out"))
+    found = chat.parse(rows.drop("learned"), chat.fit(rows.select("ident", "place", "text", "learned"), by_line=True), by_line=True)
+    first = lambda c: F.get(c, F.col("line"))
+    return found.select(F.col("ident").alias("conv_id"), first("turns").alias("turn"), "block", "role", "continues", "turn_text", first("roles").alias("given_role"), "held_out")
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

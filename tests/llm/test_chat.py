@@ -49,3 +49,27 @@ def test_edge_cases(spark):
     assert out.count() == 7
     none = chat.arranged(df.limit(0), "conv_id", "turn", "text", F.col("role"))
     assert chat.parse(none.drop("role"), chat.fit(none)).count() == 0
+
+
+def test_turns_within_one_text(spark):
+    """Named lines are turns of their own, and a line without a marker can open one."""
+    assert chat.blocks("Call of Monday\nAlice: hi\nBob: hello") == [("none", "Call of Monday"), ("name", "hi"), ("name", "hello")]
+    short, long = "what is that?", "word " * 40
+    learned = [(k, 0, f"User: {short}\n{long}\nUser: {short}\nAssistant: {long}\n{long}", ["user", "assistant", "user", "assistant", "assistant"]) for k in range(20)]
+    rows = [*learned, (50, 0, f"User: {short}\n{long}\n{long}\n{short}\nBot: {long}", None), (51, 0, "Alice: hi\nmore\nBob: hello\nAlice: so", None)]
+    a = chat.arranged(spark.createDataFrame(rows, "id long, place long, text string, roles array<string>"), "id", "place", "text", F.col("roles"))
+    out = chat.parse(a.drop("roles"), chat.fit(a, by_line=True), by_line=True).orderBy("ident", "block").collect()
+    assert [(r["role"], r["line"]) for r in out if r["ident"] == 50] == [("user", 0), ("assistant", 1), ("user", 3), ("assistant", 4)]
+    assert [r["line"] for r in out if r["ident"] == 51][-2:] == [2, 3] and len([r for r in out if r["ident"] == 51]) in (3, 4)
+    assert [r["turn_text"].split("\n")[1:-2] for r in out if r["ident"] == 50][1] == [long, long]
+
+
+def test_whole_transcripts(spark):
+    """op4 finds turns in texts of many, some of them without a marker; every line comes out once."""
+    conv = spark.read.parquet("/root/testdata/sf0.01/conversations.parquet")
+    texts = queries.joined(queries.transcripts(conv))
+    assert texts.count() < conv.count() / 3
+    out = queries.op4_chat(spark, "/root/testdata/sf0.01").toPandas()
+    bare = queries.transcripts(conv).where("raw = text").select("conv_id", "turn").toPandas()
+    found = bare.merge(out, on=["conv_id", "turn"])
+    assert len(found) > 0.5 * len(bare) and (found.role == found.given_role).mean() > 0.8
