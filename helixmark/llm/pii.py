@@ -1,7 +1,9 @@
 """Personal data: entities are found and get keyed surrogates of the same type, gender, script and format.
 
 Kinds: e-mail addresses, telephone, card and social security numbers, IBANs, IP addresses, and persons
-(after a title, whose gender counts) as given names and surnames. A mention has a canonical form: digits
+as given names and surnames. Persons are found after a title; then the text's other words with a capital that
+are one of these names are mentions too. A given name's gender is that of the titles it has anywhere in the
+corpus, none if they differ, so it isn't part of what names an entity. A mention has a canonical form: digits
 without separators and in ASCII, addresses and names in lower case. The surrogate is drawn from a keyed
 digest of kind, canonical form and attempt, so mentions of one entity agree wherever and however they are
 written; it is then written in the mention's format: its separators, digits of its script, its case. Cards
@@ -27,7 +29,7 @@ import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, materialise
@@ -57,6 +59,8 @@ PATTERNS = {
     "phone": re.compile(r"(?<![\w+.-])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,5}\)[ .-]?|\d{2,5}[ .-])\d{3,4}[ .-]?\d{3,4}(?!\w)"),
     "person": re.compile(r"(?<!\w)(" + "|".join(sorted(_GENDER, key=len, reverse=True)) + rf")\.? ((?=[^\W\d_])(?:{_NAME})(?: {_NAME}){{0,2}})"),
 }
+_WORD = re.compile(rf"(?<!\w){_NAME}(?!\w)")
+_LETTERS = re.compile(r"[^\W\d_]+")
 _DIGIT = re.compile(r"\d")
 
 
@@ -85,6 +89,61 @@ def _script(text: str) -> str:
     return "latin"
 
 
+def _unowned(word: str) -> str:
+    return word[:-2] if word[-2:] in ("'s", "’s") else word
+
+
+def _persons(text: str) -> list[tuple[int, int, list[tuple[int, int, str, str]]]]:
+    """Persons as (start, end, parts): names behind titles, then these names wherever else they stand with a capital."""
+    titled = []
+    for m in PATTERNS["person"].finditer(text):
+        names = []
+        for n in re.finditer(_NAME, m[2]):  # names go on as long as words have a capital
+            if not n[0][0].isupper():
+                break
+            word = _unowned(n[0])
+            names.append((n.start() + m.start(2), n.start() + m.start(2) + len(word), word))
+            if word != n[0]:
+                break
+        if names:
+            titled.append((_GENDER[m[1]], names))
+    if not titled:
+        return []
+    surnames = {names[-1][2].lower() for _, names in titled if len(names) > 1}
+    given: dict[str, set] = {}
+    for gender, names in titled:
+        for *_, n in names[:-1]:
+            given.setdefault(n.lower(), set()).add(gender)
+    for gender, names in titled:
+        n = names[0][2].lower()
+        if len(names) == 1 and n in given and n not in surnames:
+            given[n].add(gender)
+        elif len(names) == 1:
+            surnames.add(n)
+
+    def part(a: int, b: int, n: str, last: bool) -> tuple[int, int, str, str]:
+        canon, script = n.lower(), _script(n)
+        if canon in surnames and (last or canon not in given):
+            return a, b, f"surname--{script}", canon
+        known = given[canon] - {"n"}
+        return a, b, f"given-{known.pop() if len(known) == 1 else 'n'}-{script}", canon
+
+    out = [(names[0][0], names[-1][1], [part(*n, k == len(names) - 1) for k, n in enumerate(names)]) for _, names in titled]
+    taken = {n[0] for _, names in titled for n in names}
+    others: list[list] = []  # runs of names that only a space parts
+    for m in _WORD.finditer(text):
+        whole = _unowned(m[0])
+        words = [(m.start(), whole)] if whole.lower() in given or whole.lower() in surnames else [(m.start() + w.start(), w[0]) for w in _LETTERS.finditer(m[0])]
+        for a, n in words:
+            if a in taken or not n[0].isupper() or n.lower() not in given and n.lower() not in surnames:
+                continue
+            if others and text[others[-1][-1][1] : a] == " ":
+                others[-1].append((a, a + len(n), n))
+            else:
+                others.append([(a, a + len(n), n)])
+    return out + [(run[0][0], run[-1][1], [part(*n, k == len(run) - 1) for k, n in enumerate(run)]) for run in others]
+
+
 def find(text: str) -> list[tuple[int, int, str, list[tuple[int, int, str, str]]]]:
     """Entities as (start, end, kind, parts); a part is (start, end, entity kind, canonical form)."""
     found = []
@@ -115,17 +174,8 @@ def find(text: str) -> list[tuple[int, int, str, list[tuple[int, int, str, str]]
                 octets = [int(_digits(o)) for o in m[0].split(".")]
                 if max(octets) < 256:
                     add("ip", *m.span(), [(*m.span(), "ip", ".".join(map(str, octets)))])
-    for m in PATTERNS["person"].finditer(text):
-        names = [(n.start() + m.start(2), n.end() + m.start(2), n[0]) for n in re.finditer(_NAME, m[2])]
-        kept = []
-        for n in names:  # names go on as long as words have a capital
-            if not n[2][0].isupper():
-                break
-            kept.append(n)
-        if kept:
-            gender = _GENDER[m[1]]
-            parts = [(a, b, f"given-{gender}-{_script(n)}", n.lower()) for a, b, n in kept[:-1]] + [(*kept[-1][:2], f"surname--{_script(kept[-1][2])}", kept[-1][2].lower())]
-            add("person", kept[0][0], kept[-1][1], parts)
+    for start, end, parts in _persons(text):
+        add("person", start, end, parts)
     out, at = [], 0
     for start, _, end, kind, parts in sorted(found, key=lambda f: f[:3]):
         if start >= at:
@@ -213,11 +263,12 @@ def formatted(kind: str, mention: str, new: str) -> str:
     return new[:1].upper() + new[1:]
 
 
-def replace(text: str, key: bytes, attempts: dict) -> tuple[str, list[tuple[int, int, str]]]:
-    """The text with surrogates, and its entities (start, end, kind)."""
+def replace(text: str, key: bytes, attempts: dict, kinds: dict | None = None) -> tuple[str, list[tuple[int, int, str]]]:
+    """The text with surrogates, and its entities (start, end, kind); kinds: of entities (kind, canon) that have another kind in the corpus than in their text."""
     out, at, found = [], 0, find(text)
     for start, end, kind, parts in found:
         for a, b, entity, canon in parts:
+            entity = (kinds or {}).get((entity, canon), entity)
             out += [text[at:a], formatted(entity.split("-")[0], text[a:b], surrogate(key, entity, canon, attempts.get((entity, canon), 0)))]
             at = b
     return "".join(out) + text[at:], [f[:3] for f in found]
@@ -251,14 +302,28 @@ def _drawn(rows: DataFrame, key: bytes) -> DataFrame:
     return rows.select("kind", "canon", "attempt").mapInArrow(run, "kind string, canon string, attempt int, surrogate string")
 
 
+def _family(kind: str) -> Column:
+    """A kind without the gender, which is no part of an entity's name."""
+    return F.regexp_replace(kind, "^given-.-", "given--")
+
+
+def resolved(found: DataFrame) -> DataFrame:
+    """Rows (kind, canon, as_kind) of rows (kind, canon) of texts: as_kind has the gender over all texts, n where they differ."""
+    per = found.withColumn("family", _family("kind")).groupBy("family", "canon").agg(F.collect_set(F.nullif(F.regexp_extract("kind", "^given-(.)-", 1), F.lit("n"))).alias("g"), F.collect_set("kind").alias("kinds"))
+    one = F.when(F.size("g") == 1, F.col("g")[0]).otherwise("n")
+    as_kind = F.when(F.col("family").startswith("given--"), F.concat(F.lit("given-"), one, F.substr("family", F.lit(7)))).otherwise(F.col("family"))
+    return per.select(F.explode("kinds").alias("kind"), "canon", as_kind.alias("as_kind"))
+
+
 def assign(found: DataFrame, key: bytes) -> DataFrame:
     """Rows (kind, canon, attempt, surrogate) for all distinct entities: surrogates are distinct, and none is an entity."""
-    found = materialise(found.select("kind", "canon"), "pii-entities", few=True)
+    found = materialise(found.select("kind", "canon").distinct(), "pii-entities", few=True)
     now = materialise(_drawn(found.withColumn("attempt", F.lit(0)), key), "pii-surrogates", few=True)
     while True:
-        first = now.groupBy("kind", "surrogate").agg(F.min("canon").alias("holder"), F.count("*").alias("n")).where("n > 1").select("kind", "surrogate", "holder")
-        shared = now.join(first, ["kind", "surrogate"]).where("canon <> holder").select("kind", "canon")
-        real = now.join(found.select("kind", F.col("canon").alias("surrogate")), ["kind", "surrogate"], "left_semi").select("kind", "canon")
+        drawn = now.withColumn("family", _family("kind"))
+        first = drawn.groupBy("family", "surrogate").agg(F.min("canon").alias("holder"), F.count("*").alias("n")).where("n > 1").select("family", "surrogate", "holder")
+        shared = drawn.join(first, ["family", "surrogate"]).where("canon <> holder").select("kind", "canon")
+        real = drawn.join(found.select(_family("kind").alias("family"), F.col("canon").alias("surrogate")), ["family", "surrogate"], "left_semi").select("kind", "canon")
         bad = materialise(shared.unionByName(real).distinct(), "pii-collisions", few=True)
         if bad.isEmpty():
             return now
@@ -266,20 +331,27 @@ def assign(found: DataFrame, key: bytes) -> DataFrame:
         now = materialise(now.join(bad, ["kind", "canon"], "left_anti").unionByName(again), "pii-surrogates", few=True)
 
 
+def _told(later) -> tuple[dict, dict]:
+    """Attempts and kinds of replace()."""
+    return {(x["as_kind"], x["canon"]): x["attempt"] for x in later}, {(x["kind"], x["canon"]): x["as_kind"] for x in later}
+
+
 def pseudonymise(docs: DataFrame, key: bytes, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
     """docs' columns with surrogates in the text, the number of entities of each kind (n_<kind>), and the entities' places in the input text."""
     bounded_batches(docs.sparkSession)
-    later = materialise(assign(entities(docs), key).where("attempt > 0").select("kind", "canon", "attempt"), "pii-later", few=True)
+    found = materialise(resolved(entities(docs)), "pii-found", few=True)
+    drawn = assign(found.select(F.col("as_kind").alias("kind"), "canon"), key).select(F.col("kind").alias("as_kind"), "canon", "attempt")
+    later = materialise(found.join(drawn, ["as_kind", "canon"]).where("attempt > 0 OR kind <> as_kind").select("kind", "canon", "as_kind", "attempt"), "pii-later", few=True)
     outputs = ["text", *[f"n_{k}" for k in KINDS], "entities"]
     given = [c for c in docs.columns if c.lower() not in outputs]
     df = docs.select(*[F.col(f"`{c}`") for c in given], "text")
     few = later.count() <= max_broadcast
     if few:
-        shared = docs.sparkSession.sparkContext.broadcast({(r["kind"], r["canon"]): r["attempt"] for r in later.collect()})
+        shared = docs.sparkSession.sparkContext.broadcast(_told(later.collect()))
     else:
         keyed = docs.select("text", F.sha2("text", 256).alias("__hx_text"))
         own = entities(keyed, ["__hx_text"]).join(later, ["kind", "canon"])
-        own = own.groupBy("__hx_text").agg(F.collect_list(F.struct("kind", "canon", "attempt")).alias("__hx_later"))  # of one text
+        own = own.groupBy("__hx_text").agg(F.collect_list(F.struct("kind", "canon", "as_kind", "attempt")).alias("__hx_later"))  # of one text
         df = df.withColumn("__hx_text", F.sha2("text", 256)).join(own, "__hx_text", "left").drop("__hx_text")
     width = len(given)
     schema = df.select(*given).schema
@@ -290,8 +362,8 @@ def pseudonymise(docs: DataFrame, key: bytes, max_broadcast: int = MAX_BROADCAST
                 b = batch.slice(at, 512)
                 texts, counts, places = [], {k: [] for k in KINDS}, []
                 for i, text in enumerate(b.column(width).to_pylist()):
-                    attempts = shared.value if few else {(x["kind"], x["canon"]): x["attempt"] for x in b.column(width + 1)[i].as_py() or ()}
-                    new, found = replace(text, key, attempts) if text is not None else (None, [])
+                    told = shared.value if few else _told(b.column(width + 1)[i].as_py() or ())
+                    new, found = replace(text, key, *told) if text is not None else (None, [])
                     texts.append(new)
                     for k in KINDS:
                         counts[k].append(sum(f[2] == k for f in found))

@@ -68,3 +68,19 @@ def test_no_planted_entity_is_left(documents):
     assert known and not {x for t in out.text for x in plain.findall(t)} & known
     same = before.merge(out, on="doc_id")
     assert (same[same.entities == ""].text_x == same[same.entities == ""].text_y).all()
+
+
+def test_all_mentions_of_a_person_agree(spark):
+    new, _ = pii.replace("Dr Anna Berg came. Later Ms Anna Berg left.", KEY, {})
+    a, b = re.findall(r"(?:Dr|Ms) (\w+ \w+)", new)
+    assert a == b and a.split()[0].endswith(tuple(pii.PARTS["latin"][1]["f"])) and "Anna" not in new and "Berg" not in new
+    new, found = pii.replace("Mr John Smith sang. Then John Smith said so, and SMITH's friend, Smith-Jones, and John. The smith and Johnson stay.", KEY, {})
+    given, surname = re.match(r"Mr (\w+) (\w+) sang", new).groups()
+    assert new == f"Mr {given} {surname} sang. Then {given} {surname} said so, and {surname.upper()}'s friend, {surname}-Jones, and {given}. The smith and Johnson stay."
+    assert [k for *_, k in found] == ["person"] * 5
+    rows = [(1, "Dr Anna Berg"), (2, "Ms Anna Berg"), (3, "Prof Kim Berg"), (4, "Mr Kim Berg"), (5, "Mrs Kim Berg")]
+    for most in (100, -1):  # the same over all texts, by either path
+        out = pii.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string"), KEY, most).toPandas().set_index("doc_id").text
+        names = out.str.split(" ", n=1).str[1]
+        assert names[1] == names[2] != names[3] == names[4] == names[5]
+        assert names[1].split()[0].endswith(tuple(pii.PARTS["latin"][1]["f"])) and names[3].split()[0].endswith(tuple(pii.PARTS["latin"][1]["n"]))
