@@ -50,13 +50,24 @@ PARTS = {
 }
 _GENDER = {t: g for g, ts in TITLES.items() for t in ts}
 _NAME = r"[^\W\d_]+(?:[-'’][^\W\d_]+)*"
+_SEP = r"[ \u00a0./()\u2011-]"
+#: Country codes of one and two digits; the others have three.
+_CODE = re.compile(r"[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{1,3}")
 PATTERNS = {
     "email": re.compile(r"(?<![\w.+%-])[\w.+%-]*\w@\w[\w-]*(?:\.\w[\w-]*)+"),
     "iban": re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)"),
     "card": re.compile(r"(?<![\w.+-])(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{1,7})(?!\w)"),
     "ssn": re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"),
     "ip": re.compile(r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\w)"),
-    "phone": re.compile(r"(?<![\w+.-])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,5}\)[ .-]?|\d{2,5}[ .-])\d{3,4}[ .-]?\d{3,4}(?!\w)"),
+    "phone": re.compile(
+        r"(?<![\w+.-])(?:"
+        rf"\+1(?:{_SEP}{{0,2}}\d){{10}}"  # +1 and ten digits
+        rf"|\+(?:\d{_SEP}{{0,3}}){{7,14}}\d"  # + and 8 to 15 digits
+        r"|(?=(?:[ .-]?\d){9,11}(?![ .-]?\d))0\d{1,4}([ .-])\d{2,4}(?:\1\d{2,4}){1,4}"  # groups of two to four after a 0
+        r"|(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,5}\)[ .-]?|\d{2,5}[ .-])\d{3,4}[ .-]?\d{3,4}"
+        r"|(?:[2-9]\d\d[2-9]\d{6}|0[1-9]\d{8,9})(?![.-]\d)"  # without separators
+        r")(?!\w)"
+    ),
     "person": re.compile(r"(?<!\w)(" + "|".join(sorted(_GENDER, key=len, reverse=True)) + rf")\.? ((?=[^\W\d_])(?:{_NAME})(?: {_NAME}){{0,2}})"),
 }
 _WORD = re.compile(rf"(?<!\w){_NAME}(?!\w)")
@@ -165,8 +176,8 @@ def find(text: str) -> list[tuple[int, int, str, list[tuple[int, int, str, str]]
                 if kind == "phone":
                     if not 7 <= len(canon) <= 15:
                         continue
-                    code = re.match(r"\+(\d{1,3})[ .(-]", m[0])
-                    canon = f"+{_digits(code[1])}:{canon[len(code[1]):]}" if code else f":{canon}"
+                    code = _CODE.match(canon)[0] if m[0][0] == "+" else None
+                    canon = f"+{code}:{canon[len(code):]}" if code else f":{canon}"
                 if kind != "card" or 13 <= len(canon) <= 19 and luhn(canon):
                     add(kind, *m.span(), [(*m.span(), kind, canon)])
         if "." in text:

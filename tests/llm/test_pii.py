@@ -84,3 +84,17 @@ def test_all_mentions_of_a_person_agree(spark):
         names = out.str.split(" ", n=1).str[1]
         assert names[1] == names[2] != names[3] == names[4] == names[5]
         assert names[1].split()[0].endswith(tuple(pii.PARTS["latin"][1]["f"])) and names[3].split()[0].endswith(tuple(pii.PARTS["latin"][1]["n"]))
+
+
+def test_telephone_forms():
+    for number in ("+14155552671", "+1 415-555-2671", "+33612345678", "+33 6 12 34 56 78", "+49 (30) 1234 5678-90", "+44/20/7946/0958", "06 12 34 56 78", "06.12.34.56.78", "044 668 18 00", "020 7946 0958", "4155552671", "0612345678", "+1 (017) 555-7713", "(017) 555-7713"):
+        new, found = pii.replace(f"Call {number}, or {number}.", KEY, {})
+        assert [k for *_, k in found] == ["phone", "phone"], number
+        a, b = re.fullmatch(r"Call (.*), or (.*)\.", new).groups()
+        assert a == b != number and re.sub(r"\d", "#", a) == re.sub(r"\d", "#", number)
+        assert not number.startswith("+") or a.startswith({"1": "+1", "3": "+33", "4": number[:3]}[number[1]])
+    new, _ = pii.replace("+33612345678 and +33 6 12 34 56 78", KEY, {})
+    a, b = new.split(" and ")
+    assert a == b.replace(" ", "")
+    for text in ("01-02-2024", "01.02.2024 at 12", "at 1700000000 s", "0.123456789", "id 12345678901234567", "10 20 30 40 50", "x4155552671", "+1 of 3"):
+        assert pii.replace(text, KEY, {}) == (text, []), text
