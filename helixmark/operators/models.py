@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml import classification as C
 from pyspark.ml.feature import IndexToString, StringIndexer, VectorAssembler
@@ -103,18 +105,33 @@ def cross_validate(wide: DataFrame, labels: DataFrame, features: list, make, k:
     return sum(scores) / k
 
 
+def evaluable(labels: DataFrame) -> bool:
+    """Whether a level has two classes or more, each of two samples or more, as stratified folds need."""
+    n = labels.groupBy("label").count().agg(F.count("*"), F.min("count")).first()
+    return n[0] >= 2 and n[1] >= 2
+
+
 def recommend(wide: DataFrame, levels: list[tuple[str, DataFrame]], features: list, candidates: dict, k: int = 3) -> list[tuple[str, float, int]]:
-    """(estimator, mean score, levels scored) over all levels of a hierarchy, best first by mean, then coverage; a model that can't be fitted for a level is left out there."""
+    """(estimator, mean score, levels scored) over all levels of a hierarchy, best first by mean, then coverage; a level without folds is left out, and a model that can't be fitted for a level is left out there."""
+    wide = wide.persist()
+    levels = [(name, labels.persist()) for name, labels in levels]
+    scored = [labels for _, labels in levels if evaluable(labels)]
+
+    def score(x: tuple) -> float | None:
+        try:
+            return cross_validate(wide, x[1], features, x[0], k)
+        except (ValueError, TypeError, ArithmeticError):
+            return None
+
+    with ThreadPoolExecutor(8) as pool:  # small fits, most of whose time is the driver's
+        got = list(pool.map(score, [(make, labels) for make in candidates.values() for labels in scored]))
+    for df in (wide, *(labels for _, labels in levels)):
+        df.unpersist()
     out = []
-    for name, make in candidates.items():
-        got = []
-        for _, labels in levels:
-            try:
-                got.append(cross_validate(wide, labels, features, make, k))
-            except (ValueError, TypeError, ArithmeticError):
-                continue
-        if got:
-            out.append((name, sum(got) / len(got), len(got)))
+    for i, name in enumerate(candidates):
+        own = [x for x in got[i * len(scored) : (i + 1) * len(scored)] if x is not None]
+        if own:
+            out.append((name, sum(own) / len(own), len(own)))
     return sorted(out, key=lambda x: (-x[1], -x[2], x[0]))
 
 

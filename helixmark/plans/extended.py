@@ -300,8 +300,8 @@ def decision_tree_gated(s, d):
 
 @query(None)
 def model_recommendation(s, d):
-    """(model, score, levels) of cross-validated candidates over the levels of the hierarchy."""
+    """(model, score, levels) of two cross-validated candidates over all levels of the hierarchy."""
     wide, labels, features = _training(s, d)
-    levels = [("region", labels)]
-    got = models.recommend(wide, levels, features, {k: models.ESTIMATORS[k] for k in ("decision_tree", "naive_bayes")}, 2)
+    levels = [("region", labels), ("nation", a.sample_labels(s, d).select("sample", F.array_join("labels", "|").alias("label")))]
+    got = models.recommend(wide, levels, features, {k: models.ESTIMATORS[k] for k in ("decision_tree", "naive_bayes")})
     return s.createDataFrame(got, "model string, score double, levels int")

@@ -99,3 +99,17 @@ def test_two_level_routing(spark):
     g = spark.createDataFrame([("x", "g")], "level1 string, grp string")
     m = spark.createDataFrame([("group", "g", "own"), ("binary", None, "bin")], "kind string, grp string, model string")
     assert {r["sample"]: (r["model"], r["tier"]) for r in traverse.tiered_payload(s, g, m).collect()} == {"a": ("own", "group"), "b": ("bin", "binary")}
+
+
+def test_recommendation_over_all_levels(spark, monkeypatch):
+    """The query's levels are both scored, with the operator's folds; a level with a class of one sample has none."""
+    from helixmark.plans import extended
+
+    seen = []
+    monkeypatch.setattr(models, "recommend", lambda wide, levels, features, candidates, k=3: seen.append((levels, k)) or [])
+    extended.model_recommendation(spark, "/root/testdata/sf0.01")
+    levels, k = seen[0]
+    assert [name for name, _ in levels] == ["region", "nation"] and k == 3
+    assert levels[0][1].select("label").distinct().count() == 5 and all("|" in r["label"] for r in levels[1][1].collect())
+    one = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b")], "sample long, label string")
+    assert not models.evaluable(one) and models.evaluable(one.union(one))
