@@ -1,4 +1,4 @@
-"""Models: Spark ML classifiers over long matrices, their scores, importances and cross-validation."""
+"""Models fitted with Spark ML to long matrices: scores, importances, cross-validation."""
 
 from __future__ import annotations
 

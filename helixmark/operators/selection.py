@@ -9,7 +9,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import materialise
 from . import pairs
+from .graphs import components
 
 
 def significant(predictions: DataFrame, p: float, fdr: float, gfdr: float) -> DataFrame:
@@ -87,9 +89,6 @@ def redundancy(states: DataFrame, threshold: float, keep: int) -> DataFrame:
     go beyond the features that links within the threshold connect, so each such component is clustered by
     itself, in one task. A cluster has the name of its best feature.
     """
-    from ..llm.common import materialise
-    from ..llm.simhash import components
-
     kinds = dict(states.dtypes)
     states = materialise(states.select("group", "feature", "rank", "states"), "redundancy-states", few=True)
     patterns = states.groupBy("group", "states").agg(F.min(F.struct("rank", "feature")).alias("f")).select("group", "f.rank", "f.feature", "states")
