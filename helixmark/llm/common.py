@@ -2,49 +2,28 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import discard, materialise, shared_dir, work_dir  # noqa: F401  (for the operators)
+
 #: A word is a maximal run of anything but a space and the controls 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where unset (tests)."""
-    here = spark.conf.get("spark.checkpoint.dir", None)
-    if not here:
-        here = f"file://{tempfile.gettempdir()}/helixmark-checkpoints"
-        if spark.sparkContext.getCheckpointDir() is None:
-            spark.sparkContext.setCheckpointDir(here)
-        spark.conf.set("spark.checkpoint.dir", here)
-    return here.rstrip("/")
-
-
 def bounded_batches(spark: SparkSession) -> None:
     """Keep Arrow batches of texts small: by default they have up to 10,000 rows or 64 MB, twice for each task."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
 
 
-def materialise(df: DataFrame, name: str, few: bool = False) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it back; few: as a file for each core at most.
+def past_filters(df: DataFrame, *extra: tuple[str, Column]) -> DataFrame:
+    """df with further columns that are computed once, where they stand.
 
-    Lineage ends there, a lost executor costs a reread only, and Spark knows the size: whether a join
-    with the result broadcasts it follows from that size and spark.sql.autoBroadcastJoinThreshold.
+    A filter on computed columns would be pushed down with their expressions written out; it can't pass a generator.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/helixmark/{name}-{uuid.uuid4().hex}"
-    (df.coalesce(max(1, spark.sparkContext.defaultParallelism)) if few else df).write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def words_of(text: Column) -> Column:
-    """The words of a text as an array; null has none."""
-    return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE), "")
+    return df.select(*[F.col(f"`{c}`") for c in df.columns], F.inline(F.array(F.struct(*[v.alias(k) for k, v in extra]))))
 
 
 def with_outputs(df: DataFrame, given: list[str], outputs: dict[str, Column]) -> DataFrame:

@@ -16,9 +16,13 @@ spanning forest of its links instead of all pairs. That keeps the same component
 output. Components are found by alternating large-star and small-star steps over tables, each a
 pre-aggregated minimum and a join.
 
+Fingerprints are the nodes, so what a row links to follows from its text alone, whatever its doc_id.
+
 Defined results: texts without words have fingerprint zero and are linked like any other; null text is
-empty; rows without doc_id take no part and have no component; repeated rows have the same component;
-an empty table gives an empty result. Components hold the smallest doc_id.
+empty; rows without doc_id are linked like any other, and a component has the smallest doc_id of its
+rows, null if none has any; repeated rows, and different texts under one doc_id, are rows of their own;
+an empty table gives an empty result. `deduplicate` keeps exactly one row of each component: that with
+the least doc_id (null last), then the least digest of its text, then of all its columns.
 """
 
 from __future__ import annotations
@@ -30,9 +34,10 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.graphs import components
 from .common import bounded_batches, materialise
 
 BITS, SHINGLE, SEED, DISTANCE = 64, 4, 42, 4
@@ -57,16 +62,17 @@ def fingerprint(data: bytes) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """Rows (doc_id, fp); fp has the fingerprint's bits as a signed long."""
+def fingerprints(docs: DataFrame, *extra: tuple[str, Column]) -> DataFrame:
+    """Rows (doc_id, fp) and extra string columns; fp has the fingerprint's bits as a signed long."""
+    names = ["doc_id", "fp", *[k for k, _ in extra]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fp = np.array([fingerprint(t.as_py() or b"") for t in b.column(1).cast(pa.binary())], np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64)), *b.columns[2:]], names)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, fp long")
+    return docs.select("doc_id", "text", *[v.alias(k) for k, v in extra]).mapInArrow(run, ", ".join([f"doc_id {kind}, fp long", *[f"{k} string" for k, _ in extra]]))
 
 
 def _together(nodes: DataFrame) -> np.ndarray:
@@ -196,45 +202,48 @@ def links(nodes: DataFrame, parts: list[tuple[int, int]], distance: int = DISTAN
     return few.unionByName(many).distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """Rows (node, root) for all nodes of edges (a, b); root is the least node of the component."""
-    e = materialise(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "components", few=True)
-    state = None
-    while True:
-        both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).distinct()
-        e = materialise(small, "components", few=True)
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == state:
-            return e.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
-        state = now
+def _classes(prints: DataFrame, distance: int) -> DataFrame:
+    """Rows (fp, root, rep) for all distinct fingerprints of prints (doc_id, fp): the least fingerprint of the component, and the smallest doc_id of its rows."""
+    nodes = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "simhash-nodes", few=True)
+    n = nodes.count()
+    sample = np.array([r[0] for r in nodes.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).select("fp").collect()], np.int64).view(np.uint64)
+    parts = design(bit_order(_together(nodes), n), sample, n, distance)
+    found = materialise(links(nodes, parts, distance), "simhash-links", few=True)
+    roots = materialise(components(found).select(F.col("node").alias("fp"), "root"), "simhash-roots", few=True)
+    linked = nodes.join(roots, "fp")
+    least = linked.groupBy("root").agg(F.min("rep").alias("least"))
+    linked = materialise(linked.join(least, "root").select("fp", "root", "least"), "simhash-linked", few=True)
+    return nodes.join(linked, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.when(F.col("root").isNull(), F.col("rep")).otherwise(F.col("least")).alias("rep"))
 
 
 def near_duplicates(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """Rows (doc_id, fp, component_id) for all of docs."""
     bounded_batches(docs.sparkSession)
     prints = materialise(fingerprints(docs), "simhash-fingerprints")
-    nodes = materialise(prints.where("doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("rep")), "simhash-nodes", few=True)
-    n = nodes.count()
-    sample = np.array([r[0] for r in nodes.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).select("fp").collect()], np.int64).view(np.uint64)
-    parts = design(bit_order(_together(nodes), n), sample, n, distance)
-    found = materialise(links(nodes, parts, distance), "simhash-links", few=True)
-    ends = found.join(nodes.select(F.col("fp").alias("a"), F.col("rep").alias("rep_a")), "a").join(nodes.select(F.col("fp").alias("b"), F.col("rep").alias("rep_b")), "b")
-    roots = components(ends.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")))
-    labelled = nodes.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
-    return prints.join(labelled, "fp", "left").select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+    return prints.join(_classes(prints, distance).select("fp", F.col("rep").alias("component_id")), "fp", "left").select("doc_id", "fp", "component_id")
 
 
 def deduplicate(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """docs without the documents that have a near-duplicate with a smaller doc_id, or a row before them with the same doc_id."""
-    found = materialise(near_duplicates(docs, distance), "simhash-components")
-    gone = materialise(found.where("doc_id <> component_id").select("doc_id").distinct(), "simhash-gone", few=True)
-    again = materialise(found.groupBy("doc_id").count().where("count > 1 AND doc_id IS NOT NULL").select("doc_id"), "simhash-again", few=True)
-    kept = docs.join(gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """docs with one row of each component of near-duplicates."""
+    bounded_batches(docs.sparkSession)
+    digest = F.md5(F.coalesce(F.col("text"), F.lit("")))
+    prints = materialise(fingerprints(docs, ("__hx_digest", digest)), "simhash-fingerprints")
+    roots = _classes(prints, distance).select("fp", "root")
+    rows = materialise(prints.join(roots, "fp").groupBy("root", "doc_id", "__hx_digest").agg(F.count("*").alias("n")), "simhash-rows")
+    place = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "__hx_digest")
+    best = rows.groupBy("root").agg(F.min(place).alias("b"), F.count("*").alias("texts"))
+    best = materialise(best.select("root", "b", "texts"), "simhash-best")
+    # what goes: all keys (doc_id, digest) of components with several but the best one; and what of the best stands for several rows
+    gone = rows.join(best.where("texts > 1"), "root").where(place != F.col("b")).select(F.col("doc_id").alias("__hx_id"), F.col("__hx_digest").alias("__hx_of"))
+    gone = materialise(gone, "simhash-gone", few=True)
+    same = F.col("doc_id").eqNullSafe(F.col("__hx_id")) & (F.col("__hx_digest") == F.col("__hx_of"))
+    again = rows.where("n > 1").select(F.col("doc_id").alias("__hx_id"), F.col("__hx_digest").alias("__hx_of"))
+    again = materialise(again, "simhash-again", few=True)
+    given = [F.col(f"`{c}`") for c in docs.columns]
+    kept = docs.withColumn("__hx_digest", digest).join(gone, same, "left_anti")
     if again.isEmpty():
-        return kept
-    once = kept.join(again, "doc_id", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns]).dropDuplicates(["doc_id"])
-    return kept.join(again, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns]).unionByName(once)
+        return kept.select(*given)
+    every = F.struct(*given)
+    repeated = kept.join(again, same, "left_semi").groupBy("doc_id", "__hx_digest").agg(F.min_by(every, F.sha2(F.to_json(every), 256)).alias("__hx_row"))
+    repeated = repeated.select(*[F.col(f"__hx_row.`{c}`").alias(c) for c in docs.columns])
+    return kept.join(again, same, "left_anti").select(*given).unionByName(repeated)

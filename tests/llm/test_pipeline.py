@@ -38,7 +38,32 @@ def test_stages_and_run(spark):
 
 
 def test_stages_take_odd_rows(spark, edge, nothing):
-    for docs in (edge, nothing):
-        for k, (_, stage) in enumerate(P.STAGES):
-            out = stage(spark, docs, DIR)
-            assert out.count() >= 0 and (k == 4 or out.columns == docs.columns)
+    """What becomes of nulls, empty, long, tied and repeated rows at each stage."""
+    good, near, secret, mixed, last = (f for _, f in P.STAGES)
+    ids = lambda df: sorted((str(r["doc_id"]) for r in df.select("doc_id").collect()))
+    for stage in (good, near, secret, mixed):
+        assert stage(spark, edge, DIR).columns == edge.columns and stage(spark, nothing, DIR).count() == 0
+    # texts of 50 words and more that don't repeat themselves: the prose, under each of its ids
+    assert ids(good(spark, edge, DIR)) == ["5", "5", "6", "None"]
+    # one row for all texts without words, one for the prose, and the others
+    assert ids(near(spark, edge, DIR)) == ["1", "4", "5", "7", "8"]
+    before = {r["doc_id"]: r["text"] for r in edge.collect() if r["doc_id"] is not None}
+    after = secret(spark, edge, DIR).collect()
+    assert len(after) == edge.count()
+    for r in after:
+        if r["doc_id"] == 4:
+            assert r["text"] == before[4][: before[4].index("token = ")] + "[secret]"
+        elif r["doc_id"] is not None:
+            assert r["text"] == before[r["doc_id"]]
+    # texts without words are never taken; others as often as the mix says
+    taken = mixed(spark, edge, DIR).collect()
+    assert all((r["text"] or "").strip() for r in taken)
+    assert len(taken) == sum(r["copies"] for r in mixing.mix_report(edge).collect())
+    digests = last(spark, edge, DIR).collect()
+    empty = hashlib.sha256(b"").hexdigest()
+    assert len(digests) == edge.count() and last(spark, nothing, DIR).count() == 0
+    for r in digests:
+        if r["doc_id"] is not None:
+            assert r["decoded_sha256"] == hashlib.sha256((before[r["doc_id"]] or "").encode()).hexdigest()
+        if r["doc_id"] in (1, 2):
+            assert (r["n_tokens"], r["ids_sha256"]) == (0, empty)
