@@ -1,19 +1,24 @@
 """Personal data: entities are found and get keyed surrogates of the same type, gender, script and format.
 
 Kinds: e-mail addresses, telephone, card and social security numbers, IBANs, IP addresses, and persons
-as given names and surnames. Persons are found after a title; then the text's other words with a capital that
-are one of these names are mentions too. A given name's gender is that of the titles it has anywhere in the
-corpus, none if they differ, so it isn't part of what names an entity. A mention has a canonical form: digits
-without separators and in ASCII, addresses and names in lower case. The surrogate is drawn from a keyed
-digest of kind, canonical form and attempt, so mentions of one entity agree wherever and however they are
-written; it is then written in the mention's format: its separators, digits of its script, its case. Cards
-are numbers that pass the Luhn test, and get surrogates that do, IBANs have and get valid check digits, private IP addresses private
-ones, numbers keep their country code; given names keep gender, names their script.
+as given names and surnames. Persons are found after a title; then the text's other words with a capital (in
+scripts without capitals: any words) that are one of these names are mentions too. A given name's gender is
+that of the titles it has anywhere in the corpus, none if they differ, so it isn't part of what names an
+entity. A mention has a canonical form: digits without separators and in ASCII, addresses and names in lower
+case. The surrogate is drawn from a keyed digest of kind, canonical form and attempt, so mentions of one
+entity agree wherever and however they are written; it is then written in the mention's format: its
+separators, digits of its script, its case. Cards are numbers that pass the Luhn test, and get surrogates
+that do, IBANs have and get valid check digits, private IP addresses private ones, numbers keep their
+country code; given names keep gender, names and addresses their script. Names of Latin, Cyrillic, Greek,
+Arabic and Hebrew script are built of parts; those of any other script, of that script's letters.
 
 Collision checks: all distinct entities of the corpus are a table. An entity whose surrogate another
 entity (with a smaller canonical form) has, or that is itself an entity of the corpus, goes to its next
-attempt, until none is left. Only entities past attempt 0 need to be told to the texts. Up to
-MAX_BROADCAST of them are broadcast; beyond, they reach their texts by a join over digests of the texts.
+attempt, until none is left. Later attempts draw from larger spaces: names and addresses get longer, numbers
+get further digits, IP addresses come from wider networks of their class; so a free one is found however
+many entities there are (after MAX_ATTEMPTS attempts, which only more entities than IPv4 addresses can
+need, ValueError). Only entities past attempt 0 need to be told to the texts. Up to MAX_BROADCAST of them
+are broadcast; beyond, they reach their texts by a join over digests of the texts.
 
 Defined results: null text stays null, and has no entity; repeated rows get equal results; an empty table
 gives an empty result; entities that overlap count once, by start and then by the order of KINDS; input
@@ -27,25 +32,30 @@ import ipaddress
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, materialise
+from .common import bounded_batches, discard, materialise
 
 KINDS = ("email", "iban", "card", "ssn", "ip", "phone", "person")
 MAX_BROADCAST = 100_000
+#: Attempts of one entity; spaces grow with every EASE of them.
+MAX_ATTEMPTS, EASE = 400, 4
 #: Titles by gender.
 TITLES = {
-    "m": ["Mr", "Mister", "Sir", "Herr", "Monsieur", "Señor", "Signor", "господин", "Господин", "κύριος", "Κύριος"],
-    "f": ["Mrs", "Ms", "Miss", "Madam", "Frau", "Madame", "Mme", "Señora", "Señorita", "Signora", "госпожа", "Госпожа", "κυρία", "Κυρία"],
-    "n": ["Mx", "Dr", "Prof"],
+    "m": ["Mr", "Mister", "Sir", "Herr", "Monsieur", "Señor", "Signor", "господин", "Господин", "κύριος", "Κύριος", "السيد", "מר"],
+    "f": ["Mrs", "Ms", "Miss", "Madam", "Frau", "Madame", "Mme", "Señora", "Señorita", "Signora", "госпожа", "Госпожа", "κυρία", "Κυρία", "السيدة", "גברת"],
+    "n": ["Mx", "Dr", "Prof", "الدكتور"],
 }
 #: Parts of names by script; endings of given names by gender, of surnames.
 PARTS = {
     "latin": ("al be co da el fi ga ha jo ka le ma no or pe ra sa ti vi wen".split(), {"m": "an ert in o us".split(), "f": "a elle ia ine ora".split(), "n": "y is en".split()}, "berg dale er ford ley man sen stein ton well".split()),
     "cyrillic": ("ал бо ва ге да ев жи за ка ли ма ни ол па ро са ти фе".split(), {"m": "ий ан слав ор".split(), "f": "а ия ина ена".split(), "n": "я и".split()}, "енко ский ин ов ук".split()),
+    "arabic": ("با جا دا را سا فا لا ما نا بي مي كر حم عل".split(), {"m": "د ر ن س".split(), "f": "ة اء".split(), "n": "ي".split()}, "اني اوي ري دين".split()),
+    "hebrew": ("בא גל דן הר זי לב מי נו עד רו שי תמ".split(), {"m": "אל ון ר".split(), "f": "ית ה".split(), "n": "י".split()}, "מן ברג סון לוי".split()),
     "greek": ("αλ βα γε δη ελ θε κα λε μα νι ορ πε ρο σα τι φι".split(), {"m": "ος ης ας".split(), "f": "α η ια".split(), "n": "ι ω".split()}, "άκης ίδης όπουλος άς".split()),
 }
 _GENDER = {t: g for g, ts in TITLES.items() for t in ts}
@@ -91,13 +101,29 @@ def _digits(text: str) -> str:
     return "".join(str(unicodedata.digit(c)) for c in text if c.isdecimal())
 
 
+@cache
+def _script_of(c: str) -> str:
+    return unicodedata.name(c, "latin").split(" ")[0].split("-")[0].lower()
+
+
 def _script(text: str) -> str:
-    for c in text:
-        name = unicodedata.name(c, "")
-        for s in ("CYRILLIC", "GREEK"):
-            if name.startswith(s):
-                return s.lower()
-    return "latin"
+    """The script of a text's first letter outside Latin, as in the letter's Unicode name; else latin."""
+    return next((s for c in text if c.isalpha() and (s := _script_of(c)) != "latin"), "latin")
+
+
+@cache
+def _letters_of(script: str) -> str:
+    """Letters that surrogates of a script are made of: the small ones, or those without case, of its basic range."""
+    if script == "latin":
+        return "abcdefghijklmnopqrstuvwxyz"
+    every = [c for c in map(chr, range(0x80, 0xD7A4)) if c.isalpha() and c == c.lower() and _script_of(c) == script and unicodedata.normalize("NFKC", c) == c]
+    cased = [c for c in every if c != c.upper()]
+    return "".join(cased or every) or "abcdefghijklmnopqrstuvwxyz"
+
+
+def _named(word: str) -> bool:
+    """Whether a word can be a name: with a capital, or in a script without."""
+    return word[0].isupper() or word[0].lower() == word[0].upper()
 
 
 def _unowned(word: str) -> str:
@@ -109,8 +135,8 @@ def _persons(text: str) -> list[tuple[int, int, list[tuple[int, int, str, str]]]
     titled = []
     for m in PATTERNS["person"].finditer(text):
         names = []
-        for n in re.finditer(_NAME, m[2]):  # names go on as long as words have a capital
-            if not n[0][0].isupper():
+        for n in re.finditer(_NAME, m[2]):  # names go on as long as words have a capital; two words where there are none
+            if not _named(n[0]) or len(names) == 2 and not n[0][0].isupper():
                 break
             word = _unowned(n[0])
             names.append((n.start() + m.start(2), n.start() + m.start(2) + len(word), word))
@@ -146,7 +172,7 @@ def _persons(text: str) -> list[tuple[int, int, list[tuple[int, int, str, str]]]
         whole = _unowned(m[0])
         words = [(m.start(), whole)] if whole.lower() in given or whole.lower() in surnames else [(m.start() + w.start(), w[0]) for w in _LETTERS.finditer(m[0])]
         for a, n in words:
-            if a in taken or not n[0].isupper() or n.lower() not in given and n.lower() not in surnames:
+            if a in taken or not _named(n) or n.lower() not in given and n.lower() not in surnames:
                 continue
             if others and text[others[-1][-1][1] : a] == " ":
                 others[-1].append((a, a + len(n), n))
@@ -212,58 +238,75 @@ class Drawn:
         return "".join(str(self.below(10)) for _ in range(n))
 
 
-def _like(text: str, draw: Drawn) -> str:
-    """Letters for letters (of the same script, where it has small letters in one range), digits for digits."""
+def _like(text: str, draw: Drawn, more: int = 0) -> str:
+    """Letters of the same script for letters, digits for digits, and so many more letters."""
     out = []
     for c in text:
         if c.isdecimal():
             out.append(chr(ord(c) - unicodedata.digit(c) + draw.below(10)))
         elif c.isalpha():
-            first, n = {"cyrillic": (0x430, 32), "greek": (0x3B1, 17)}.get(_script(c), (0x61, 26))
-            out.append(chr(first + draw.below(n)))
+            letters = _letters_of(_script_of(c))
+            out.append(letters[draw.below(len(letters))])
         else:
             out.append(c)
-    return "".join(out)
+    letters = _letters_of(_script(text))
+    return "".join(out) + "".join(letters[draw.below(len(letters))] for _ in range(more))
+
+
+#: Networks by class, the private ones from narrow to wide.
+PRIVATE = ("192.168.0.0/16", "172.16.0.0/12", "10.0.0.0/8")
+OTHER_CLASSES = ("127.0.0.0/8", "169.254.0.0/16")
+
+
+def _address(canon: str, draw: Drawn, attempt: int) -> str:
+    """An address of the same class; of ever wider private networks, and at last any."""
+    old = ipaddress.ip_address(canon)
+    own = next((n for n in (*PRIVATE, *OTHER_CLASSES) if old in ipaddress.ip_network(n)), None)
+    if own is not None:
+        ladder = [own, *[n for n in PRIVATE if n != own and (own not in PRIVATE or PRIVATE.index(n) > PRIVATE.index(own))], "10.0.0.0/8", "240.0.0.0/4", "0.0.0.0/0"]
+        net = ipaddress.ip_network(ladder[min(attempt // (4 * EASE), len(ladder) - 1)])
+        return str(net[draw.below(net.num_addresses)])
+    while True:
+        new = ipaddress.ip_address(draw.below(1 << 32))
+        if new.is_global or draw.block > 64:
+            return str(new)
 
 
 def surrogate(key: bytes, kind: str, canon: str, attempt: int = 0) -> str:
     """The canonical form of an entity's surrogate."""
     draw = Drawn(key, f"{kind}|{canon}|{attempt}")
+    more = attempt // EASE
     if kind == "email":
         local, _, domain = canon.rpartition("@")
         host, _, top = domain.rpartition(".")
-        return f"{_like(local, draw)}@{_like(host, Drawn(key, f'domain|{domain}'))}.{top}"
+        return f"{_like(local, draw, more)}@{_like(host, Drawn(key, f'domain|{domain}'))}.{top}"
     if kind == "phone":
         code, _, rest = canon.partition(":")
-        return f"{code}:{2 + draw.below(8)}{draw.digits(len(rest) - 1)}"
+        return f"{code}:{2 + draw.below(8)}{draw.digits(len(rest) - 1 + more)}"
     if kind == "card":
-        body = canon[0] + draw.digits(len(canon) - 2)
+        body = canon[0] + draw.digits(len(canon) - 2 + more)
         return next(body + c for c in "0123456789" if luhn(body + c))
     if kind == "ssn":
-        return f"{1 + draw.below(665):03d}{1 + draw.below(99):02d}{1 + draw.below(9999):04d}"
+        return f"{1 + draw.below(665):03d}{1 + draw.below(99):02d}{1 + draw.below(9999):04d}{draw.digits(more)}"
     if kind == "iban":
-        body = "".join(str(draw.below(10)) if c.isdigit() else chr(65 + draw.below(26)) for c in canon[4:])
+        body = "".join(str(draw.below(10)) if c.isdigit() else chr(65 + draw.below(26)) for c in canon[4:]) + draw.digits(more)
         return f"{canon[:2]}{98 - _iban_rest(canon[:2] + '00' + body):02d}{body}"
     if kind == "ip":
-        old = ipaddress.ip_address(canon)
-        for net in ("10.0.0.0/8", "172.16.0.0/12", "192.168.0.0/16", "127.0.0.0/8", "169.254.0.0/16"):
-            if old in (n := ipaddress.ip_network(net)):
-                return str(n[draw.below(n.num_addresses)])
-        while True:
-            new = ipaddress.ip_address(draw.below(1 << 32))
-            if new.is_global or draw.block > 64:
-                return str(new)
+        return _address(canon, draw, attempt)
     what, gender, script = kind.split("-")
+    if script not in PARTS:
+        return _like(canon, draw, more)
     parts, given, surnames = PARTS[script]
     ends = given[gender] if what == "given" else surnames
-    return "".join(parts[draw.below(len(parts))] for _ in range(2 + draw.below(2) + attempt // 2)) + ends[draw.below(len(ends))]
+    return "".join(parts[draw.below(len(parts))] for _ in range(2 + draw.below(2) + more)) + ends[draw.below(len(ends))]
 
 
 def formatted(kind: str, mention: str, new: str) -> str:
     """A surrogate's canonical form, written as the mention is."""
     if kind in ("card", "ssn", "phone", "iban"):
         signs = iter(new.lstrip("+").replace(":", ""))
-        return "".join(c if not c.isalnum() else (lambda d: chr(ord(c) - unicodedata.digit(c) + int(d)) if c.isdecimal() and d.isdigit() else d)(next(signs)) for c in mention)
+        out = "".join(c if not c.isalnum() else (lambda d: chr(ord(c) - unicodedata.digit(c) + int(d)) if c.isdecimal() and d.isdigit() else d)(next(signs)) for c in mention)
+        return out + "".join(signs)  # of a surrogate that is longer than its entity
     if kind == "ip":
         zero = next((ord(c) - unicodedata.digit(c) for c in mention if c.isdecimal()), 48)
         return "".join(chr(zero + int(c)) if c.isdigit() else c for c in new)
@@ -330,16 +373,20 @@ def assign(found: DataFrame, key: bytes) -> DataFrame:
     """Rows (kind, canon, attempt, surrogate) for all distinct entities: surrogates are distinct, and none is an entity."""
     found = materialise(found.select("kind", "canon").distinct(), "pii-entities", few=True)
     now = materialise(_drawn(found.withColumn("attempt", F.lit(0)), key), "pii-surrogates", few=True)
-    while True:
+    for _ in range(MAX_ATTEMPTS):
         drawn = now.withColumn("family", _family("kind"))
         first = drawn.groupBy("family", "surrogate").agg(F.min("canon").alias("holder"), F.count("*").alias("n")).where("n > 1").select("family", "surrogate", "holder")
         shared = drawn.join(first, ["family", "surrogate"]).where("canon <> holder").select("kind", "canon")
         real = drawn.join(found.select(_family("kind").alias("family"), F.col("canon").alias("surrogate")), ["family", "surrogate"], "left_semi").select("kind", "canon")
         bad = materialise(shared.unionByName(real).distinct(), "pii-collisions", few=True)
         if bad.isEmpty():
+            discard(bad, found)
             return now
         again = _drawn(now.join(bad, ["kind", "canon"], "left_semi").withColumn("attempt", F.col("attempt") + 1), key)
-        now = materialise(now.join(bad, ["kind", "canon"], "left_anti").unionByName(again), "pii-surrogates", few=True)
+        new = materialise(now.join(bad, ["kind", "canon"], "left_anti").unionByName(again), "pii-surrogates", few=True)
+        discard(now, bad)
+        now = new
+    raise ValueError(f"entities without a free surrogate after {MAX_ATTEMPTS} attempts")
 
 
 def _told(later) -> tuple[dict, dict]:
@@ -365,7 +412,7 @@ def pseudonymise(docs: DataFrame, key: bytes, max_broadcast: int = MAX_BROADCAST
         own = own.groupBy("__hx_text").agg(F.collect_list(F.struct("kind", "canon", "as_kind", "attempt")).alias("__hx_later"))  # of one text
         df = df.withColumn("__hx_text", F.sha2("text", 256)).join(own, "__hx_text", "left").drop("__hx_text")
     width = len(given)
-    schema = df.select(*given).schema
+    schema = df.select(*[F.col(f"`{c}`") for c in given]).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -381,5 +428,5 @@ def pseudonymise(docs: DataFrame, key: bytes, max_broadcast: int = MAX_BROADCAST
                     places.append(",".join(f"{k}:{s}:{e}" for s, e, k in found))
                 yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(width)), pa.array(texts, pa.string()), *(pa.array(counts[k], pa.int64()) for k in KINDS), pa.array(places, pa.string())], [*given, *outputs])
 
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in schema] + ["text string", *[f"n_{k} long" for k in KINDS], "entities string"]
-    return df.mapInArrow(run, ", ".join(fields))
+    fields = [f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in schema] + ["text string", *[f"n_{k} long" for k in KINDS], "entities string"]
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))]).mapInArrow(run, ", ".join(fields))  # given names may have dots

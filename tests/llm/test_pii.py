@@ -98,3 +98,41 @@ def test_telephone_forms():
     assert a == b.replace(" ", "")
     for text in ("01-02-2024", "01.02.2024 at 12", "at 1700000000 s", "0.123456789", "id 12345678901234567", "10 20 30 40 50", "x4155552671", "+1 of 3"):
         assert pii.replace(text, KEY, {}) == (text, []), text
+
+
+def test_small_spaces_are_left_behind(spark):
+    """More entities than surrogates of the first attempt: local parts of one letter, a whole small network, names of one letter."""
+    greek = "αβγδεζηθικλμνξοπρστυφχψω"
+    rows = [("email", f"{c}@x.gr") for c in greek] + [("email", f"{c}@x.com") for c in "abcdefghijklmnopqrstuvwxyzéèà"]
+    rows += [("ip", f"169.254.{i // 256}.{i % 256}") for i in range(0, 65536, 2)] + [("surname--thai", c) for c in "กขคงจฉช"]
+    out = pii.assign(spark.createDataFrame(rows, "kind string, canon string"), KEY).toPandas()
+    assert len(out) == len(rows) and not set(out.surrogate) & {c for _, c in rows}
+    assert not out.duplicated(["kind", "surrogate"]).any() and out.attempt.max() < pii.MAX_ATTEMPTS
+    assert out[out.kind == "ip"].surrogate.str.startswith(("169.254.", "192.168.", "172.", "10.", "2")).all()
+
+
+def test_full_private_network_moves_to_the_next_one():
+    got = {pii.surrogate(KEY, "ip", "192.168.1.1", k).split(".")[0] for k in range(0, 120)}
+    assert {"192", "172", "10"} <= got
+
+
+def test_names_of_other_scripts():
+    for text, script in (("Mr 伟 王 met 王", "cjk"), ("Dr محمد علي", "arabic"), ("Ms שרה כהן", "hebrew"), ("Prof 김 민준", "hangul"), ("السيدة فاطمة حسن", "arabic")):
+        new, found = pii.replace(text, KEY, {})
+        old_names, names = text.split(" ", 1)[1].split(), new.split(" ", 1)[1].split()
+        assert found and found[0][2] == "person" and len(names) >= 2
+        assert all(pii._script(n) == script for n in names if n != "met") and not (set(names) - {"met"}) & set(old_names), (text, new)
+    new, _ = pii.replace("Mr 伟 王 met 王", KEY, {})
+    assert new.split()[2] == new.split()[4]
+    new, _ = pii.replace("write x@例え.jp", KEY, {})
+    assert pii._script(new.split("@")[1].split(".")[0]) in ("cjk", "hiragana") and new.endswith(".jp")
+
+
+def test_longer_surrogates_are_written_out():
+    assert pii.formatted("phone", "555 1234", ":98765432") == "987 65432" and pii.formatted("ssn", "123-45-6789", "9876543211") == "987-65-43211"
+
+
+def test_columns_with_dots(spark):
+    df = spark.createDataFrame([(1, "a.b@c.example.org", 2)], "doc_id long, text string, `x.y` int")
+    out = pii.pseudonymise(df, KEY)
+    assert "x.y" in out.columns and out.first()["n_email"] == 1
