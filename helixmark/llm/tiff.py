@@ -4,14 +4,14 @@ The reader walks the chain of image directories of either byte order, gathers st
 PackBits, LZW or deflate (or takes them as they are), undoes horizontal differencing, and puts tiles
 into place. It reads pages of 8-bit samples, any number per pixel, chunky or planar.
 
-The writer cuts a payload of n blocks of 576 bytes into pages: the first block as 24 x 24 samples in
-PackBits strips, the last as one LZW strip, what lies between as rows of 576 samples in deflated tiles
-after differencing. So each stored payload needs every part of the reader, and equal payloads have equal
-files.
+The writer cuts a payload of n blocks of 576 bytes into up to three pages of like size, of rows of 576
+samples: PackBits strips, deflated tiles after differencing, LZW strips; a payload of one block is one
+page of 24 x 24 samples in PackBits strips. Equal payloads have equal files.
 
 Defined results: a null file has no pages; a file that is cut off, has a loop of directories or an
 unsupported kind of page raises ValueError in `pages`, and gives one row with the error in `decode`;
-repeated rows are read each.
+repeated rows are read each. Codes that the LZW table doesn't have, and text that ends before its strip
+is full, are damage.
 """
 
 from __future__ import annotations
@@ -38,21 +38,25 @@ LZW_CLEAR, LZW_END = 256, 257
 
 
 def pack_bits(data: bytes) -> bytes:
-    out, at, n = bytearray(), 0, len(data)
-    while at < n:
-        run = 1
-        while run < 128 and at + run < n and data[at + run] == data[at]:
-            run += 1
-        if run >= 3:
-            out += bytes((257 - run, data[at]))
-            at += run
-            continue
-        end = at + 1
-        while end < n and end - at < 128 and not (end + 2 < n and data[end] == data[end + 1] == data[end + 2]):
-            end += 1
-        out.append(end - at - 1)
-        out += data[at:end]
-        at = end
+    """Runs of three and more equal bytes as a count and the byte, what lies between as it is."""
+    x = np.frombuffer(data, np.uint8)
+    starts = np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1]))) if len(x) else np.empty(0, np.int64)
+    sizes = np.diff(np.append(starts, len(x)))
+    out, at = bytearray(), 0
+
+    def plain(end: int) -> None:
+        for k in range(at, end, 128):
+            piece = data[k : min(k + 128, end)]
+            out.append(len(piece) - 1)
+            out.extend(piece)
+
+    for start, size in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist()):
+        plain(start)
+        for k in range(0, size, 128):
+            n = min(128, size - k)
+            out.extend((257 - n, data[start]) if n > 1 else (0, data[start]))
+        at = start + size
+    plain(len(data))
     return bytes(out)
 
 
@@ -72,78 +76,83 @@ def unpack_bits(data: bytes, size: int) -> bytes:
 
 def lzw_encode(data: bytes) -> bytes:
     """Codes of 9 to 12 bits, most significant bit first; the width grows one code early, as the format has it."""
-    bits = filled = 0
-    out = bytearray()
-    table: dict[bytes, int] = {}
-    width, following = 9, 258
-
-    def put(code: int) -> None:
-        nonlocal bits, filled
-        bits = bits << width | code
-        filled += width
-        while filled >= 8:
-            filled -= 8
-            out.append(bits >> filled & 255)
-        bits &= (1 << filled) - 1
-
-    code_of = lambda s: s[0] if len(s) == 1 else table[s]
-    put(LZW_CLEAR)
-    held = b""
-    for i in range(len(data)):
-        longer = held + data[i : i + 1]
-        if len(longer) == 1 or longer in table:
-            held = longer
+    bits, filled, out = LZW_CLEAR, 9, bytearray()
+    table: dict[int, int] = {}  # code before << 8 | byte, to code
+    width, following, held = 9, 258, -1
+    for byte in data:
+        if held < 0:
+            held = byte
+            continue
+        key = held << 8 | byte
+        code = table.get(key)
+        if code is not None:
+            held = code
             continue
-        put(code_of(held))
-        table[longer] = following
+        bits = bits << width | held
+        filled += width
+        if filled >= 4096:
+            keep = filled & 7
+            out += (bits >> keep).to_bytes(filled >> 3, "big")
+            bits, filled = bits & (1 << keep) - 1, keep
+        table[key] = following
         following += 1
         if following > 4093:
-            put(LZW_CLEAR)
+            bits, filled = bits << width | LZW_CLEAR, filled + width
             table, width, following = {}, 9, 258
         elif following >= 1 << width:
             width += 1
-        held = data[i : i + 1]
-    if held:
-        put(code_of(held))
+        held = byte
+    if held >= 0:
+        bits, filled = bits << width | held, filled + width
         following += 1
         if following >= 1 << width and width < 12:
             width += 1
-    put(LZW_END)
-    if filled:
-        out.append(bits << 8 - filled & 255)
-    return bytes(out)
+    bits, filled = bits << width | LZW_END, filled + width
+    rest = -filled % 8
+    return bytes(out) + (bits << rest).to_bytes(filled + rest >> 3, "big")
+
+
+_FRESH = [bytes((i,)) for i in range(256)] + [b"", b""]
 
 
 def lzw_decode(data: bytes) -> bytes:
     out: list[bytes] = []
-    table: list[bytes] = []
-    fresh = [bytes((i,)) for i in range(256)] + [b"", b""]
-    width, bits, filled, before = 9, 0, 0, None
-    for byte in data:
-        bits = bits << 8 | byte
-        filled += 8
+    table = _FRESH.copy()
+    width, bits, filled, before, size, at = 9, 0, 0, None, 258, 0
+    while True:
         if filled < width:
+            chunk = data[at : at + 256]
+            if not chunk:
+                return b"".join(out)
+            at += len(chunk)
+            bits, filled = bits << 8 * len(chunk) | int.from_bytes(chunk, "big"), filled + 8 * len(chunk)
             continue
         filled -= width
         code = bits >> filled
         bits &= (1 << filled) - 1
         if code == LZW_CLEAR:
-            table, width, before = fresh.copy(), 9, None
+            table, width, before, size = _FRESH.copy(), 9, None, 258
             continue
         if code == LZW_END:
             return b"".join(out)
         if before is None:
-            if not table:
-                table = fresh.copy()
+            if code > 255:
+                raise ValueError(f"LZW code {code} is not in the table")
             before = table[code]
         else:
-            entry = table[code] if code < len(table) else before + before[:1]
-            table.append(before + entry[:1])
+            if code < size:
+                entry = table[code]
+            elif code == size:
+                entry = before + before[:1]
+            else:
+                raise ValueError(f"LZW code {code} is not in the table")
+            if size < 4096:
+                table.append(before + entry[:1])
+                size += 1
             before = entry
         out.append(before)
-        if len(table) >= (1 << width) - 1 and width < 12:
+        if size >= (1 << width) - 1 and width < 12:
             width += 1
-    return b"".join(out)
 
 
 _PACK = {NONE: bytes, LZW: lzw_encode, DEFLATE: lambda x: zlib.compress(x, 1), PACKBITS: pack_bits}
@@ -287,13 +296,13 @@ def payload_of(text: str | bytes | None) -> bytes:
 
 def store(payload: bytes) -> bytes:
     """The file of a payload whose length is a positive multiple of BLOCK."""
-    blocks = np.frombuffer(payload, np.uint8)
-    out = [Page(blocks[:BLOCK].reshape(SIDE, SIDE, 1), PACKBITS, strip_rows=8)]
-    if len(blocks) > 2 * BLOCK:
-        out.append(Page(blocks[BLOCK:-BLOCK].reshape(-1, BLOCK, 1), DEFLATE, predictor=True, tile=(BLOCK, 64)))
-    if len(blocks) > BLOCK:
-        out.append(Page(blocks[-BLOCK:].reshape(SIDE, SIDE, 1), LZW))
-    return write(out)
+    rows = np.frombuffer(payload, np.uint8).reshape(-1, BLOCK, 1)
+    n = len(rows)
+    if n == 1:
+        return write([Page(rows.reshape(SIDE, SIDE, 1), PACKBITS, strip_rows=8)])
+    first, second = -(-n // 3), -(-2 * n // 3)
+    kinds = [Page(rows[:first], PACKBITS, strip_rows=16), Page(rows[first:second], DEFLATE, predictor=True, tile=(BLOCK, 64)), Page(rows[second:], LZW, strip_rows=16)]
+    return write([p for p in kinds if len(p.samples)])
 
 
 def feature(samples: np.ndarray) -> str:
@@ -327,13 +336,16 @@ def encode(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_bytes long, media binary")
 
 
-def decode(files: DataFrame) -> DataFrame:
-    """One row per page of each file (doc_id, media): page, width, height, samples per pixel, samples, and the error of a file that can't be read (to its end)."""
+def decode(files: DataFrame, keep: bool = False) -> DataFrame:
+    """One row per page of each file (doc_id, media): page, width, height, samples per pixel, samples, and the error of a file that can't be read (to its end).
+
+    keep: with n_bytes, and the file itself in the row of its first page.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):
-                ident, media, rows, error = b.column(0).slice(i, 1), b.column(1)[i].as_py(), [], None
+                media, rows, error = b.column(1)[i].as_py(), [], None
                 try:
                     for tags, x in pages(media) if media is not None else ():
                         rows.append((len(rows), x.shape[1], x.shape[0], x.shape[2], tags.get(COMPRESSION, [NONE])[0], x.tobytes(), None))
@@ -343,21 +355,49 @@ def decode(files: DataFrame) -> DataFrame:
                     rows.append((len(rows), None, None, None, None, None, error))
                 if rows:
                     columns = [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.string()))]
-                    yield pa.RecordBatch.from_arrays([pa.concat_arrays([ident] * len(rows)), *columns], ["doc_id", "page", "width", "height", "samples_per_pixel", "compression", "samples", "error"])
+                    names = ["doc_id", "page", "width", "height", "samples_per_pixel", "compression", "samples", "error"]
+                    if keep:
+                        columns += [pa.concat_arrays([b.column(2).slice(i, 1)] * len(rows)), pa.array([media] + [None] * (len(rows) - 1), pa.binary())]
+                        names += ["n_bytes", "media"]
+                    yield pa.RecordBatch.from_arrays([pa.concat_arrays([b.column(0).slice(i, 1)] * len(rows)), *columns], names)
 
     kind = files.schema["doc_id"].dataType.simpleString()
-    return files.select("doc_id", "media").mapInArrow(run, f"doc_id {kind}, page int, width int, height int, samples_per_pixel int, compression int, samples binary, error string")
+    given = ["doc_id", "media", "n_bytes"] if keep else ["doc_id", "media"]
+    return files.select(*given).mapInArrow(run, f"doc_id {kind}, page int, width int, height int, samples_per_pixel int, compression int, samples binary, error string" + (", n_bytes long, media binary" if keep else ""))
 
 
-def read_back(files: DataFrame, digest) -> DataFrame:
-    """Rows (doc_id, n_bytes) and digest's columns: digest gets each file and its pages' samples, joined; files: (doc_id, n_bytes, media)."""
+def folded(rows: DataFrame, digest) -> DataFrame:
+    """Rows (doc_id, n_bytes) and digest's columns, of decode()'s rows as they come: digest gets each file and its pages' samples, joined.
+
+    A file's pages follow one another in the partition that decoded it, so nothing is shuffled; a file that
+    couldn't be read raises ValueError.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = [digest(m, b"".join(x.tobytes() for _, x in pages(m))) for m in b.column(2).to_pylist()]
-            columns = [pa.array([r[k] for r in rows], t) for k, t in digest.columns.items()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *columns], ["doc_id", "n_bytes", *digest.columns])
+        held: list | None = None  # doc_id, n_bytes, file, pages
 
-    kind = files.schema["doc_id"].dataType.simpleString()
+        def ended() -> pa.RecordBatch:
+            got = digest(held[2], b"".join(held[3]))
+            return pa.RecordBatch.from_arrays([held[0], held[1], *[pa.array([got[k]], t) for k, t in digest.columns.items()]], ["doc_id", "n_bytes", *digest.columns])
+
+        for b in batches:
+            pages_, samples, errors, files = (b.column(b.schema.get_field_index(c)) for c in ("page", "samples", "error", "media"))
+            for i in range(b.num_rows):
+                if errors[i].as_py() is not None:
+                    raise ValueError(errors[i].as_py())
+                if pages_[i].as_py() == 0:
+                    if held is not None:
+                        yield ended()
+                    held = [b.column(0).slice(i, 1), b.column(b.schema.get_field_index("n_bytes")).slice(i, 1), files[i].as_py(), []]
+                held[3].append(samples[i].as_py())
+        if held is not None:
+            yield ended()
+
+    kind = rows.schema["doc_id"].dataType.simpleString()
     names = {pa.int64(): "long", pa.string(): "string"}
-    return files.select("doc_id", "n_bytes", "media").mapInArrow(run, f"doc_id {kind}, n_bytes long, " + ", ".join(f"{k} {names[t]}" for k, t in digest.columns.items()))
+    return rows.mapInArrow(run, f"doc_id {kind}, n_bytes long, " + ", ".join(f"{k} {names[t]}" for k, t in digest.columns.items()))
+
+
+def read_back(files: DataFrame, digest) -> DataFrame:
+    """Each file (doc_id, n_bytes, media) decoded to its pages, and these folded to digest's columns."""
+    return folded(decode(files, keep=True), digest)

@@ -12,11 +12,13 @@ table of digests; pages meet it in a join that broadcasts it by its size, or spl
 Archives go to a folder of the shared checkpoint folder, through Arrow's file systems (local, HDFS, S3
 and others by the folder's scheme). An archive's name is unique to its task attempt, and only archives
 in the written manifest are read: attempts that failed leave files that nothing refers to. A task holds
-one record at a time.
+one record at a time. An archive that ends inside a gzip member or a record, that isn't gzip, or that has
+another number of records than its manifest says raises ValueError.
 
 Defined results: null html is an empty payload; a null url is left out; pages without page_id come after
-all others (as responses if no page of the payload has one); rows with the payload's smallest page_id are
-all responses; an empty table gives an empty result; line breaks in urls are percent-encoded.
+all others (as responses if no page of the payload has one), and null, empty and any other ids come back
+as they were; rows with the payload's smallest page_id are all responses; an empty table gives an empty
+result; what isn't a letter, digit or one of `_.-~` is percent-encoded in ids, control characters in urls.
 """
 
 from __future__ import annotations
@@ -26,13 +28,14 @@ import hashlib
 import uuid
 import zlib
 from collections.abc import Iterator
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, materialise, shared_dir
+from .common import bounded_batches, discard, materialise, work_dir
 
 ARCHIVE_BYTES = 1 << 28
 CHUNK = 1 << 20
@@ -45,16 +48,24 @@ def digest_of(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload, usedforsecurity=False).digest()).decode()
 
 
+def urn_of(page_id) -> str:
+    return "<urn:nopage>" if page_id is None else f"<urn:page:{quote(str(page_id), safe='')}>"
+
+
+def id_of(urn: str) -> str | None:
+    return unquote(urn.removeprefix("<urn:page:").removesuffix(">")) if urn.startswith("<urn:page:") else None
+
+
 def record(page_id, url: str | None, payload: bytes, refers_to) -> bytes:
     """One record; a revisit if refers_to is given."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if refers_to is not None else http + payload
-    lines = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>", f"WARC-Date: {DATE}"]
+    lines = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {urn_of(page_id)}", f"WARC-Date: {DATE}"]
     if url is not None:
-        lines.append("WARC-Target-URI: " + url.replace("\r", "%0D").replace("\n", "%0A"))
+        lines.append("WARC-Target-URI: " + "".join(f"%{ord(c):02X}" if c < " " or c == "\x7f" else c for c in url))
     lines += ["Content-Type: application/http; msgtype=response", f"WARC-Payload-Digest: sha1:{digest_of(payload)}"]
     if refers_to is not None:
-        lines += [f"WARC-Refers-To: <urn:page:{refers_to}>", f"WARC-Profile: {PROFILE}"]
+        lines += [f"WARC-Refers-To: {urn_of(refers_to)}", f"WARC-Profile: {PROFILE}"]
     lines.append(f"Content-Length: {len(block)}")
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
@@ -95,15 +106,24 @@ def records(chunks: Iterator[bytes]) -> Iterator[bytes]:
 
 
 def inflated(stream) -> Iterator[bytes]:
-    """A gzip stream's content, whether it has one member or several."""
-    z = zlib.decompressobj(31)
-    while data := stream.read(CHUNK):
-        while data:
-            yield z.decompress(data)
-            data = z.unused_data
-            if z.eof:
-                z = zlib.decompressobj(31)
-    yield z.flush()
+    """A gzip stream's content, whether it has one member or several; zero bytes may follow the last one."""
+    z = None
+    try:
+        while data := stream.read(CHUNK):
+            while data:
+                if z is None:
+                    data = data.lstrip(b"\0")
+                    if not data:
+                        break
+                    z = zlib.decompressobj(31)
+                yield z.decompress(data)
+                data = z.unused_data
+                if z.eof:
+                    z = None
+    except zlib.error as e:
+        raise ValueError(f"the archive isn't gzip, or is damaged: {e}") from e
+    if z is not None:
+        raise ValueError("the archive ends inside a gzip member")
 
 
 def _member(data: bytes) -> bytes:
@@ -153,11 +173,11 @@ def write(pages: DataFrame, folder: str, min_bytes: int = 0) -> DataFrame:
 
 
 def normalise(archives: DataFrame, folder: str) -> DataFrame:
-    """A manifest (archive, index, records) of the same archives with a gzip member per record, each with a sidecar index."""
+    """A manifest (archive, index, records) of the same archives with a gzip member per record, each with a sidecar index; archives: (archive), and records where known."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for archive in b.column(0).to_pylist():
+            for archive, told in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 system, path = _open(archive)
                 target, root = _open(folder)
                 target.create_dir(root, recursive=True)
@@ -170,9 +190,12 @@ def normalise(archives: DataFrame, folder: str) -> DataFrame:
                         out.write(member)
                         index.write(f"{at} {len(member)} {head['warc-type']} {head['warc-record-id']}\n".encode())
                         at, n = at + len(member), n + 1
+                if told is not None and n != told:
+                    raise ValueError(f"{archive} has {n} records, its manifest says {told}")
                 yield pa.RecordBatch.from_pydict({"archive": [f"{folder}/{name}"], "index": [f"{folder}/{name}.idx"], "records": pa.array([n], pa.int64())})
 
-    return archives.select("archive").mapInArrow(run, "archive string, index string, records long")
+    told = F.col("records") if "records" in archives.columns else F.lit(None).cast("long")
+    return archives.select("archive", told.alias("records")).mapInArrow(run, "archive string, index string, records long")
 
 
 def parse(data: bytes) -> tuple:
@@ -182,24 +205,26 @@ def parse(data: bytes) -> tuple:
     block = data[end + 4 : end + 4 + int(head["content-length"])]
     cut = block.index(b"\r\n\r\n")
     size, digest = int(headers_of(block[:cut])["content-length"]), head["warc-payload-digest"].removeprefix("sha1:")
-    ident = lambda x: x.removeprefix("<urn:page:").removesuffix(">") or None
     if head["warc-type"] == "response" and (len(block) - cut - 4 != size or digest_of(block[cut + 4 :]) != digest):
         raise ValueError(f"the payload of {head['warc-record-id']} doesn't match its digest")
-    return ident(head["warc-record-id"]), size, digest, head["warc-type"], ident(head["warc-refers-to"]) if "warc-refers-to" in head else None
+    return id_of(head["warc-record-id"]), size, digest, head["warc-type"], id_of(head["warc-refers-to"]) if "warc-refers-to" in head else None
 
 
 def read(archives: DataFrame) -> DataFrame:
-    """A row per record of normalised archives (archive, index)."""
+    """A row per record of normalised archives (archive, index, records)."""
     names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
     kinds = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.string()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for archive, index in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for archive, index, told in zip(*(b.column(i).to_pylist() for i in range(3))):
                 system, path = _open(archive)
                 rows = []
                 with system.open_input_file(path) as f, system.open_input_file(_open(index)[1]) as lines:
-                    for line in lines.read().splitlines():
+                    entries = lines.read().split(b"\n")[:-1]
+                    if len(entries) != told:
+                        raise ValueError(f"{index} has {len(entries)} records, its manifest says {told}")
+                    for line in entries:
                         at, size = map(int, line.split(b" ")[:2])
                         rows.append(parse(zlib.decompress(f.read_at(size, at), 31)))
                         if len(rows) == 4096:
@@ -208,17 +233,21 @@ def read(archives: DataFrame) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
 
-    return archives.select("archive", "index").mapInArrow(run, "page_id string, payload_bytes long, payload_digest string, record_type string, refers_to string")
+    return archives.select("archive", "index", "records").mapInArrow(run, "page_id string, payload_bytes long, payload_digest string, record_type string, refers_to string")
 
 
 def round_trip(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """Pages written, normalised and read back; page_id and refers_to have the table's type."""
     spark = pages.sparkSession
     bounded_batches(spark)
-    folder = f"{shared_dir(spark)}/helixmark/warc-{uuid.uuid4().hex}"
+    folder = f"{work_dir(spark)}/warc-{uuid.uuid4().hex}"
     whole = materialise(write(pages, f"{folder}/whole", min_bytes), "warc-whole")
     files = max(1, whole.count())
     single = materialise(normalise(whole.repartition(files), f"{folder}/members"), "warc-members")
+    discard(whole)
+    system, path = _open(f"{folder}/whole")  # the members stand for it now
+    if system.get_file_info(path).type == fs.FileType.Directory:
+        system.delete_dir(path)
     kind = pages.schema["page_id"].dataType.simpleString()
     found = read(single.repartition(files))
     return found.select(F.col("page_id").cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to"))

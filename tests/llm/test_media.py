@@ -1,5 +1,7 @@
 import base64
+import gzip
 import hashlib
+import io
 import random
 import zlib
 
@@ -105,3 +107,66 @@ def test_damaged_archives():
         list(warc.records(iter([warc.record(1, "u", b"abc", None)[:-10]])))
     with pytest.raises(ValueError):
         warc.parse(warc.record(1, "u", b"abc", None).replace(b"abc", b"abd"))
+
+
+def test_lzw_codes_beyond_the_table():
+    def stream(codes):
+        bits = "".join(f"{c:09b}" for c in codes)
+        return int(bits.ljust(-(-len(bits) // 8) * 8, "0"), 2).to_bytes(-(-len(bits) // 8), "big")
+
+    assert tiff.lzw_decode(stream([256, 65, 258, 257])) == b"AAA"
+    for codes in ([256, 65, 300, 257], [256, 300, 257], [256, 65, 66, 260, 257]):
+        with pytest.raises(ValueError):
+            tiff.lzw_decode(stream(codes))
+
+
+def test_like_shares_by_codec():
+    for n in (1, 2, 3, 4, 7, 30):
+        payload = bytes(i * 7 % 251 for i in range(576 * n))
+        found = [(t[tiff.COMPRESSION][0], x.size) for t, x in tiff.pages(tiff.store(payload))]
+        assert sum(k for _, k in found) == len(payload) and len(found) == min(n, 3)
+        assert max(k for _, k in found) - min(k for _, k in found) <= 576
+        assert b"".join(x.tobytes() for _, x in tiff.pages(tiff.store(payload))) == payload
+
+
+def test_pages_are_folded_by_file(spark):
+    """Repeated and null ids stay apart; a damaged file raises."""
+    docs = spark.createDataFrame([(1, "a" * 3000), (1, "a" * 3000), (None, "b"), (1, "c" * 700), (None, None)], "doc_id long, text string").coalesce(1)
+    out = tiff.read_back(tiff.encode(docs), queries._stored).collect()
+    assert [(r["doc_id"], r["n_bytes"]) for r in out] == [(1, 3000), (1, 3000), (None, 1), (1, 700), (None, 0)]
+    bad = spark.createDataFrame([(1, 5, tiff.store(tiff.payload_of("abc" * 900))[:200])], "doc_id long, n_bytes long, media binary")
+    with pytest.raises(Exception, match="damaged|outside"):
+        tiff.read_back(bad, queries._stored).collect()
+
+
+def test_cut_and_padded_streams():
+    whole = b"".join(warc.record(i, "u", b"x" * 500, None) for i in range(6))
+    one = gzip.compress(whole)
+    cut = zlib.compressobj(6, zlib.DEFLATED, 31)
+    at_border = cut.compress(whole[: len(whole) // 2]) + cut.flush(zlib.Z_SYNC_FLUSH)  # no end of the member
+    assert b"".join(warc.inflated(io.BytesIO(one))) == whole
+    assert b"".join(warc.inflated(io.BytesIO(one + b"\0" * 700 + one + b"\0" * 3))) == whole * 2
+    assert b"".join(warc.inflated(io.BytesIO(b""))) == b""
+    for bad in (at_border, one[:-1], one[:40], one + b"junk after", b"no gzip at all"):
+        with pytest.raises(ValueError):
+            b"".join(warc.inflated(io.BytesIO(bad)))
+
+
+def test_records_are_counted(spark, tmp_path):
+    pages = spark.createDataFrame([(i, "u", f"<p>{i}</p>") for i in range(8)], "page_id long, url string, html string").coalesce(1)
+    whole = warc.write(pages, f"file://{tmp_path}/whole").collect()[0]
+    told = spark.createDataFrame([(whole["archive"], 9)], "archive string, records long")
+    with pytest.raises(Exception, match="its manifest says 9"):
+        warc.normalise(told, f"file://{tmp_path}/single").collect()
+    single = warc.normalise(told.select("archive"), f"file://{tmp_path}/single").collect()[0]
+    less = spark.createDataFrame([(single["archive"], single["index"], 7)], "archive string, index string, records long")
+    with pytest.raises(Exception, match="its manifest says 7"):
+        warc.read(less).collect()
+
+
+def test_any_page_id_comes_back(spark):
+    ids = ["", "a b", "x\r\ny: z", "<urn:page:q>", "é日", "%41", None]
+    pages = spark.createDataFrame([(i, "http://h/\x01", f"page {i}") for i in ids] + [("", "u", "two"), ("b", "u", "two")], "page_id string, url string, html string")
+    out = warc.round_trip(pages).collect()
+    assert sorted(map(str, (r["page_id"] for r in out))) == sorted(map(str, [*ids, "", "b"]))
+    assert [r["refers_to"] for r in out if r["page_id"] == "b"] == [""]
