@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 from .genotype import ABSENT, ALTERNATE, FILTERED, MISSING, REFERENCE, UNRESOLVED
 
 
+# All call labels, roles, statuses and confidence names in this module are part of the output format.
+LOW_CONFIDENCE = ("low_confidence", "low_to_moderate_confidence")
+BASES = ("A", "C", "G", "T")
+
+
 def encode(state: Column, allele: Column, ref: Column, alt: Column, baseline: Column, assumed: Column, from_block: Column) -> Column:
     """Struct (value, label): 0 baseline, 1 not, NULL not callable."""
     base = F.coalesce(F.when(baseline != "", baseline), ref)
@@ -28,17 +33,37 @@ def encode(state: Column, allele: Column, ref: Column, alt: Column, baseline: Co
     )
 
 
-def evidence_role(call: Column, mapping_status: Column, available: Column) -> Column:
+def context_encode(status: Column, observed: Column, ref: Column, alt: Column, baseline: Column, has_context: Column) -> Column:
+    """Struct (value, mapping_status, allele_call, call_state) of a marker mapped by its context; status is NULL where it wasn't found.
+
+    Several equally good places, other letters and alleles that no model was trained on aren't callable (NULL).
+    """
+    base = F.upper(F.coalesce(F.nullif(baseline, F.lit("")), ref))
+    seen = F.upper(F.coalesce(observed, F.lit("")))
+    alleles = F.filter(F.array(F.upper(ref), F.upper(alt), base), lambda x: x.isNotNull() & (x != ""))
+    out = lambda v, m, c, s: F.struct(F.lit(v).cast("double").alias("value"), m.alias("mapping_status"), F.lit(c).alias("allele_call"), F.lit(s).alias("call_state"))
+    not_zero = lambda x: F.concat(x, F.lit("_not_encoded_as_zero"))
     return (
-        F.when(call.isin("alt_match", "known_nonbaseline_match"), F.lit("resolved_nonbaseline"))
-        .when(call == "baseline_match", F.lit("resolved_baseline"))
-        .when(mapping_status.isNotNull() & (mapping_status != ""), F.lit("unresolved_zero_fill"))
-        .when(available, F.lit("aligned_matrix_state"))
-        .otherwise(F.lit("unresolved_zero_fill"))
+        F.when(status.isNull(), out(None, not_zero(F.when(has_context, "unresolved_context").otherwise("missing_context")), "not_called", UNRESOLVED))
+        .when(status.startswith("multi_hit"), out(None, not_zero(status), "not_called_multi_hit_context", UNRESOLVED))
+        .when(~seen.isin(*BASES), out(None, not_zero(F.lit("mapped_ambiguous_base")), "ambiguous_base", UNRESOLVED))
+        .when((F.size(alleles) > 0) & ~F.array_contains(alleles, seen), out(None, not_zero(F.lit("mapped_non_training_allele")), "non_training_allele", UNRESOLVED))
+        .when(seen == base, out(0, status, "baseline_match", REFERENCE))
+        .when(seen == F.upper(alt), out(1, status, "alt_match", ALTERNATE))
+        .otherwise(out(1, status, "known_nonbaseline_match", ALTERNATE))
     )
 
 
-# The status and confidence names below are part of the output format.
+def evidence_role(call: Column, mapping_status: Column, available: Column, value: Column | None = None) -> Column:
+    """What a feature's state is worth as evidence: resolved by its call, filled in, or given by a matrix."""
+    given = mapping_status.isNotNull() & (mapping_status != "")
+    return (
+        F.when(call.isin("alt_match", "known_nonbaseline_match"), F.lit("resolved_nonbaseline_state"))
+        .when(call == "baseline_match", F.lit("resolved_baseline_state"))
+        .when(call.isin("not_called", "ambiguous_base", "not_called_multi_hit_context", "non_training_allele") | given, F.lit("unresolved_zero_fill"))
+        .when(available, F.lit("aligned_matrix_state"))
+        .otherwise(F.lit("unresolved_zero_fill"))
+    )
 
 
 def recovery_status(fraction: Column, has_mapping: Column) -> Column:
@@ -80,6 +105,14 @@ def confidence(support: Column, n_supporting: Column, resolved: Column, n_resolv
     )
 
 
+def is_supporting(role: Column) -> Column:
+    return role == "resolved_nonbaseline_state"
+
+
+def is_resolved(role: Column) -> Column:
+    return role.isin("resolved_nonbaseline_state", "resolved_baseline_state", "resolved_trained_zero_state", "aligned_matrix_state")
+
+
 def weak_evidence(resolved: Column, n_resolved: Column, status: Column, least: float = 0.05) -> Column:
     """Whether a branch has too few resolved markers for a confident susceptible call."""
     return (n_resolved <= 0) | (status == "low_resolved_marker_evidence") | (resolved < least)
@@ -89,7 +122,7 @@ def alignment_status(missing: Column, noncallable: Column) -> Column:
     return F.when((missing == 0) & (noncallable == 0), F.lit("complete")).when((missing < 0.5) & (noncallable < 0.5), F.lit("partial")).otherwise(F.lit("low_feature_coverage"))
 
 
-def lineage_fallback(status: Column, branch_confidence: Column, branch: Column, support: Column, other: Column, other_support: Column, low: tuple[str, ...] = ("low_confidence",), delta: float = 0.0) -> Column:
+def lineage_fallback(status: Column, branch_confidence: Column, branch: Column, support: Column, other: Column, other_support: Column, low: tuple[str, ...] = LOW_CONFIDENCE, delta: float = 0.0) -> Column:
     """Why the global model's label replaces the branch's; NULL where it doesn't."""
     differs = (branch != "") & (other != "") & (branch != other)
     return (

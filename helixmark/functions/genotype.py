@@ -10,6 +10,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Call states, reason codes (in qc_reasons), null-like words and symbolic alternates are part of the formats.
 REFERENCE, ALTERNATE, MISSING, FILTERED, ABSENT, UNRESOLVED = (
     "CALLED_REFERENCE",
     "CALLED_ALTERNATE",
@@ -72,12 +73,32 @@ def is_phased(gt: Column) -> Column:
     return gt.contains("|") & ~gt.contains("/")
 
 
+def alternates(alt: Column) -> Column:
+    """Listed alternates in upper case, without empty ones and `.`."""
+    return F.filter(F.transform(F.split(F.upper(F.coalesce(alt, F.lit(""))), ","), F.trim), lambda x: ~x.isin("", "."))
+
+
+def concrete(alt: Column) -> Column:
+    """Alternates that aren't symbolic."""
+    return F.filter(alternates(alt), lambda x: ~x.isin(*SYMBOLIC))
+
+
+def called_from(alt: Column) -> Column:
+    """The alternates that a genotype's indices count: the concrete ones, or the symbolic ones where there are no others."""
+    return F.when(F.size(concrete(alt)) > 0, concrete(alt)).otherwise(alternates(alt))
+
+
+def is_symbolic(alt: Column) -> Column:
+    """Whether a record is of a gVCF: it lists a symbolic alternate, or only `.`."""
+    return (F.trim(alt) == ".") | F.exists(alternates(alt), lambda x: x.isin(*SYMBOLIC))
+
+
 def is_snp(ref: Column, alt: Column, biallelic_only: bool = True) -> Column:
-    """Single-base ref and alternates; symbolic reference blocks count as alternates."""
-    alts = F.split(alt, ",")
-    base = lambda c: (F.length(c) == 1) & F.upper(c).isin("A", "C", "G", "T", "N", "*", ".")
-    ok = base(ref) & F.forall(alts, lambda a: base(a) | a.isin(*SYMBOLIC))
-    return ok & (F.size(alts) == 1) if biallelic_only else ok
+    """Single-letter reference and alternates; records with a symbolic alternate count whatever their reference."""
+    alts = alternates(alt)
+    plain = (F.length(ref) == 1) & (ref != ".") & (F.size(alts) > 0) & F.forall(alts, lambda a: F.length(a) == 1)
+    ok = F.exists(alts, lambda a: a.isin(*SYMBOLIC)) | plain
+    return ok & (F.size(concrete(alt)) <= 1) if biallelic_only else ok
 
 
 def qc_reasons(qual: Column, flt: Column, dp: Column, gq: Column, mq: Column, mq0f: Column, q: Quality = Quality()) -> Column:
@@ -98,7 +119,7 @@ def qc_reasons(qual: Column, flt: Column, dp: Column, gq: Column, mq: Column, mq
 
 def genotype_state(ref: Column, alt: Column, gt: Column, q: Quality = Quality()) -> Column:
     """The genotype ladder; its order is part of the meaning."""
-    idx, alts = gt_indices(gt), F.split(alt, ",")
+    idx, alts = gt_indices(gt), called_from(alt)
     distinct = F.array_distinct(idx)
     called = F.get(alts, F.get(distinct, F.lit(0)) - 1)
     return (
@@ -108,34 +129,47 @@ def genotype_state(ref: Column, alt: Column, gt: Column, q: Quality = Quality())
         .when(F.exists(idx, lambda i: i.isNull()), F.lit(UNRESOLVED))
         .when(F.exists(idx, lambda i: (i < 0) | (i > F.size(alts))), F.lit(UNRESOLVED))
         .when((F.size(distinct) == 1) & (F.get(distinct, F.lit(0)) == 0), F.lit(REFERENCE))
-        .when((F.size(distinct) == 1) & ~called.startswith("<"), F.lit(ALTERNATE))
+        .when((F.size(distinct) == 1) & ~called.isin(*SYMBOLIC), F.lit(ALTERNATE))
         .otherwise(F.lit(UNRESOLVED))
     )
 
 
 def called_allele(ref: Column, alt: Column, gt: Column, state: Column) -> Column:
     first = F.get(gt_indices(gt), F.lit(0))
-    return F.when(state == REFERENCE, ref).when(state == ALTERNATE, F.get(F.split(alt, ","), first - 1))
+    return F.when(state == REFERENCE, F.upper(ref)).when(state == ALTERNATE, F.get(called_from(alt), first - 1))
 
 
 def record_state(ref: Column, alt: Column, gt: Column, failed: Column, genome_ref: Column | None = None, q: Quality = Quality()) -> Column:
-    """The record ladder: not a SNP, more than one alternate, failed quality, other reference base, then the genotype's."""
-    out = F.when(~is_snp(ref, alt, False), F.lit(UNRESOLVED))
+    """The record ladder: not a SNP (records of a gVCF pass), several concrete alternates, failed quality, other reference base, then the genotype's."""
+    out = F.when(~is_symbolic(alt) & ~is_snp(ref, alt, False), F.lit(UNRESOLVED))
     if q.biallelic_only:
-        out = out.when(F.size(F.split(alt, ",")) > 1, F.lit(UNRESOLVED))
+        out = out.when(F.size(concrete(alt)) > 1, F.lit(UNRESOLVED))
     out = out.when(failed, F.lit(FILTERED))
     if genome_ref is not None:
-        out = out.when(genome_ref.isNotNull() & (F.upper(genome_ref) != F.upper(ref)), F.lit(UNRESOLVED))
+        out = out.when(genome_ref.isNotNull() & (F.upper(genome_ref) != F.upper(F.substring(ref, 1, 1))), F.lit(UNRESOLVED))
     return out.otherwise(genotype_state(ref, alt, gt, q))
 
 
+def is_reference_block(alt: Column, state: Column, pos: Column, end: Column) -> Column:
+    """Whether a record stands for all places from pos to end: a called reference that goes on."""
+    return F.coalesce((state == REFERENCE) & (end > pos), F.lit(False))
+
+
 def sample_id(value: Column, strip_library: bool = True) -> Column:
-    """Null-like is empty; exactly one distinct ERR or SRR accession stands for itself; else suffixes go."""
-    runs = F.array_distinct(F.transform(F.regexp_extract_all(value, F.lit("(?i)([ES]RR[0-9]+)"), F.lit(1)), F.upper))
-    bare = F.regexp_replace(F.trim(value), r"(?i)(\.g)?\.(vcf|bcf)(\.gz)?$", "")
+    """Null-like is empty; exactly one distinct ERR or SRR accession stands for itself; else one file suffix goes, and a library's."""
+    runs = F.array_distinct(F.transform(F.regexp_extract_all(value, F.lit("(?i)(?<![A-Z0-9])([ES]RR[0-9]+)"), F.lit(1)), F.upper))
+    bare = F.regexp_replace(F.trim(value), r"(?i)(\.vcf\.gz|\.vcf|\.bcf\.gz|\.bcf|\.gz)$", "")
+    out = F.when(value.isNull() | F.lower(F.trim(value)).isin(*NULL_LIKE), F.lit(""))
     if strip_library:
-        bare = F.regexp_replace(bare, r"_library[0-9]+$", "")
-    return F.when(value.isNull() | F.lower(F.trim(value)).isin(*NULL_LIKE), F.lit("")).when(F.size(runs) == 1, F.get(runs, F.lit(0))).otherwise(bare)
+        return out.when(F.size(runs) == 1, F.get(runs, F.lit(0))).otherwise(F.regexp_replace(bare, r"(?i)_library[0-9]+$", ""))
+    return out.otherwise(bare)
+
+
+def sample_of_path(path: Column) -> Column:
+    """The sample that a variant file's name tells: its last part without suffix (the longest that fits)."""
+    name = F.element_at(F.split(path, "/"), -1)
+    known = r"(?i)(\.g\.vcf\.gz|\.g\.vcf|\.vcf\.gz|\.vcf|\.bcf\.gz|\.bcf)$"
+    return F.when(name.rlike(known), F.regexp_replace(name, known, "")).otherwise(F.regexp_replace(name, r"(?<=.)\.[^.]*$", ""))
 
 
 def feature_parts(feature: Column) -> Column:

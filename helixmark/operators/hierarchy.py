@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import encode
+from ..storage import materialise
 
 TERMINAL = "__TERMINAL__"
 
@@ -74,6 +75,8 @@ def descend(samples: DataFrame, scorer, max_depth: int) -> DataFrame:
     for depth in range(1, max_depth + 1):
         step = scorer(frontier).groupBy("sample", "node").agg(F.min_by(F.struct("child", "score"), F.struct((-F.col("score")).alias("s"), "child")).alias("b"))
         step = step.select("sample", F.lit(depth).alias("depth"), "node", F.col("b.child").alias("child"), F.col("b.score").alias("score"))
+        if depth < max_depth:  # read twice: as a result, and by the next level
+            step = materialise(step, "descend-level", few=True)
         out = step if out is None else out.unionByName(step)
         frontier = step.select("sample", F.col("child").alias("node"))
     return out
@@ -88,7 +91,7 @@ def branch(samples: DataFrame, scorer, max_depth: int, specificity: float, sensi
     frontier, ended, passed = samples.select("sample", F.lit("").alias("node"), F.lit(1.0).alias("path_score")), None, None
     for depth in range(1, max_depth + 1):
         scored = scorer(frontier.select("sample", "node"))
-        step = frontier.join(scored, ["sample", "node"], "left")
+        step = materialise(frontier.join(scored, ["sample", "node"], "left"), "branch-level", few=True)  # read four times
         done = step.where(F.col("child").isNull() | ((F.col("child") == TERMINAL) & (F.col("score") > specificity)))
         done = done.select("sample", F.col("node").alias("path"), F.when(F.col("child").isNull(), F.col("path_score")).otherwise(F.least("path_score", "score")).alias("score"), F.lit(depth - 1).alias("depth"))
         ended = done if ended is None else ended.unionByName(done)
@@ -127,10 +130,36 @@ def reported(steps: DataFrame, policy: DataFrame, label_column: str, review_labe
     return steps.join(p, "label", "left").withColumns({"routing": F.col("label"), "reported": F.when(F.col("review"), F.lit(review_label)).otherwise(F.col("label"))}).drop("review")
 
 
-def guarded(steps: DataFrame, susceptible: tuple[str, ...] = ("susceptible",), mode: str = "warn", least: float = 0.05) -> DataFrame:
-    """steps (label, resolved, n_resolved, status) with the guard's outcome for susceptible calls on weak evidence."""
-    weak = F.lower("label").isin(*susceptible) & encode.weak_evidence(F.col("resolved"), F.col("n_resolved"), F.col("status"), least)
-    return steps.withColumn("guard", F.when(weak, F.lit("blocked" if mode == "block" else "warning")).otherwise(F.lit("none")))
+# What becomes of a susceptible call on weak evidence.
+ESCALATED, WARNED, BLOCKED = "amr_terminal_fallback_escalation", "amr_weak_evidence_warning", "amr_evidence_review_required"
+
+
+def guarded(steps: DataFrame, columns: tuple[str, ...], terminal: DataFrame | None = None, mode: str = "warn", least: float = 0.05, min_resistant: float = 0.5, review_label: str = BLOCKED) -> DataFrame:
+    """steps (sample, label_column, label, resolved, n_resolved, status) with reported, routing, guard and source.
+
+    Susceptible calls of the given label columns on weak evidence go to the sample's terminal model: terminal
+    is (sample, prediction, resistant_probability, source). If it says resistant with enough probability, that
+    is reported and routed by. Otherwise the call stays with a warning, or is reported for review (mode block).
+    """
+    low = [c.lower() for c in columns]
+    weak = (F.lower(F.trim("label")) == "susceptible") & F.lower(F.trim("label_column")).isin(*low) & encode.weak_evidence(F.col("resolved"), F.col("n_resolved"), F.col("status"), least)
+    df = steps.withColumn("__weak", F.coalesce(weak, F.lit(False)))
+    if terminal is None:
+        df = df.withColumns({"__resistant": F.lit(False), "__to": F.lit(None).cast("string"), "__from": F.lit(None).cast("string")})
+    else:
+        over = (F.lower(F.trim("prediction")) == "resistant") & (F.col("resistant_probability") >= min_resistant)
+        df = df.join(terminal.select("sample", F.coalesce(over, F.lit(False)).alias("__resistant"), F.col("prediction").alias("__to"), F.col("source").alias("__from")), "sample", "left")
+    escalated = F.col("__weak") & F.coalesce("__resistant", F.lit(False))
+    blocked = F.lit(mode == "block")
+    df = df.withColumns(
+        {
+            "reported": F.when(escalated, F.col("__to")).when(F.col("__weak") & blocked, F.lit(review_label)).otherwise(F.col("label")),
+            "routing": F.when(escalated, F.col("__to")).otherwise(F.col("label")),
+            "guard": F.when(escalated, F.lit(ESCALATED)).when(F.col("__weak") & blocked, F.lit(BLOCKED)).when(F.col("__weak"), F.lit(WARNED)).otherwise(F.lit("none")),
+            "source": F.when(escalated, F.col("__from")),
+        }
+    )
+    return df.drop("__weak", "__resistant", "__to", "__from")
 
 
 def fallback_model(steps: DataFrame, models: DataFrame) -> DataFrame:
@@ -178,23 +207,3 @@ def newick(edges: DataFrame, delimiter: str = "|") -> str:
         return f"({inner}){name}" if inner else name
 
     return text("") + ";"
-
-
-def evidence(cells: DataFrame) -> DataFrame:
-    """Per sample and node of (sample, node, role, value, mapped): counts, fractions and statuses."""
-    per = cells.groupBy("sample", "node").agg(
-        F.count("*").alias("n_features"),
-        F.count_if(F.col("mapped")).alias("n_mapped"),
-        F.count_if(F.col("role").isin("resolved_baseline", "resolved_nonbaseline")).alias("n_resolved"),
-        F.count_if(F.col("role") == "resolved_nonbaseline").alias("n_active"),
-        F.count_if(F.col("role") == "unresolved_zero_fill").alias("n_unresolved"),
-    )
-    share = lambda c: F.col(c) / F.greatest("n_features", F.lit(1))
-    return per.withColumns(
-        {
-            "recovery": encode.recovery_status(share("n_mapped"), F.lit(True)),
-            "active": encode.active_status(share("n_active"), F.col("n_active")),
-            "resolved": encode.resolved_status(share("n_resolved"), F.col("n_resolved"), F.lit(True)),
-            "resolved_fraction": share("n_resolved"),
-        }
-    )

@@ -44,28 +44,40 @@ def first_covering(points: DataFrame, blocks: DataFrame, keys: list[str], pos: s
     return points.join(best, points.columns, "left").select(*points.columns, *[F.col(f"__b.{c}").alias(c) for c in extra])
 
 
-def nearest(points: DataFrame, blocks: DataFrame, keys: list[str], pos: str, start: str, end: str, order: str) -> DataFrame:
-    """points with the nearest block: distance 0 inside, else to the closer edge; of equal ones the least order.
+def nearest(points: DataFrame, blocks: DataFrame, keys: list[str], pos: str, start: str, end: str, order: str, width: int = 100_000) -> DataFrame:
+    """points (distinct rows) with the nearest block: distance 0 inside, else to the closer edge; of equal ones the least order.
 
-    Events of both sides are sorted by place once per key: the block that ends latest among those that start
-    at or before the point (which covers it, or is nearest on the left), and the one that starts first after.
+    Points inside blocks meet them in a range join. For the others, the places of a key are cut into tiles of
+    `width`: within a tile, points and edges are sorted together; what the tiles before and after it offer
+    (the latest end, the first start) is carried over from one row per tile. No task holds all of a key's places.
     """
-    block = F.struct(*[F.col(c) for c in blocks.columns if c not in keys])
-    events = points.select(*keys, F.col(pos).alias("__x"), F.lit(1).alias("__p"), F.struct(*[F.col(c) for c in points.columns]).alias("__row"), F.lit(None).cast(blocks.select(block).schema[0].dataType).alias("__b"))
-    other = blocks.select(*keys, F.col(start).alias("__x"), F.lit(0).alias("__p"), F.lit(None).cast(points.select(F.struct(*points.columns)).schema[0].dataType).alias("__row"), block.alias("__b"))
-    w = Window.partitionBy(*keys)
-    left = w.orderBy("__x", "__p").rowsBetween(Window.unboundedPreceding, 0)
-    right = w.orderBy(F.col("__x").desc(), F.col("__p").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    key = lambda c: F.struct(F.col(f"__b.{c}"), -F.col(f"__b.{order}"))
-    df = events.unionByName(other)
-    df = df.withColumn("__l", F.max(F.when(F.col("__p") == 0, F.struct(F.col(f"__b.{end}").alias("e"), (-F.col(f"__b.{order}")).alias("o"), F.col("__b").alias("b")))).over(left))
-    df = df.withColumn("__r", F.min(F.when(F.col("__p") == 0, F.struct(F.col(f"__b.{start}").alias("s"), F.col(f"__b.{order}").alias("o"), F.col("__b").alias("b")))).over(right))
-    df = df.where("__p = 1").select("__row.*", F.col("__l.b").alias("__l"), F.col("__r.b").alias("__r"))
-    dl, dr = F.when(F.col("__l").isNotNull(), F.greatest(F.col(pos) - F.col(f"__l.{end}"), F.lit(0))), F.col(f"__r.{start}") - F.col(pos)
-    right_wins = F.col("__l").isNull() | (dr < dl) | ((dr == dl) & (F.col(f"__r.{order}") < F.col(f"__l.{order}")))
-    best = F.when(F.col("__r").isNotNull() & right_wins, F.col("__r")).otherwise(F.col("__l"))
-    df = df.withColumns({"__best": best, "distance": F.when(F.col("__r").isNotNull() & right_wins, dr).otherwise(dl)})
-    return df.select(*points.columns, *[F.col(f"__best.{c}").alias(c) for c in blocks.columns if c not in keys], "distance")
+    extra = [c for c in blocks.columns if c not in keys]
+    good = blocks.where(F.col(end) >= F.col(start))
+    inside = first_covering(points, good, keys, pos, start, end, order, width)
+    hit = F.col(f"{order}").isNotNull()
+    out = inside.where(~hit).select(*points.columns)
+    block = F.struct(*[F.col(c) for c in extra])
+    kind = good.select(block.alias("b")).schema[0].dataType
+    row = points.select(F.struct(*points.columns).alias("r")).schema[0].dataType
+    of_point = out.select(*keys, F.col(pos).alias("__x"), F.struct(*points.columns).alias("__row"), F.lit(None).cast(kind).alias("__s"), F.lit(None).cast(kind).alias("__e"))
+    starts = good.select(*keys, F.col(start).alias("__x"), F.lit(None).cast(row).alias("__row"), block.alias("__s"), F.lit(None).cast(kind).alias("__e"))
+    ends = good.select(*keys, F.col(end).alias("__x"), F.lit(None).cast(row).alias("__row"), F.lit(None).cast(kind).alias("__s"), block.alias("__e"))
+    events = of_point.unionByName(starts).unionByName(ends).withColumn("__tile", F.floor(F.col("__x") / width))
+    # the latest end before (of equal ones the least order), the first start after
+    left = F.when(F.col("__e").isNotNull(), F.struct(F.col("__x").alias("x"), (-F.col(f"__e.{order}")).alias("o"), F.col("__e").alias("b")))
+    right = F.when(F.col("__s").isNotNull(), F.struct((-F.col("__x")).alias("x"), (-F.col(f"__s.{order}")).alias("o"), F.col("__s").alias("b")))
+    tiles = events.groupBy(*keys, "__tile").agg(F.max(left).alias("l"), F.max(right).alias("r"))
+    w = Window.partitionBy(*keys)  # a row per tile
+    before, after = w.orderBy("__tile").rowsBetween(Window.unboundedPreceding, -1), w.orderBy(F.col("__tile").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    tiles = tiles.select(*keys, "__tile", F.max("l").over(before).alias("__cl"), F.max("r").over(after).alias("__cr"))
+    own = Window.partitionBy(*keys, "__tile")
+    df = events.withColumns({"__l": F.max(left).over(own.orderBy("__x").rangeBetween(Window.unboundedPreceding, 0)), "__r": F.max(right).over(own.orderBy(F.col("__x").desc()).rangeBetween(Window.unboundedPreceding, 0))})
+    df = df.where("__row IS NOT NULL").join(tiles, [*keys, "__tile"]).select("__row.*", F.greatest("__l", "__cl").alias("__l"), F.greatest("__r", "__cr").alias("__r"))
+    dl, dr = F.col(pos) - F.col("__l.x"), -F.col("__r.x") - F.col(pos)
+    right_wins = F.col("__r").isNotNull() & (F.col("__l").isNull() | (dr < dl) | ((dr == dl) & (F.col("__r.o") > F.col("__l.o"))))
+    df = df.select(*points.columns, F.when(right_wins, F.col("__r.b")).otherwise(F.col("__l.b")).alias("__best"), F.when(right_wins, dr).otherwise(dl).alias("distance"))
+    outside = df.select(*points.columns, *[F.col(f"__best.{c}").alias(c) for c in extra], "distance")
+    return inside.where(hit).withColumn("distance", F.lit(0).cast(outside.schema["distance"].dataType)).unionByName(outside)
 
 
 def tiered_lookup(requests: DataFrame, tiers: list[tuple[str, DataFrame, bool]], key: list[str], value: list[str]) -> DataFrame:
@@ -89,7 +101,8 @@ def tiered_lookup(requests: DataFrame, tiers: list[tuple[str, DataFrame, bool]],
 SEED = 16
 
 
-def _grams(subjects: DataFrame, size: int) -> DataFrame:
+def grams(subjects: DataFrame, size: int) -> DataFrame:
+    """Rows (subject_id, seq, p, seed): all substrings of so many letters."""
     return subjects.where(F.length("seq") >= size).withColumn("p", F.explode(F.sequence(F.lit(0), F.length("seq") - size))).select("subject_id", "seq", "p", F.substring("seq", F.col("p") + 1, F.lit(size)).alias("seed"))
 
 
@@ -105,7 +118,7 @@ def seeded_search(subjects: DataFrame, patterns: DataFrame, mismatches: int = 0)
     size = min(int(size or 1), SEED)
     seeds = patterns.where(F.length("pattern") >= m).select("pattern_id", "pattern", F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias("k"))
     seeds = seeds.withColumn("from", F.floor(F.col("k") * F.length("pattern") / m).cast("int")).withColumn("seed", F.substring("pattern", F.col("from") + 1, F.lit(size)))
-    hits = seeds.join(_grams(subjects, size), "seed").withColumn("at", F.col("p") - F.col("from")).where((F.col("at") >= 0) & (F.col("at") + F.length("pattern") <= F.length("seq")))
+    hits = seeds.join(grams(subjects, size), "seed").withColumn("at", F.col("p") - F.col("from")).where((F.col("at") >= 0) & (F.col("at") + F.length("pattern") <= F.length("seq")))
     hits = hits.withColumn("window", F.substring("seq", F.col("at") + 1, F.length("pattern")))
     differ = F.when(F.col("window") == F.col("pattern"), F.lit(0)).otherwise(F.expr("size(filter(sequence(1, length(pattern)), i -> substring(window, i, 1) <> substring(pattern, i, 1)))"))
     return hits.withColumn("mismatches", differ).where(F.col("mismatches") <= mismatches).select("pattern_id", "subject_id", "at", "mismatches").distinct()
@@ -123,7 +136,7 @@ def flank_search(subjects: DataFrame, contexts: DataFrame) -> DataFrame:
     both = plus.unionByName(minus)
     size = min(int(both.where("left <> ''").agg(F.min(F.length("left"))).first()[0] or 1), SEED)
     both = both.where("left <> ''").withColumn("seed", F.substring("left", 1, size))
-    hits = both.join(_grams(subjects, size), "seed").where(F.expr("substring(seq, p + 1, length(left)) = left AND substring(seq, p + length(left) + 2, length(right)) = right"))
+    hits = both.join(grams(subjects, size), "seed").where(F.expr("substring(seq, p + 1, length(left)) = left AND substring(seq, p + length(left) + 2, length(right)) = right"))
     centre = F.expr("substring(seq, p + length(left) + 1, 1)")
     hits = hits.where(F.length(centre) == 1)
     return hits.select("context_id", "subject_id", (F.col("p") + F.length("left")).alias("at"), "strand", F.when(F.col("strand") == "-", reverse_complement(centre)).otherwise(centre).alias("centre"))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml import classification as C
@@ -11,7 +13,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import cohort
+from . import cohort, ordering, stats
 
 #: Estimators by name; linear one-vs-rest stands in for kernel machines and multiclass boosting.
 ESTIMATORS = {
@@ -23,6 +25,53 @@ ESTIMATORS = {
     "boosted_trees": lambda: C.OneVsRest(classifier=C.GBTClassifier(maxIter=10, seed=1)),
     "factorisation_machine": lambda: C.OneVsRest(classifier=C.FMClassifier(maxIter=30, seed=1)),
 }
+#: Candidates of a model search whose decision is linear in the features.
+LINEAR = ("logistic_regression", "linear_svc", "naive_bayes")
+
+
+@dataclass(frozen=True)
+class Context:
+    """What the parameters of a candidate depend on."""
+
+    n_samples: int
+    n_features: int
+    n_classes: int
+    imbalance: float
+    data_type: str = "binary"
+
+
+def context_of(labels: DataFrame, n_features: int, data_type: str = "binary") -> Context:
+    n = labels.groupBy("label").count().agg(F.sum("count"), F.count("*"), F.max("count"), F.min("count")).first()
+    return Context(int(n[0] or 0), n_features, int(n[1]), float(n[2] / max(1, n[3])) if n[1] else float("nan"), data_type)
+
+
+def neighbours(n_samples: int) -> int:
+    """An odd number near the root of the samples, from 3 to 15."""
+    k = min(15, max(3, round(n_samples**0.5)))
+    return k if k % 2 else k - 1
+
+
+def candidates(c: Context) -> dict:
+    """Eight candidates, as a function that makes an estimator from the numbers of features and classes (None: nearest neighbours, which aren't fitted), with parameters by the size of the problem."""
+    trees = 500 if c.n_samples >= 500 else 300
+    depth = max(3, min(20, math.ceil(math.log2(max(2, c.n_samples))) + math.ceil(math.log2(max(2, c.n_classes)))))
+    rounds, deep = (200, 3) if c.n_samples < 100 else (400, 4) if c.n_samples < 1000 else (600, 6)
+    hidden = (64, 32) if c.n_samples >= 200 and c.n_features >= 64 else (64,)
+    return {
+        "logistic_regression": lambda f, k: C.LogisticRegression(family="multinomial", regParam=1.0 / max(1, c.n_samples), maxIter=1500),
+        "linear_svc": lambda f, k: C.OneVsRest(classifier=C.LinearSVC(maxIter=100, regParam=1.0 / max(1, c.n_samples))),
+        "random_forest": lambda f, k: C.RandomForestClassifier(numTrees=trees, featureSubsetStrategy="sqrt", seed=1),
+        "decision_tree": lambda f, k: C.DecisionTreeClassifier(maxDepth=depth, seed=1),
+        "perceptron": lambda f, k: C.MultilayerPerceptronClassifier(layers=[f, *hidden, k], seed=1, maxIter=1000),
+        "nearest_neighbours": None,
+        "naive_bayes": lambda f, k: C.NaiveBayes(modelType="bernoulli" if c.data_type == "binary" else "multinomial", smoothing=1.0),
+        "boosted_trees": lambda f, k: C.OneVsRest(classifier=C.GBTClassifier(maxIter=rounds, maxDepth=deep, stepSize=0.05, subsamplingRate=0.9, seed=1)),
+    }
+
+
+def fallback(c: Context) -> str:
+    """What is recommended where no level can be cross-validated."""
+    return "naive_bayes" if c.n_samples < 50 else "random_forest"
 
 
 def perceptron(n_features: int, n_classes: int, hidden: tuple[int, ...] = (16,)):
@@ -105,6 +154,124 @@ def cross_validate(wide: DataFrame, labels: DataFrame, features: list, make, k:
     return sum(scores) / k
 
 
+def cross_validate_neighbours(wide: DataFrame, labels: DataFrame, features: list, k: int = 3, of: int = 5) -> float:
+    """As cross_validate for the `of` nearest neighbours by Hamming distance over 0/1 features."""
+    bits = F.array(*[F.col(f"f_{f}").cast("int") for f in features])
+    vectors = wide.join(labels.select("sample"), "sample", "left_semi").select(F.col("sample").alias("id"), bits.alias("bits"))
+    distances = stats.hamming(vectors)
+    dealt = folds(labels, k).select(F.col("sample").alias("id"), "label", "fold")
+    both = distances.select(F.col("i").alias("id"), F.col("j").alias("other"), "d").unionByName(distances.select(F.col("j").alias("id"), F.col("i").alias("other"), "d"))
+    own, other = dealt.select("id", "fold"), dealt.select(F.col("id").alias("other"), F.col("fold").alias("of_fold"), "label")
+    met = both.join(own, "id").join(other, "other").where("fold <> of_fold")
+    near = met.withColumn("n", F.row_number().over(Window.partitionBy("id").orderBy("d", "other"))).where(F.col("n") <= of)
+    votes = near.groupBy("id", "label").agg(F.round(F.sum(1 / (F.col("d") + 1e-9)), 6).alias("w"))
+    got = votes.groupBy("id").agg(F.min_by("label", F.struct((-F.col("w")).alias("w"), "label")).alias("predicted"))
+    per = dealt.join(got, "id").groupBy("fold", "label").agg(F.avg((F.col("label") == F.col("predicted")).cast("double")).alias("r"))
+    return float(per.groupBy("fold").agg(F.avg("r").alias("r")).agg(F.avg("r")).first()[0])
+
+
+def search(wide: DataFrame, labels: DataFrame, features: list, names: list[str] | None = None, k: int = 3, data_type: str = "binary") -> list[tuple[str, float | None]]:
+    """(candidate, mean balanced accuracy over folds) of one problem, best first (of equal ones the first); NULL where it can't be fitted.
+
+    Without folds (a class of one sample, or one class) the fallback alone, without a score.
+    """
+    c = context_of(labels, len(features), data_type)
+    every = candidates(c)
+    names = names or list(every)
+    if unknown := set(names) - set(every):
+        raise ValueError(f"unknown candidates: {', '.join(sorted(unknown))}")
+    if not evaluable(labels):
+        return [(fallback(c), None)]
+
+    def score(name: str) -> float | None:
+        try:
+            if every[name] is None:
+                return cross_validate_neighbours(wide, labels, features, k, neighbours(c.n_samples))
+            return cross_validate(wide, labels, features, lambda: every[name](len(features), c.n_classes), k)
+        except (ValueError, TypeError, ArithmeticError):
+            return None
+
+    wide = wide.persist()
+    with ThreadPoolExecutor(8) as pool:  # small fits, most of whose time is the driver's
+        got = list(zip(names, pool.map(score, names)))
+    wide.unpersist()
+    return sorted(got, key=lambda x: (x[1] is None, -(x[1] or 0.0)))
+
+
+def nonlinear_gain(scores: list[tuple[str, float | None]]) -> float | None:
+    """Best score of the candidates that aren't linear over that of the linear ones; None if either is missing."""
+    best = lambda linear: max((v for n, v in scores if v is not None and (n in LINEAR) == linear), default=None)
+    a, b = best(False), best(True)
+    return None if a is None or b is None else a - b
+
+
+def tree_rules(model: PipelineModel, features: list) -> list[tuple[int, float, list[tuple[str, str, float]]]]:
+    """(leaf, prediction, conditions) of a fitted decision tree, in order; a condition is (feature, <= or >, threshold)."""
+    out: list = []
+
+    def walk(node, path: list) -> None:
+        if "Leaf" in node.getClass().getSimpleName():
+            out.append((len(out), node.prediction(), path))
+            return
+        at = node.split()
+        name, threshold = str(features[at.featureIndex()]), float(at.threshold())
+        walk(node.leftChild(), [*path, (name, "<=", threshold)])
+        walk(node.rightChild(), [*path, (name, ">", threshold)])
+
+    walk(model.stages[2]._java_obj.rootNode(), [])
+    return out
+
+
+def tree_paths(model: PipelineModel, wide: DataFrame, features: list) -> DataFrame:
+    """(sample, leaf, predicted, path): the conditions that led a decision tree to its prediction, as text."""
+    names = model.stages[0].labels
+    found = None
+    for leaf, prediction, conditions in tree_rules(model, features):
+        ok = F.lit(True)
+        for f, sign, t in conditions:
+            c = F.col(f"f_{f}")
+            ok = ok & ((c <= t) if sign == "<=" else (c > t))
+        text = "; ".join(f"{f} {sign} {t:g}" for f, sign, t in conditions)
+        row = F.struct(F.lit(leaf).alias("leaf"), F.lit(names[int(prediction)]).alias("predicted"), F.lit(text).alias("path"))
+        found = F.when(ok, row) if found is None else found.when(ok, row)
+    return wide.select("sample", found.alias("x")).select("sample", "x.leaf", "x.predicted", "x.path")
+
+
+def imputed_symbols(symbols: DataFrame, markers: DataFrame, kind: str, missing: str = "nd") -> DataFrame:
+    """(sample, feature, state) for every sample and marker (feature, common, known) of a stored model, without missing states.
+
+    A missing state is "1" for binary data, else the common state or N. A state that the model doesn't know becomes "1" if that is known, else the first known one.
+    """
+    samples = symbols.select("sample").distinct()
+    grid = samples.join(F.broadcast(markers.groupBy().agg(F.collect_list(F.struct("feature", "common", "known")).alias("m")))).select("sample", F.inline("m"))  # a model's marker list
+    df = grid.join(symbols.select("sample", "feature", F.trim("state").alias("state")), ["sample", "feature"], "left")
+    given = F.when(F.lower(F.coalesce("state", F.lit(missing))) != missing, F.col("state"))
+    filled = F.coalesce(given, F.lit("1")) if kind == "binary" else F.coalesce(given, F.nullif(F.upper(F.trim("common")), F.lit("")), F.lit("N"))
+    size = F.coalesce(F.size("known"), F.lit(0))
+    known = F.when((size <= 0) | F.array_contains("known", filled), filled).when(F.array_contains("known", "1"), F.lit("1")).otherwise(F.get("known", F.lit(0)))
+    return df.select("sample", "feature", known.alias("state"))
+
+
+def coverage(symbols: DataFrame, features: DataFrame, least: float = 0.5, missing: str = "nd") -> DataFrame:
+    """(sample, n_given, coverage, enough): how many of a model's features (feature) each sample gives, names compared without case and signs."""
+    from ..functions import encode
+
+    plain = lambda c: encode.plain_name(F.col(c).cast("string"))
+    asked = features.select(plain("feature").alias("__name")).distinct()
+    n = asked.agg(F.count("*").alias("__n"))
+    given = symbols.where(F.lower(F.trim(F.coalesce("state", F.lit(missing)))) != missing).select("sample", plain("feature").alias("__name")).distinct().join(asked, "__name")
+    per = symbols.select("sample").distinct().join(given.groupBy("sample").agg(F.count("*").alias("n_given")), "sample", "left").join(F.broadcast(n))  # one row
+    share = F.coalesce("n_given", F.lit(0)) / F.greatest("__n", F.lit(1))
+    return per.select("sample", F.coalesce("n_given", F.lit(0)).alias("n_given"), share.alias("coverage"), (share >= least).alias("enough"))
+
+
+def rank_candidates(scores: DataFrame, k: int) -> DataFrame:
+    """(candidate, mean, coverage, place): of rows (candidate, level, score) the k best candidates by mean, then by levels scored; NULL scores don't count."""
+    per = scores.groupBy("candidate").agg(F.avg("score").alias("mean"), F.count("score").alias("coverage")).where("coverage > 0")
+    df = per.orderBy(F.col("mean").desc(), F.col("coverage").desc(), "candidate").limit(k)
+    return df.withColumn("place", F.row_number().over(Window.orderBy(F.col("mean").desc(), F.col("coverage").desc(), "candidate")))  # k rows
+
+
 def evaluable(labels: DataFrame) -> bool:
     """Whether a level has two classes or more, each of two samples or more, as stratified folds need."""
     n = labels.groupBy("label").count().agg(F.count("*"), F.min("count")).first()
@@ -143,9 +310,10 @@ def accuracy_by_size(wide: DataFrame, labels: DataFrame, ranked: list, sizes: li
 def random_label_test(wide: DataFrame, labels: DataFrame, features: list, make, replicates: int, seed: int, k: int = 3) -> tuple[float, list[float], float]:
     """(score, scores under permuted labels, p)."""
     observed = cross_validate(wide, labels, features, make, k)
-    place = labels.withColumn("a", F.row_number().over(Window.orderBy("sample")))
+    place = ordering.numbered(labels, ["sample"], "a")
     null = []
     for r in range(replicates):
-        shuffled = labels.withColumn("a", F.row_number().over(Window.orderBy(F.sha2(F.concat_ws(":", F.lit(seed), F.lit(r), "sample"), 256)))).select("a", "label")
+        mixed = labels.select("label", "sample", F.sha2(F.concat_ws(":", F.lit(seed), F.lit(r), "sample"), 256).alias("key"))
+        shuffled = ordering.numbered(mixed, ["key", "sample"], "a").select("a", "label")
         null.append(cross_validate(wide, place.select("sample", "a").join(shuffled, "a").select("sample", "label"), features, make, k))
     return observed, null, (sum(x >= observed for x in null) + 1) / (replicates + 1)

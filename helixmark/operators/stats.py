@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import pairs
+from .ordering import numbered
 
 
 def _set_features(bits: str) -> Column:
@@ -59,17 +60,22 @@ def hamming(vectors: DataFrame, within: float | None = None) -> DataFrame:
     return _distances(sets, lambda c, n, size: (n - 2 * c) / np.maximum(size, 1), within)
 
 
+def pseudo_f(n: Column, k: Column, total: Column, within: Column) -> Column:
+    """NULL without groups to compare; infinite where groups differ and nothing within them does."""
+    f = ((total - within) / (k - 1)) / (within / (n - k))
+    return F.when((k < 2) | (n <= k), F.lit(None)).when(within > 0, f).when(total > within, F.lit(float("inf"))).cast("double")
+
+
 def permanova(distances: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pseudo-F of groups: one row (n, k, ss_total, ss_within, f). labels: (id, label), all ids."""
+    """Pseudo-F of groups: one row (n, k, ss_total, ss_within, f). distances: all pairs (i, j, d); labels: (id, label), all ids."""
     sizes = labels.groupBy("label").agg(F.count("*").alias("n"))
     met = distances.join(labels.select(F.col("id").alias("i"), F.col("label").alias("li")), "i").join(labels.select(F.col("id").alias("j"), F.col("label").alias("lj")), "j")
     within = met.where("li = lj").groupBy(F.col("li").alias("label")).agg(F.sum(F.col("d") * F.col("d")).alias("s"))
     w = sizes.join(within, "label", "left").agg(F.sum("n").alias("n"), F.count("*").alias("k"), F.sum(F.coalesce("s", F.lit(0.0)) / F.col("n")).alias("ss_within"))
     t = met.agg(F.sum(F.col("d") * F.col("d")).alias("s"))
     df = w.join(F.broadcast(t))  # one row each
-    df = df.withColumn("ss_total", F.col("s") / F.col("n"))
-    f = ((F.col("ss_total") - F.col("ss_within")) / (F.col("k") - 1)) / (F.col("ss_within") / (F.col("n") - F.col("k")))
-    return df.select("n", "k", "ss_total", "ss_within", F.when((F.col("k") > 1) & (F.col("n") > F.col("k")) & (F.col("ss_within") > 0), f).alias("f"))
+    df = df.withColumn("ss_total", F.coalesce("s", F.lit(0.0)) / F.col("n"))
+    return df.select("n", "k", "ss_total", "ss_within", pseudo_f(F.col("n"), F.col("k"), F.col("ss_total"), F.col("ss_within")).alias("f"))
 
 
 def mantel(distances: DataFrame, labels: DataFrame) -> DataFrame:
@@ -79,29 +85,51 @@ def mantel(distances: DataFrame, labels: DataFrame) -> DataFrame:
     return met.agg(F.when((F.stddev_pop("d") > 0) & (F.stddev_pop(x) > 0), F.corr("d", x)).alias("r"))
 
 
-def permuted_f(distances: DataFrame, labels: DataFrame, replicates: int, seed: int) -> DataFrame:
-    """(replicate, f) under label permutations drawn by keyed digests; replicate 0 is the observed one.
-
-    All replicates run as one plan: labels are dealt anew within each replicate by rank of a digest.
-    """
-    place = labels.select("id", "label", F.row_number().over(Window.orderBy("id")).alias("at"))
+def permuted_labels(labels: DataFrame, replicates: int, seed: int) -> DataFrame:
+    """(replicate, id, label): replicate 0 as it is, then labels dealt anew by rank of a keyed digest."""
+    place = numbered(labels.select("id", "label"), ["id"], "at")
     reps = place.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates))))
     key = F.when(F.col("replicate") == 0, F.lpad(F.col("at").cast("string"), 20, "0")).otherwise(F.sha2(F.concat_ws(":", F.lit(seed), "replicate", "id"), 256))
     dealt = reps.withColumn("to", F.row_number().over(Window.partitionBy("replicate").orderBy(key)))
-    new = reps.select("replicate", "id", F.col("at").alias("to")).join(dealt.select("replicate", "to", "label"), ["replicate", "to"]).select("replicate", "id", "label")
+    return reps.select("replicate", "id", F.col("at").alias("to")).join(dealt.select("replicate", "to", "label"), ["replicate", "to"]).select("replicate", "id", "label")
+
+
+def _met(distances: DataFrame, new: DataFrame) -> DataFrame:
+    """(replicate, i, j, d, li, lj) of all pairs under each replicate's labels."""
+    return distances.join(new.select("replicate", F.col("id").alias("i"), F.col("label").alias("li")), "i").join(new.select("replicate", F.col("id").alias("j"), F.col("label").alias("lj")), ["replicate", "j"])
+
+
+def permuted_f(distances: DataFrame, labels: DataFrame, replicates: int, seed: int) -> DataFrame:
+    """(replicate, f) under label permutations; replicate 0 is the observed one. All replicates run as one plan."""
+    new = permuted_labels(labels, replicates, seed)
     sizes = new.groupBy("replicate", "label").agg(F.count("*").alias("n"))
-    met = distances.join(new.select("replicate", F.col("id").alias("i"), F.col("label").alias("li")), "i").join(new.select("replicate", F.col("id").alias("j"), F.col("label").alias("lj")), ["replicate", "j"])
+    met = _met(distances, new)
     within = met.where("li = lj").groupBy("replicate", F.col("li").alias("label")).agg(F.sum(F.col("d") * F.col("d")).alias("s"))
     w = sizes.join(within, ["replicate", "label"], "left").groupBy("replicate").agg(F.sum("n").alias("n"), F.count("*").alias("k"), F.sum(F.coalesce("s", F.lit(0.0)) / F.col("n")).alias("w"))
-    total = met.groupBy("replicate").agg(F.sum(F.col("d") * F.col("d")).alias("s"))
-    df = w.join(total, "replicate").withColumn("t", F.col("s") / F.col("n"))
-    return df.select("replicate", (((F.col("t") - F.col("w")) / (F.col("k") - 1)) / (F.col("w") / (F.col("n") - F.col("k")))).alias("f"))
+    total = distances.agg(F.sum(F.col("d") * F.col("d")).alias("s"))  # the same for all replicates
+    df = w.join(F.broadcast(total)).withColumn("t", F.coalesce("s", F.lit(0.0)) / F.col("n"))  # one row
+    return df.select("replicate", pseudo_f(F.col("n"), F.col("k"), F.col("t"), F.col("w")).alias("f"))
 
 
-def permutation_p(values: DataFrame, value: str) -> DataFrame:
-    """(#null >= observed + 1) / (B + 1), of rows (replicate, value) whose replicate 0 is observed."""
-    observed = values.where("replicate = 0").select(F.col(value).alias("o"))
-    return values.where("replicate > 0").join(F.broadcast(observed)).agg(((F.count_if(F.col(value) >= F.col("o")) + 1) / (F.count("*") + 1)).alias("p"))  # one row
+def permuted_r(distances: DataFrame, labels: DataFrame, replicates: int, seed: int) -> DataFrame:
+    """(replicate, r) of the Mantel statistic under label permutations; replicate 0 is the observed one; NULL without variance."""
+    met = _met(distances, permuted_labels(labels, replicates, seed))
+    x = (F.col("li") != F.col("lj")).cast("double")
+    return met.groupBy("replicate").agg(F.when((F.stddev_pop("d") > 0) & (F.stddev_pop(x) > 0), F.corr("d", x)).alias("r"))
+
+
+def permutation_p(values: DataFrame, value: str, two_sided: bool = False) -> DataFrame:
+    """(#null >= observed + 1) / (B + 1), of rows (replicate, value) whose replicate 0 is observed.
+
+    two_sided: of magnitudes, over the finite null values only; NULL if the observed one isn't finite.
+    """
+    v = F.abs(F.col(value)) if two_sided else F.col(value)
+    finite = F.col(value).isNotNull() & ~F.isnan(value) & (F.abs(F.col(value)) < float("inf"))
+    observed = values.where("replicate = 0").select(F.when(finite | F.lit(not two_sided), v).alias("o"))
+    null = values.where("replicate > 0").where(finite if two_sided else F.lit(True))
+    n = null.join(F.broadcast(observed)).agg(F.count_if(v >= F.col("o")).alias("more"), F.count("*").alias("b"), F.count("o").alias("known"))  # one row
+    p = (F.col("more") + 1) / (F.col("b") + 1)
+    return n.select((F.when((F.col("known") > 0), p) if two_sided else p).alias("p"))
 
 
 def knn(distances: DataFrame, labels: DataFrame, k: int) -> DataFrame:
@@ -121,3 +149,32 @@ def naive_bayes(matrix: DataFrame, labels: DataFrame, alpha: float = 1.0) -> Dat
     scored = matrix.where("value IS NOT NULL").join(per, "feature").groupBy("sample", "label").agg(F.sum(F.when(F.col("value") == 1, F.log("p")).otherwise(F.log(1 - F.col("p")))).alias("s"))
     scored = scored.join(prior, "label").join(F.broadcast(total)).withColumn("s", F.round(F.col("s") + F.log(F.col("n_label") / F.col("n_all")), 6))  # one row
     return scored.groupBy("sample").agg(F.min_by(F.struct("label", "s"), F.struct((-F.col("s")).alias("s"), "label")).alias("b")).select("sample", F.col("b.label").alias("predicted"), F.col("b.s").alias("log_score"))
+
+
+def categorical_tables(symbols: DataFrame, labels: DataFrame, alpha: float = 1.0) -> tuple[DataFrame, DataFrame]:
+    """A categorical naive Bayes model as tables: (feature, state, label, log_p), with a row of state NULL for states the label never had; and (label, log_prior).
+
+    symbols: (sample, feature, state), NULL left out; labels: (id, label). A feature's categories are all states it has in training.
+    """
+    m = symbols.where("state IS NOT NULL").join(labels.select(F.col("id").alias("sample"), "label"), "sample")
+    n = m.groupBy("feature", "state", "label").agg(F.count("*").alias("n"))
+    size = m.groupBy("feature", "label").agg(F.count("*").alias("total"))
+    width = m.groupBy("feature").agg(F.count_distinct("state").alias("k"))
+    known = n.join(size, ["feature", "label"]).join(width, "feature")
+    log_p = lambda count: F.log((count + alpha) / (F.col("total") + alpha * F.col("k")))
+    rows = known.select("feature", "state", "label", log_p(F.col("n")).alias("log_p"))
+    rest = size.join(width, "feature").select("feature", F.lit(None).cast("string").alias("state"), "label", log_p(F.lit(0)).alias("log_p"))
+    total = labels.agg(F.count("*").alias("n_all"))
+    prior = labels.groupBy("label").agg(F.count("*").alias("n")).join(F.broadcast(total)).select("label", F.log(F.col("n") / F.col("n_all")).alias("log_prior"))  # one row
+    return rows.unionByName(rest), prior
+
+
+def categorical_nb(symbols: DataFrame, tables: DataFrame, prior: DataFrame) -> DataFrame:
+    """(sample, predicted, support) by a categorical model; support is the label's share after normalising. A state the label never had has its smoothed share."""
+    seen = tables.where("state IS NOT NULL")
+    never = tables.where("state IS NULL").select("feature", "label", F.col("log_p").alias("log_0"))
+    cells = symbols.where("state IS NOT NULL").join(never, "feature").join(seen, ["feature", "label", "state"], "left")
+    s = cells.groupBy("sample", "label").agg(F.sum(F.coalesce("log_p", "log_0")).alias("s")).join(prior, "label").withColumn("s", F.round(F.col("s") + F.col("log_prior"), 6))
+    w = Window.partitionBy("sample")
+    s = s.withColumn("e", F.exp(F.col("s") - F.max("s").over(w))).withColumn("share", F.col("e") / F.sum("e").over(w))
+    return s.groupBy("sample").agg(F.min_by(F.struct("label", "share"), F.struct((-F.col("s")).alias("s"), "label")).alias("b")).select("sample", F.col("b.label").alias("predicted"), F.col("b.share").alias("support"))

@@ -6,19 +6,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import encode
+from ..storage import materialise
 
 #: What can become of a step.
 STATUSES = ("constant", "success", "abstained", "global_lineage_fallback", "stopped")
 
 
-def walk(samples: DataFrame, nodes: DataFrame, scorer, gates: DataFrame, policy: DataFrame, fallback: DataFrame, max_depth: int, review_label: str = "review_required", low: tuple[str, ...] = (), delta: float = 0.0) -> DataFrame:
+def walk(samples: DataFrame, nodes: DataFrame, scorer, gates: DataFrame, policy: DataFrame, fallback: DataFrame, max_depth: int, review_label: str = "review_required", low: tuple[str, ...] = encode.LOW_CONFIDENCE, delta: float = 0.0, confidence: DataFrame | None = None) -> DataFrame:
     """All steps of all samples: (sample, depth, node, label_column, status, label, reported, support, reason).
 
     nodes: (node, label_column, status, constant); a node that isn't there, or has neither status constant
     nor success, is unavailable. scorer: frontier (sample, node) to (sample, node, child, score). gates:
     (sample, node, verdict). policy: (label_column, class, review). fallback: (sample, depth, label, support),
     the labels of a global model, which stand in where a node is unavailable or, by the rules of
-    lineage_fallback, wins over the branch. Routing goes by the label, reporting by `reported`.
+    lineage_fallback, wins over the branch. confidence: (sample, node, confidence) of the branch's calls, high
+    where it has none. Routing goes by the label, reporting by `reported`.
 
     A level is one plan over all samples; the loop runs over the depth.
     """
@@ -32,7 +34,11 @@ def walk(samples: DataFrame, nodes: DataFrame, scorer, gates: DataFrame, policy:
         df = at.join(top, ["sample", "node"], "left").join(fallback.where(F.col("depth") == depth).select("sample", F.col("label").alias("other"), F.col("support").alias("other_support")), "sample", "left")
         branch_status = F.when(F.col("status") == "constant", "constant").when((F.col("status") == "success") & (F.col("verdict") == "abstain"), "abstained").when((F.col("status") == "success") & F.col("branch").isNotNull(), "success").otherwise("unavailable")
         df = df.withColumn("s", branch_status)
-        why = encode.lineage_fallback(F.when(F.col("s") == "success", "success").otherwise("none"), F.lit("high_confidence"), F.coalesce("branch", F.lit("")), F.col("branch_support"), F.coalesce("other", F.lit("")), F.col("other_support"), low, delta)
+        if confidence is None:
+            df = df.withColumn("confidence", F.lit("high_confidence"))
+        else:
+            df = df.join(confidence.select("sample", "node", "confidence"), ["sample", "node"], "left").withColumn("confidence", F.coalesce("confidence", F.lit("high_confidence")))
+        why = encode.lineage_fallback(F.when(F.col("s") == "success", "success").otherwise("none"), F.col("confidence"), F.coalesce("branch", F.lit("")), F.col("branch_support"), F.coalesce("other", F.lit("")), F.col("other_support"), low, delta)
         df = df.withColumn("reason", F.when(F.col("s").isin("success", "unavailable"), why))
         takes = F.col("reason").isNotNull() & F.col("other").isNotNull()
         df = df.withColumns(
@@ -45,6 +51,8 @@ def walk(samples: DataFrame, nodes: DataFrame, scorer, gates: DataFrame, policy:
         p = policy.select("label_column", F.col("class").alias("label"), "review")
         df = df.join(p, ["label_column", "label"], "left")
         step = df.select("sample", F.lit(depth).alias("depth"), "node", "label_column", F.col("step").alias("status"), "label", F.when(F.col("review"), F.lit(review_label)).otherwise(F.col("label")).alias("reported"), "support", F.when(F.col("step") == "global_lineage_fallback", F.col("reason")).alias("reason"))
+        if depth < max_depth:  # read twice: as a result, and by the next level
+            step = materialise(step, "walk-level", few=True)
         out = step if out is None else out.unionByName(step)
         frontier = step.where(F.col("label").isNotNull()).select("sample", F.when(F.col("node") == "", F.col("label")).otherwise(F.concat_ws("|", "node", "label")).alias("node"))
     return out

@@ -46,6 +46,19 @@ def latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cohort.latest_calls(classified(spark, sf_dir).select("sample", "chrom", "pos", "ref", "alt", "state", "allele", *LAST), ["sample", "chrom", "pos"], LAST)
 
 
+def gvcf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classified records of gVCFs from line items: symbolic alternates, several, none, and blocks."""
+    base = F.expr("substring('ACGT', cast(l_partkey % 4 AS int) + 1, 1)")
+    alt = F.element_at(F.array(*[F.lit(x) for x in ("C,<NON_REF>", "<NON_REF>", ".", "C,G,<NON_REF>", "g", "<*>")]), (F.col("l_orderkey") % 6 + 1).cast("int"))
+    gt = F.element_at(F.array(*[F.lit(x) for x in ("0/0", "1/1", "2/2", "0|0", "./1")]), (F.col("l_linenumber") % 5 + 1).cast("int"))
+    line = F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice").alias("line_no")
+    pos = F.col("l_partkey") % 200
+    df = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("sample"), F.col("l_linestatus").alias("chrom"), pos.alias("pos"), (pos + F.col("l_suppkey") % 9).alias("end"), F.when(F.col("l_partkey") % 11 == 0, "AT").otherwise(base).alias("ref"), alt.alias("alt"), gt.alias("gt"), line)
+    df = df.withColumn("state", genotype.record_state(F.col("ref"), F.col("alt"), F.col("gt"), F.lit(False)))
+    df = df.withColumn("allele", genotype.called_allele(F.col("ref"), F.col("alt"), F.col("gt"), F.col("state")))
+    return df.withColumn("block", genotype.is_reference_block(F.col("alt"), F.col("state"), F.col("pos"), F.col("end")))
+
+
 def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part")
     base = lambda n: F.expr(f"substring('ACGT', cast(({n}) % 4 AS int) + 1, 1)")
@@ -147,6 +160,15 @@ probes AS (SELECT event_id AS id, user_id AS k, floor(epoch(ts))::BIGINT - 900 A
 VECTORS = """
 bits AS (SELECT vec_id AS id, label, list_transform(embedding, lambda x: (x > 0)::INT) AS bits FROM embeddings),
 pairs AS (SELECT a.id AS i, b.id AS j, a.label AS li, b.label AS lj, list_sum(list_transform(range(1, len(a.bits) + 1), lambda k: a.bits[k] * b.bits[k])) AS c, list_sum(a.bits) AS ni, list_sum(b.bits) AS nj, len(a.bits) AS n FROM bits a JOIN bits b ON a.id < b.id),
-dist AS (SELECT i, j, li, lj, 1 - c / (ni + nj - c) AS d, (ni + nj - 2 * c) / n AS h FROM pairs WHERE c > 0)"""
+dist AS (SELECT i, j, li, lj, CASE WHEN ni + nj = 0 THEN 0 ELSE 1 - c / (ni + nj - c) END AS d, (ni + nj - 2 * c) / n AS h FROM pairs)"""
 PREDICTIONS = """
 preds AS (SELECT l_partkey AS snp, l_tax AS p, l_discount AS fdr, round(l_quantity / 100, 4) AS gfdr, l_orderkey, l_linenumber, l_suppkey, l_extendedprice FROM lineitem)"""
+GVCF = f"""
+glines AS (SELECT l_suppkey AS sample, l_linestatus AS chrom, l_partkey % 200 AS pos, l_orderkey, l_linenumber, l_partkey, l_extendedprice, CASE WHEN l_partkey % 11 = 0 THEN 'AT' ELSE {BASE.format(n="l_partkey")} END AS ref,
+  CASE l_orderkey % 6 WHEN 0 THEN 'C,<NON_REF>' WHEN 1 THEN '<NON_REF>' WHEN 2 THEN '.' WHEN 3 THEN 'C,G,<NON_REF>' WHEN 4 THEN 'g' ELSE '<*>' END AS alt, CASE l_linenumber % 5 WHEN 0 THEN '0/0' WHEN 1 THEN '1/1' WHEN 2 THEN '2/2' WHEN 3 THEN '0|0' ELSE './1' END AS gt, l_partkey % 200 + l_suppkey % 9 AS end_ FROM lineitem),
+gstate AS (SELECT *, alt LIKE '%<%' OR alt = '.' AS symbolic, len(list_filter(string_split(upper(alt), ','), lambda x: x NOT LIKE '<%' AND x <> '.')) AS nc, list_filter(string_split(upper(alt), ','), lambda x: x <> '.') AS alts FROM glines),
+gcalled AS (SELECT *, CASE WHEN nc > 0 THEN list_filter(alts, lambda x: x NOT LIKE '<%') ELSE alts END AS counted, CASE WHEN gt IN ('0/0', '0|0') THEN 0 WHEN gt = '1/1' THEN 1 WHEN gt = '2/2' THEN 2 END AS idx FROM gstate),
+gvcf AS (SELECT *, CASE WHEN NOT symbolic AND length(ref) > 1 THEN 'UNRESOLVED_OR_AMBIGUOUS' WHEN nc > 1 THEN 'UNRESOLVED_OR_AMBIGUOUS' WHEN idx IS NULL OR idx > len(counted) THEN 'UNRESOLVED_OR_AMBIGUOUS' WHEN idx = 0 THEN 'CALLED_REFERENCE' WHEN counted[idx] LIKE '<%' THEN 'UNRESOLVED_OR_AMBIGUOUS' ELSE 'CALLED_ALTERNATE' END AS state FROM gcalled),
+gfinal AS (SELECT *, CASE state WHEN 'CALLED_REFERENCE' THEN ref WHEN 'CALLED_ALTERNATE' THEN counted[idx] END AS allele, coalesce(state = 'CALLED_REFERENCE' AND end_ > pos, false) AS block FROM gvcf),
+glast AS (SELECT * FROM gfinal QUALIFY row_number() OVER (PARTITION BY sample, chrom, pos ORDER BY l_orderkey DESC, l_linenumber DESC, l_partkey DESC, l_extendedprice DESC) = 1),
+gblocks AS (SELECT sample, chrom, pos AS start, end_, {{'a': l_orderkey, 'b': l_linenumber, 'c': l_partkey, 'd': l_extendedprice}} AS ord, ref FROM gfinal WHERE block)"""

@@ -9,7 +9,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import encode, genotype, sequence
-from ..operators import cohort, hierarchy, joins, pileup, selection, stats
+from ..operators import cohort, evidence, hierarchy, joins, models, pileup, selection, stats, tables
 from ..sources import readers, writers
 from ..streaming import calls as streams
 from . import adapters as a
@@ -63,12 +63,14 @@ def modal_baseline(s, d):
 
 @query(f"WITH {a.CALLS} SELECT sample, count(*) AS n FROM (SELECT sample, chrom, pos FROM calls GROUP BY ALL HAVING count(*) > 1) GROUP BY sample")
 def duplicate_records(s, d):
-    return a.raw_calls(s, d).groupBy("sample", "chrom", "pos").agg(F.count("*").alias("c")).where("c > 1").groupBy("sample").agg(F.count("*").alias("n"))
+    place = F.concat_ws(":", "sample", "chrom", "pos")
+    again = tables.duplicates(a.raw_calls(s, d).select(place.alias("place")), "place")
+    return again.groupBy(F.substring_index("place", ":", 1).cast("long").alias("sample")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY l_orderkey HAVING count(*) > 6")
+@query("SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY l_orderkey HAVING count(*) > 1")
 def duplicate_ids(s, d):
-    return a.table(s, d, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n")).where("n > 6")
+    return tables.duplicates(a.table(s, d, "lineitem"), "l_orderkey")
 
 
 # resolution and gate --------------------------------------------------------------------------------
@@ -91,37 +93,94 @@ def callability_gate(s, d):
     return g.select("sample", "n_features", r6("recovery").alias("recovery"), r6("callable").alias("callable"), "verdict")
 
 
-@query(f"WITH {a.RESOLVED} SELECT sample, count(*) FILTER (value = 1) AS n_active, count(*) FILTER (value = 0) AS n_baseline, count(*) FILTER (value IS NULL) AS n_unresolved, count(*) FILTER (assumed) AS n_assumed, count(DISTINCT label) AS n_labels FROM resolved GROUP BY sample")
+_MAPPED = """mapped AS (SELECT sample, feature, value, CASE WHEN assumed THEN 'assumed_reference_not_in_vcf' WHEN state = 'FILTERED_OR_LOW_QUALITY' THEN 'filtered_or_low_quality' WHEN regexp_matches(feature, '^[^:]*:1[0-9][0-9]:') THEN 'multi_hit_context_not_encoded_as_zero' ELSE 'mapped_unique_context' END AS mapping_status,
+  CASE WHEN label = 'assumed_reference_non_baseline' THEN 'known_nonbaseline_match' WHEN regexp_matches(feature, '^[^:]*:1[0-9][0-9]:') AND NOT assumed THEN 'not_called_multi_hit_context' ELSE label END AS allele_call, state AS call_state FROM resolved)"""
+
+
+def _mapped(s, d):
+    """Calls with mapping data, some of them at several places."""
+    several = F.col("feature").rlike("^[^:]*:1[0-9]{2}:")
+    status = F.when(F.col("assumed"), "assumed_reference_not_in_vcf").when(F.col("state") == genotype.FILTERED, "filtered_or_low_quality").when(several, "multi_hit_context_not_encoded_as_zero").otherwise("mapped_unique_context")
+    call = F.when(F.col("label") == "assumed_reference_non_baseline", "known_nonbaseline_match").when(several & ~F.col("assumed"), "not_called_multi_hit_context").otherwise(F.col("label"))
+    return a.resolved(s, d).select("sample", "feature", "value", status.alias("mapping_status"), call.alias("allele_call"), F.col("state").alias("call_state"))
+
+
+_HIST = lambda c, keys="sample": f"(SELECT {keys}, string_agg(v || '=' || n, ',' ORDER BY v) AS h FROM (SELECT {keys}, {c} AS v, count(*) AS n FROM mapped WHERE {c} IS NOT NULL GROUP BY ALL) GROUP BY ALL)"
+
+
+@query(f"""WITH {a.RESOLVED}, {_MAPPED}, n AS (SELECT sample, count(*) AS n_feature_calls, count(*) FILTER (value = 1) AS n_encoded_active_features, count(*) FILTER (allele_call IN ('baseline_match', 'alt_match', 'known_nonbaseline_match', 'assumed_reference')) AS n_resolved_features,
+  count(*) FILTER (allele_call IN ('baseline_match', 'assumed_reference')) AS n_resolved_baseline_features, count(*) FILTER (allele_call IN ('alt_match', 'known_nonbaseline_match')) AS n_resolved_nonbaseline_features, count(*) FILTER (call_state LIKE 'CALLED%') AS n_callable_features, count(*) FILTER (value IS NULL) AS n_noncallable_nan,
+  count(*) FILTER (mapping_status = 'mapped_unique_context') AS n_unique_mapped_calls, count(*) FILTER (regexp_matches(mapping_status, 'unresolved|missing|locus_not_present|filtered')) AS n_unresolved_or_missing_context_calls, count(*) FILTER (mapping_status LIKE '%multi_hit%') AS n_multi_hit_calls,
+  count(*) FILTER (mapping_status LIKE '%ambiguous_base%') AS n_ambiguous_base_calls, count(*) FILTER (mapping_status LIKE '%non_training_allele%') AS n_non_training_allele_calls, count(*) FILTER (allele_call = 'assumed_reference') AS n_assumed_reference FROM mapped GROUP BY sample)
+SELECT n.*, a.h AS status_counts, b.h AS allele_call_counts, c.h AS call_state_counts FROM n JOIN {_HIST("mapping_status")} a USING (sample) JOIN {_HIST("allele_call")} b USING (sample) JOIN {_HIST("call_state")} c USING (sample)""")
 def mapping_summary(s, d):
-    n = F.count_if
-    return a.resolved(s, d).groupBy("sample").agg(n(F.col("value") == 1).alias("n_active"), n(F.col("value") == 0).alias("n_baseline"), n(F.col("value").isNull()).alias("n_unresolved"), n("assumed").alias("n_assumed"), F.count_distinct("label").alias("n_labels"))
+    """13 counts and three histograms of each sample's calls."""
+    out = evidence.mapping_summary(_mapped(s, d))
+    return out.select(*[evidence.histogram_text(c).alias(c) if t.startswith("map") else F.col(c) for c, t in out.dtypes])
+
+
+_CELLS = f"""{_MAPPED.replace("mapped AS", "mapped0 AS")}, mapped AS (SELECT *, CASE WHEN sample % 7 = 0 THEN 'matrix' ELSE 'root' END AS node FROM (SELECT sample, feature, value, CASE WHEN sample % 7 <> 0 THEN mapping_status END AS mapping_status, CASE WHEN sample % 7 <> 0 THEN allele_call END AS allele_call FROM mapped0)),
+roles AS (SELECT *, CASE WHEN allele_call IN ('alt_match', 'known_nonbaseline_match') THEN 'resolved_nonbaseline_state' WHEN allele_call = 'baseline_match' THEN 'resolved_baseline_state' WHEN mapping_status IS NOT NULL THEN 'unresolved_zero_fill' WHEN value IS NOT NULL THEN 'aligned_matrix_state' ELSE 'unresolved_zero_fill' END AS role FROM mapped)"""
 
 
-_EVIDENCE = """e AS (SELECT sample, count(*) AS n, count(*) FILTER (state IN ('CALLED_REFERENCE', 'CALLED_ALTERNATE')) AS mapped, count(*) FILTER (role LIKE 'resolved%') AS res, count(*) FILTER (role = 'resolved_nonbaseline') AS act, count(*) FILTER (role = 'unresolved_zero_fill') AS unres
-  FROM (SELECT *, CASE WHEN label = 'alt_match' THEN 'resolved_nonbaseline' WHEN label = 'baseline_match' THEN 'resolved_baseline' ELSE 'unresolved_zero_fill' END AS role FROM resolved) GROUP BY sample),
-ev AS (SELECT *, res / n AS rf, CASE WHEN mapped / n >= .8 THEN 'adequate_marker_recovery' WHEN mapped / n >= .5 THEN 'partial_marker_recovery' ELSE 'low_marker_recovery' END AS recovery,
-  CASE WHEN act >= 10 OR act / n >= .01 THEN 'active_marker_evidence_present' WHEN act > 0 THEN 'very_low_active_marker_evidence' ELSE 'no_active_marker_evidence' END AS active,
-  CASE WHEN res / n >= .8 THEN 'resolved_marker_evidence_present' WHEN res / n >= .5 THEN 'partial_resolved_marker_evidence' WHEN res > 0 THEN 'low_resolved_marker_evidence' ELSE 'no_resolved_marker_evidence' END AS resolved FROM e)"""
+def _cells(s, d):
+    """Cells of a model's features; samples divisible by 7 come as a matrix, without mapping data."""
+    given = F.col("sample") % 7 != 0
+    return _mapped(s, d).select("sample", F.when(given, "root").otherwise("matrix").alias("node"), "feature", "value", F.when(given, F.col("mapping_status")).alias("mapping_status"), F.when(given, F.col("allele_call")).alias("allele_call"), F.col("value").isNotNull().alias("available"))
 
 
-def _evidence(s, d):
-    cells = a.resolved(s, d).withColumns({"node": F.lit("root"), "mapped": F.col("state").isin(genotype.REFERENCE, genotype.ALTERNATE), "role": encode.evidence_role(F.col("label"), F.col("state"), F.lit(True))})
-    return hierarchy.evidence(cells)
+_EVIDENCE = f"""{_CELLS}, e0 AS (SELECT sample, node, count(*) AS n, count(*) FILTER (value <> 0) AS act, count(*) FILTER (mapping_status IS NOT NULL) AS mp, count(*) FILTER (mapping_status = 'mapped_unique_context') AS uniq, count(*) FILTER (role IN ('resolved_baseline_state', 'resolved_nonbaseline_state')) AS res0, count(*) FILTER (role = 'aligned_matrix_state') AS ali,
+  count(*) FILTER (role = 'resolved_baseline_state') AS rb, count(*) FILTER (role = 'resolved_nonbaseline_state') AS rn, count(*) FILTER (role = 'unresolved_zero_fill') AS unres, count(*) FILTER (allele_call = 'baseline_match') AS bm, count(*) FILTER (allele_call = 'alt_match') AS am, count(*) FILTER (allele_call = 'known_nonbaseline_match') AS kn,
+  count(*) FILTER (allele_call = 'not_called_multi_hit_context') + count(*) FILTER (mapping_status LIKE '%multi_hit%') AS mh, count(*) FILTER (allele_call = 'non_training_allele') AS nt, string_agg(feature, ',' ORDER BY feature) FILTER (value <> 0) AS ids FROM roles GROUP BY ALL),
+ev AS (SELECT *, res0 + CASE WHEN mp > 0 THEN 0 ELSE ali END AS res, act / n AS af, CASE WHEN mp > 0 THEN uniq / mp END AS uf, (res0 + CASE WHEN mp > 0 THEN 0 ELSE ali END) / n AS rf FROM e0),
+st AS (SELECT *, CASE WHEN mp = 0 THEN 'feature_space_alignment_only' WHEN uf >= .8 THEN 'adequate_marker_recovery' WHEN uf >= .5 THEN 'partial_marker_recovery' ELSE 'low_marker_recovery' END AS recovery, CASE WHEN act >= 10 OR af >= .01 THEN 'active_marker_evidence_present' WHEN act > 0 THEN 'very_low_active_marker_evidence' ELSE 'no_active_marker_evidence' END AS active,
+  CASE WHEN mp = 0 AND res > 0 THEN 'aligned_matrix_evidence_present' WHEN mp = 0 THEN 'feature_space_alignment_only' WHEN rf >= .8 THEN 'resolved_marker_evidence_present' WHEN rf >= .5 THEN 'partial_resolved_marker_evidence' WHEN res > 0 THEN 'low_resolved_marker_evidence' ELSE 'no_resolved_marker_evidence' END AS resolved FROM ev)"""
 
 
-@query(f"WITH {a.RESOLVED}, {_EVIDENCE} SELECT sample, n AS n_features, mapped AS n_mapped, res AS n_resolved, act AS n_active, unres AS n_unresolved, recovery, active, resolved, round(rf, 6) AS resolved_fraction FROM ev")
+@query(f"""WITH {a.RESOLVED}, {_EVIDENCE} SELECT sample, node, n AS e_n_selected_features, act AS e_n_active_features, coalesce(ids, '') AS e_active_feature_ids, mp AS e_n_features_with_mapping_metadata, uniq AS e_n_unique_mapped_features, rb AS e_n_resolved_baseline_features, rn AS e_n_resolved_nonbaseline_features, unres AS e_n_zero_fill_caution_features,
+  bm AS e_n_baseline_match_calls, am AS e_n_alt_match_calls, kn AS e_n_known_nonbaseline_match_calls, 0::BIGINT AS e_n_unresolved_or_missing_calls, mh AS e_n_multi_hit_calls, 0::BIGINT AS e_n_ambiguous_base_calls, nt AS e_n_non_training_allele_calls, mp > 0 AS e_has_mapping_metadata, res AS e_n_resolved_features,
+  round(af, 6) AS e_active_feature_fraction, round(uf, 6) AS e_unique_mapped_fraction, round(rf, 6) AS e_resolved_feature_fraction, round(rb / n, 6) AS e_resolved_baseline_feature_fraction, round(rn / n, 6) AS e_resolved_nonbaseline_feature_fraction, n - res AS e_n_unresolved_or_missing_features,
+  active AS e_nonbaseline_evidence_status, active AS e_active_marker_evidence_status, recovery AS e_marker_recovery_status, resolved AS e_resolved_marker_evidence_status, x.h AS e_evidence_role_counts, coalesce(y.h, '') AS e_mapping_status_counts, coalesce(z.h, '') AS e_allele_call_counts
+FROM st JOIN {_HIST("role", "sample, node").replace("mapped", "roles")} x USING (sample, node) LEFT JOIN {_HIST("mapping_status", "sample, node")} y USING (sample, node) LEFT JOIN {_HIST("allele_call", "sample, node")} z USING (sample, node)""")
 def evidence_summary(s, d):
-    return _evidence(s, d).select("sample", "n_features", "n_mapped", "n_resolved", "n_active", "n_unresolved", "recovery", "active", "resolved", r6("resolved_fraction").alias("resolved_fraction"))
+    """All outputs of a model's evidence but the reasons' texts, under a prefix."""
+    flat = evidence.flattened(evidence.model_evidence(_cells(s, d)), "e")
+    return flat.select(*[r6(c).alias(c) if t == "double" else F.col(c) for c, t in flat.dtypes if not c.endswith("_reason")])
+
+
+@query(f"""WITH {a.RESOLVED}, {_CELLS} SELECT sample, node, feature, value, role, round(imp, 6) AS importance, place::INT AS place FROM (SELECT *, row_number() OVER (PARTITION BY sample, node ORDER BY imp DESC, feature) AS place FROM (SELECT *, length(feature) % 3 + ascii(feature[-1]) % 5 / 10.0::DOUBLE AS imp FROM roles WHERE role = 'resolved_nonbaseline_state')) WHERE place <= 5""")
+def supporting_markers(s, d):
+    """The five most important features that support a sample's call."""
+    c = _cells(s, d)
+    imp = c.select("node", "feature").distinct().withColumn("importance", F.length("feature") % 3 + F.ascii(F.substring("feature", -1, 1)) % 5 / 10.0)
+    return evidence.supporting_markers(c, imp, 5).withColumn("importance", r6("importance"))
 
 
-@query(f"""WITH {a.RESOLVED}, {_EVIDENCE}, x AS (SELECT *, 0.3 + (sample % 8) / 10.0 AS support FROM ev)
-SELECT sample, CASE WHEN res = 0 THEN 'low_confidence' WHEN support >= 0.7::DOUBLE AND act + 0 >= 0 AND rf >= .5 AND n > 0 AND act = 0 THEN 'high_confidence_baseline_pattern' WHEN support >= 0.7::DOUBLE AND rf >= .5 THEN 'high_confidence' WHEN support >= 0.5::DOUBLE THEN 'moderate_confidence'
-  WHEN resolved IN ('resolved_marker_evidence_present', 'partial_resolved_marker_evidence') THEN 'low_to_moderate_confidence' ELSE 'low_confidence' END AS confidence,
-  res <= 0 OR resolved = 'low_resolved_marker_evidence' OR rf < 0.05 AS weak FROM (SELECT * REPLACE (round(support, 2)::DOUBLE AS support) FROM x)""")
+@query(f"""WITH {a.RESOLVED}, {_EVIDENCE}, x AS (SELECT *, round(0.3 + (sample % 8) / 10.0, 2)::DOUBLE AS support FROM st)
+SELECT sample, CASE WHEN res = 0 THEN 'low_confidence' WHEN support >= 0.7::DOUBLE AND rf >= .5 AND act = 0 THEN 'high_confidence_baseline_pattern' WHEN support >= 0.7::DOUBLE AND rf >= .5 THEN 'high_confidence' WHEN support >= 0.5::DOUBLE THEN 'moderate_confidence'
+  WHEN resolved IN ('resolved_marker_evidence_present', 'partial_resolved_marker_evidence', 'aligned_matrix_evidence_present') THEN 'low_to_moderate_confidence' ELSE 'low_confidence' END AS confidence,
+  res <= 0 OR resolved = 'low_resolved_marker_evidence' OR rf < 0.05 AS weak FROM x""")
 def confidence_and_guard(s, d):
-    e = _evidence(s, d).withColumn("support", F.round(F.lit(0.3) + (F.col("sample") % 8) / 10.0, 2))
-    conf = encode.confidence(F.col("support"), F.col("n_features"), F.col("resolved_fraction"), F.col("n_resolved"), F.col("n_active"), F.col("resolved"))
-    return e.select("sample", conf.alias("confidence"), encode.weak_evidence(F.col("resolved_fraction"), F.col("n_resolved"), F.col("resolved")).alias("weak"))
+    e = evidence.model_evidence(_cells(s, d)).withColumn("support", F.round(F.lit(0.3) + (F.col("sample") % 8) / 10.0, 2))
+    n, share, status = F.col("n_resolved_features"), F.col("resolved_feature_fraction"), F.col("resolved_marker_evidence_status")
+    conf = encode.confidence(F.col("support"), F.col("n_selected_features"), share, n, F.col("n_active_features"), status)
+    return e.select("sample", conf.alias("confidence"), encode.weak_evidence(share, n, status).alias("weak"))
+
+
+_GUARD = """g AS (SELECT sample, 'Drug_status' AS label_column, CASE WHEN sample % 3 = 0 THEN 'resistant' ELSE 'Susceptible' END AS label, rf, res, resolved, CASE sample % 4 WHEN 0 THEN 'resistant' WHEN 1 THEN 'resistant' ELSE 'susceptible' END AS other, (sample % 10) / 10.0::DOUBLE AS p FROM st),
+gw AS (SELECT *, label = 'Susceptible' AND (res <= 0 OR resolved = 'low_resolved_marker_evidence' OR rf < 0.3) AS weak, other = 'resistant' AND p >= 0.5 AS over_ FROM g)"""
+
+
+@query(f"""WITH {a.RESOLVED}, {_EVIDENCE}, {_GUARD} SELECT sample, label, CASE WHEN weak AND over_ THEN 'resistant' WHEN weak AND sample % 2 = 1 THEN 'amr_evidence_review_required' ELSE label END AS reported, CASE WHEN weak AND over_ THEN 'resistant' ELSE label END AS routing,
+  CASE WHEN weak AND over_ THEN 'amr_terminal_fallback_escalation' WHEN weak AND sample % 2 = 1 THEN 'amr_evidence_review_required' WHEN weak THEN 'amr_weak_evidence_warning' ELSE 'none' END AS guard, CASE WHEN weak AND over_ THEN 'global' END AS source FROM gw""")
+def evidence_guard(s, d):
+    """Susceptible calls on weak evidence: the terminal model's answer, else a warning (even samples) or a review (odd ones)."""
+    e = evidence.model_evidence(_cells(s, d))
+    k = F.col("sample")
+    steps = e.select("sample", F.lit("Drug_status").alias("label_column"), F.when(k % 3 == 0, "resistant").otherwise("Susceptible").alias("label"), F.col("resolved_feature_fraction").alias("resolved"), F.col("n_resolved_features").alias("n_resolved"), F.col("resolved_marker_evidence_status").alias("status"))
+    terminal = e.select("sample", F.when(k % 4 <= 1, "resistant").otherwise("susceptible").alias("prediction"), ((k % 10) / F.lit(10.0)).alias("resistant_probability"), F.lit("global").alias("source"))
+    each = [hierarchy.guarded(steps.where(k % 2 == r), ("drug_status",), terminal, mode, 0.3) for r, mode in ((0, "warn"), (1, "block"))]
+    return each[0].unionByName(each[1]).select("sample", "label", "reported", "routing", "guard", "source")
 
 
 # expressions ----------------------------------------------------------------------------------------
@@ -142,18 +201,25 @@ def format_zip(s, d):
     return t.select("event_id", m["GT"].alias("gt"), m["DP"].alias("dp"))
 
 
-@query("""WITH t AS (SELECT c_custkey, CASE c_custkey % 6 WHEN 0 THEN ' /data/SRR' || c_custkey || '.vcf.gz' WHEN 1 THEN 'nan' WHEN 2 THEN 's' || c_custkey || '.g.vcf.gz' WHEN 3 THEN 's' || c_custkey || '_library2' WHEN 4 THEN 'ERR1 and err1' ELSE 'ERR1,ERR' || c_custkey END AS x FROM customer)
-SELECT c_custkey, CASE c_custkey % 6 WHEN 0 THEN 'SRR' || c_custkey WHEN 1 THEN '' WHEN 2 THEN 's' || c_custkey WHEN 3 THEN 's' || c_custkey WHEN 4 THEN 'ERR1' ELSE CASE WHEN c_custkey = 1 THEN 'ERR1' ELSE x END END AS sample FROM t""")
+@query("""WITH t AS (SELECT c_custkey, CASE c_custkey % 6 WHEN 0 THEN ' /data/SRR' || c_custkey || '.vcf.gz' WHEN 1 THEN 'nan' WHEN 2 THEN 's' || c_custkey || '.g.vcf.gz' WHEN 3 THEN 's' || c_custkey || '_LIBRARY2' WHEN 4 THEN 'ERR1 and err1' ELSE 'ERR1,ERR' || c_custkey END AS x FROM customer)
+SELECT c_custkey, CASE c_custkey % 6 WHEN 0 THEN 'SRR' || c_custkey WHEN 1 THEN '' WHEN 2 THEN 's' || c_custkey || '.g' WHEN 3 THEN 's' || c_custkey WHEN 4 THEN 'ERR1' ELSE CASE WHEN c_custkey = 1 THEN 'ERR1' ELSE x END END AS sample FROM t""")
 def sample_id_normalisation(s, d):
     k = F.col("c_custkey")
-    x = F.element_at(F.array(F.concat(F.lit(" /data/SRR"), k, F.lit(".vcf.gz")), F.lit("nan"), F.concat(F.lit("s"), k, F.lit(".g.vcf.gz")), F.concat(F.lit("s"), k, F.lit("_library2")), F.lit("ERR1 and err1"), F.concat(F.lit("ERR1,ERR"), k)), (k % 6 + 1).cast("int"))
+    x = F.element_at(F.array(F.concat(F.lit(" /data/SRR"), k, F.lit(".vcf.gz")), F.lit("nan"), F.concat(F.lit("s"), k, F.lit(".g.vcf.gz")), F.concat(F.lit("s"), k, F.lit("_LIBRARY2")), F.lit("ERR1 and err1"), F.concat(F.lit("ERR1,ERR"), k)), (k % 6 + 1).cast("int"))
     return a.table(s, d, "customer").select("c_custkey", genotype.sample_id(x).alias("sample"))
 
 
-@query("WITH t AS (SELECT page_id, string_split(url, '/') AS p FROM pages) SELECT page_id, CASE WHEN len(p) >= 4 THEN p[1] ELSE '' END AS contig, CASE WHEN len(p) >= 4 THEN p[3] ELSE '' END AS ref FROM t")
+@query("""SELECT c_custkey, CASE c_custkey % 5 WHEN 0 THEN 'S' || c_custkey WHEN 1 THEN 'S' || c_custkey WHEN 2 THEN 'S' || c_custkey || '.g' WHEN 3 THEN 'S' || c_custkey || '.x' ELSE 'S' || c_custkey END AS sample FROM customer""")
+def sample_of_path(s, d):
+    k = F.col("c_custkey")
+    end = F.element_at(F.array(*[F.lit(x) for x in (".g.vcf.gz", ".VCF", ".g.bcf", ".x.txt", "")]), (k % 5 + 1).cast("int"))
+    return a.table(s, d, "customer").select("c_custkey", genotype.sample_of_path(F.concat(F.lit("/data/run/S"), k, end)).alias("sample"))
+
+
+@query("WITH t AS (SELECT page_id, string_split(replace(url, ':', ''), '/') AS p FROM pages) SELECT page_id, " + ", ".join(f"CASE WHEN len(p) >= 4 THEN p[{i}] ELSE '' END AS {c}" for i, c in enumerate(("contig", "pos", "ref", "alt"), 1)) + " FROM t")
 def feature_id_parsing(s, d):
     f = genotype.feature_parts(F.regexp_replace(F.regexp_replace("url", ":", ""), "/", ":"))
-    return a.table(s, d, "pages").select("page_id", F.when(f["contig"] == "", "").otherwise(F.concat(f["contig"], F.lit(":"))).alias("contig"), f["ref"].alias("ref"))
+    return a.table(s, d, "pages").select("page_id", *[f[c].alias(c) for c in ("contig", "pos", "ref", "alt")])
 
 
 @query("SELECT p_partkey, reverse(translate(upper(p_brand), 'ACGTN', 'TGCAN')) AS rc, reverse(translate(upper(p_type), 'ACGTRYSWKMBDHVN', 'TGCAYRSWMKVHDBN')) AS rc_iupac FROM part")
@@ -193,10 +259,10 @@ def clipped_markers(s, d):
     return a.table(s, d, "events").select("event_id", encode.clipped(F.col("value")).alias("v"))
 
 
-@query("""WITH v AS (SELECT vec_id, list_transform(embedding[1:8], lambda x: CASE WHEN x < 0 THEN 0 ELSE x::DOUBLE END) AS s FROM embeddings), p AS (SELECT vec_id, list_transform(s, lambda x: CASE WHEN list_sum(s) > 0 THEN x / list_sum(s) ELSE 1 / len(s) END) AS p FROM v)
+@query("""WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CASE WHEN x < 0 THEN 0 ELSE x::DOUBLE END) AS s FROM embeddings), p AS (SELECT vec_id, list_transform(s, lambda x: CASE WHEN list_sum(s) > 0 THEN x / list_sum(s) ELSE 1 / len(s) END) AS p FROM v)
 SELECT vec_id, round(list_max(p), 6) AS top, round((0 - list_sum(list_transform(p, lambda x: CASE WHEN x > 0 THEN x * log2(x) ELSE 0 END))) / log2(len(p)), 6) AS entropy, CASE WHEN list_contains(p, 0) OR list_contains(p, 1) THEN 0 ELSE round(-list_sum(list_transform(p, lambda x: CASE WHEN x > 0 THEN x * log2(x) ELSE 0 END)), 6) END::DOUBLE AS strict FROM p""")
 def scores_and_entropy(s, d):
-    x = F.transform(F.slice("embedding", 1, 8), lambda v: v.cast("double"))
+    x = F.transform("embedding", lambda v: v.cast("double"))
     t = a.table(s, d, "embeddings").select("vec_id", encode.normalised(x).alias("p"))
     return t.select("vec_id", r6(F.array_max("p")).alias("top"), r6(encode.entropy(F.col("p"))).alias("entropy"), r6(encode.entropy_strict(F.col("p"))).alias("strict"))
 
@@ -229,15 +295,15 @@ def position_list(s, d):
     return a.table(s, d, "part").select("p_partkey", F.array_contains(keep, F.col("p_size")).alias("in_list"))
 
 
-@query("SELECT p_type, dense_rank() OVER (ORDER BY p_type)::INT AS code, count(*) AS n FROM part GROUP BY p_type")
+@query("SELECT p_partkey AS sample, p_brand AS feature, upper(trim(p_type)) AS state, dense_rank() OVER (PARTITION BY p_brand ORDER BY upper(trim(p_type)))::INT - 1 AS code FROM part")
 def categorical_codes(s, d):
-    n = a.table(s, d, "part").groupBy("p_type").agg(F.count("*").alias("n"))
-    return n.withColumn("code", F.dense_rank().over(Window.orderBy("p_type")))
+    """Each part's type, numbered among the types of its brand."""
+    return tables.encoded(a.table(s, d, "part").select(F.col("p_partkey").alias("sample"), F.col("p_brand").alias("feature"), F.col("p_type").alias("state")))
 
 
 @query("SELECT p_brand AS marker, array_to_string(list_sort(list_distinct(list(p_size))), ',') AS known FROM part GROUP BY p_brand")
 def known_values(s, d):
-    return a.table(s, d, "part").groupBy(F.col("p_brand").alias("marker")).agg(F.array_join(F.array_sort(F.collect_set("p_size")), ",").alias("known"))
+    return tables.known_values(a.table(s, d, "part").withColumnRenamed("p_brand", "marker"), ["marker"], "p_size").withColumn("known", F.array_join("known", ","))
 
 
 # matrices -------------------------------------------------------------------------------------------
@@ -299,10 +365,10 @@ def feature_alignment(s, d):
     return cohort.aligned(a.matrix(s, d), f).select("sample", "feature", "ord", "value", "present")
 
 
-@query(f"WITH {a.MATRIX} SELECT sample, max(value) FILTER (feature = 1) AS f1, max(value) FILTER (feature = 2) AS f2, max(value) FILTER (feature = 3) AS f3 FROM matrix GROUP BY sample")
+@query(f"WITH {a.MATRIX} SELECT sample, " + ", ".join(f"max(value) FILTER (feature = {k}) AS f{k}" for k in range(1, 201)) + " FROM matrix GROUP BY sample")
 def matrix_pivot(s, d):
     m = a.matrix(s, d).withColumn("feature", F.concat(F.lit("f"), "feature"))
-    return cohort.wide(m, ["f1", "f2", "f3"])
+    return cohort.wide(m, [f"f{k}" for k in range(1, 201)])
 
 
 @query("SELECT s_suppkey AS sample, 's_nationkey' AS feature, s_nationkey::DOUBLE AS value FROM supplier UNION ALL SELECT s_suppkey, 's_acctbal', s_acctbal FROM supplier")
@@ -318,13 +384,13 @@ def matrix_text(s, d):
 
 @query("SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS n, CASE WHEN row_number() OVER (PARTITION BY lang ORDER BY doc_id) = 1 THEN lang ELSE lang || '__dup' || row_number() OVER (PARTITION BY lang ORDER BY doc_id) END AS name FROM documents")
 def duplicate_suffixes(s, d):
-    n = F.row_number().over(Window.partitionBy("lang").orderBy("doc_id"))
-    return a.table(s, d, "documents").select("doc_id", "lang", n.cast("long").alias("n"), F.when(n == 1, F.col("lang")).otherwise(F.concat("lang", F.lit("__dup"), n)).alias("name"))
+    return tables.suffixed(a.table(s, d, "documents").select("doc_id", "lang"), "lang", ["doc_id"]).withColumnRenamed("number", "n")
 
 
-@query(f"WITH {a.MATRIX} SELECT bool_and(value IN (0, 1) OR value IS NULL) AS is_binary, count(DISTINCT value) AS n_states FROM matrix")
+@query(f"WITH {a.MATRIX}, k AS (SELECT 'matrix' AS source, CASE WHEN bool_and(value IN (0, 1)) THEN 'binary' ELSE 'character' END AS kind FROM matrix WHERE value IS NOT NULL UNION ALL SELECT 'brands', CASE WHEN bool_and(p_brand IN ('0', '1')) THEN 'binary' ELSE 'character' END FROM part) SELECT * FROM k")
 def data_type_inference(s, d):
-    return a.matrix(s, d).agg(F.bool_and(F.col("value").isin(0.0, 1.0) | F.col("value").isNull()).alias("is_binary"), F.count_distinct("value").alias("n_states"))
+    found = [("matrix", readers.data_type(a.matrix(s, d).select(F.col("value").cast("int").alias("state")))), ("brands", readers.data_type(a.table(s, d, "part").select(F.col("p_brand").alias("state"))))]
+    return s.createDataFrame(found, "source string, kind string")
 
 
 @query(f"WITH {a.MATRIX}, a AS (SELECT DISTINCT feature FROM matrix WHERE sample = 1), b AS (SELECT DISTINCT feature FROM matrix WHERE sample = 2) SELECT feature, 'missing' AS side FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT feature, 'extra' FROM (SELECT * FROM b EXCEPT SELECT * FROM a)")
@@ -334,11 +400,10 @@ def feature_differences(s, d):
     return x.join(y, "feature", "left_anti").withColumn("side", F.lit("missing")).unionByName(y.join(x, "feature", "left_anti").withColumn("side", F.lit("extra")))
 
 
-@query("WITH u AS (SELECT l_partkey AS feature, min(l_orderkey) AS ord FROM lineitem GROUP BY ALL UNION ALL SELECT p_partkey, 1000000 + p_partkey FROM part) SELECT feature, min(ord) AS ord FROM u GROUP BY feature")
+@query("WITH u AS (SELECT l_partkey AS feature, 0 AS list, l_orderkey AS ord FROM lineitem UNION ALL SELECT p_partkey, 1, p_partkey FROM part) SELECT feature, list, ord FROM u QUALIFY row_number() OVER (PARTITION BY feature ORDER BY list, ord) = 1")
 def ordered_union(s, d):
     x = a.table(s, d, "lineitem").select(F.col("l_partkey").alias("feature"), F.col("l_orderkey").alias("ord"))
-    y = a.table(s, d, "part").select(F.col("p_partkey").alias("feature"), (F.col("p_partkey") + 1000000).alias("ord"))
-    return x.unionByName(y).groupBy("feature").agg(F.min("ord").alias("ord"))
+    return tables.ordered_union([x, a.table(s, d, "part").select(F.col("p_partkey").alias("feature"), F.col("p_partkey").alias("ord"))])
 
 
 # joins ----------------------------------------------------------------------------------------------
@@ -354,10 +419,10 @@ def overlapping_blocks(s, d):
     return joins.range_join(a.probes(s, d), a.blocks(s, d), ["k"], "pos", "start", "end", 3600).select("id", "ord")
 
 
-@query(f"""WITH {a.BLOCKS}, c AS (SELECT p.id, b.ord, CASE WHEN p.pos > b.end_ THEN p.pos - b.end_ WHEN p.pos < b.start THEN b.start - p.pos ELSE 0 END AS distance, p.pos >= b.start AS l, CASE WHEN p.pos >= b.start THEN b.end_ END AS e FROM probes p JOIN blocks b ON b.k = p.k)
-SELECT id, min(distance) AS distance FROM c GROUP BY id""")
+@query(f"""WITH {a.BLOCKS}, c AS (SELECT p.id, p.pos, b.ord, b.start, b.end_, CASE WHEN p.pos > b.end_ THEN p.pos - b.end_ WHEN p.pos < b.start THEN b.start - p.pos ELSE 0 END AS distance FROM probes p JOIN blocks b ON b.k = p.k)
+SELECT id, arg_min(ord, {{'a': distance, 'b': ord}}) AS ord, min(distance) AS distance FROM c GROUP BY id""")
 def nearest_block(s, d):
-    return joins.nearest(a.probes(s, d), a.blocks(s, d), ["k"], "pos", "start", "end", "ord").select("id", "distance")
+    return joins.nearest(a.probes(s, d), a.blocks(s, d), ["k"], "pos", "start", "end", "ord", 3600).select("id", "ord", "distance")
 
 
 @query("""WITH q AS (SELECT c_custkey, c_nationkey FROM customer), one AS (SELECT o_custkey AS c_custkey, count(DISTINCT o_orderstatus) AS n, min(o_orderstatus) AS v FROM orders WHERE o_orderpriority LIKE '1%' GROUP BY ALL), two AS (SELECT o_custkey AS c_custkey, min(o_orderstatus) AS v FROM orders GROUP BY ALL)
@@ -430,8 +495,7 @@ def best_of_neighbourhood(s, d):
 
 @query("SELECT user_id, event_id, max(floor(epoch(ts))::BIGINT + event_id % 11 * 1800) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prefix_max FROM events")
 def prefix_maximum(s, d):
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    return a.table(s, d, "events").select("user_id", "event_id", F.max(F.unix_timestamp("ts") + F.col("event_id") % 11 * 1800).over(w).alias("prefix_max"))
+    return tables.prefix_max(a.table(s, d, "events"), ["user_id"], ["ts", "event_id"], F.unix_timestamp("ts") + F.col("event_id") % 11 * 1800).select("user_id", "event_id", "prefix_max")
 
 
 @query("SELECT DISTINCT p_partkey AS feature FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'A') AND p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R') AND p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_discount > 0.09)")
@@ -454,8 +518,7 @@ def redundancy_clusters(s, d):
 
 @query(f"WITH {a.MATRIX}, e AS (SELECT sample, feature, row_number() OVER (PARTITION BY sample ORDER BY value DESC, feature) AS n FROM matrix WHERE value IS NOT NULL) SELECT sample, feature, n FROM e WHERE n <= 10")
 def top_supporting_markers(s, d):
-    n = F.row_number().over(Window.partitionBy("sample").orderBy(F.col("value").desc(), "feature"))
-    return a.matrix(s, d).where("value IS NOT NULL").select("sample", "feature", n.cast("long").alias("n")).where("n <= 10")
+    return tables.top(a.matrix(s, d).where("value IS NOT NULL"), ["sample"], [F.col("value").desc(), F.col("feature")], 10).select("sample", "feature", "n")
 
 
 # statistics -----------------------------------------------------------------------------------------
@@ -506,18 +569,24 @@ def naive_bayes(s, d):
     return stats.naive_bayes(a.matrix(s, d), labels).withColumn("log_score", F.round("log_score", 4))
 
 
-@query("SELECT *, round(max(n) OVER (PARTITION BY label) / min(n) OVER (PARTITION BY label), 6) AS imbalance FROM (SELECT lang AS label, source, count(*) AS n, round(avg(quality), 6) AS share FROM documents JOIN labels USING (doc_id) GROUP BY ALL)")
+@query(f"""WITH {a.MATRIX}, {a.LABELS}, n AS (SELECT r_name AS label, count(*) AS n FROM slabels GROUP BY ALL) SELECT (SELECT sum(n)::BIGINT FROM n) AS n_samples, (SELECT count(*) FROM n) AS n_classes, (SELECT string_agg(label || '=' || n, ',' ORDER BY label) FROM n) AS class_counts, (SELECT round(max(n) / min(n), 6) FROM n) AS imbalance,
+count(DISTINCT feature) AS n_features, round(avg((value IS NULL)::INT), 6) AS missing FROM matrix""")
 def class_context(s, d):
-    j = a.table(s, d, "documents").join(a.table(s, d, "labels"), "doc_id").groupBy(F.col("lang").alias("label"), "source").agg(F.count("*").alias("n"), r6(F.avg("quality")).alias("share"))
-    w = Window.partitionBy("label")
-    return j.withColumn("imbalance", r6(F.max("n").over(w) / F.min("n").over(w)))
+    labels = a.sample_labels(s, d).select("sample", F.col("labels")[0].alias("label"))
+    t = tables.class_context(labels, a.matrix(s, d))
+    return t.withColumns({"class_counts": evidence.histogram_text("class_counts"), "imbalance": r6("imbalance"), "missing": r6("missing")})
 
 
-@query("SELECT lang AS class, fold, round(avg((quality = 1)::INT), 6) AS recall FROM (SELECT lang, quality, (row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1) % 5 AS fold FROM documents JOIN labels USING (doc_id)) GROUP BY ALL")
+@query(f"WITH {a.LABELS} SELECT sample, r_name AS label, ((row_number() OVER (PARTITION BY r_name ORDER BY md5(sample::VARCHAR)) - 1) % 5)::INT AS fold FROM slabels")
 def stratified_folds(s, d):
-    j = a.table(s, d, "documents").join(a.table(s, d, "labels"), "doc_id")
-    j = j.withColumn("fold", ((F.row_number().over(Window.partitionBy("lang").orderBy("doc_id")) - 1) % 5).cast("long"))
-    return j.groupBy(F.col("lang").alias("class"), "fold").agg(r6(F.avg((F.col("quality") == 1).cast("int"))).alias("recall"))
+    return models.folds(a.sample_labels(s, d).select("sample", F.col("labels")[0].alias("label")), 5)
+
+
+@query("SELECT source AS candidate, mean, coverage, row_number() OVER (ORDER BY mean DESC, coverage DESC, source)::INT AS place FROM (SELECT source, round(avg(m), 6) AS mean, count(m) AS coverage FROM (SELECT source, lang, avg(n_chars) AS m FROM documents GROUP BY source, lang) GROUP BY source) QUALIFY place <= 3")
+def hierarchy_ranking(s, d):
+    """The three best candidates by their mean over levels."""
+    g = a.table(s, d, "documents").groupBy(F.col("source").alias("candidate"), F.col("lang").alias("level")).agg(F.avg("n_chars").alias("score"))
+    return models.rank_candidates(g, 3).withColumn("mean", r6("mean"))
 
 
 # hierarchies ----------------------------------------------------------------------------------------
@@ -690,4 +759,4 @@ def event_windows(s, d):
     return streams.windowed_counts(a.table(s, d, "events")).select(F.unix_timestamp("start").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
-from . import extended  # noqa: E402, F401  (registers its queries)
+from . import extended, wider  # noqa: E402, F401  (they register their queries)

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import encode
-from ..operators import annotation, cohort, hierarchy, joins, models, selection, traverse
+from ..operators import annotation, cohort, hierarchy, joins, models, selection, tables, traverse
 from ..sources import writers
 from . import adapters as a
 from .registry import query
@@ -61,13 +61,14 @@ def two_level_routing(s, d):
 
 @query("SELECT c_nationkey AS sample, c_mktsegment AS path, max(c_acctbal) AS score FROM customer GROUP BY ALL")
 def best_per_path(s, d):
-    return a.table(s, d, "customer").groupBy(F.col("c_nationkey").alias("sample"), F.col("c_mktsegment").alias("path")).agg(F.max("c_acctbal").alias("score"))
+    rows = a.table(s, d, "customer").select(F.col("c_nationkey").alias("sample"), F.col("c_mktsegment").alias("path"), F.col("c_acctbal").alias("score"))
+    return tables.best_per_path(rows, ["sample", "path"], "score")
 
 
 @query("SELECT c_nationkey AS sample, c_custkey AS id FROM customer QUALIFY rank() OVER (PARTITION BY c_nationkey ORDER BY length(c_mktsegment) DESC) = 1")
 def deepest_picks(s, d):
-    w = Window.partitionBy("c_nationkey").orderBy(F.length("c_mktsegment").desc())
-    return a.table(s, d, "customer").withColumn("r", F.rank().over(w)).where("r = 1").select(F.col("c_nationkey").alias("sample"), F.col("c_custkey").alias("id"))
+    rows = a.table(s, d, "customer").select(F.col("c_nationkey").alias("sample"), F.col("c_custkey").alias("id"), "c_mktsegment")
+    return tables.deepest(rows, "sample", F.length("c_mktsegment")).select("sample", "id")
 
 
 # calls and markers ----------------------------------------------------------------------------------
@@ -85,18 +86,16 @@ def alias_lookup(s, d):
     return joins.tiered_lookup(req, [("exact", exact, True), ("alias", calls.join(alias, "chrom"), True)], ["sample", "asked", "pos"], ["state"])
 
 
-@query(f"WITH {a.RESOLVED}, m AS (SELECT sample, feature, label, row_number() OVER (PARTITION BY sample, feature ORDER BY pos DESC) AS n FROM resolved WHERE value IS NOT NULL) SELECT sample, count(*) AS n_calls, count(DISTINCT label) AS n_labels FROM m WHERE n = 1 GROUP BY sample")
+@query(f"WITH {a.RESOLVED} SELECT sample, feature, label, pos FROM resolved WHERE value IS NOT NULL QUALIFY row_number() OVER (PARTITION BY sample, feature ORDER BY pos DESC) = 1")
 def call_metadata(s, d):
     """The last call of each sample and feature."""
-    m = cohort.latest_calls(a.resolved(s, d).where("value IS NOT NULL").select("sample", "feature", "label", "pos"), ["sample", "feature"], ["pos"])
-    return m.groupBy("sample").agg(F.count("*").alias("n_calls"), F.count_distinct("label").alias("n_labels"))
+    return cohort.latest_calls(a.resolved(s, d).where("value IS NOT NULL").select("sample", "feature", "label", "pos"), ["sample", "feature"], ["pos"])
 
 
-@query(f"WITH {a.CALLS} SELECT chrom, pos, ref, alt, row_number() OVER (ORDER BY chrom, pos, ref, alt)::INT AS id FROM (SELECT DISTINCT chrom, pos, ref, alt FROM calls)")
+@query(f"WITH {a.CALLS} SELECT chrom, pos, ref, alt, row_number() OVER (ORDER BY chrom, pos, ref, alt) AS id FROM (SELECT DISTINCT chrom, pos, ref, alt FROM calls)")
 def integer_variant_ids(s, d):
-    """Numbers of distinct sites in order; sites are bounded by the genome, not by the cohort."""
-    sites = a.raw_calls(s, d).select("chrom", "pos", "ref", "alt").distinct()
-    return sites.withColumn("id", F.row_number().over(Window.orderBy("chrom", "pos", "ref", "alt")))
+    """Numbers of distinct sites in order."""
+    return tables.integer_ids(a.raw_calls(s, d), ["chrom", "pos", "ref", "alt"])
 
 
 @query(f"WITH {a.RESOLVED} SELECT sample, feature, label FROM resolved WHERE value = 1 OR value IS NULL OR label = 'assumed_reference_non_baseline'")
@@ -105,12 +104,11 @@ def compact_calls(s, d):
     return a.resolved(s, d).where("value = 1 OR value IS NULL OR label = 'assumed_reference_non_baseline'").select("sample", "feature", "label")
 
 
-@query(f"WITH {a.CALLS}, c AS (SELECT chrom, pos, count(DISTINCT sample) AS n FROM latest WHERE state = 'CALLED_ALTERNATE' GROUP BY ALL) SELECT (SELECT count(DISTINCT sample) FROM latest) AS n_samples, count(*) AS n_sites, count(*) FILTER (n >= 2) AS n_kept, sum(n)::BIGINT AS n_events FROM c")
+@query(f"""WITH {a.CALLS}, {a.MATRIX}, c AS (SELECT chrom, pos, ref, allele, count(DISTINCT sample) AS n FROM latest WHERE state = 'CALLED_ALTERNATE' GROUP BY ALL) SELECT (SELECT count(DISTINCT sample) FROM latest) AS n_samples, count(*) AS n_candidate_sites, sum(n)::BIGINT AS n_events, count(*) FILTER (n >= 2 AND ref <> allele) AS n_kept_sites,
+(SELECT count(DISTINCT sample) FROM matrix) AS n_matrix_samples, (SELECT count(DISTINCT feature) FROM matrix) AS n_matrix_features FROM c""")
 def cohort_reconciliation(s, d):
     calls = a.latest(s, d)
-    n = calls.where("state = 'CALLED_ALTERNATE'").groupBy("chrom", "pos").agg(F.count_distinct("sample").alias("n"))
-    one = n.agg(F.count("*").alias("n_sites"), F.count_if(F.col("n") >= 2).alias("n_kept"), F.sum("n").alias("n_events"))
-    return calls.agg(F.count_distinct("sample").alias("n_samples")).join(F.broadcast(one))  # one row each
+    return tables.reconciliation(calls, cohort.sites(calls, 2), a.matrix(s, d))
 
 
 @query("WITH x AS (SELECT event_id, 'v' || event_id % 5 || '=' || event_type AS feature, value FROM events) SELECT regexp_extract(feature, '^([^=]*)', 1) AS base, round(sum(value), 4) AS total, count(*) AS n FROM x GROUP BY base")
@@ -203,12 +201,10 @@ def final_matrix(s, d):
     return m.join(keep, "feature", "left_semi").select("sample", "feature", "value")
 
 
-@query(f"WITH {a.MATRIX}, p AS (SELECT x.sample AS i, y.sample AS j, count(*) FILTER (x.value IS NOT NULL AND y.value IS NOT NULL) AS c FROM matrix x JOIN matrix y ON x.feature = y.feature AND x.sample < y.sample GROUP BY ALL) SELECT i, j, c FROM p WHERE c >= 5")
+@query(f"WITH {a.MATRIX}, p AS (SELECT x.sample AS i, y.sample AS j, count(*) / (SELECT count(DISTINCT feature) FROM matrix) AS c FROM matrix x JOIN matrix y ON x.feature = y.feature AND x.sample < y.sample WHERE x.value IS NOT NULL AND y.value IS NOT NULL GROUP BY ALL) SELECT i, j, round(c, 6) AS complete FROM p WHERE c >= 0.025")
 def pairwise_complete(s, d):
     """Pairs of samples with enough features that both have."""
-    m = a.matrix(s, d).where("value IS NOT NULL")
-    x, y = m.select(F.col("sample").alias("i"), "feature"), m.select(F.col("sample").alias("j"), "feature")
-    return x.join(y, "feature").where("i < j").groupBy("i", "j").agg(F.count("*").alias("c")).where("c >= 5")
+    return tables.pairwise_complete(a.matrix(s, d), 0.025).withColumn("complete", r6("complete"))
 
 
 @query(f"WITH {a.MATRIX} SELECT feature, string_agg(coalesce(value::INT::VARCHAR, '?'), '' ORDER BY sample) AS states FROM matrix GROUP BY feature")
@@ -234,23 +230,11 @@ def same_samples(s, d):
     return hierarchy.same_rows(a.matrix(s, d).select("sample").distinct(), a.table(s, d, "supplier").select(F.col("s_suppkey").alias("sample")))
 
 
-@query("WITH x AS (SELECT c_custkey, string_split(c_custkey || '|' || c_mktsegment || '|' || c_nationkey || '|s', '|') AS p FROM customer) SELECT c_custkey, array_to_string(p[2:len(p) - 1], '|') AS label FROM x")
+@query("SELECT c_custkey, c_mktsegment || '|' || c_nationkey AS label FROM customer")
 def evaluation_labels(s, d):
     """A leading number goes if every row has one and at least four parts."""
-    p = F.split(F.concat_ws("|", "c_custkey", "c_mktsegment", "c_nationkey", F.lit("s")), "\\|")
-    x = a.table(s, d, "customer").select("c_custkey", p.alias("p"))
-    drop = x.agg(F.bool_and((F.size("p") >= 4) & F.col("p")[0].try_cast("int").isNotNull()).alias("drop"))
-    df = x.join(F.broadcast(drop))  # one row
-    start = F.when(F.col("drop"), 2).otherwise(1)
-    return df.select("c_custkey", F.array_join(F.slice("p", start, F.size("p") - start), "|").alias("label"))
-
-
-@query("SELECT source, lang, round(m, 4) AS score, n FROM (SELECT source, lang, avg(n_chars) AS m, count(*) AS n FROM documents GROUP BY source, lang) QUALIFY row_number() OVER (PARTITION BY lang ORDER BY m DESC, source) <= 3")
-def hierarchy_ranking(s, d):
-    """Mean score per candidate and level, the three best of each."""
-    g = a.table(s, d, "documents").groupBy("source", "lang").agg(F.avg("n_chars").alias("m"), F.count("*").alias("n"))
-    w = Window.partitionBy("lang").orderBy(F.col("m").desc(), "source")
-    return g.withColumn("r", F.row_number().over(w)).where("r <= 3").select("source", "lang", F.round("m", 4).alias("score"), "n")
+    rows = a.table(s, d, "customer").select("c_custkey", F.concat_ws(" | ", "c_custkey", "c_mktsegment", "c_nationkey", F.lit("s")).alias("field"))
+    return tables.evaluation_labels(rows, "field").select("c_custkey", "label")
 
 
 @query("SELECT o_orderstatus AS status, o_orderpriority, count(*) AS n FROM orders WHERE o_totalprice IS NOT NULL GROUP BY GROUPING SETS ((o_orderstatus, o_orderpriority), (o_orderstatus), ())")
@@ -260,12 +244,13 @@ def grouping_sets(s, d):
     return o.groupingSets([["o_orderstatus", "o_orderpriority"], ["o_orderstatus"], []], "o_orderstatus", "o_orderpriority").agg(F.count("*").alias("n")).withColumnRenamed("o_orderstatus", "status")
 
 
-@query(f"WITH {a.CALLS}, w AS (SELECT sample, chrom, pos, state FROM latest) SELECT sample, count(*) AS lines, count(*) FILTER (state = 'CALLED_ALTERNATE') AS variants FROM w GROUP BY sample")
+@query(f"""WITH {a.CALLS} SELECT sample, chrom || chr(9) || pos || chr(9) || '.' || chr(9) || ref || chr(9) || CASE WHEN state LIKE 'CALLED%' AND allele <> ref THEN allele ELSE '.' END || chr(9) || '.' || chr(9) || 'PASS' || chr(9) || 'DP=' || dp::INT || ';AF=1.000' || chr(9) || 'GT:DP' || chr(9)
+  || CASE WHEN state NOT LIKE 'CALLED%' THEN './.' WHEN allele = ref THEN '0/0' ELSE '1/1' END || ':' || dp::INT AS value FROM latest""")
 def vcf_text(s, d):
-    """VCF lines of all calls of each sample, counted."""
-    calls = a.latest(s, d).select("sample", "chrom", "pos", "ref", F.coalesce("allele", "ref").alias("allele"), F.lit(10).alias("depth"), F.lit(1.0).alias("fraction"), F.when(F.col("state").startswith("CALLED"), "called").otherwise("low_depth").alias("state"))
-    line = F.concat_ws("\t", "chrom", "pos", "ref", F.when((F.col("state") == "called") & (F.col("allele") != F.col("ref")), F.col("allele")).otherwise("."))
-    return calls.select("sample", line.alias("value")).groupBy("sample").agg(F.count("*").alias("lines"), F.count_if(~F.col("value").endswith("\t.")).alias("variants"))
+    """The VCF lines of all samples' calls."""
+    calls = cohort.latest_calls(a.classified(s, d).select("sample", "chrom", "pos", "ref", "alt", "state", "allele", "dp", *a.LAST), ["sample", "chrom", "pos"], a.LAST)
+    calls = calls.select("sample", "chrom", "pos", "ref", "allele", F.col("dp").cast("int").alias("depth"), F.lit(1.0).alias("fraction"), F.when(F.col("state").startswith("CALLED"), "called").otherwise("low_depth").alias("state"))
+    return writers.vcf_body(calls).select("sample", "value")
 
 
 # models (their fits have no SQL) --------------------------------------------------------------------
@@ -300,8 +285,8 @@ def decision_tree_gated(s, d):
 
 @query(None)
 def model_recommendation(s, d):
-    """(model, score, levels) of two cross-validated candidates over all levels of the hierarchy."""
+    """(level, model, score) of all eight candidates by stratified folds, over both levels of the labels; a level without folds has the fallback, without a score."""
     wide, labels, features = _training(s, d)
     levels = [("region", labels), ("nation", a.sample_labels(s, d).select("sample", F.array_join("labels", "|").alias("label")))]
-    got = models.recommend(wide, levels, features, {k: models.ESTIMATORS[k] for k in ("decision_tree", "naive_bayes")})
-    return s.createDataFrame(got, "model string, score double, levels int")
+    got = [(name, model, score) for name, own in levels for model, score in models.search(wide, own, features)]
+    return s.createDataFrame(got, "level string, model string, score double")

@@ -55,6 +55,11 @@ def _mapped(spark: SparkSession, path, schema: str, make) -> DataFrame:
     return whole.mapInPandas(run, schema)
 
 
+def records(spark: SparkSession, path) -> DataFrame:
+    """(file, record_no, id, description, seq), in order."""
+    return _mapped(spark, path, "file string, record_no int, id string, description string, seq string", lambda f, t: [(f, k, i, about, seq) for k, (i, about, seq, _) in enumerate(records_of(t), 1)])
+
+
 def sequences(spark: SparkSession, path) -> DataFrame:
     return _mapped(spark, path, "file string, contig string, description string, seq string", lambda f, t: [(f, i, about, seq) for i, about, seq, _ in records_of(t)])
 

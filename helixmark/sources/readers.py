@@ -28,8 +28,17 @@ def input_type(names: list[str], requested: str = "auto") -> str:
     return next((k for k, ends in SUFFIXES.items() if any(n.endswith(ends) for n in low)), MATRIX)
 
 
+#: Suffixes of GenBank files.
+GENBANK = (".gbk", ".gb", ".gbff", ".gbk.gz", ".gb.gz", ".gbff.gz")
+
+
 def discover(spark: SparkSession, path: str, kind: str) -> list[str]:
     """Files of a type below a path, sorted; any file system that Spark reads."""
+    return [x for x in _listed(spark, path) if x.lower().endswith(SUFFIXES[kind])]
+
+
+def _listed(spark: SparkSession, path: str) -> list[str]:
+    """Files that a path names, or that lie in folders it names, sorted."""
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     found = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(p)
@@ -40,25 +49,25 @@ def discover(spark: SparkSession, path: str, kind: str) -> list[str]:
             out += [x.getPath().toString() for x in fs.listStatus(s.getPath()) if not x.isDirectory()]
         else:
             out.append(s.getPath().toString())
-    return sorted(x for x in out if x.lower().endswith(SUFFIXES[kind]))
+    return sorted(out)
 
 
 def _lines(spark: SparkSession, path) -> DataFrame:
-    """(file, n, line): lines of each file, numbered; a file is read by one task, whole records at a time."""
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
-    return whole.select("file", F.posexplode(F.split("value", "\r?\n")).alias("n", "line")).where("line <> ''")
+    """(file, n, line): lines of each file, as many tasks as Spark cuts a file into; n orders a file's lines."""
+    rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.col("value").alias("line"))
+    return rows.select("file", F.struct("block", F.monotonically_increasing_id().alias("row")).alias("n"), "line").where("line <> ''")
 
 
 def vcf(spark: SparkSession, path) -> DataFrame:
     """Records of single-sample VCF files: (sample, line_no, chrom, pos, ref, alt, qual, filter, info, sample_fields).
 
-    The header's tenth column names the sample, else the file. Lines with fewer than 8 fields are dropped.
+    line_no orders a file's lines. The header's tenth column names the sample, else the file. Lines with fewer than 8 fields are dropped.
     """
     lines = _lines(spark, path)
     head = lines.where(F.col("line").startswith("#CHROM")).groupBy("file").agg(F.max(F.get(F.split("line", "\t"), F.lit(9))).alias("named"))
     body = lines.where(~F.col("line").startswith("#")).withColumn("f", F.split("line", "\t")).where(F.size("f") >= 8)
     get = lambda i: F.get("f", F.lit(i))
-    name = genotype.sample_id(F.element_at(F.split("file", "/"), -1))
+    name = genotype.sample_id(genotype.sample_of_path(F.col("file")))
     return body.join(F.broadcast(head), "file", "left").select(  # a row per file
         F.coalesce(F.when(F.trim("named") != "", genotype.sample_id(F.col("named"))), name).alias("sample"),
         F.col("n").alias("line_no"),
@@ -83,7 +92,100 @@ def classified(records: DataFrame, q: genotype.Quality = genotype.Quality()) ->
     df = records.withColumn("reasons", genotype.qc_reasons(F.col("qual"), F.col("filter"), dp, gq, genotype.number(info("MQ")), genotype.number(info("MQ0F")), q))
     df = df.withColumn("state", genotype.record_state(F.col("ref"), F.col("alt"), gt, F.size("reasons") > 0, None, q))
     end = genotype.number(info("END")).cast("long")
-    return df.select("sample", "line_no", "chrom", "pos", F.coalesce(end, F.col("pos")).alias("end"), "ref", "alt", "state", genotype.called_allele(F.col("ref"), F.col("alt"), gt, F.col("state")).alias("allele"), "reasons", (end > F.col("pos")).alias("block"))
+    return df.select("sample", "line_no", "chrom", "pos", F.greatest(F.coalesce(end, F.col("pos")), F.col("pos")).alias("end"), "ref", "alt", "state", genotype.called_allele(F.col("ref"), F.col("alt"), gt, F.col("state")).alias("allele"), "reasons", genotype.is_reference_block(F.col("alt"), F.col("state"), F.col("pos"), end).alias("block"))
+
+
+def callset(calls: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of classified records the calls by place (of several records the last), and the reference blocks: (sample, chrom, pos, state, allele) and (sample, chrom, start, end, ord, ref)."""
+    by = ["sample", "chrom", "pos"]
+    last = calls.groupBy(*by).agg(F.max_by(F.struct("state", "allele"), "line_no").alias("c")).select(*by, "c.state", "c.allele")
+    blocks = calls.where("block").select("sample", "chrom", F.col("pos").alias("start"), "end", F.col("line_no").alias("ord"), F.when(F.length("ref") == 1, F.col("ref")).otherwise(F.col("allele")).alias("ref"))
+    return last, blocks
+
+
+def genomes(spark: SparkSession, folder: str) -> DataFrame:
+    """(file, name, record_no, id, description, seq) of all FASTA and GenBank files of a folder, packed or not; name is the file's without suffix."""
+    from . import genbank
+
+    def listed(ends: tuple[str, ...]) -> list[str]:
+        return [x for x in _listed(spark, folder) if x.lower().endswith(ends)]
+
+    parts = []
+    if found := listed(SUFFIXES[FASTA]):
+        parts.append(fasta(spark, found))
+    if found := listed(GENBANK):
+        parts.append(genbank.records(spark, found).select("file", "record_no", "id", "description", "seq"))
+    if not parts:
+        raise ValueError(f"no genome files in {folder}")
+    df = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    name = F.regexp_replace(F.element_at(F.split("file", "/"), -1), r"(?i)\.(fasta|fa|fna|gbk|gb|gbff)(\.gz)?$", "")
+    return df.select("file", name.alias("name"), "record_no", "id", "description", "seq")
+
+
+def rows(spark: SparkSession, path: str) -> DataFrame:
+    """(row_no, cells): a CSV, TSV or TXT table's rows as arrays of trimmed cells; rows of blank cells only are left out."""
+    low = path.lower()
+    if not low.endswith((".csv", ".tsv", ".txt")):
+        raise ValueError(f"the format of {path} isn't known")
+    return _cells(spark, path, "," if low.endswith(".csv") else "\t", ("utf-8",)).where(F.exists("cells", lambda c: c != ""))
+
+
+#: Encodings of annotation tables, in the order they're tried.
+ENCODINGS = ("utf-8", "utf-8-sig", "cp1251", "cp1252", "latin-1")
+
+
+def annotation(spark: SparkSession, path: str) -> DataFrame:
+    """An annotation TSV with its header's columns, in the first of ENCODINGS that fits the whole file; short rows are filled with NULL."""
+    cells = _cells(spark, path, "\t", ENCODINGS, trim=False)
+    head = cells.orderBy("row_no").select("cells").first()
+    if head is None:
+        raise ValueError(f"{path} is empty")
+    names = [n.lstrip("\ufeff") for n in head["cells"]]
+    return cells.where("row_no > 0").select("row_no", *[F.get("cells", F.lit(i)).alias(n) for i, n in enumerate(names)])
+
+
+def _cells(spark: SparkSession, path: str, delimiter: str, encodings: tuple[str, ...], trim: bool = True) -> DataFrame:
+    """(row_no, cells) of one delimited file; quotes and encodings are read in Python, the file by one task."""
+    import csv
+    import io
+    from collections.abc import Iterator
+
+    import pyarrow as pa
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for content in b.column(0):
+                data, text = content.as_py(), None
+                for e in encodings:
+                    try:
+                        text = data.decode(e)
+                        break
+                    except UnicodeDecodeError:
+                        continue
+                if text is None:
+                    raise ValueError(f"the file is in none of {', '.join(encodings)}")
+                kept: list[list[str]] = []
+                n = 0
+                for row in csv.reader(io.StringIO(text, newline=""), delimiter=delimiter):
+                    if row:
+                        kept.append([c.strip() for c in row] if trim else row)
+                    if len(kept) == 4096:
+                        yield pa.RecordBatch.from_arrays([pa.array(range(n, n + len(kept)), pa.int64()), pa.array(kept, pa.list_(pa.string()))], ["row_no", "cells"])
+                        n, kept = n + len(kept), []
+                if kept:
+                    yield pa.RecordBatch.from_arrays([pa.array(range(n, n + len(kept)), pa.int64()), pa.array(kept, pa.list_(pa.string()))], ["row_no", "cells"])
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "row_no long, cells array<string>")
+
+
+def gff(spark: SparkSession, path) -> DataFrame:
+    """Features of GFF files: (contig, source, type, start, end, score, strand, phase, attributes); strand is 1, -1 or 0. What follows ##FASTA has fewer columns and is left out."""
+    f = F.split("line", "\t")
+    lines = _lines(spark, path).where(~F.col("line").startswith("#") & (F.size(f) == 9)).withColumn("f", f)
+    get = lambda i: F.get("f", F.lit(i))
+    known = lambda i: F.nullif(get(i), F.lit("."))
+    strand = F.when(get(6) == "+", 1).when(get(6) == "-", -1).otherwise(0)
+    return lines.select(get(0).alias("contig"), get(1).alias("source"), get(2).alias("type"), get(3).try_cast("long").alias("start"), get(4).try_cast("long").alias("end"), genotype.number(known(5)).alias("score"), strand.alias("strand"), known(7).try_cast("int").alias("phase"), genotype.info_map(get(8)).alias("attributes"))
 
 
 def fasta(spark: SparkSession, path) -> DataFrame:
@@ -154,6 +256,38 @@ def hierarchical(table: DataFrame, delimiter: str = "|") -> DataFrame:
     return df.unpivot(["labels", "sample"], rest, "feature", "state")
 
 
+def hierarchical_binary(table: DataFrame, levels: list[int], delimiter: str = "|") -> DataFrame:
+    """A hierarchical matrix for distance tests, as (sample, label, feature, value): strictly 0 or 1, and of one depth.
+
+    levels: 1 is the last label, n the first; the label joins the given ones in that order. Rows with a blank
+    part of it are dropped, repeated samples get suffixes. Ragged paths, empty samples, missing values and any
+    other value than 0 and 1 raise an error when read.
+    """
+    from ..operators import tables
+
+    first, rest = table.columns[0], table.columns[1:]
+    parts = F.split(F.trim(F.col(f"`{first}`")), "\\" + delimiter)
+    depths = table.agg(F.min(F.size(parts)), F.max(F.size(parts))).first()
+    if depths[0] is None or depths[0] != depths[1] or depths[0] < 2:
+        raise ValueError("all rows need the same number of labels, at least one, before the sample")
+    if not levels or min(levels) < 1 or max(levels) >= depths[0]:
+        raise ValueError(f"levels go from 1 to {depths[0] - 1}")
+    df = table.withColumns({"__sample": F.trim(F.element_at(parts, -1)), "__labels": F.array(*[F.trim(F.get(parts, F.lit(depths[0] - 1 - k))) for k in levels])})
+    df = df.withColumn("__sample", F.when(F.col("__sample") == "", F.raise_error(F.lit("an empty sample")).cast("string")).otherwise(F.col("__sample")))
+    order = [f"`{c}`" for c in table.columns]
+    df = tables.suffixed(df, "__sample", order).where(F.forall("__labels", lambda x: x != ""))
+    long = df.select(F.col("name").alias("sample"), F.array_join("__labels", delimiter).alias("label"), *[F.col(f"`{c}`").cast("string").alias(c) for c in rest]).unpivot(["sample", "label"], rest, "feature", "v")
+    x = F.trim("v").try_cast("double")
+    bad = F.raise_error(F.concat(F.lit("not 0 or 1: "), F.coalesce("v", F.lit("NULL")), F.lit(" in "), F.col("feature"))).cast("double")
+    return long.select("sample", "label", "feature", F.when(x.isin(0.0, 1.0), x).otherwise(bad).alias("value"))
+
+
+def data_type(states: DataFrame, missing: str = "nd") -> str:
+    """binary if all states of rows (state) but missing ones are 0 or 1, else character; no more than 33 distinct states are looked at, as more can't be binary."""
+    found = states.select(F.lower(F.trim(F.col("state").cast("string"))).alias("s")).where((F.col("s") != missing) & F.col("s").isNotNull()).distinct().limit(33).collect()
+    return "binary" if found and {r["s"] for r in found} <= {"0", "1"} else "character"
+
+
 def bed(spark: SparkSession, path: str) -> DataFrame:
     """(chrom, pos, name) of a BED file; starts count from 0, positions from 1."""
     f = F.split("line", "\t")

@@ -20,13 +20,18 @@ def bed_lines(sites: DataFrame) -> DataFrame:
     return sites.select("chrom", "pos").distinct().select(F.concat_ws("\t", "chrom", F.col("pos") - 1, "pos").alias("value"))
 
 
-def vcf_lines(calls: DataFrame, sample: str) -> DataFrame:
-    """Lines (ord, value) of a VCF of calls (chrom, pos, ref, allele, depth, fraction, state); sites without a call are missing, not reference."""
+def vcf_body(calls: DataFrame) -> DataFrame:
+    """calls (chrom, pos, ref, allele, depth, fraction, state, ...) with `value`, their VCF lines; sites without a call are missing, not reference."""
     gt = F.when(F.col("state") != "called", "./.").when(F.col("allele") == F.col("ref"), "0/0").otherwise("1/1")
     alt = F.when((F.col("state") == "called") & (F.col("allele") != F.col("ref")), F.col("allele")).otherwise(".")
-    body = calls.select(F.lit(1).alias("k"), "chrom", "pos", F.concat_ws("\t", "chrom", "pos", F.lit("."), "ref", alt, F.lit("."), F.lit("PASS"), F.concat(F.lit("DP="), "depth", F.lit(";AF="), F.format_string("%.3f", "fraction")), F.lit("GT:DP"), F.concat_ws(":", gt, "depth")).alias("value"))
+    return calls.withColumn("value", F.concat_ws("\t", "chrom", "pos", F.lit("."), "ref", alt, F.lit("."), F.lit("PASS"), F.concat(F.lit("DP="), "depth", F.lit(";AF="), F.format_string("%.3f", "fraction")), F.lit("GT:DP"), F.concat_ws(":", gt, "depth")))
+
+
+def vcf_lines(calls: DataFrame, sample: str) -> DataFrame:
+    """Lines (ord, value) of a VCF of one sample's calls, with its header."""
     head = calls.sparkSession.createDataFrame([(0, "", 0, "##fileformat=VCFv4.2\n#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\t" + sample)], "k int, chrom string, pos long, value string")
-    return head.unionByName(body.withColumn("pos", F.col("pos").cast("long"))).select(F.struct("k", "chrom", "pos").alias("ord"), "value")
+    body = vcf_body(calls).select(F.lit(1).alias("k"), "chrom", F.col("pos").cast("long").alias("pos"), "value")
+    return head.unionByName(body).select(F.struct("k", "chrom", "pos").alias("ord"), "value")
 
 
 def matrix_lines(matrix: DataFrame) -> DataFrame:

@@ -45,6 +45,32 @@ def test_record_ladder(spark, ref, alt, failed, genome, state):
     assert one(spark, genotype.record_state(F.lit(ref), F.lit(alt), F.lit("1/1"), F.lit(failed), F.lit(genome).cast("string"))) == state
 
 
+@pytest.mark.parametrize(
+    ("ref", "alt", "gt", "state", "allele"),
+    [
+        ("A", "G,<NON_REF>", "1/1", ALTERNATE, "G"),
+        ("A", "G,<NON_REF>", "2/2", UNRESOLVED, None),
+        ("A", "<NON_REF>", "0/0", REFERENCE, "A"),
+        ("AT", "<NON_REF>", "0/0", REFERENCE, "AT"),
+        ("A", "<*>", "1/1", UNRESOLVED, None),
+        ("A", ".", "0/0", REFERENCE, "A"),
+        ("A", ".", "1/1", UNRESOLVED, None),
+        ("A", "C,G", "1/1", UNRESOLVED, None),
+        ("A", "C,G,<NON_REF>", "1/1", UNRESOLVED, None),
+        ("A", "g", "1|1", ALTERNATE, "G"),
+        ("AT", "G", "1/1", UNRESOLVED, None),
+        ("A", "GT", "1/1", UNRESOLVED, None),
+        ("A", "G,<NON_REF>", "0/1", UNRESOLVED, None),
+        ("A", "G,<NON_REF>", "./.", MISSING, None),
+    ],
+)
+def test_gvcf_records(spark, ref, alt, gt, state, allele):
+    r, a, g = F.lit(ref), F.lit(alt), F.lit(gt)
+    found = genotype.record_state(r, a, g, F.lit(False))
+    got = one(spark, F.struct(found.alias("s"), genotype.called_allele(r, a, g, found).alias("a")))
+    assert (got["s"], got["a"]) == (state, allele)
+
+
 def test_quality_reasons(spark):
     n = F.lit(None).cast("double")
     q = lambda *x, **k: one(spark, genotype.qc_reasons(*[F.lit(v) if not isinstance(v, type(n)) else v for v in x], genotype.Quality(**k)))
@@ -85,8 +111,11 @@ def test_parsing(spark):
     assert one(spark, genotype.sample_map(F.lit("GT:DP:GQ"), F.lit("0/1:7"))) == {"GT": "0/1", "DP": "7", "GQ": ""}
     assert one(spark, genotype.gt_indices(F.lit("0/1|1"))) == [0, None]
     assert one(spark, genotype.is_phased(F.lit("0|1"))) is True
-    for text, want in ((" x.g.vcf.gz", "x"), ("err12_SRR3", "err12_SRR3"), ("a/SRR7.vcf", "SRR7"), ("N/A", ""), ("s_library12", "s")):
+    for text, want in ((" x.g.vcf.gz", "x.g"), ("x.gz", "x"), ("err12_SRR3", "err12_SRR3"), ("XERR12", "XERR12"), ("run_LIBRARY3", "run"), ("SRR5/SRR5.sorted.bam", "SRR5"), ("a/SRR7.vcf", "SRR7"), ("N/A", ""), ("s_library12", "s")):
         assert one(spark, genotype.sample_id(F.lit(text))) == want
+    for text, want in (("/a/b.g.vcf.gz", "b"), ("b.G.VCF", "b"), ("b.g.bcf", "b.g"), ("x.y.txt", "x.y"), ("plain", "plain")):
+        assert one(spark, genotype.sample_of_path(F.lit(text))) == want
+    assert one(spark, genotype.sample_id(F.lit("s_library2 SRR1"), strip_library=False)) == "s_library2 SRR1"
     assert one(spark, genotype.number(F.lit("nan"))) is None and one(spark, genotype.number(F.lit("1e400"))) is None
 
 

@@ -180,8 +180,13 @@ def test_model_or_profile(spark):
 
 
 def test_guard_and_review(spark):
-    steps = spark.createDataFrame([("a", "susceptible", 0.9, 9, "resolved_marker_evidence_present"), ("b", "Susceptible", 0.01, 1, "low_resolved_marker_evidence"), ("c", "resistant", 0.0, 0, "x")], "sample string, label string, resolved double, n_resolved long, status string")
-    assert {r["sample"]: r["guard"] for r in hierarchy.guarded(steps).collect()} == {"a": "none", "b": "warning", "c": "none"}
+    steps = spark.createDataFrame([(x, "drug", *r) for x, *r in (("a", "susceptible", 0.9, 9, "resolved_marker_evidence_present"), ("b", "Susceptible", 0.01, 1, "low_resolved_marker_evidence"), ("c", "resistant", 0.0, 0, "x"), ("d", "susceptible", 0.0, 0, "x"))], "sample string, label_column string, label string, resolved double, n_resolved long, status string")
+    shown = lambda df: {r["sample"]: (r["reported"], r["routing"], r["guard"]) for r in df.collect()}
+    plain = {"a": ("susceptible", "susceptible", "none"), "c": ("resistant", "resistant", "none")}
+    assert shown(hierarchy.guarded(steps, ("Drug",))) == plain | {"b": ("Susceptible", "Susceptible", hierarchy.WARNED), "d": ("susceptible", "susceptible", hierarchy.WARNED)}
+    terminal = spark.createDataFrame([("b", "Resistant", 0.5, "global"), ("d", "resistant", 0.4, "global"), ("a", "resistant", 1.0, "global")], "sample string, prediction string, resistant_probability double, source string")
+    assert shown(hierarchy.guarded(steps, ("drug",), terminal, "block")) == plain | {"b": ("Resistant", "Resistant", hierarchy.ESCALATED), "d": (hierarchy.BLOCKED, "susceptible", hierarchy.BLOCKED)}
+    assert all(x[2] == "none" for x in shown(hierarchy.guarded(steps, ("other",))).values())
     labels = spark.createDataFrame([("amr", "resistant")] * 20 + [("amr", "susceptible")] * 3 + [("amr", "nan"), ("amr", None)], "label_column string, label string")
     policy = hierarchy.support_policy(labels, 2, 10)
     assert {r["class"]: (r["n"], r["excluded"], r["review"]) for r in policy.collect()} == {"resistant": (20, False, False), "susceptible": (3, False, True)}
@@ -191,3 +196,135 @@ def test_guard_and_review(spark):
 def test_trees_as_text(spark):
     e = hierarchy.prefixes(spark.createDataFrame([(["A", "1"],), (["A", "2"],), (["B", "1"],)], "labels array<string>"))
     assert hierarchy.newick(e) == "((1,2)A,(1)B);" and hierarchy.outline(e) == "A\n  1\n  2\nB\n  1"
+
+
+def test_nearest_against_brute_force(spark):
+    import random
+
+    from helixmark.operators import joins
+
+    rng = random.Random(3)
+    blocks = [(k, s, s + rng.randrange(0, 30), i) for i, (k, s) in enumerate((rng.choice("ab"), rng.randrange(0, 2000)) for _ in range(60))]
+    points = [(i, rng.choice("abc"), rng.randrange(-50, 2100)) for i in range(300)]
+    b = spark.createDataFrame(blocks, "k string, start long, end long, ord long")
+    p = spark.createDataFrame(points, "id long, k string, pos long")
+    for width in (7, 100, 10**6):
+        got = {r["id"]: (r["ord"], r["distance"]) for r in joins.nearest(p, b, ["k"], "pos", "start", "end", "ord", width).collect()}
+        for i, k, x in points:
+            near = [(max(s - x, x - e, 0), o) for kk, s, e, o in blocks if kk == k]
+            assert got[i] == (min(near)[::-1] if near else (None, None))
+
+
+def test_call_lookup(spark):
+    from helixmark.operators import lookup
+
+    calls = spark.createDataFrame([("s", "c", 5, "CALLED_ALTERNATE", "G"), ("s", "d", 9, "CALLED_REFERENCE", "A"), ("s", "e", 9, "CALLED_ALTERNATE", "T")], "sample string, chrom string, pos long, state string, allele string")
+    blocks = spark.createDataFrame([("s", "c", 4, 8, 2, "T"), ("s", "c", 6, 9, 1, "C"), ("s", "d", 20, 30, 1, "G")], "sample string, chrom string, start long, end long, ord long, ref string")
+    aliases = spark.createDataFrame([("x", "d"), ("y", "d"), ("e", "x")], "source string, target string")
+    req = spark.createDataFrame([("s", c, p) for c, p in (("c", 5), ("c", 6), ("c", 4), ("c", 10), ("y", 9), ("x", 9), ("y", 25), ("z", 1), ("z", 5), ("z", 9))], "sample string, chrom string, pos long")
+    got = {(r["chrom"], r["pos"]): (r["state"], r["allele"], r["from_block"], r["match"]) for r in lookup.call_lookup(req, calls, blocks, aliases, True, 4).collect()}
+    none = (None, None, False)
+    assert got == {
+        ("c", 5): ("CALLED_ALTERNATE", "G", False, lookup.EXACT),
+        ("c", 6): ("CALLED_REFERENCE", "C", True, lookup.BLOCK),
+        ("c", 4): ("CALLED_REFERENCE", "T", True, lookup.BLOCK),
+        ("c", 10): (*none, lookup.ABSENT),
+        ("y", 9): ("CALLED_REFERENCE", "A", False, lookup.ALIAS),
+        ("x", 9): (*none, lookup.AMBIGUOUS),
+        ("y", 25): ("CALLED_REFERENCE", "G", True, lookup.ALIAS_BLOCK),
+        ("z", 1): (*none, lookup.ABSENT),
+        ("z", 5): ("CALLED_ALTERNATE", "G", False, lookup.ANYWHERE),
+        ("z", 9): (*none, lookup.AMBIGUOUS_ANYWHERE),
+    }
+    for bad in ([("x", " ")], [("x", "d"), ("x", "e")]):
+        with pytest.raises(Exception, match="alias"):
+            lookup.contig_candidates(spark.createDataFrame(bad, "source string, target string")).collect()
+
+
+def test_context_hits_against_brute_force(spark):
+    import random
+
+    from helixmark.operators import lookup
+
+    rng = random.Random(4)
+    seqs = {i: "".join(rng.choice("ACGT") for _ in range(400)) for i in range(3)}
+    rc = lambda x: x[::-1].translate(str.maketrans("ACGT", "TGCA"))
+    contexts = []
+    for n, (i, at) in enumerate([(0, 50), (1, 0), (2, 379), (0, 200), (1, 383), (2, 100)]):
+        piece = (seqs[i] + "ACGT" * 6)[at : at + 21]
+        letters = list(piece)
+        for k in rng.sample(range(21), n % 3):
+            letters[k] = rng.choice("ACGT")
+        piece = "".join(letters)
+        contexts.append((n, rc(piece) if n % 2 else piece, 10))
+    want = set()
+    for n, c, centre in contexts:
+        for strand, text, mid in (("plus", c, centre), ("minus", rc(c), 20 - centre)):
+            for i, seq in seqs.items():
+                for start in range(-20, len(seq)):
+                    lo, hi = max(0, -start), min(21, len(seq) - start)
+                    if hi - lo >= 0.8 * 21 and lo <= mid < hi:
+                        m = sum(a != b for a, b in zip(text[lo:hi], seq[start + lo : start + hi]))
+                        if m <= 2:
+                            base = seq[start + mid]
+                            want.add((n, i, start + mid + 1, strand, rc(base) if strand == "minus" else base, m, hi - lo))
+    hits = lookup.context_hits(spark.createDataFrame(list(seqs.items()), "subject_id long, seq string"), spark.createDataFrame(contexts, "context_id long, context string, centre int"), 2)
+    assert {tuple(r)[:-1] for r in hits.collect()} == want and len(want) >= 6
+    best = {r["context_id"]: r["status"] for r in lookup.best_context_hits(hits, ["context_id"]).collect()}
+    assert best[0] == "mapped_unique_context"
+
+
+def test_statistics_of_disjoint_and_empty_vectors(spark):
+    import numpy as np
+
+    from helixmark.operators import stats
+
+    rng = np.random.default_rng(5)
+    x = (rng.random((14, 9)) < 0.25).astype(int)
+    x[:3] = 0
+    x[3] = [1] * 4 + [0] * 5
+    x[4] = [0] * 4 + [1] * 5
+    v = spark.createDataFrame([(i, [int(b) for b in r], "ab"[i % 2]) for i, r in enumerate(x)], "id long, bits array<int>, label string")
+    inter = x @ x.T
+    union = x.sum(1)[:, None] + x.sum(1)[None] - inter
+    jac = np.where(union > 0, 1 - inter / np.maximum(union, 1), 0.0)
+    ham = (x[:, None] != x[None]).mean(-1)
+    for f, want in ((stats.jaccard(stats.ones(v)), jac), (stats.hamming(v), ham)):
+        got = {(r["i"], r["j"]): r["d"] for r in f.collect()}
+        assert len(got) == 91 and all(abs(d - want[k]) < 1e-12 for k, d in got.items())
+    labels = v.select("id", "label")
+    y = np.arange(14) % 2
+    total = (jac**2).sum() / 28
+    within = sum((jac[np.ix_(y == g, y == g)] ** 2).sum() / (2 * (y == g).sum()) for g in (0, 1))
+    f = stats.permanova(stats.jaccard(stats.ones(v)), labels).first()
+    assert abs(f["f"] - (total - within) / (within / 12)) < 1e-9
+    iu = np.triu_indices(14, 1)
+    r = np.corrcoef(jac[iu], (y[:, None] != y[None])[iu])[0, 1]
+    values = stats.permuted_r(stats.jaccard(stats.ones(v)), labels, 7, 2)
+    rows = {z["replicate"]: z["r"] for z in values.collect()}
+    assert abs(rows[0] - r) < 1e-9 and len(rows) == 8
+    p = stats.permutation_p(values, "r", two_sided=True).first()["p"]
+    assert abs(p - (sum(abs(rows[k]) >= abs(rows[0]) for k in range(1, 8)) + 1) / 8) < 1e-12
+    fs = {z["replicate"]: z["f"] for z in stats.permuted_f(stats.jaccard(stats.ones(v)), labels, 5, 2).collect()}
+    assert abs(fs[0] - f["f"]) < 1e-9
+    apart = spark.createDataFrame([(0, [1, 0], "a"), (1, [1, 0], "a"), (2, [0, 1], "b"), (3, [0, 1], "b")], "id long, bits array<int>, label string")
+    assert stats.permanova(stats.jaccard(stats.ones(apart)), apart.select("id", "label")).first()["f"] == float("inf")
+
+
+def test_small_table_operators(spark):
+    from helixmark.operators import ordering, tables
+
+    t = spark.createDataFrame([(i, f"x{i % 5}", i % 3) for i in range(40)], "id long, k string, v long")
+    got = {r["id"]: r["n"] for r in ordering.numbered(t, ["v", "id"], "n").collect()}
+    assert got == {i: n for n, i in enumerate(sorted(range(40), key=lambda i: (i % 3, i)), 1)}
+    sums = {r["id"]: r["s"] for r in ordering.running(t, ["id"], {"s": F.col("v")}).collect()}
+    assert sums == {i: sum(k % 3 for k in range(i)) for i in range(40)}
+    with pytest.raises(Exception, match="duplicate id"):
+        tables.assert_unique(t, "k").collect()
+    assert tables.assert_unique(t, "id").count() == 40
+    with pytest.raises(Exception, match="missing state"):
+        tables.encoded(spark.createDataFrame([("s", "f", "nan")], "sample string, feature string, state string")).collect()
+    labels = lambda rows: [r["label"] for r in tables.evaluation_labels(spark.createDataFrame([(x,) for x in rows], "f string"), "f").collect()]
+    assert labels(["-1|a|b|s", "3|c|d|t"]) == ["a|b", "c|d"] and labels(["1|a|b|s", "c|d|t"]) == ["1|a|b", "c|d"] and labels(["q"]) == ["q"]
+    with pytest.raises(Exception, match="empty part"):
+        labels(["a||s"])
