@@ -56,19 +56,28 @@ def op3_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiff.read_back(tiff.encode(_read(spark, sf_dir, "documents")), _stored)
 
 
-#: How the transcripts of op4 mark speakers; a transcript has one style.
-STYLES = (("System: ", "User: ", "Assistant: "), ("### System\n", "### Human\n", "### Assistant\n"), ("[sys] ", "[q] ", "[a] "), ("<|system|>", "<|user|>", "<|assistant|>"), ("**Instructions**: ", "**Customer**: ", "**Agent**: "))
+#: How the transcripts of op4 mark speakers; a transcript has one style. The last three have names that no list of the parser has.
+STYLES = (
+    ("System: ", "User: ", "Assistant: "),
+    ("### System\n", "### Human\n", "### Assistant\n"),
+    ("[sys] ", "[q] ", "[a] "),
+    ("<|system|>", "<|user|>", "<|assistant|>"),
+    ("**Instructions**: ", "**Customer**: ", "**Agent**: "),
+    ("Narrator: ", "Visitor: ", "Guide: "),
+    ("Rules: ", "Alice: ", "Bob: "),
+    ("Chair: ", "Delegate: ", "Clerk: "),
+)
 
 
 def transcripts(conversations: DataFrame) -> DataFrame:
-    """Conversations as raw transcripts: each row's text behind a speaker marker of its transcript's style; a quarter of the rows have none."""
+    """Conversations as raw transcripts: each row's text behind a speaker marker of its transcript's style; every third row has none. `known` tells whether the style's names are the parser's."""
     style = F.crc32(F.coalesce(F.col("conv_id").cast("string"), F.lit(""))) % len(STYLES)
-    bare = F.crc32(F.concat_ws(":", F.col("conv_id"), F.col("turn"))) % 4 == 0
+    bare = F.crc32(F.concat_ws(":", F.col("conv_id"), F.col("turn"))) % 3 == 0
     mark = F.lit("")
     for k, names in enumerate(STYLES):
         for role, name in zip(("system", "user", "assistant"), names):
             mark = F.when((style == k) & (F.col("role") == role) & ~bare, F.lit(name)).otherwise(mark)
-    return conversations.withColumn("raw", F.concat(mark, F.coalesce("text", F.lit(""))))
+    return conversations.withColumns({"raw": F.concat(mark, F.coalesce("text", F.lit(""))), "known": style < 5, "marked": mark != ""})
 
 
 #: Turns of a transcript that op4 has in one text, at most.
