@@ -1,4 +1,7 @@
-"""Coding annotation of single-base variants over CDS parts."""
+"""Coding annotation of single-base variants over CDS parts.
+
+Contigs are cut into tiles, and places meet tiles: no row carries a whole contig, and a contig's rows spread over its tiles.
+"""
 
 from __future__ import annotations
 
@@ -9,6 +12,31 @@ from ..functions import sequence
 from . import joins
 
 
+#: Letters of a tile.
+TILE = 10_000
+
+
+def tiles(genome: DataFrame, flank: int = 0, width: int = TILE) -> DataFrame:
+    """(contig, tile, piece) of sequences (contig, seq): `width` letters, with so many more on either side as the sequence goes on in a circle."""
+    n = F.length("seq")
+    around = F.expr(f"repeat(seq, cast(ceil({flank} / length(seq)) AS int))")
+    whole = F.concat(F.substring(around, -flank, flank), F.col("seq"), F.substring(around, 1, flank)) if flank else F.col("seq")
+    df = genome.where(n > 0).select("contig", whole.alias("seq"), F.explode(F.sequence(F.lit(0), F.floor((n - 1) / width))).alias("tile"))
+    return df.select("contig", F.col("tile").cast("long").alias("tile"), F.expr(f"substring(seq, cast(tile * {width} + 1 AS int), {width + 2 * flank})").alias("piece"))
+
+
+def tile_of(pos, width: int = TILE):
+    """The tile of a 1-based place."""
+    return F.floor((pos - 1) / width)
+
+
+def contexts(sites: DataFrame, genome: DataFrame, flank: int, width: int = TILE) -> DataFrame:
+    """sites (contig, pos, ...) with `context`: 2 * flank + 1 letters around each, of a circular sequence; places outside are left out."""
+    df = sites.withColumn("tile", tile_of(F.col("pos"), width)).join(tiles(genome, flank, width), ["contig", "tile"])
+    text = F.expr(f"substring(piece, cast(pos - tile * {width} AS int), {2 * flank + 1})")
+    return df.where("pos >= 1").withColumn("context", text).where(F.length("context") == 2 * flank + 1).select(*sites.columns, "context")
+
+
 def coding_parts(parts: DataFrame) -> DataFrame:
     """parts (contig, feature_order, part_order, start, end, strand) with `offset`: coding bases before the part, in the direction of the strand."""
     size = F.col("end") - F.col("start") + 1
@@ -16,11 +44,15 @@ def coding_parts(parts: DataFrame) -> DataFrame:
     return parts.withColumn("offset", F.coalesce(F.sum(size).over(w), F.lit(0)))
 
 
-def coding_sequences(parts: DataFrame, genome: DataFrame) -> DataFrame:
+def coding_sequences(parts: DataFrame, genome: DataFrame, width: int = TILE) -> DataFrame:
     """(contig, feature_order, coding): spliced sequence of each feature, in the direction of its strand."""
-    g = parts.join(genome, "contig")
-    piece = F.expr("substring(seq, cast(start AS int), cast(end - start + 1 AS int))")
-    piece = F.when(F.col("strand") < 0, sequence.reverse_complement(piece)).otherwise(piece)
+    first, last = tile_of(F.col("start"), width), tile_of(F.col("end"), width)
+    cut = parts.withColumn("tile", F.explode(F.sequence(first, last))).join(tiles(genome, 0, width), ["contig", "tile"])
+    lo, hi = F.greatest(F.col("start"), F.col("tile") * width + 1), F.least(F.col("end"), (F.col("tile") + 1) * width)
+    cut = cut.withColumns({"lo": lo, "hi": hi}).withColumn("bit", F.expr(f"substring(piece, cast(lo - tile * {width} AS int), cast(hi - lo + 1 AS int))"))
+    bits = F.array_sort(F.collect_list(F.struct("tile", "bit")))
+    g = cut.groupBy("contig", "feature_order", "offset", "strand").agg(F.array_join(F.transform(bits, lambda x: x["bit"]), "").alias("piece"))
+    piece = F.when(F.col("strand") < 0, sequence.reverse_complement(F.col("piece"))).otherwise(F.col("piece"))
     each = F.array_sort(F.collect_list(F.struct("offset", piece.alias("p"))))
     return g.groupBy("contig", "feature_order").agg(F.array_join(F.transform(each, lambda x: x["p"]), "").alias("coding"))
 
@@ -33,7 +65,9 @@ def annotate(snps: DataFrame, parts: DataFrame, genome: DataFrame, width: int =
     base that differs ref_mismatch.
     """
     parts = coding_parts(parts)
-    base = snps.join(genome.select("contig", F.length("seq").alias("n"), F.col("seq")), "contig", "left").withColumn("there", F.expr("substring(seq, cast(pos AS int), 1)"))
+    sizes = genome.select("contig", F.length("seq").alias("n"))
+    base = snps.withColumn("tile", tile_of(F.col("pos"))).join(tiles(genome), ["contig", "tile"], "left").join(sizes, "contig", "left")
+    base = base.withColumn("there", F.expr(f"substring(piece, cast(pos - tile * {TILE} AS int), 1)"))
     bad = F.when(F.col("n").isNull() | (F.col("pos") < 1) | (F.col("pos") > F.col("n")), "out_of_range").when(F.upper("there") != F.upper("ref"), "ref_mismatch")
     base = base.select("contig", "pos", "ref", "alt", bad.alias("bad"))
     good = base.where("bad IS NULL").drop("bad")

@@ -101,11 +101,17 @@ def imputed(matrix: DataFrame, fill: DataFrame) -> DataFrame:
     return matrix.join(fill, "feature", "left").select("sample", "feature", F.coalesce("value", "fill", F.lit(0.0)).alias("value"))
 
 
+def crossed(samples: DataFrame, listed: DataFrame, chunk: int = 10_000) -> DataFrame:
+    """Each of samples with each row of a list, which is dealt to chunks of about so many rows; samples meet chunks in an equi join that Spark sizes."""
+    n = max(1, -(-listed.count() // chunk))
+    lists = listed.groupBy(F.pmod(F.xxhash64(*listed.columns), F.lit(n)).cast("int").alias("__chunk")).agg(F.collect_list(F.struct(*listed.columns)).alias("__rows"))
+    each = samples.withColumn("__chunk", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).join(lists, "__chunk")
+    return each.select(*samples.columns, F.inline("__rows"))
+
+
 def aligned(matrix: DataFrame, features: DataFrame) -> DataFrame:
     """matrix for the features asked for (feature, ord), absent ones NULL, in their order; `present` tells them apart."""
-    samples = matrix.select("sample").distinct()
-    listed = features.groupBy().agg(F.collect_list(F.struct("feature", "ord")).alias("f"))
-    grid = samples.join(F.broadcast(listed)).select("sample", F.inline("f"))  # one row: a model's feature list
+    grid = crossed(matrix.select("sample").distinct(), features.select("feature", "ord"))
     m = matrix.select("sample", "feature", "value", F.lit(True).alias("present"))
     return grid.join(m, ["sample", "feature"], "left").withColumn("present", F.coalesce("present", F.lit(False)))
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.genotype import REFERENCE
 from ..functions.sequence import reverse_complement
-from . import joins
+from . import cohort, joins
 
 #: How a request was met.
 EXACT, BLOCK, ALIAS, ALIAS_BLOCK, AMBIGUOUS, ABSENT = ("exact_sequence_position", "gvcf_ref_block", "contig_alias", "gvcf_ref_block_contig_alias", "ambiguous_contig_alias", "absent")
@@ -130,8 +130,7 @@ def allowed_alleles(text):
 
 def marker_states(best: DataFrame, markers: DataFrame, data_type: str, missing: str = "nd") -> DataFrame:
     """(sample, marker, state) of best hits (sample, context_id, observed) for markers (marker, common): binary 0 for the common base and 1 for others, else the base; missing without a hit, or a common base."""
-    samples = best.select("sample").distinct()
-    grid = samples.join(F.broadcast(markers.groupBy().agg(F.collect_list(F.struct("marker", "common")).alias("m")))).select("sample", F.inline("m"))  # a model's marker list
+    grid = cohort.crossed(best.select("sample").distinct(), markers.select("marker", "common"))
     df = grid.join(best.select("sample", F.col("context_id").alias("marker"), "observed"), ["sample", "marker"], "left")
     base = F.upper(F.trim("common"))
     state = F.when(F.col("observed") == base, "0").otherwise("1") if data_type == "binary" else F.col("observed")

@@ -242,8 +242,7 @@ def imputed_symbols(symbols: DataFrame, markers: DataFrame, kind: str, missing:
 
     A missing state is "1" for binary data, else the common state or N. A state that the model doesn't know becomes "1" if that is known, else the first known one.
     """
-    samples = symbols.select("sample").distinct()
-    grid = samples.join(F.broadcast(markers.groupBy().agg(F.collect_list(F.struct("feature", "common", "known")).alias("m")))).select("sample", F.inline("m"))  # a model's marker list
+    grid = cohort.crossed(symbols.select("sample").distinct(), markers.select("feature", "common", "known"))
     df = grid.join(symbols.select("sample", "feature", F.trim("state").alias("state")), ["sample", "feature"], "left")
     given = F.when(F.lower(F.coalesce("state", F.lit(missing))) != missing, F.col("state"))
     filled = F.coalesce(given, F.lit("1")) if kind == "binary" else F.coalesce(given, F.nullif(F.upper(F.trim("common")), F.lit("")), F.lit("N"))

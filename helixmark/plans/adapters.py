@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import encode, genotype
 from ..operators import cohort, hierarchy
+from ..storage import materialise
 
 LAST = ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"]
 
@@ -68,12 +69,10 @@ def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def resolved(spark: SparkSession, sf_dir: str, absent_is_reference: bool = True) -> DataFrame:
-    """Every (sample, feature) with its state, encoded value and label. Features are a manifest of bounded size, so they're broadcast."""
+    """Every (sample, feature) with its state, encoded value and label."""
     calls = latest(spark, sf_dir)
     m = manifest(spark, sf_dir)
-    samples = calls.select("sample").distinct()
-    listed = m.groupBy().agg(F.collect_list(F.struct(*m.columns)).alias("f"))  # at most 2 * 200 * 3 rows
-    grid = samples.join(F.broadcast(listed)).select("sample", F.inline("f"))
+    grid = cohort.crossed(calls.select("sample").distinct(), m)
     c = calls.select("sample", "chrom", "pos", F.col("state").alias("called"), "allele")
     df = grid.join(c, ["sample", "chrom", "pos"], "left")
     absent = genotype.REFERENCE if absent_is_reference else genotype.ABSENT
@@ -100,7 +99,9 @@ def trained(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Dat
     m, labels = matrix(spark, sf_dir), sample_labels(spark, sf_dir)
     tree = hierarchy.prefixes(labels)
     members = labels.select("sample", F.explode(F.expr("transform(sequence(1, size(labels)), k -> array_join(slice(labels, 1, k), '|'))")).alias("child"))
-    return m, tree, hierarchy.profiles(m, members, tree)
+    # both are read at every level of a walk
+    m = materialise(m, "trained-matrix")
+    return m, tree, materialise(hierarchy.profiles(m, members, tree), "trained-profiles", few=True)
 
 
 def coords(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -182,10 +182,8 @@ def snp_annotation(s, d):
 
 @query(f"WITH {_GENOME}, kk AS (SELECT contig, seq, unnest(range(1, (length(seq) + 2) // 3 + 1)) AS k FROM genome), s0 AS (SELECT contig, seq, k * 3 - 2 + k % 3 AS pos FROM kk WHERE k * 3 - 2 + k % 3 <= length(seq)) SELECT contig, pos, array_to_string(list_transform(range(-10, 11), lambda j: substr(seq, ((pos - 1 + j) % length(seq) + length(seq)) % length(seq) + 1, 1)), '') AS context FROM s0")
 def snp_contexts(s, d):
-    from ..functions import sequence
-
     g, snps = _snps(s, d)
-    return snps.join(g, "contig").select("contig", "pos", sequence.circular_context(F.col("seq"), F.col("pos"), 10).alias("context"))
+    return annotation.contexts(snps.select("contig", "pos"), g, 10)
 
 
 # matrices' last steps -------------------------------------------------------------------------------
@@ -283,10 +281,14 @@ def decision_tree_gated(s, d):
     return models.predict(models.train(wide, labels, features, models.ESTIMATORS["decision_tree"]()), wide, verdicts)
 
 
+#: What model_recommendation runs: boosted trees and the perceptron take too long for all folds and levels (README).
+CANDIDATES = ["logistic_regression", "linear_svc", "random_forest", "decision_tree", "nearest_neighbours", "naive_bayes"]
+
+
 @query(None)
 def model_recommendation(s, d):
-    """(level, model, score) of all eight candidates by stratified folds, over both levels of the labels; a level without folds has the fallback, without a score."""
+    """(level, model, score) of six candidates by stratified folds, over both levels of the labels; a level without folds has the fallback, without a score."""
     wide, labels, features = _training(s, d)
     levels = [("region", labels), ("nation", a.sample_labels(s, d).select("sample", F.array_join("labels", "|").alias("label")))]
-    got = [(name, model, score) for name, own in levels for model, score in models.search(wide, own, features)]
+    got = [(name, model, score) for name, own in levels for model, score in models.search(wide, own, features, CANDIDATES)]
     return s.createDataFrame(got, "level string, model string, score double")

@@ -22,7 +22,7 @@ def load(text: str, base=Quality()):
     return dataclasses.replace(base, **{k: tuple(v) if isinstance(v, list) else v for k, v in given.items() if k in known})
 
 
-def read(spark: SparkSession, path: str | None, base=Quality()):
+def read(spark: SparkSession | None, path: str | None, base=Quality()):
     """As load(), from a file of any file system that Spark reads; base itself without a path."""
     if path is None:
         return base

@@ -68,7 +68,7 @@ def vcf(spark: SparkSession, path) -> DataFrame:
     body = lines.where(~F.col("line").startswith("#")).withColumn("f", F.split("line", "\t")).where(F.size("f") >= 8)
     get = lambda i: F.get("f", F.lit(i))
     name = genotype.sample_id(genotype.sample_of_path(F.col("file")))
-    return body.join(F.broadcast(head), "file", "left").select(  # a row per file
+    return body.join(head, "file", "left").select(
         F.coalesce(F.when(F.trim("named") != "", genotype.sample_id(F.col("named"))), name).alias("sample"),
         F.col("n").alias("line_no"),
         get(0).alias("chrom"),

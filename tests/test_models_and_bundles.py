@@ -101,15 +101,76 @@ def test_two_level_routing(spark):
     assert {r["sample"]: (r["model"], r["tier"]) for r in traverse.tiered_payload(s, g, m).collect()} == {"a": ("own", "group"), "b": ("bin", "binary")}
 
 
+def test_search_and_gain(training):
+    """Candidates of one problem: scored by folds, in order; nearest neighbours against brute force; the fallback without folds."""
+    wide, labels = training
+    got = models.search(wide, labels, [1, 2, 3], ["naive_bayes", "decision_tree", "nearest_neighbours"], 4)
+    assert [n for n, _ in got][0] in ("decision_tree", "naive_bayes") and all(s is not None and s >= 0.9 for n, s in got if n != "nearest_neighbours")
+    rows = {r["sample"]: [int(r[f"f_{k}"]) for k in (1, 2, 3)] for r in wide.collect()}
+    fold = {r["sample"]: (r["fold"], r["label"]) for r in models.folds(labels, 4).collect()}
+    of = models.neighbours(40)
+    per: dict = {}
+    for i, x in rows.items():
+        others = sorted((sum(a != b for a, b in zip(x, y)) / 3, j) for j, y in rows.items() if fold[j][0] != fold[i][0])[:of]
+        votes: dict = {}
+        for d, j in others:
+            votes[fold[j][1]] = votes.get(fold[j][1], 0) + 1 / (d + 1e-9)
+        best = min(votes, key=lambda k: (-round(votes[k], 6), k))
+        per.setdefault(fold[i], []).append(best == fold[i][1])
+    recall = {k: sum(v) / len(v) for k, v in per.items()}
+    want = sum(sum(r for (f, _), r in recall.items() if f == k) / 2 for k in range(4)) / 4
+    assert dict(got)["nearest_neighbours"] == pytest.approx(want)
+    assert models.nonlinear_gain([("decision_tree", 0.9), ("naive_bayes", 0.7), ("logistic_regression", None)]) == pytest.approx(0.2)
+    alone = labels.withColumn("label", F.when(F.col("sample") == 0, "x").otherwise("y"))
+    assert models.search(wide, alone, [1, 2, 3]) == [("naive_bayes", None)]
+    with pytest.raises(ValueError):
+        models.search(wide, labels, [1, 2, 3], ["magic"])
+    assert set(models.candidates(models.context_of(labels, 3))) == {"logistic_regression", "linear_svc", "random_forest", "decision_tree", "perceptron", "nearest_neighbours", "naive_bayes", "boosted_trees"}
+
+
+def test_tree_paths(training):
+    """Each sample's path holds for it, and its leaf says what the model predicts."""
+    wide, labels = training
+    model = models.train(wide, labels, [1, 2, 3], models.ESTIMATORS["decision_tree"]())
+    said = {r["sample"]: r["predicted"] for r in models.predict(model, wide).collect()}
+    values = {r["sample"]: r.asDict() for r in wide.collect()}
+    out = models.tree_paths(model, wide, [1, 2, 3]).collect()
+    assert len(out) == 40
+    for r in out:
+        assert r["predicted"] == said[r["sample"]]
+        for c in filter(None, r["path"].split("; ")):
+            f, sign, t = c.split(" ")
+            assert (values[r["sample"]][f"f_{f}"] <= float(t)) == (sign == "<=")
+
+
+def test_stored_models(spark):
+    symbols = spark.createDataFrame([("a", "f", "X"), ("a", "g", "nd"), ("a", "h", None), ("b", "f", "1"), ("b", "g", "Q")], "sample string, feature string, state string")
+    markers = spark.createDataFrame([("f", "c", ["1", "2"]), ("g", "t", ["T"]), ("h", "", None)], "feature string, common string, known array<string>")
+    shown = lambda kind: {(r["sample"], r["feature"]): r["state"] for r in models.imputed_symbols(symbols, markers, kind).collect()}
+    assert shown("character") == {("a", "f"): "1", ("a", "g"): "T", ("a", "h"): "N", ("b", "f"): "1", ("b", "g"): "T", ("b", "h"): "N"}
+    assert shown("binary")["a", "h"] == "1" and shown("binary")["a", "g"] == "T"
+
+
+def test_models_of_the_queries(spark):
+    """Fitted models have no SQL: every sample is predicted, better than by its largest class, and reruns agree."""
+    from helixmark.plans import extended
+
+    d = "/root/testdata/sf0.01"
+    labels = {r["sample"]: r["label"] for r in extended._training(spark, d)[1].collect()}
+    chance = max(list(labels.values()).count(x) for x in set(labels.values())) / len(labels)
+    for name in ("random_forest", "logistic_regression", "decision_tree_gated"):
+        out = getattr(extended, name)(spark, d).collect()
+        given = [r for r in out if r["predicted"] is not None]
+        assert len(out) == len(labels) and len(given) == (len(out) if name != "decision_tree_gated" else sum(k % 3 != 0 for k in labels))
+        assert sum(r["predicted"] == labels[r["sample"]] for r in given) / len(given) > 1.5 * chance
+        assert sorted(map(str, out)) == sorted(map(str, getattr(extended, name)(spark, d).collect()))
+
+
 def test_recommendation_over_all_levels(spark, monkeypatch):
-    """The query's levels are both scored, with the operator's folds; a level with a class of one sample has none."""
     from helixmark.plans import extended
 
     seen = []
-    monkeypatch.setattr(models, "recommend", lambda wide, levels, features, candidates, k=3: seen.append((levels, k)) or [])
-    extended.model_recommendation(spark, "/root/testdata/sf0.01")
-    levels, k = seen[0]
-    assert [name for name, _ in levels] == ["region", "nation"] and k == 3
-    assert levels[0][1].select("label").distinct().count() == 5 and all("|" in r["label"] for r in levels[1][1].collect())
-    one = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b")], "sample long, label string")
-    assert not models.evaluable(one) and models.evaluable(one.union(one))
+    monkeypatch.setattr(models, "search", lambda wide, labels, features, names=None, k=3: seen.append((labels.select("label").distinct().count(), names, k)) or [("naive_bayes", 0.5)])
+    out = extended.model_recommendation(spark, "/root/testdata/sf0.01").collect()
+    assert [(r["level"], r["model"]) for r in out] == [("region", "naive_bayes"), ("nation", "naive_bayes")]
+    assert seen[0][0] == 5 and seen[1][0] > 5 and {x[2] for x in seen} == {3}

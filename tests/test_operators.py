@@ -328,3 +328,19 @@ def test_small_table_operators(spark):
     assert labels(["-1|a|b|s", "3|c|d|t"]) == ["a|b", "c|d"] and labels(["1|a|b|s", "c|d|t"]) == ["1|a|b", "c|d"] and labels(["q"]) == ["q"]
     with pytest.raises(Exception, match="empty part"):
         labels(["a||s"])
+
+
+def test_tiles_of_contigs(spark):
+    from helixmark.operators import annotation
+
+    g = spark.createDataFrame([("a", "ACGTTGCAAC" * 7 + "GG"), ("b", "ACG"), ("c", "")], "contig string, seq string")
+    seqs = {r["contig"]: r["seq"] for r in g.collect()}
+    for flank, width in ((4, 10), (0, 7), (5, 100), (9, 8)):
+        sites = [(c, p) for c in seqs for p in range(0, len(seqs[c]) + 2)]
+        got = {(r["contig"], r["pos"]): r["context"] for r in annotation.contexts(spark.createDataFrame(sites, "contig string, pos long"), g, flank, width).collect()}
+        assert got == {(c, p): "".join(s[(p - 1 + k) % len(s)] for k in range(-flank, flank + 1)) for c, s in seqs.items() for p in range(1, len(s) + 1)}
+    parts = annotation.coding_parts(spark.createDataFrame([("a", 0, 0, 3, 60, 1), ("a", 1, 0, 2, 9, -1), ("a", 1, 1, 15, 40, -1)], "contig string, feature_order int, part_order int, start long, end long, strand int"))
+    found = {r["feature_order"]: r["coding"] for r in annotation.coding_sequences(parts, g, 10).collect()}
+    rc = lambda x: x[::-1].translate(str.maketrans("ACGT", "TGCA"))
+    a = seqs["a"]
+    assert found == {0: a[2:60], 1: rc(a[14:40]) + rc(a[1:9])}

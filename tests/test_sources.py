@@ -111,3 +111,75 @@ def test_matrix_files_are_written(spark, tmp_path):
     assert [r["value"] for r in spark.read.text(str(tmp_path / "m")).collect()] == ["a\t0", "b\t1"]
     writers.write_tsv(m, str(tmp_path / "t"), ["sample", "absent", "value"])
     assert spark.read.csv(str(tmp_path / "t"), sep="\t", header=True).columns == ["sample", "value"]
+
+
+def test_tables_of_rows(spark, tmp_path):
+    (tmp_path / "t.tsv").write_text(' a \t b\n\n \t \n"x\ty"\t 2 \n')
+    got = [r["cells"] for r in readers.rows(spark, str(tmp_path / "t.tsv")).orderBy("row_no").collect()]
+    assert got == [["a", "b"], ["x\ty", "2"]]
+    with pytest.raises(ValueError):
+        readers.rows(spark, "t.bin")
+    for text, encoding in (("Имя\tГен\nа\tб\n", "utf-8"), ("\ufeffName\tGene\nx\ty\n", "utf-8"), ("Имя\tГен\nа\tб\n", "cp1251")):
+        (tmp_path / "a.tsv").write_bytes(text.encode(encoding))
+        df = readers.annotation(spark, str(tmp_path / "a.tsv"))
+        names, row = text.lstrip("\ufeff").split("\n")[:2]
+        assert df.columns[1:] == names.split("\t") and list(df.first())[1:] == row.split("\t")
+
+
+def test_gff_and_genomes(spark, tmp_path):
+    (tmp_path / "x.gff").write_text("##gff-version 3\nc\tsrc\tCDS\t5\t9\t.\t-\t0\tID=g1;Name=a=b\n##FASTA\n>c\nACGT\n")
+    r = readers.gff(spark, str(tmp_path / "x.gff")).collect()
+    assert len(r) == 1 and (r[0]["contig"], r[0]["start"], r[0]["end"], r[0]["strand"], r[0]["score"], r[0]["phase"]) == ("c", 5, 9, -1, None, 0)
+    assert r[0]["attributes"] == {"ID": "g1", "Name": "a=b"}
+    with gzip.open(tmp_path / "g.fna.gz", "wt") as f:
+        f.write(">one\nAC\nGT\n>two\nTT\n")
+    (tmp_path / "h.gbk").write_text("LOCUS       L1 4 bp\nDEFINITION  about it\nVERSION     V1\nFEATURES             x\nORIGIN\n        1 acgt\n//\n")
+    got = {(r["name"], r["id"]): r["seq"] for r in readers.genomes(spark, str(tmp_path)).collect()}
+    assert got == {("g", "one"): "ACGT", ("g", "two"): "TT", ("h", "V1"): "ACGT"}
+    with pytest.raises(ValueError):
+        readers.genomes(spark, str(tmp_path / "x.gff"))
+
+
+def test_strict_hierarchies(spark):
+    t = lambda rows: spark.createDataFrame(rows, "id string, f string, g string")
+    ok = readers.hierarchical_binary(t([("A|x|s", "0", "1.0"), ("A|y|s", "1", "0"), ("B| |u", "1", "1")]), [1])
+    assert {(r["sample"], r["label"], r["feature"]): r["value"] for r in ok.collect()} == {("s", "x", "f"): 0, ("s", "x", "g"): 1, ("s__dup2", "y", "f"): 1, ("s__dup2", "y", "g"): 0}
+    assert {r["label"] for r in readers.hierarchical_binary(t([("A|x|s", "0", "1")]), [2, 1]).collect()} == {"A|x"}
+    for rows, levels in (([("A|s", "0", "1"), ("A|B|t", "0", "1")], [1]), ([("s", "0", "1")], [1]), ([("A|s", "0", "1")], [2])):
+        with pytest.raises(ValueError):
+            readers.hierarchical_binary(t(rows), levels)
+    for rows in ([("A|s", "0", None)], [("A|s", "0", "nd")], [("A|s", "0", "2")], [("A|", "0", "1")]):
+        with pytest.raises(Exception, match="not 0 or 1|empty sample"):
+            readers.hierarchical_binary(t(rows), [1]).collect()
+
+
+def test_data_types(spark):
+    kind = lambda *x: readers.data_type(spark.createDataFrame([(v,) for v in x], "state string"))
+    assert kind("0", "1", "ND", None) == "binary" and kind("0", "A") == "character" and kind("nd") == "character" and kind(*map(str, range(99))) == "character"
+
+
+def test_settings():
+    from helixmark import settings
+    from helixmark.functions.genotype import Quality
+
+    with pytest.warns(UserWarning, match="colour"):
+        q = settings.load('{"min_qual": 20, "ploidies": [1], "colour": 3}')
+    assert (q.min_qual, q.ploidies, q.min_depth) == (20, (1,), Quality().min_depth)
+    with pytest.raises(ValueError):
+        settings.load("[]")
+    assert settings.read(None, None) == Quality()
+
+
+def test_lines_keep_their_order(spark, tmp_path):
+    """A file that Spark cuts into several ranges: of several records of a place the last one counts."""
+    body = "".join(f"c\t{i % 50}\t.\tA\tC\t50\tPASS\tDP=20;MQ=60\tGT\t{'1/1' if i >= 950 else '0/0'}\n" for i in range(1000))
+    (tmp_path / "x.vcf").write_text("#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\ts\n" + body)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "5000")
+    try:
+        rows = readers.classified(readers.vcf(spark, str(tmp_path)))
+        assert rows.rdd.getNumPartitions() > 3
+        calls, blocks = readers.callset(rows)
+        assert calls.count() == 50 and {r["state"] for r in calls.collect()} == {ALTERNATE} and blocks.count() == 0
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
