@@ -7,7 +7,9 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.genotype import REFERENCE
+from ..functions import encode
+from ..functions.genotype import ABSENT as NOT_PRESENT
+from ..functions.genotype import REFERENCE, UNRESOLVED
 from ..functions.sequence import reverse_complement
 from . import cohort, joins
 
@@ -66,6 +68,23 @@ def call_lookup(requests: DataFrame, calls: DataFrame, blocks: DataFrame | None
     return df.select(*requests.columns, "state", "allele", F.coalesce("block", F.lit(False)).alias("from_block"), F.coalesce("match", F.lit(ABSENT)).alias("match"))
 
 
+def resolve_features(calls: DataFrame, blocks: DataFrame | None, manifest: DataFrame, aliases: DataFrame | None = None, absent_is_reference: bool = True, samples: DataFrame | None = None, width: int = 1000) -> DataFrame:
+    """Every sample and feature of a manifest (feature, chrom, pos, ref, alt, baseline) with state, assumed, from_block, match, value and label.
+
+    Samples are those that have calls, unless given. A feature that no call or block covers is a reference
+    that is assumed, or absent; one that several of its contig's aliases cover is unresolved.
+    """
+    who = (calls.select("sample") if samples is None else samples.select("sample")).distinct()
+    listed = manifest.select("feature", "chrom", "pos", F.upper("ref").alias("__ref"), F.upper("alt").alias("__alt"), F.upper("baseline").alias("__baseline"))
+    df = call_lookup(cohort.crossed(who, listed), calls, blocks, aliases, width=width)
+    absent, ambiguous = F.col("match") == ABSENT, F.col("match").isin(AMBIGUOUS, AMBIGUOUS_ANYWHERE)
+    assumed = absent & F.lit(absent_is_reference)
+    state = F.when(ambiguous, F.lit(UNRESOLVED)).when(assumed, F.lit(REFERENCE)).when(absent, F.lit(NOT_PRESENT)).otherwise(F.col("state"))
+    df = df.withColumns({"state": state, "assumed": assumed, "allele": F.when(assumed, F.col("__ref")).otherwise(F.col("allele"))})
+    df = df.withColumn("e", encode.encode(F.col("state"), F.col("allele"), F.col("__ref"), F.col("__alt"), F.col("__baseline"), F.col("assumed"), F.col("from_block")))
+    return df.select("sample", "feature", "state", "assumed", "from_block", "match", F.col("e.value").alias("value"), F.col("e.label").alias("label"))
+
+
 def context_hits(subjects: DataFrame, contexts: DataFrame, mismatches: int = 6, min_coverage: float = 0.8) -> DataFrame:
     """Ungapped hits of contexts on either strand: (context_id, subject_id, at, strand, observed, mismatches, aligned, coverage).
 

@@ -41,6 +41,30 @@ def gvcf_lookup(s, d):
     return lookup.call_lookup(req, calls, blocks, aliases, width=16)
 
 
+_FEATURES = _LOOKUP.split(",\npts AS")[0].split(",\nreq AS")[0] + """,
+mf AS (SELECT CASE WHEN pos % 4 = 0 THEN 'chrF' WHEN pos % 4 = 1 THEN 'chrX' ELSE chrom END || ':' || pos || ':' || ref || ':' || alt AS feature, CASE WHEN pos % 4 = 0 THEN 'chrF' WHEN pos % 4 = 1 THEN 'chrX' ELSE chrom END AS chrom, pos, ref, alt, baseline FROM manifest),
+mfd AS (SELECT DISTINCT * FROM mf), req AS (SELECT s.sample, m.* FROM (SELECT DISTINCT sample FROM glast) s CROSS JOIN mfd m),
+pts AS""" + _LOOKUP.split(",\npts AS")[1].replace("FROM req UNION ALL", "FROM (SELECT DISTINCT sample, chrom, pos FROM req) UNION ALL").replace("FROM req r JOIN cand", "FROM (SELECT DISTINCT sample, chrom, pos FROM req) r JOIN cand")
+
+
+@query(f"""WITH {a.GVCF.lstrip()}, {a.MANIFEST.lstrip()}, {_FEATURES},
+looked AS (SELECT r.*, CASE WHEN o.sample IS NOT NULL THEN o.state WHEN x.n = 1 THEN x.state END AS st, CASE WHEN o.sample IS NOT NULL THEN o.allele WHEN x.n = 1 THEN x.allele END AS al, coalesce(CASE WHEN o.sample IS NOT NULL THEN o.blk WHEN x.n = 1 THEN x.blk END, false) AS from_block,
+  CASE WHEN o.blk THEN 'gvcf_ref_block' WHEN o.sample IS NOT NULL THEN 'exact_sequence_position' WHEN x.n > 1 THEN 'ambiguous_contig_alias' WHEN x.blk THEN 'gvcf_ref_block_contig_alias' WHEN x.n = 1 THEN 'contig_alias' ELSE 'absent' END AS match
+  FROM req r LEFT JOIN own o ON o.sample = r.sample AND o.chrom = r.chrom AND o.pos = r.pos LEFT JOIN other x ON x.sample = r.sample AND x.asked = r.chrom AND x.pos = r.pos),
+full_ AS (SELECT *, match = 'absent' AS assumed, CASE WHEN match = 'ambiguous_contig_alias' THEN 'UNRESOLVED_OR_AMBIGUOUS' WHEN match = 'absent' THEN 'CALLED_REFERENCE' ELSE st END AS state, CASE WHEN match = 'absent' THEN ref WHEN from_block THEN ref ELSE al END AS shown FROM looked),
+lab AS (SELECT *, CASE WHEN state = 'CALLED_REFERENCE' AND assumed AND shown <> baseline THEN 'assumed_reference_non_baseline' WHEN state = 'CALLED_REFERENCE' AND assumed THEN 'assumed_reference' WHEN state = 'CALLED_REFERENCE' AND shown = baseline THEN 'baseline_match' WHEN state = 'CALLED_REFERENCE' AND shown = alt THEN 'alt_match' WHEN state = 'CALLED_REFERENCE' THEN 'non_baseline_callable'
+  WHEN state = 'CALLED_ALTERNATE' AND al = alt THEN 'alt_match' WHEN state = 'CALLED_ALTERNATE' AND al IN (baseline, ref) THEN 'baseline_match' WHEN state = 'CALLED_ALTERNATE' THEN 'non_training_allele' ELSE lower(state) END AS label FROM full_)
+SELECT sample, feature, state, assumed, from_block, match, CASE WHEN label IN ('assumed_reference', 'baseline_match') THEN 0.0::DOUBLE WHEN label IN ('assumed_reference_non_baseline', 'alt_match', 'non_baseline_callable') THEN 1.0::DOUBLE END AS value, label FROM lab""")
+def gvcf_feature_resolution(s, d):
+    """Every sample and feature over gVCF calls, blocks and contig aliases, encoded."""
+    calls, blocks = readers.callset(a.gvcf(s, d))
+    aliases = s.createDataFrame([("chrF", "F"), ("chrX", "O"), ("F", "chrX")], "source string, target string")
+    k = F.col("pos") % 4
+    m = a.manifest(s, d).withColumn("chrom", F.when(k == 0, "chrF").when(k == 1, "chrX").otherwise(F.col("chrom")))
+    m = m.withColumn("feature", F.concat_ws(":", "chrom", "pos", "ref", "alt")).distinct()
+    return lookup.resolve_features(calls, blocks, m, aliases, width=16)
+
+
 @query(f"WITH {a.CALLS}, n AS (SELECT sample, pos, count(*) AS n, any_value(state) AS state FROM latest GROUP BY ALL), req AS (SELECT DISTINCT l_suppkey AS sample, 'Z' AS chrom, l_partkey * 7 % 230 AS pos FROM lineitem) SELECT r.*, CASE WHEN n = 1 THEN state END AS state, CASE WHEN n = 1 THEN 'position_only_fallback' WHEN n > 1 THEN 'ambiguous_position_only' ELSE 'absent' END AS match FROM req r LEFT JOIN n USING (sample, pos)")
 def position_only_lookup(s, d):
     """Without the contig, where a sample has one call at that position."""
