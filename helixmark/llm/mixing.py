@@ -1,19 +1,23 @@
 """Mixing of sources to target weights by weighted fair queueing, in DataFrame functions only.
 
-Each source has a queue: its documents in an order shuffled by a keyed digest, up to `max_copies` times
-over. The virtual finish time of a copy is the source's tokens up to and with it, divided by the
-source's target. All copies, sorted by virtual finish time over all sources, are taken until the total
-budget (the tokens of all documents) is spent.
+Each source has a queue: its documents in an order shuffled by a keyed digest of doc_id and text, up to
+`max_copies` times over. The virtual finish time of a copy is the source's tokens up to and with it,
+divided by the source's target. All copies are range-sorted by virtual finish time over all sources, and
+truncated where the total budget (the tokens of all documents) is spent.
+
+Only sizes and digests are sorted, never texts. A queue's order is that of its digests and finish times
+rise along it, so what the mix takes of a queue's c-th pass is a prefix: one digest for each source and
+pass decides every document, and texts meet these few rows in a join that Spark broadcasts by their size.
 
 Prefix sums never gather a source in one task: the digest's leading hex digits split each queue into
-buckets, whose sums are added up first; a window then runs within a bucket. Where the budget ends is
-found the same way: tokens per bin of virtual time, then an exact sort of the one bin that holds the
-end. Buckets grow with the number of rows, bins with its square root.
+buckets, whose sums are added up first; a window then runs within a bucket. Rows that are alike in all
+columns are one row with a count. The end of the budget is found from the sums of the sorted ranges, and
+within the one range that holds it. Buckets grow with the number of rows, ranges with the partitions.
 
 Defined results: a null text has size 0; a null source is a source, last in order; repeated rows are
-documents of their own; equal digests are told apart by size, so which of two identical rows comes
-first changes nothing; an empty table gives an empty result; input columns with the name of an output
-give way to it. Sources without any word have target 0 and nothing is taken.
+documents of their own, and where the budget ends among them, that many are taken; an empty table
+gives an empty result; input columns with the name of an output give way to it. Sources without any word
+have target 0 and nothing is taken.
 """
 
 from __future__ import annotations
@@ -24,130 +28,137 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, materialise, with_outputs
+from ..operators.ordering import placed, running
+from .common import WORD, discard, materialise, with_outputs
 
 WEIGHTS = (5, 2, 1)
 MAX_COPIES = 3
-ROWS_PER_BUCKET = 20_000
+ROWS_PER_BUCKET = 2_000
 KEY = "mix"
+_ROW = ["__hx_queue", "__hx_digest", "__hx_rest"]
 
 
-def prepared(docs: DataFrame) -> DataFrame:
-    """docs with its size, queue and place in the shuffled order."""
+def placed_in_queues(docs: DataFrame) -> DataFrame:
+    """docs with the queue and the place in its shuffled order: a digest of doc_id and text, and one of the other columns."""
+    others = [F.col(f"`{c}`") for c, t in docs.dtypes if c.lower() != "text" and "map<" not in t and "variant" not in t]
     return docs.withColumns(
         {
-            "__hx_size": F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"),
             "__hx_queue": F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col("source"))),
-            "__hx_digest": F.md5(F.concat(F.lit(f"{KEY}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))),
+            "__hx_digest": F.md5(F.concat(F.lit(f"{KEY}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.md5(F.coalesce(F.col("text"), F.lit(""))))),
+            "__hx_rest": F.xxhash64(*others),
         }
     )
 
 
+def prepared(docs: DataFrame) -> DataFrame:
+    """docs with its size, queue and place in the shuffled order."""
+    return placed_in_queues(docs).withColumn("__hx_size", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
+
+
 def targets(sizes: DataFrame, weights: tuple = WEIGHTS, max_copies: int = MAX_COPIES) -> DataFrame:
     """Targets of the queues (a row per source): shares by weight of all sizes, none above max_copies times its size.
 
     Filling up by weight ends where the sources at their limit are those with the least limit per unit
     of weight; in that order, running sums give each candidate level, and the first source that stays
-    below its limit has the right one.
+    below its limit has the right one. Sources are range-sorted, so there may be many.
     """
-    order = Window.orderBy(F.when(F.col("__hx_queue") == "n", 1).otherwise(0), "__hx_queue")
-    df = sizes.withColumn("rank", F.row_number().over(order)).withColumn("weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), ((F.col("rank") - 1) % len(weights) + 1).cast("int")))
-    df = df.withColumn("cap", max_copies * F.col("source_size"))
-    by = Window.orderBy((F.col("cap") / F.col("weight")), "rank")
-    before = by.rowsBetween(Window.unboundedPreceding, -1)
-    every = Window.partitionBy()
-    df = df.withColumns({"left": F.sum("source_size").over(every) - F.coalesce(F.sum("cap").over(before), F.lit(0)), "rest": F.sum("weight").over(every) - F.coalesce(F.sum("weight").over(before), F.lit(0.0)), "place": F.row_number().over(by)})
-    df = df.withColumn("level", F.col("left").cast("double") / F.col("rest"))
-    df = df.withColumn("level", F.min(F.when(F.col("cap") / F.col("weight") > F.col("level"), F.struct("place", "level"))).over(every)["level"])
-    return df.select("__hx_queue", "source_size", F.least(F.col("cap").cast("double"), F.coalesce(F.col("level") * F.col("weight"), F.col("cap").cast("double"))).alias("target"))
+    df = sizes.withColumn("last", F.when(F.col("__hx_queue") == "n", 1).otherwise(0))
+    df = running(df, ["last", "__hx_queue"], {"rank": F.lit(1).cast("long")})
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("rank") % len(weights) + 1).cast("int"))
+    df = df.withColumns({"weight": weight, "cap": max_copies * F.col("source_size")}).withColumn("limit", F.col("cap") / F.col("weight"))
+    df = running(df, ["limit", "rank"], {"full": F.col("cap"), "weighed": F.col("weight"), "place": F.lit(1).cast("long")})
+    every = sizes.agg(F.sum("source_size").alias("all_size")).join(F.broadcast(df.agg(F.sum("weight").alias("all_weight"))))  # one row each
+    df = df.join(F.broadcast(every))  # one row
+    df = materialise(df.withColumn("level", (F.col("all_size") - F.col("full")).cast("double") / (F.col("all_weight") - F.col("weighed"))), "mix-levels", few=True)
+    level = df.where(F.col("limit") > F.col("level")).agg(F.min(F.struct("place", "level")).alias("l")).select(F.col("l.level").alias("free"))
+    df = df.join(F.broadcast(level))  # one row
+    return df.select("__hx_queue", "source_size", F.least(F.col("cap").cast("double"), F.coalesce(F.col("free") * F.col("weight"), F.col("cap").cast("double"))).alias("target"))
 
 
 @dataclass
 class Mix:
-    """What a mix needs besides the rows: targets, bucket sums, and where the budget ends."""
+    """What a mix needs besides the rows: a row per queue with source_size, target, and how far the mix goes in each pass."""
 
     queues: DataFrame
-    offsets: DataFrame
-    digits: int
-    bins: int
-    end: tuple | None
-    max_copies: int
-
-
-def _queued(rows: DataFrame, queues: DataFrame, offsets: DataFrame, digits: int) -> DataFrame:
-    """rows with source_size, target and __hx_from: the source's tokens before the row, in one pass of its queue."""
-    rows = rows.withColumn("__hx_bucket", F.substring("__hx_digest", 1, digits))
-    rows = rows.join(offsets, ["__hx_queue", "__hx_bucket"])
-    w = Window.partitionBy("__hx_queue", "__hx_bucket").orderBy("__hx_digest", "__hx_size").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("__hx_from", F.col("__hx_offset") + F.sum("__hx_size").over(w) - F.col("__hx_size"))
-    q = queues.select("__hx_queue", F.col("source_size").alias("__hx_source_size"), F.col("target").alias("__hx_target"))
-    return rows.join(q, "__hx_queue")
-
-
-def _finish(copy) -> Column:
-    """Virtual finish time; the last copy is counted from 0."""
-    upto = copy * F.col("__hx_source_size") + F.col("__hx_from") + F.col("__hx_size")
-    return F.when(F.col("__hx_target") > 0, upto.cast("double") / F.col("__hx_target")).otherwise(F.lit(math.inf))
+    split: bool  #: whether a pass ends among rows that are alike
 
 
-def _bin(finish: Column, bins: int) -> Column:
-    return F.when(finish < 2, F.floor(finish * bins)).otherwise(F.lit(2 * bins)).cast("long")
+def _finish(upto: Column) -> Column:
+    """Virtual finish time of a copy, from the queue's tokens up to and with it."""
+    return upto.cast("double") / F.col("target")
 
 
 def plan(rows: DataFrame, weights: tuple = WEIGHTS, max_copies: int = MAX_COPIES, rows_per_bucket: int = ROWS_PER_BUCKET) -> Mix:
     """The mix of all prepared rows; of a table's texts only sizes and digests are kept."""
-    light = materialise(rows.select("__hx_queue", "__hx_digest", "__hx_size"), "mix-rows")
-    queues = materialise(targets(light.groupBy("__hx_queue").agg(F.sum("__hx_size").alias("source_size")), weights, max_copies), "mix-targets", few=True)
-    n = light.count()
-    total = light.agg(F.coalesce(F.sum("__hx_size"), F.lit(0))).first()[0]
+    light = materialise(rows.groupBy(*_ROW, "__hx_size").agg(F.count("*").alias("k")), "mix-rows")
+    queues = materialise(targets(light.groupBy("__hx_queue").agg(F.sum(F.col("__hx_size") * F.col("k")).alias("source_size")), weights, max_copies), "mix-targets", few=True)
+    n, total = light.agg(F.count("*"), F.coalesce(F.sum(F.col("__hx_size") * F.col("k")), F.lit(0))).first()
     digits = min(max(1, math.ceil(math.log(max(n, 1) / rows_per_bucket + 1, 16))), 16)
-    bins = max(64, math.isqrt(n))
-    sums = light.groupBy("__hx_queue", F.substring("__hx_digest", 1, digits).alias("__hx_bucket")).agg(F.sum("__hx_size").alias("n"))
-    before = Window.partitionBy("__hx_queue").orderBy("__hx_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = materialise(sums.select("__hx_queue", "__hx_bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__hx_offset")), "mix-offsets", few=True)
-    copies = _queued(light, queues, offsets, digits).withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(max_copies - 1))))
-    copies = copies.withColumn("finish", _finish(F.col("copy"))).withColumn("bin", _bin(F.col("finish"), bins)).where(F.col("__hx_size") > 0)
-    copies = materialise(copies.select("bin", "finish", "__hx_queue", (F.col("copy") * F.col("__hx_source_size") + F.col("__hx_from")).alias("from"), "__hx_size"), "mix-copies")
-    per_bin = copies.groupBy("bin").agg(F.sum("__hx_size").alias("n"))
-    upto = per_bin.withColumn("upto", F.sum("n").over(Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)))
-    cut = upto.where(F.col("upto") > total).agg(F.min(F.struct("bin", "upto", "n")).alias("x")).select("x.*").first()
-    end = None
-    if cut is not None and cut["bin"] is not None:
-        inside = copies.where(F.col("bin") == cut["bin"])
-        w = Window.orderBy("finish", "__hx_queue", "from").rowsBetween(Window.unboundedPreceding, 0)
-        last = inside.withColumn("upto", F.sum("__hx_size").over(w)).where(F.col("upto") + (cut["upto"] - cut["n"]) <= total)
-        x = last.agg(F.max(F.struct("finish", "__hx_queue", "from")).alias("x")).select("x.*").first()
-        end = (cut["bin"], *(x if x["finish"] is not None else (-1.0, "", -1)))
-    return Mix(queues, offsets, digits, bins, end, max_copies)
-
-
-def with_copies(rows: DataFrame, m: Mix) -> DataFrame:
-    """The prepared rows with __hx_copies, how often the mix takes each."""
-    df = _queued(rows, m.queues, m.offsets, m.digits)
-    copies = F.lit(0)
-    for c in range(m.max_copies):
-        finish = _finish(F.lit(c))
-        if m.end is None:
-            inside = finish < math.inf
-        else:
-            b, f, q, at = m.end
-            start = F.lit(c) * F.col("__hx_source_size") + F.col("__hx_from")
-            inside = (_bin(finish, m.bins) < b) | ((_bin(finish, m.bins) == b) & ((finish < f) | ((finish == f) & ((F.col("__hx_queue") < q) | ((F.col("__hx_queue") == q) & (start <= at))))))
-        copies = copies + inside.cast("int")
-    return df.withColumn("__hx_copies", F.when(F.col("__hx_size") > 0, copies).otherwise(F.lit(0)))
+    light = light.withColumn("bucket", F.substring("__hx_digest", 1, digits))
+    sums = light.groupBy("__hx_queue", "bucket").agg(F.sum(F.col("__hx_size") * F.col("k")).alias("n"))
+    earlier = Window.partitionBy("__hx_queue").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = materialise(sums.select("__hx_queue", "bucket", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("offset")), "mix-offsets", few=True)
+    own = Window.partitionBy("__hx_queue", "bucket").orderBy("__hx_digest", "__hx_rest").rowsBetween(Window.unboundedPreceding, -1)
+    queued = light.join(offsets, ["__hx_queue", "bucket"]).withColumn("from", F.col("offset") + F.coalesce(F.sum(F.col("__hx_size") * F.col("k")).over(own), F.lit(0)))
+    queued = materialise(queued.where("__hx_size > 0").join(queues, "__hx_queue").select(*_ROW, "__hx_size", "k", "from", "source_size", "target"), "mix-queued")
+    copies = queued.select("__hx_queue", "__hx_size", "k", "from", "source_size", "target", F.explode(F.sequence(F.lit(0), F.lit(max_copies - 1))).alias("pass"))
+    copies = copies.withColumn("at", F.col("pass") * F.col("source_size") + F.col("from"))
+    copies = copies.select("__hx_queue", "__hx_size", "source_size", "target", "pass", "at", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)).alias("j")).withColumn("at", F.col("at") + F.col("j") * F.col("__hx_size"))
+    order = ["finish", "__hx_queue", "at"]
+    copies = placed(copies.select(_finish(F.col("at") + F.col("__hx_size")).alias("finish"), "__hx_queue", "at", F.col("__hx_size").alias("size"), "pass", (F.col("at") + F.col("__hx_size") - F.col("pass") * F.col("source_size")).alias("reach")), order, "mix-copies")
+    spent, last = 0, None
+    for part, s in sorted(copies.groupBy("__part").agg(F.sum("size")).collect()):  # a row per range
+        if spent + s > total:
+            last = part
+            break
+        spent += s
+    taken = copies if last is None else copies.where(F.col("__part") < last)
+    if last is not None:
+        upto = Window.partitionBy("__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        inside = copies.where(F.col("__part") == last).withColumn("upto", F.sum("size").over(upto)).where(F.col("upto") + spent <= total)
+        taken = taken.unionByName(inside.drop("upto"))
+    reach = materialise(taken.groupBy("__hx_queue", "pass").agg(F.max("reach").alias("reach")), "mix-reach", few=True)
+    last_row = F.max(F.struct("__hx_digest", "__hx_rest", "__hx_size", "k", "from")).alias("r")
+    ends = queued.join(reach, "__hx_queue").where(F.col("from") + F.col("__hx_size") <= F.col("reach")).groupBy("__hx_queue", "pass", "reach").agg(last_row)
+    whole = F.least(F.col("r.k"), F.floor((F.col("reach") - F.col("r.from")) / F.col("r.__hx_size")))
+    ends = ends.select("__hx_queue", F.struct("pass", F.col("r.__hx_digest").alias("digest"), F.col("r.__hx_rest").alias("rest"), whole.alias("m"), F.col("r.k").alias("k")).alias("e"))
+    ends = ends.groupBy("__hx_queue").agg(F.sort_array(F.collect_list("e")).alias("ends"))  # at most max_copies
+    none = F.expr("cast(array() AS array<struct<pass:int,digest:string,rest:bigint,m:bigint,k:bigint>>)")
+    out = queues.join(ends, "__hx_queue", "left").select("__hx_queue", F.col("source_size").alias("__hx_source_size"), F.col("target").alias("__hx_target"), F.coalesce("ends", none).alias("__hx_ends"))
+    out = materialise(out, "mix-ends", few=True)
+    split = not out.where("exists(__hx_ends, e -> e.m < e.k)").isEmpty()
+    discard(light, copies, queued, offsets, reach)
+    return Mix(out, split)
+
+
+def with_copies(rows: DataFrame, m: Mix, some: Column) -> DataFrame:
+    """Rows with their place in the queues, with __hx_copies, how often the mix takes each; some: whether a row has any word."""
+    df = rows.join(m.queues, "__hx_queue")
+    same = "(__hx_digest = e.digest AND __hx_rest = e.rest)"
+    each = f"CASE WHEN __hx_digest < e.digest OR (__hx_digest = e.digest AND __hx_rest < e.rest) OR ({same} AND e.m = e.k) THEN 1 ELSE 0 END"
+    df = df.withColumn("__hx_copies", F.when(some, F.expr(f"aggregate(__hx_ends, 0, (a, e) -> a + {each})")).otherwise(F.lit(0)))
+    if not m.split:
+        return df.drop("__hx_ends")
+    alike = F.expr(f"exists(__hx_ends, e -> {same} AND e.m < e.k)") & some
+    # rows that are alike, of which a pass takes some: counted, and dealt out by number
+    columns = [c for c in df.columns if c not in _ROW]
+    group = df.where(alike).groupBy(*_ROW).agg(F.first(F.struct(*[F.col(f"`{c}`") for c in columns])).alias("r"), F.count("*").alias("n"))
+    group = group.select(*_ROW, *[F.col(f"r.`{c}`").alias(c) for c in columns], F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("__hx_j"))
+    group = group.withColumn("__hx_copies", F.col("__hx_copies") + F.expr(f"aggregate(__hx_ends, 0, (a, e) -> a + CASE WHEN {same} AND e.m < e.k AND __hx_j <= e.m THEN 1 ELSE 0 END)"))
+    return df.where(~alike).unionByName(group.drop("__hx_j")).drop("__hx_ends")
 
 
 def mix_report(docs: DataFrame, weights: tuple = WEIGHTS, max_copies: int = MAX_COPIES) -> DataFrame:
     """All of docs without its texts, with what the mix takes of each."""
     given = [c for c in docs.columns if c.lower() != "text"]
-    rows = materialise(prepared(docs).select(*[F.col(f"`{c}`") for c in given], "__hx_size", "__hx_queue", "__hx_digest"), "mix-sizes")
+    rows = materialise(prepared(docs).select(*[F.col(f"`{c}`") for c in given], "__hx_size", *_ROW), "mix-sizes")
     outputs = {"size": "size", "source_size": "source_size", "target": "target", "copies": "copies"}
-    df = with_copies(rows, plan(rows, weights, max_copies))
+    df = with_copies(rows, plan(rows, weights, max_copies), F.col("__hx_size") > 0)
     return with_outputs(df, given, {k: F.col(f"__hx_{v}") for k, v in outputs.items()} | {"taken": F.col("__hx_copies").cast("long") * F.col("__hx_size")})
 
 
 def mix_documents(docs: DataFrame, weights: tuple = WEIGHTS, max_copies: int = MAX_COPIES) -> DataFrame:
     """The mix itself: docs as they are, each as often as the mix takes it."""
-    rows = prepared(docs)
-    df = with_copies(rows, plan(rows, weights, max_copies)).where(F.col("__hx_copies") > 0)
+    m = plan(prepared(docs), weights, max_copies)
+    df = with_copies(placed_in_queues(docs), m, F.coalesce(F.col("text").rlike(WORD), F.lit(False))).where(F.col("__hx_copies") > 0)
     return df.withColumn("__hx_copy", F.explode(F.sequence(F.lit(1), F.col("__hx_copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])

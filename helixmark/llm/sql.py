@@ -64,7 +64,7 @@ QUALITY_RULES = _quality_rules()
 
 MIXING = rf"""
 WITH d AS (
-  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{WORD}'))::BIGINT AS size, md5('{KEY}:' || coalesce(doc_id::VARCHAR, '')) AS digest FROM documents
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{WORD}'))::BIGINT AS size, md5('{KEY}:' || coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))) AS digest FROM documents
 ), s AS (
   SELECT source, sum(size)::BIGINT AS source_size, {MAX_COPIES} * sum(size)::BIGINT AS cap, row_number() OVER (ORDER BY source NULLS LAST) AS rank FROM d GROUP BY source
 ), w AS (

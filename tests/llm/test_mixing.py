@@ -2,6 +2,7 @@ import hashlib
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from helixmark.llm import mixing as M
 
@@ -21,7 +22,8 @@ def mix(rows):
         free -= full or free
     copies = []
     for s in names:
-        queue = sorted(((hashlib.md5(f"{M.KEY}:{'' if i is None else i}".encode()).hexdigest(), size(t), k) for k, (i, t, x) in enumerate(rows) if x == s))
+        md5 = lambda x: hashlib.md5(x.encode()).hexdigest()
+        queue = sorted((md5(f"{M.KEY}:{'' if i is None else i}:{md5(t or '')}"), size(t), k) for k, (i, t, x) in enumerate(rows) if x == s)
         at = 0
         for c in range(3):
             for _, n, k in queue:
@@ -42,7 +44,7 @@ def test_against_brute_force(documents):
     wanted = {r[0]: r[1:] for r in mix(rows)}
     for per_bucket in (20_000, 7):
         df = M.prepared(documents)
-        got = M.with_copies(df, M.plan(df, rows_per_bucket=per_bucket)).select("doc_id", "__hx_size", "__hx_source_size", "__hx_target", "__hx_copies").collect()
+        got = M.with_copies(df, M.plan(df, rows_per_bucket=per_bucket), F.col("__hx_size") > 0).select("doc_id", "__hx_size", "__hx_source_size", "__hx_target", "__hx_copies").collect()
         assert len(got) == len(rows)
         for i, size, source, target, copies in got:
             assert (size, source, copies * size) == (wanted[i][0], wanted[i][1], wanted[i][3]) and target == pytest.approx(wanted[i][2])
@@ -67,3 +69,25 @@ def test_edge_cases(edge, nothing):
     assert dict(M.mix_report(edge).dtypes)["target"] == "double"
     assert M.mix_documents(edge).columns == edge.columns
     assert M.mix_report(nothing).count() == 0 and M.mix_documents(nothing).count() == 0
+
+
+def test_rows_that_are_alike(spark):
+    """Repeated rows, null and repeated ids, many copies of one row; the budget ends among rows that are alike."""
+    rows = [(None, "a b c", "x")] * 40 + [(None, "d e", "x")] * 5 + [(1, f"w{i} " * (i % 5 + 1), "x") for i in range(20)] + [(2, "p q r s", "y")] * 30 + [(3, "t", None), (4, None, "z"), (5, "", "y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    wanted = mix(rows)
+    got = M.mix_report(docs.withColumn("lang", F.lit("en"))).collect()
+    shown = lambda x: sorted((str(i), n, s, round(t, 6), w) for i, n, s, t, w in x)
+    assert shown((r["doc_id"], r["size"], r["source_size"], r["target"], r["taken"]) for r in got) == shown(wanted)
+    again = M.mix_report(docs.repartition(7).withColumn("lang", F.lit("en"))).collect()
+    assert sorted(map(str, got)) == sorted(map(str, again))
+    assert sum(r["size"] for r in M.mix_report(docs).collect() for _ in range(r["copies"])) == sum(len(r["text"].split()) for r in M.mix_documents(docs).collect())
+
+
+def test_many_sources(spark):
+    rows = [(i, "w " * (i % 9), f"s{i % 700}" if i % 50 else None) for i in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    wanted = {r[0]: r[1:] for r in mix(rows)}
+    for r in M.mix_report(docs).collect():
+        n, s, t, w = wanted[r["doc_id"]]
+        assert (r["size"], r["source_size"], r["taken"]) == (n, s, w) and r["target"] == pytest.approx(t)
