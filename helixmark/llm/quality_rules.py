@@ -1,13 +1,17 @@
 """Quality rules with adaptive thresholds, in DataFrame functions only.
 
 Counts are made of each whole text; base rules reject texts that are too short or mostly repeat
-themselves. For the rest, each measure (an integer: per mille, or hundredths) goes into a quantile
-sketch per language and source: a histogram over log-linear buckets (exact below 64, relative error
-at most 1/32 above), so that two sketches merge by adding counts and the outcome doesn't depend on
-order or partitioning. The sketches of a language's sources are merged for the language, those of all
-languages for the corpus; a source with fewer than `min_rows` texts uses its language's sketch, and
-a small language the corpus's. A measure is an outlier beyond its quartile by more than `reach` times
-the interquartile range (or the measure's least range, if that is larger).
+themselves. For the rest, each measure (an integer: per mille, or hundredths) and each measure's
+denominator go into a quantile sketch per language and source: a histogram over log-linear buckets (exact
+below 64, relative error at most 1/32 above), so that two sketches merge by adding counts and the outcome
+doesn't depend on order or partitioning. The sketches of a language's sources are merged for the language,
+those of all languages for the corpus.
+
+A measure is an outlier beyond its group's upper decile (for some: below the lower one) by more than
+`reach` times the distance from the decile to the median, or than `reach` times what one event is worth in a
+text of median length, if that is larger. No threshold is given beforehand, and all of them come from the
+sketches. A group's quantiles are drawn towards its language's as if it had `shrink` more texts with these,
+and a language's towards the corpus's: the larger a group, the more its own sketch decides, at any size.
 
 Defined results: null or empty text has no words and fails the base rules; null language or source is
 a group of its own; repeated rows count as often as they occur; an empty table gives an empty result;
@@ -22,16 +26,17 @@ from pyspark.sql import functions as F
 from .common import SPACE, WORD, materialise, with_outputs
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_capitals")
-#: Each measure: numerator, denominator, factor, least interquartile range, whether low values are outliers too.
+#: Each measure: numerator, denominator, factor, what one event adds to the numerator, whether low values are outliers too.
 MEASURES = {
-    "symbols_pm": ("n_symbols", "word_chars", 1000, 10, False),
-    "dup_lines_pm": ("n_dup_lines", "n_lines", 1000, 150, False),
-    "repeats_pm": ("n_repeat_words", "n_words", 1000, 100, False),
-    "capitals_pm": ("n_capitals", "word_chars", 1000, 60, False),
-    "word_length_c": ("word_chars", "n_words", 100, 60, True),
+    "symbols_pm": ("n_symbols", "word_chars", 1000, 1, False),
+    "dup_lines_pm": ("n_dup_lines", "n_lines", 1000, 1, False),
+    "repeats_pm": ("n_repeat_words", "n_words", 1000, 6, False),
+    "capitals_pm": ("n_capitals", "word_chars", 1000, 1, False),
+    "word_length_c": ("word_chars", "n_words", 100, 1, True),
 }
+DENOMINATORS = tuple(dict.fromkeys(m[1] for m in MEASURES.values()))
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
-MIN_ROWS, REACH = 200, 3
+SHRINK, REACH = 50, 6
 #: Log-linear buckets: so many bits below the leading one are kept.
 SUB_BITS = 5
 
@@ -99,40 +104,52 @@ def value_sql(b: str) -> str:
 
 def sketches(features: DataFrame) -> DataFrame:
     """Rows (lang, source, measure, bucket, n): the sketch of each group, of all texts that pass the base rules."""
-    each = F.array(*[F.struct(F.lit(m).alias("measure"), measure(m).alias("v")) for m in MEASURES])
-    rows = features.where(~base_failed()).select("lang", "source", F.explode(each).alias("m"))
+    each = [F.struct(F.lit(m).alias("measure"), measure(m).alias("v")) for m in MEASURES]
+    each += [F.struct(F.lit(d).alias("measure"), F.col(f"__hx_{d}").alias("v")) for d in DENOMINATORS]
+    rows = features.where(~base_failed()).select("lang", "source", F.explode(F.array(*each)).alias("m"))
     rows = rows.select("lang", "source", "m.measure", F.expr(bucket_sql("m.v")).cast("long").alias("bucket"))
     return rows.groupBy("lang", "source", "measure", "bucket").agg(F.count("*").alias("n"))
 
 
-def _quartiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
+def _quantiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
+    """Of each group and measure the number of texts, lower decile, median and upper decile (the least value of its bucket, for the upper one the greatest)."""
     w = Window.partitionBy(*keys, "measure")
     total, upto = F.sum("n").over(w), F.sum("n").over(w.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0))
-    rows = sketch.select(*keys, "measure", F.expr(value_sql("bucket")).cast("long").alias("v"), total.alias("total"), upto.alias("upto"))
-    quart = lambda p: F.min(F.when(F.col("upto") * 100 >= F.col("total") * p, F.col("v")))
-    return rows.groupBy(*keys, "measure").agg(F.max("total").alias("total"), quart(25).alias("q1"), quart(75).alias("q3"))
+    ends = [F.expr(value_sql("bucket")).cast("double").alias("least"), (F.expr(value_sql("(bucket + 1)")) - 1).cast("double").alias("most")]
+    rows = sketch.select(*keys, "measure", *ends, total.alias("total"), upto.alias("upto"))
+    at = lambda p, end: F.min(F.when(F.col("upto") * 100 >= F.col("total") * p, F.col(end)))
+    return rows.groupBy(*keys, "measure").agg(F.max("total").cast("double").alias("total"), at(10, "least").alias("low"), at(50, "least").alias("mid"), at(90, "most").alias("high"))
 
 
-def thresholds(sketch: DataFrame, min_rows: int = MIN_ROWS, reach: int = REACH) -> DataFrame:
+def thresholds(sketch: DataFrame, shrink: float = SHRINK, reach: float = REACH) -> DataFrame:
     """One row per language and source: for each measure its bounds lo_<measure> and hi_<measure>."""
     per_lang = sketch.groupBy("lang", "measure", "bucket").agg(F.sum("n").alias("n"))
     overall = per_lang.groupBy("measure", "bucket").agg(F.sum("n").alias("n"))
-    a = _quartiles(sketch, ["lang", "source"]).alias("a")
-    b, c = _quartiles(per_lang, ["lang"]).alias("b"), _quartiles(overall, []).alias("c")
+    a = _quantiles(sketch, ["lang", "source"]).alias("a")
+    b, c = _quantiles(per_lang, ["lang"]).alias("b"), _quantiles(overall, []).alias("c")
     rows = a.join(b, F.col("a.lang").eqNullSafe(F.col("b.lang")) & (F.col("a.measure") == F.col("b.measure"))).join(F.broadcast(c), F.col("a.measure") == F.col("c.measure"))  # c: a row for each measure
-    level = lambda x: F.when(F.col("a.total") >= min_rows, F.col(f"a.{x}")).when(F.col("b.total") >= min_rows, F.col(f"b.{x}")).otherwise(F.col(f"c.{x}"))
-    rows = rows.select(F.col("a.lang").alias("lang"), F.col("a.source").alias("source"), F.col("a.measure").alias("measure"), level("q1").alias("q1"), level("q3").alias("q3"))
+    k = F.lit(float(shrink))
+
+    def drawn(q: str) -> Column:
+        lang = (F.col("b.total") * F.col(f"b.{q}") + k * F.col(f"c.{q}")) / (F.col("b.total") + k)
+        return (F.col("a.total") * F.col(f"a.{q}") + k * lang) / (F.col("a.total") + k)
+
+    rows = rows.select(F.col("a.lang").alias("lang"), F.col("a.source").alias("source"), F.col("a.measure").alias("measure"), *[drawn(q).alias(q) for q in ("low", "mid", "high")])
+    of = lambda name, q: F.max(F.when(F.col("measure") == name, F.col(q)))
+    wide = rows.groupBy("lang", "source").agg(*[of(m, q).alias(f"{m}_{q}") for m in MEASURES for q in ("low", "mid", "high")], *[of(d, "mid").alias(f"{d}_typical") for d in DENOMINATORS])
     bounds = []
-    for m, (_, _, _, least, low) in MEASURES.items():
-        spread = reach * F.greatest(F.col("q3") - F.col("q1"), F.lit(least))
-        bounds.append(F.max(F.when(F.col("measure") == m, F.col("q3") + spread)).alias(f"hi_{m}"))
-        bounds.append(F.max(F.when(F.col("measure") == m, F.col("q1") - spread if low else F.lit(-1))).alias(f"lo_{m}"))
-    return rows.groupBy("lang", "source").agg(*bounds)
+    for m, (_, den, factor, event, low) in MEASURES.items():
+        one = F.lit(float(factor * event)) / F.greatest(F.col(f"{den}_typical"), F.lit(1.0))
+        beyond = lambda q: float(reach) * F.greatest(F.abs(F.col(f"{m}_{q}") - F.col(f"{m}_mid")), one)  # noqa: B023, E731
+        bounds.append((F.col(f"{m}_high") + beyond("high")).alias(f"hi_{m}"))
+        bounds.append((F.col(f"{m}_low") - beyond("low") if low else F.lit(-1.0)).alias(f"lo_{m}"))
+    return wide.select("lang", "source", *bounds)
 
 
-def fit(docs: DataFrame, min_rows: int = MIN_ROWS, reach: int = REACH) -> DataFrame:
-    """The thresholds of all of docs, kept in the shared folder."""
-    return materialise(thresholds(sketches(counted(docs)), min_rows, reach), "quality-thresholds", few=True)
+def fit(features: DataFrame, shrink: float = SHRINK, reach: float = REACH) -> DataFrame:
+    """The thresholds of all of counted texts, kept in the shared folder."""
+    kept = materialise(sketches(features), "quality-sketches", few=True)
+    return materialise(thresholds(kept, shrink, reach), "quality-thresholds", few=True)
 
 
 def judged(features: DataFrame, bounds: DataFrame, given: list[str]) -> DataFrame:
@@ -146,14 +163,14 @@ def judged(features: DataFrame, bounds: DataFrame, given: list[str]) -> DataFram
     return with_outputs(df, given, {c: F.col(f"__hx_{c}") for c in COUNTS} | {"base_failed": base_failed(), "kept": rule.isNull(), "rule": rule})
 
 
-def apply_rules(docs: DataFrame, min_rows: int = MIN_ROWS, reach: int = REACH) -> DataFrame:
-    """All of docs with its columns, counts and verdict; thresholds come from docs itself."""
-    return judged(counted(docs), fit(docs, min_rows, reach), docs.columns)
+def apply_rules(docs: DataFrame, shrink: float = SHRINK, reach: float = REACH) -> DataFrame:
+    """All of docs with its columns, counts and verdict; thresholds come from docs itself. Texts are counted once, and written with their counts."""
+    features = materialise(counted(docs), "quality-texts")
+    return judged(features, fit(features, shrink, reach), docs.columns)
 
 
-def quality_report(docs: DataFrame, min_rows: int = MIN_ROWS, reach: int = REACH) -> DataFrame:
-    """As apply_rules, without the texts: counts are made once, and kept for sketches and verdicts."""
+def quality_report(docs: DataFrame, shrink: float = SHRINK, reach: float = REACH) -> DataFrame:
+    """As apply_rules, without the texts."""
     given = [c for c in docs.columns if c.lower() != "text"]
     features = materialise(counted(docs).select(*[F.col(f"`{c}`") for c in given], *[f"__hx_{c}" for c in COUNTS]), "quality-counts")
-    bounds = materialise(thresholds(sketches(features), min_rows, reach), "quality-thresholds", few=True)
-    return judged(features, bounds, given)
+    return judged(features, fit(features, shrink, reach), given)

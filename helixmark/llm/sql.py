@@ -1,7 +1,7 @@
 """DuckDB SQL for the queries of the corpus operators that SQL can express."""
 
 from .mixing import KEY, MAX_COPIES, WEIGHTS
-from .quality_rules import MAX_REPEAT_PERCENT, MEASURES, MIN_ROWS, MIN_WORDS, REACH, SUB_BITS
+from .quality_rules import DENOMINATORS, MAX_REPEAT_PERCENT, MEASURES, MIN_WORDS, REACH, SHRINK, SUB_BITS
 
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
@@ -44,17 +44,23 @@ def _value(b: str) -> str:
 
 def _quality_rules() -> str:
     each = ", ".join(f"coalesce({f} * {n} // nullif({d}, 0), 0)::BIGINT AS {m}" for m, (n, d, f, _, _) in MEASURES.items())
-    rows = " UNION ALL ".join(f"SELECT lang, source, '{m}' AS measure, {_bucket(m)} AS bucket FROM q_measured WHERE NOT base_failed" for m in MEASURES)
-    level = lambda name, keys: f"{name} AS (SELECT {keys}measure, max(total) AS total, min(v) FILTER (upto * 100 >= total * 25) AS q1, min(v) FILTER (upto * 100 >= total * 75) AS q3 FROM (SELECT {keys}measure, {_value('bucket')} AS v, sum(n) OVER (PARTITION BY {keys}measure) AS total, sum(n) OVER (PARTITION BY {keys}measure ORDER BY bucket) AS upto FROM (SELECT {keys}measure, bucket, sum(n) AS n FROM q_sketch GROUP BY ALL)) GROUP BY ALL)"
-    pick = lambda q: f"CASE WHEN a.total >= {MIN_ROWS} THEN a.{q} WHEN b.total >= {MIN_ROWS} THEN b.{q} ELSE c.{q} END AS {q}"
-    bounds = ", ".join(f"max(q3 + {REACH} * greatest(q3 - q1, {least})) FILTER (measure = '{m}') AS hi_{m}, " + (f"max(q1 - {REACH} * greatest(q3 - q1, {least})) FILTER (measure = '{m}') AS lo_{m}" if low else f"-1 AS lo_{m}") for m, (_, _, _, least, low) in MEASURES.items())
+    rows = " UNION ALL ".join(f"SELECT lang, source, '{m}' AS measure, {_bucket(m)} AS bucket FROM q_measured WHERE NOT base_failed" for m in (*MEASURES, *DENOMINATORS))
+    at = lambda p, end, q: f"min({end}) FILTER (upto * 100 >= total * {p})::DOUBLE AS {q}"
+    level = lambda name, keys: f"{name} AS (SELECT {keys}measure, max(total)::DOUBLE AS total, {at(10, 'least_', 'low')}, {at(50, 'least_', 'mid')}, {at(90, 'most', 'high')} FROM (SELECT {keys}measure, {_value('bucket')} AS least_, {_value('(bucket + 1)')} - 1 AS most, sum(n) OVER (PARTITION BY {keys}measure) AS total, sum(n) OVER (PARTITION BY {keys}measure ORDER BY bucket) AS upto FROM (SELECT {keys}measure, bucket, sum(n) AS n FROM q_sketch GROUP BY ALL)) GROUP BY ALL)"
+    drawn = lambda q: f"(a.total * a.{q} + {SHRINK}::DOUBLE * ((b.total * b.{q} + {SHRINK}::DOUBLE * c.{q}) / (b.total + {SHRINK}::DOUBLE))) / (a.total + {SHRINK}::DOUBLE) AS {q}"
+    wide = ", ".join([f"max({q}) FILTER (measure = '{m}') AS {m}_{q}" for m in MEASURES for q in ("low", "mid", "high")] + [f"max(mid) FILTER (measure = '{d}') AS {d}_typical" for d in DENOMINATORS])
+    bounds = []
+    for m, (_, den, factor, event, low) in MEASURES.items():
+        beyond = lambda q: f"{REACH}::DOUBLE * greatest(abs({m}_{q} - {m}_mid), {factor * event}::DOUBLE / greatest({den}_typical, 1::DOUBLE))"  # noqa: B023, E731
+        bounds.append(f"{m}_high + {beyond('high')} AS hi_{m}, " + (f"{m}_low - {beyond('low')} AS lo_{m}" if low else f"-1 AS lo_{m}"))
     rule = "CASE WHEN base_failed THEN 'base' " + " ".join(f"WHEN {m} > hi_{m} OR {m} < lo_{m} THEN '{m}'" for m in MEASURES) + " END"
     return f"""
 WITH {QUALITY_COUNTS}, q_measured AS (SELECT *, {each} FROM q_base),
 q_sketch AS (SELECT lang, source, measure, bucket, count(*) AS n FROM ({rows}) GROUP BY ALL),
 {level("q_a", "lang, source, ")}, {level("q_b", "lang, ")}, {level("q_c", "")},
-q_levels AS (SELECT a.lang, a.source, a.measure, {pick("q1")}, {pick("q3")} FROM q_a a JOIN q_b b ON a.lang IS NOT DISTINCT FROM b.lang AND a.measure = b.measure JOIN q_c c ON a.measure = c.measure),
-q_bounds AS (SELECT lang, source, {bounds} FROM q_levels GROUP BY lang, source),
+q_levels AS (SELECT a.lang, a.source, a.measure, {drawn("low")}, {drawn("mid")}, {drawn("high")} FROM q_a a JOIN q_b b ON a.lang IS NOT DISTINCT FROM b.lang AND a.measure = b.measure JOIN q_c c ON a.measure = c.measure),
+q_wide AS (SELECT lang, source, {wide} FROM q_levels GROUP BY lang, source),
+q_bounds AS (SELECT lang, source, {", ".join(bounds)} FROM q_wide),
 q_verdict AS (SELECT m.*, {rule} AS rule FROM q_measured m LEFT JOIN q_bounds t ON m.lang IS NOT DISTINCT FROM t.lang AND m.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines,
        n_repeat_words::BIGINT AS n_repeat_words, base_failed, rule IS NULL AS kept, rule FROM q_verdict"""

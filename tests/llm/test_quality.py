@@ -62,6 +62,14 @@ def test_outliers_of_their_group_go(spark):
     assert out[out.doc_id == 1000].rule.tolist() == ["symbols_pm"]
 
 
+def test_groups_decide_by_their_size(spark):
+    """A group's own quantiles count the more the larger it is; there is no size where the rule changes."""
+    groups = (("big", 40, 5000), ("small", 40, 10), ("smaller", 40, 5), ("rest", 8, 50000))
+    rows = [("en", src, m, 200 if m in R.DENOMINATORS else b, n) for src, b, n in groups for m in (*R.MEASURES, *R.DENOMINATORS)]
+    got = {r["source"]: r["hi_symbols_pm"] for r in R.thresholds(spark.createDataFrame(rows, "lang string, source string, measure string, bucket long, n long")).collect()}
+    assert got["rest"] < got["smaller"] < got["small"] < got["big"]
+
+
 def test_classifier_finds_labels_it_has_not_seen(spark):
     d = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
@@ -83,6 +91,15 @@ def test_classifier_edge_cases(spark, edge, nothing):
     assert set(C.score(edge, none).toPandas().score) == {0.5}
 
 
+def test_shapes_of_words():
+    import random
+
+    rng = random.Random(8)
+    letters = "abzÀÉéßǅ日本ªⅣ٣19_-.,!#$%&\x01\x02ΑαЖж\u0301"
+    words = ["".join(rng.choice(letters) for _ in range(rng.randrange(1, 7))) for _ in range(20_000)]
+    assert all(C.shape(w) == C._slow_shape(w) for w in words)
+
+
 def test_ftrl_against_a_plain_loop():
     rows = [("good fine text here", 1), ("bad ### junk", 0), ("good words", 1), ("### ###", 0)]
     model = C.train(rows, passes=2)
