@@ -17,6 +17,7 @@ CACHE of them. Nothing depends on how texts are dealt out.
 
 Defined results: null and empty texts have no ids; the added special token is one id wherever its string
 stands; a lone id list that isn't UTF-8 decodes with replacement characters; repeated rows are encoded each.
+A vocabulary file of another kind raises ValueError.
 """
 
 from __future__ import annotations
@@ -50,12 +51,23 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def check_kind(spec: dict) -> None:
+    """Raise ValueError unless a file is of the one kind that is encoded here: byte-level BPE behind PATTERN (which such files name by use_regex), without normalising."""
+    split, model = spec.get("pre_tokenizer") or {}, spec["model"]
+    plain = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space")
+    odd = [k for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges") if model.get(k)]
+    odd += [t["content"] for t in spec["added_tokens"] if t.get("lstrip") or t.get("rstrip") or t.get("single_word")]
+    if model.get("type") != "BPE" or not plain or spec.get("normalizer") or odd:
+        raise ValueError(f"the vocabulary isn't plain byte-level BPE{': ' + ', '.join(odd) if odd else ''}")
+
+
 class Vocabulary:
     """Tokens, merges and border chains of a byte-level BPE file."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        check_kind(spec)
         of = byte_alphabet()
         self.ids = {bytes(of[c] for c in t): i for t, i in spec["model"]["vocab"].items()}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}

@@ -60,3 +60,16 @@ def test_edge_cases(edge, nothing):
     assert queries.encoded_digests(nothing).count() == 0
     two = bpe.decode(bpe.encode(edge, PATH), PATH)
     assert sorted(two.toPandas().text) == sorted(out.text)
+
+
+def test_other_kinds_of_files_are_refused():
+    import json
+
+    import pytest
+
+    with open(PATH, encoding="utf-8") as f:
+        spec = json.load(f)
+    bpe.check_kind(spec)
+    for change in ({"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {"type": "Whitespace"}}, {"pre_tokenizer": spec["pre_tokenizer"] | {"add_prefix_space": True}}, {"model": spec["model"] | {"type": "Unigram"}}, {"model": spec["model"] | {"ignore_merges": True}}):
+        with pytest.raises(ValueError):
+            bpe.check_kind(spec | change)
