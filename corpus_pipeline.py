@@ -1,8 +1,8 @@
 """The corpus pipeline: documents to token digests, in five stages that each call one operator.
 
 Each stage takes (spark, docs, sf_dir), works on all that the stage before kept, and returns a DataFrame;
-all but the last return the columns of documents. Stages are written as Parquet in between, and removed
-once the next one is written. An empty table stays empty through all stages; columns of any other name are
+all but the last return the columns of documents. Stages are written as Parquet in between; they, and what
+a stage has written for itself, go once the next one is written. An empty table stays empty through all stages; columns of any other name are
 carried along.
 """
 
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from helixmark.llm import mixing, quality_rules, secrets, simhash
 from helixmark.llm.common import discard, materialise
 from helixmark.llm.queries import encoded_digests
+from helixmark.storage import Scope
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,10 +50,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (_, stage) in enumerate(STAGES):
-        out = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            out = materialise(out, f"pipeline-{k}")
-            discard(docs)
+    for _, stage in STAGES[:-1]:
+        with Scope() as made:
+            out = materialise(stage(spark, docs, sf_dir), "pipeline")
+            made.release(out)
+        discard(docs)
         docs = out
-    return docs
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -10,6 +10,26 @@ from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 
 _FOLDERS: dict[str, object] = {}
+_OPEN: list[Scope] = []
+
+
+class Scope:
+    """Gathers the tables that are materialised while it's open, to release those that a step's result has made needless."""
+
+    def __init__(self):
+        self.tables: list[DataFrame] = []
+
+    def __enter__(self) -> Scope:
+        _OPEN.append(self)
+        return self
+
+    def __exit__(self, *_) -> None:
+        _OPEN.remove(self)
+
+    def release(self, *keep: DataFrame) -> None:
+        """Remove all of them but those to keep."""
+        discard(*[t for t in self.tables if all(t is not k for k in keep)])
+        self.tables = list(keep)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -65,6 +85,8 @@ def materialise(df: DataFrame, name: str, few: bool = False) -> DataFrame:
     (df.coalesce(max(1, spark.sparkContext.defaultParallelism)) if few else df).write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._helixmark_path = path
+    for scope in _OPEN:
+        scope.tables.append(out)
     return out
 
 
