@@ -10,11 +10,13 @@ programming over the expected cost of each part at each threshold: probes sent,
 estimated from the pairs of a bounded sample (SAMPLE nodes) and from chance. Every node then probes the
 keys within t of its own in each part, and candidates are verified.
 
-A key that more than LIGHT nodes share never meets its probes in one join: its nodes and probes are
-dealt to cells of at most about 2 * BLOCK rows, so that each pair of blocks meets, and a cell returns a
-spanning forest of its links instead of all pairs. That keeps the same components and stays linear in
-output. Components are found by alternating large-star and small-star steps over tables, each a
-pre-aggregated minimum and a join.
+A key that more than LIGHT nodes share never meets its probes in one join. Up to PIVOTS of its nodes are
+compared with all of its probes first; pivots that share a neighbour are one class, and within the class
+that has most rows nothing is left to be found. What lies outside it (as a rule few, where a key is heavy
+because its nodes are alike) is dealt to cells with all the others, of at most about 2 * BLOCK rows, so that
+each pair of blocks meets, and a cell returns a spanning forest of its links instead of all pairs. That
+keeps the same components and stays linear in output. Components are found by alternating large-star and
+small-star steps over tables, each a pre-aggregated minimum and a join.
 
 Fingerprints are the nodes, so what a row links to follows from its text alone, whatever its doc_id.
 
@@ -41,7 +43,7 @@ from ..operators.graphs import components
 from .common import bounded_batches, materialise
 
 BITS, SHINGLE, SEED, DISTANCE = 64, 4, 42, 4
-SAMPLE, LIGHT, BLOCK = 2048, 64, 2048
+SAMPLE, LIGHT, BLOCK, PIVOTS = 2048, 64, 2048, 16
 #: A probe that is sent costs about as much as so many candidates that are compared.
 PROBE_COST = 8.0
 
@@ -171,7 +173,7 @@ def forest(fps: np.ndarray, distance: int = DISTANCE) -> list[tuple[int, int]]:
     return out
 
 
-def links(nodes: DataFrame, parts: list[tuple[int, int]], distance: int = DISTANCE, light: int = LIGHT, block: int = BLOCK) -> DataFrame:
+def links(nodes: DataFrame, parts: list[tuple[int, int]], distance: int = DISTANCE, light: int = LIGHT, block: int = BLOCK, pivots: int = PIVOTS) -> DataFrame:
     """Rows (a, b) of fingerprints that link; of keys that many nodes share, enough to keep all components."""
     own = F.array(*[F.struct(F.lit(i).alias("part"), F.col("fp").bitwiseAND(F.lit(signed(mask))).alias("key")) for i, (mask, _) in enumerate(parts)])
 
@@ -187,19 +189,48 @@ def links(nodes: DataFrame, parts: list[tuple[int, int]], distance: int = DISTAN
     few = few.where((F.col("fp") != F.col("other")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= distance)).select(F.least("fp", "other").alias("a"), F.greatest("fp", "other").alias("b")).distinct()
     if heavy.isEmpty():
         return few
-    reached = probes.join(heavy.select("part", "key"), ["part", "key"], "left_semi")
-    sizes = heavy.join(reached.groupBy("part", "key").agg(F.count("*").alias("n_probes")), ["part", "key"])
-    sizes = materialise(sizes.select("part", "key", F.ceil(F.col("n_index") / block).cast("int").alias("rows"), F.ceil(F.col("n_probes") / block).cast("int").alias("cols")), "simhash-cells", few=True)
-    own_block = lambda col, n: F.pmod(F.xxhash64(col), F.col(n)).cast("int")
-    left = index.join(sizes, ["part", "key"]).select("part", "key", own_block("fp", "rows").alias("row"), F.explode(F.sequence(F.lit(0), F.col("cols") - 1)).alias("col"), "fp")
-    right = reached.join(sizes, ["part", "key"]).select("part", "key", F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("row"), own_block("other", "cols").alias("col"), F.col("other").alias("fp"))
+    return few.unionByName(_heavy_links(index, probes, heavy.select("part", "key"), parts, distance, block, pivots)).distinct()
+
+
+def _heavy_links(index: DataFrame, probes: DataFrame, heavy: DataFrame, parts: list[tuple[int, int]], distance: int, block: int, pivots: int) -> DataFrame:
+    """Links of the heavy keys' nodes (part, key, fp) and probes (part, key, other): to pivots, and of cells."""
+    by = ["part", "key"]
+    chosen = index.join(heavy, by).groupBy(*by, F.pmod(F.xxhash64("fp"), F.lit(pivots)).alias("slot")).agg(F.min("fp").alias("fp"))
+    chosen = materialise(chosen.groupBy(*by).agg(F.array_sort(F.collect_list("fp")).alias("pivots")), "simhash-pivots", few=True)  # at most PIVOTS a key
+    close = F.filter("pivots", lambda p: F.bit_count(p.bitwiseXOR(F.col("other"))) <= distance)
+    masks = F.array(*[F.lit(signed(mask)) for mask, _ in parts])
+    reached = probes.join(chosen, by).select(*by, F.col("other").alias("fp"), close.alias("near"), (F.col("other").bitwiseAND(F.get(masks, F.col("part"))) == F.col("key")).alias("own"))
+    reached = materialise(reached, "simhash-reached")
+    to_first = reached.where(F.size("near") > 0).select("fp", F.col("near")[0].alias("p"))
+    between = reached.where(F.size("near") > 1).select("fp", F.col("near")[0].alias("p"), F.explode(F.slice("near", 2, pivots)).alias("q"))
+    between = materialise(between.groupBy("p", "q").agg(F.min("fp").alias("fp")), "simhash-among", few=True)  # a neighbour of both
+    edge = lambda df, x, y: df.where(F.col(x) != F.col(y)).select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
+    # pivots linked by way of a neighbour are one class, named by its least pivot
+    roots = components(between.select(F.col("p").alias("a"), F.col("q").alias("b"))).select(F.col("node").alias("p"), "root")
+    tagged = reached.withColumn("p", F.get("near", F.lit(0))).join(roots, "p", "left").select(*by, "fp", "own", F.coalesce("root", "p").alias("class"))
+    tagged = materialise(tagged, "simhash-tagged")
+    sizes = tagged.where("class IS NOT NULL").groupBy(*by, "class").agg(F.count("*").alias("n"))
+    main = materialise(sizes.groupBy(*by).agg(F.max_by("class", F.struct("n", "class")).alias("main")), "simhash-main", few=True)
+    tagged = tagged.join(main, by, "left").select(*by, "fp", "own", F.coalesce(F.col("class") == F.col("main"), F.lit(False)).alias("inside"))
+    pairs = _cells(tagged.where("own AND NOT inside").select(*by, "fp"), tagged.select(*by, "fp"), distance, block)
+    pairs = pairs.unionByName(_cells(tagged.where("own AND inside").select(*by, "fp"), tagged.where("NOT inside").select(*by, "fp"), distance, block))
+    return edge(to_first, "fp", "p").unionByName(edge(between, "fp", "p")).unionByName(edge(between, "fp", "q")).unionByName(pairs)
+
+
+def _cells(left: DataFrame, right: DataFrame, distance: int, block: int) -> DataFrame:
+    """Links (a, b) between rows of left and right with the same (part, key), dealt to cells of two blocks."""
+    by = ["part", "key"]
+    count = lambda df, name: df.groupBy(*by).agg(F.ceil(F.count("*") / block).cast("int").alias(name))
+    sizes = materialise(count(left, "rows").join(count(right, "cols"), by), "simhash-cells", few=True)
+    own_block = lambda n: F.pmod(F.xxhash64("fp"), F.col(n)).cast("int")
+    a = left.join(sizes, by).select(*by, own_block("rows").alias("row"), F.explode(F.sequence(F.lit(0), F.col("cols") - 1)).alias("col"), "fp")
+    b = right.join(sizes, by).select(*by, F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("row"), own_block("cols").alias("col"), "fp")
 
     def cell(table: pa.Table) -> pa.Table:
         pairs = np.array(forest(table.column("fp").to_numpy().view(np.uint64), distance), np.uint64).reshape(-1, 2).view(np.int64)
         return pa.table({"a": pairs.min(axis=1), "b": pairs.max(axis=1)}, schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
 
-    many = left.unionByName(right).groupBy("part", "key", "row", "col").applyInArrow(cell, "a long, b long")
-    return few.unionByName(many).distinct()
+    return a.unionByName(b).groupBy(*by, "row", "col").applyInArrow(cell, "a long, b long")
 
 
 def _classes(prints: DataFrame, distance: int) -> DataFrame:
@@ -240,7 +271,8 @@ def deduplicate(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
     again = rows.where("n > 1").select(F.col("doc_id").alias("__hx_id"), F.col("__hx_digest").alias("__hx_of"))
     again = materialise(again, "simhash-again", few=True)
     given = [F.col(f"`{c}`") for c in docs.columns]
-    kept = docs.withColumn("__hx_digest", digest).join(gone, same, "left_anti")
+    # texts are shuffled once at any size: where rows that go fit into a broadcast follows from the corpus
+    kept = docs.withColumn("__hx_digest", digest).join(gone.hint("merge"), same, "left_anti")
     if again.isEmpty():
         return kept.select(*given)
     every = F.struct(*given)

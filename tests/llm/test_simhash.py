@@ -54,8 +54,8 @@ def test_links_equal_brute_force_with_heavy_keys(spark):
     fps = sorted(fps)
     nodes = spark.createDataFrame([(S.signed(f),) for f in fps], "fp long")
     for masks in ([(0xFFFFF, 1), (0xFFFFF << 20, 0), (0xFFFFFF << 40, 1)], [(0xFFFF << 16 * k, 1 if k == 3 else 0) for k in range(4)]):
-        for light, block in ((64, 2048), (4, 16), (100000, 10)):
-            found = S.links(nodes, masks, 4, light, block).collect()
+        for light, block, pivots in ((64, 2048, 16), (4, 16, 16), (4, 16, 1), (30, 50, 3), (100000, 10, 16)):
+            found = S.links(nodes, masks, 4, light, block, pivots).collect()
             up = {f: f for f in fps}
 
             def find(x, up=up):
