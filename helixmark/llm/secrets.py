@@ -5,14 +5,16 @@ DataFrame functions only. Base spans are the patterns' leftmost matches. The met
 log-likelihood ratio per transition is above LEVEL. Both models are first-order Markov chains over the
 token alphabet, counted from labelled samples: random strings drawn by rule from digests of a counter
 (hexadecimal, and base 64 with either of its alphabets), and ordinary identifiers, which are the words of
-at most SAMPLE_DOCS documents (those with the least digest of doc_id) as they stand, in capitals and in
-lower case, joined by `_`, `.`, `-` or in camel case, and numbered. The ratio table has a fixed size.
+about `sample_docs` documents of each language (those whose doc_id's digest lies below the language's share)
+as they stand, in capitals and in lower case, joined by `_`, `.`, `-` or in camel case, and numbered. The
+ratio table has a fixed size.
 
 Positions are in code points, ends are exclusive. They are found by splitting the text at the matches and
 adding up lengths, in blocks, so a text with many matches costs about their number times its block count.
 
-Defined results: null and empty texts have no spans; repeated rows are scanned each; without documents
-the identifier model is uniform; input columns with the name of an output give way to it.
+Defined results: null and empty texts have no spans; repeated rows are scanned each, and learned from once;
+rows without doc_id are never learned from; null is a language; without documents the identifier model is
+uniform; input columns with the name of an output give way to it.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import with_outputs
+from .common import discard, materialise, with_outputs
 
 #: The base patterns.
 ASSIGN = "([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])[\"']?\\x20*[:=]\\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
@@ -32,7 +34,8 @@ MIN_VALUE = 6
 ALPHABET = "[A-Za-z0-9+/_.=-]"
 MIN_TOKEN, LEVEL = 16, 0.35
 TOKEN = f"(?<!{ALPHABET}){ALPHABET}{{{MIN_TOKEN},}}"
-SAMPLE_DOCS, SAMPLE_RANDOM = 300, 3000
+#: Documents of each language that identifiers are learned from (expected number), and random strings.
+SAMPLE_DOCS, SAMPLE_RANDOM = 200, 3000
 #: Character codes of the token alphabet lie in FIRST..FIRST + SPAN - 1; it has SYMBOLS characters.
 FIRST, SPAN, SYMBOLS = 43, 80, 68
 SMOOTH = 0.5
@@ -71,10 +74,19 @@ def random_strings(spark: SparkSession) -> DataFrame:
     return spark.range(SAMPLE_RANDOM).select(F.when(form == 0, F.lower(F.hex(digest))).when(form == 1, plain).otherwise(F.translate(plain, "+/", "-_")).alias("s"))
 
 
-def identifiers(docs: DataFrame) -> DataFrame:
-    """Ordinary identifiers from the words of a bounded sample of documents, without what base patterns find."""
-    chosen = docs.select("doc_id").where("doc_id IS NOT NULL").distinct().orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(SAMPLE_DOCS)
-    texts = docs.join(F.broadcast(chosen), "doc_id", "left_semi").select(F.coalesce("text", F.lit("")).alias("t"))  # SAMPLE_DOCS ids
+def sampled(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
+    """Rows (t): the texts of a sample of doc_ids that is bounded for each language, in the shared folder."""
+    docs = docs.select("doc_id", "text", F.col("lang") if "lang" in docs.columns else F.lit(None).cast("string").alias("lang"))
+    per = docs.groupBy("lang").agg(F.count("*").alias("n")).select(F.col("lang").alias("__hx_lang"), (F.lit(float(sample_docs)) / F.col("n")).alias("__hx_share"))
+    per = materialise(per, "secret-languages", few=True)  # so that its size is known, and texts stay where they are
+    low = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << 40)) / float(1 << 40) < F.col("__hx_share")
+    chosen = docs.where("doc_id IS NOT NULL").join(per, F.col("lang").eqNullSafe(F.col("__hx_lang"))).where(low)
+    texts = chosen.groupBy("doc_id", "__hx_lang").agg(F.min("text").alias("t"))
+    return materialise(texts.select(F.coalesce("t", F.lit("")).alias("t")), "secret-sample", few=True)
+
+
+def identifiers(texts: DataFrame) -> DataFrame:
+    """Ordinary identifiers from the words of texts (t), without what base patterns find."""
     for pattern in (ASSIGN, ACCESS, HEX):
         texts = texts.select(F.regexp_replace("t", pattern, " ").alias("t"))
     words = texts.select(F.regexp_extract_all("t", F.lit("[A-Za-z]{2,}"), F.lit(0)).alias("w")).where(F.size("w") > 0)
@@ -84,10 +96,11 @@ def identifiers(docs: DataFrame) -> DataFrame:
     return words.select(F.explode(forms).alias("s"))
 
 
-def fit(docs: DataFrame) -> list[float]:
+def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> list[float]:
     """The log-likelihood ratio of each transition, random against ordinary; SPAN * SPAN numbers."""
     spark = docs.sparkSession
-    rows = _pairs(random_strings(spark)).withColumn("random", F.lit(True)).unionByName(_pairs(identifiers(docs)).withColumn("random", F.lit(False)))
+    texts = sampled(docs, sample_docs)
+    rows = _pairs(random_strings(spark)).withColumn("random", F.lit(True)).unionByName(_pairs(identifiers(texts)).withColumn("random", F.lit(False)))
     n = {True: {}, False: {}}
     for code, count, which in rows.select("code", "n", "random").collect():  # at most 2 * SPAN * SPAN rows
         n[which][code] = count
@@ -99,6 +112,7 @@ def fit(docs: DataFrame) -> list[float]:
         for b in range(SPAN):
             p, q = ((n[which].get(a * SPAN + b, 0) + SMOOTH) / (starts[which][a] + SMOOTH * SYMBOLS) for which in (True, False))
             out.append(log(p / q))
+    discard(texts)
     return out
 
 

@@ -53,3 +53,28 @@ def test_redaction(spark, ratios, edge, nothing):
     again = S.redact(edge, ratios)
     assert again.columns == edge.columns and again.count() == edge.count()
     assert S.redact(nothing, ratios).count() == 0 and len(S.fit(nothing)) == S.SPAN**2
+
+
+def test_random_spans_equal_brute_force(spark, documents, ratios):
+    """Tokens outside all base spans whose mean ratio is above the level, from the definition; the table has six decimals."""
+    table = [float(f"{x:.6f}") for x in ratios]
+    code = lambda c: ord(c) - S.FIRST
+
+    def spans(text):
+        text = text or ""
+        _, _, _, fixed = base(text)
+        out = [tuple(x.split(":")) for x in fixed.split(",") if x]
+        taken = [(int(a), int(b)) for _, a, b in out]
+        for m in re.finditer(S.TOKEN, text):
+            t = m[0]
+            mean = sum(table[code(a) * S.SPAN + code(b)] for a, b in zip(t, t[1:])) / (len(t) - 1)
+            if re.search("[A-Za-z]", t) and mean > S.LEVEL and not any(a < m.end() and m.start() < b for a, b in taken):
+                out.append(("random", str(m.start()), str(m.end())))
+        return ",".join(map(":".join, sorted(out, key=lambda x: (int(x[1]), S.KINDS.index(x[0])))))
+
+    rng = random_source.SystemRandom()
+    made = [" ".join(rng.choice(["plain", random_source.token_urlsafe(20), random_source.token_hex(9), "token=" + random_source.token_hex(8), "some_ordinary_identifier_name", "é日本", "AKIA" + "B2" * 9]) for _ in range(rng.randrange(1, 12))) for _ in range(200)]
+    for df in (documents, spark.createDataFrame(list(enumerate(made)), "doc_id long, text string")):
+        texts = {r["doc_id"]: r["text"] for r in df.collect()}
+        got = {r["doc_id"]: r["spans"] for r in S.scan(df, ratios).collect()}
+        assert got == {i: spans(t) for i, t in texts.items()}
