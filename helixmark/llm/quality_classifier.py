@@ -18,6 +18,7 @@ repeated rows are scored each.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -39,26 +40,48 @@ M32 = np.uint64(0xFFFFFFFF)
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _fnv(text: str) -> int:
-    h = 0x811C9DC5
-    for b in text.encode("utf-8", "replace"):
-        h = (h ^ b) * 0x01000193 & 0xFFFFFFFF
-    return h
+_COLLAPSE = regex.compile(r"(.)\1+", flags=regex.S)
 
 
-def shape(word: str) -> str:
+def _hash(text: str) -> int:
+    return crc32(text.encode("utf-8", "replace"))
+
+
+def _slow_shape(word: str) -> str:
     for pattern, sign in _SHAPES:
         word = pattern.sub(sign, word)
-    return regex.sub(r"(.)\1+", r"\1", word, flags=regex.S)
+    return _COLLAPSE.sub(r"\1", word)
+
+
+def shape(word: str) -> str:
+    """Runs of capitals, other letters, digits and each other character as one sign; most words need no pattern for it."""
+    end = "" if word[-1].isalnum() else word[-1]
+    body = word[: len(word) - len(end)]
+    if body.isalpha() and not "" < end < "\x04":
+        if body.islower():
+            return "\x02" + end
+        if body[0].isupper() and body[1:].islower():
+            return "\x01\x02" + end
+    return _slow_shape(word)
 
 
 class Hashes(dict):
     """Word to (hash of the word, hash of its shape), in one 64-bit number."""
 
+    def __init__(self):
+        super().__init__()
+        self.shapes: dict[str, int] = {}
+
     def __missing__(self, word: str) -> int:
         if len(self) >= CACHE:
             self.clear()
-        self[word] = v = _fnv(word.lower()) << 32 | _fnv(shape(word))
+        kind = shape(word)
+        low = self.shapes.get(kind)
+        if low is None:
+            if len(self.shapes) >= CACHE:
+                self.shapes.clear()
+            low = self.shapes[kind] = _hash(kind)
+        self[word] = v = _hash(word.lower()) << 32 | low
         return v
 
 
