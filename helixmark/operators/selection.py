@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..storage import materialise
-from . import pairs
+from . import ordering, pairs
 from .graphs import components
 
 
@@ -27,18 +27,37 @@ def best_prediction(predictions: DataFrame, ord_: str = "ord") -> DataFrame:
 
 
 def ranked(predictions: DataFrame, keys: tuple[str, ...] = ("gfdr", "fdr", "p", "snp")) -> DataFrame:
-    return predictions.withColumn("rank", F.row_number().over(Window.orderBy(*keys)))
+    """predictions with their rank by the keys, which must be a total order."""
+    return ordering.numbered(predictions, list(keys), "rank")
 
 
 def neighbourhoods(coords: DataFrame, distance: float, by: list[str] | None = None) -> DataFrame:
-    """coords (id, pos) with `group`, a number where at least two lie in a chain of gaps of at most `distance`, else NULL."""
-    by = by or []
-    w = Window.partitionBy(*by).orderBy("pos", "id")
-    gap = F.col("pos") - F.lag("pos").over(w)
-    df = coords.where("pos IS NOT NULL").withColumn("__new", F.when(gap.isNull() | (gap > distance), 1).otherwise(0))
-    df = df.withColumn("__g", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    size = F.count("*").over(Window.partitionBy(*by, "__g"))
-    df = df.withColumn("group", F.when(size >= 2, F.col("__g"))).drop("__new", "__g")
+    """coords (id, pos) with `group`, a number where at least two lie in a chain of gaps of at most `distance`, else NULL.
+
+    Without `by` the whole list is one order: it is range-sorted, and what a range needs of those before it
+    (the last place, the number of groups) is one row.
+    """
+    known = coords.where("pos IS NOT NULL")
+    if by:
+        w = Window.partitionBy(*by).orderBy("pos", "id")
+        gap = F.col("pos") - F.lag("pos").over(w)
+        df = known.withColumn("__new", F.when(gap.isNull() | (gap > distance), 1).otherwise(0))
+        df = df.withColumn("__g", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    else:
+        df = ordering.placed(known, ["pos", "id"])
+        earlier = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # a row per range
+        before = df.groupBy("__part").agg(F.max("pos").alias("m")).select("__part", F.max("m").over(earlier).alias("__before"))
+        own = Window.partitionBy("__part").orderBy("pos", "id")
+        df = df.join(F.broadcast(before), "__part").withColumn("__gap", F.col("pos") - F.coalesce(F.lag("pos").over(own), F.col("__before")))
+        df = df.withColumn("__new", F.when(F.col("__gap").isNull() | (F.col("__gap") > distance), 1).otherwise(0))
+        starts = df.groupBy("__part").agg(F.sum("__new").alias("n")).select("__part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("__from"))
+        df = df.join(F.broadcast(starts), "__part").withColumn("__g", F.col("__from") + F.sum("__new").over(own.rowsBetween(Window.unboundedPreceding, 0)))
+    keys = [*(by or []), "__g"]
+    sizes = df.groupBy(*keys).agg(F.count("*").alias("__size")).where("__size >= 2").select(*[F.col(k).alias(f"__{k}") for k in keys])
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    df = df.join(sizes, same, "left").withColumn("group", F.col("____g")).select(*coords.columns, "group")
     return df.unionByName(coords.where("pos IS NULL").withColumn("group", F.lit(None).cast("long")))
 
 

@@ -344,3 +344,31 @@ def test_tiles_of_contigs(spark):
     rc = lambda x: x[::-1].translate(str.maketrans("ACGT", "TGCA"))
     a = seqs["a"]
     assert found == {0: a[2:60], 1: rc(a[14:40]) + rc(a[1:9])}
+
+
+def test_neighbourhoods_of_one_list(spark):
+    """The whole list in one order, however many ranges it is sorted into."""
+    import random
+
+    from helixmark.operators import selection
+
+    rng = random.Random(6)
+    rows = [(i, rng.randrange(0, 4000) if i % 11 else None) for i in range(500)]
+    df = spark.createDataFrame(rows, "id long, pos long").repartition(5)
+    want, chain = {}, []
+    for i, p in sorted(((i, p) for i, p in rows if p is not None), key=lambda x: (x[1], x[0])) + [(None, 10**9)]:
+        if chain and p - chain[-1][1] > 6:
+            for k, _ in chain:
+                want[k] = frozenset(c for c, _ in chain) if len(chain) > 1 else None
+            chain = []
+        chain.append((i, p))
+    old = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {r["id"]: r["group"] for r in selection.neighbourhoods(df, 6).collect()}
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", old)
+    members: dict = {}
+    for i, g in got.items():
+        members.setdefault(g, set()).add(i)
+    assert len(got) == 500 and all((frozenset(members[got[i]]) if got[i] is not None else None) == want.get(i) for i, _ in rows)
