@@ -29,6 +29,8 @@ from .common import bounded_batches
 
 BLOCK = 576
 SIDE = 24
+#: Bytes of files and pages that a batch of pages holds, about; a file's pages may be more.
+PART = 1 << 21
 #: Tags, field types' sizes, compressions.
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, STRIP_AT, SAMPLES, STRIP_ROWS, STRIP_SIZE, PLANAR = 256, 257, 258, 259, 262, 273, 277, 278, 279, 284
 PREDICTOR, TILE_WIDTH, TILE_HEIGHT, TILE_AT, TILE_SIZE = 317, 322, 323, 324, 325
@@ -342,24 +344,38 @@ def decode(files: DataFrame, keep: bool = False) -> DataFrame:
     keep: with n_bytes, and the file itself in the row of its first page.
     """
 
+    kinds = (pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.string())
+    names = ["doc_id", "page", "width", "height", "samples_per_pixel", "compression", "samples", "error", *(["n_bytes", "media"] if keep else [])]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            at, rows, files_, size = [], [], [], 0  # rows' places in b, what they hold, and the file in a first row
+
+            def made() -> pa.RecordBatch:
+                columns = [pa.array(c, t) for c, t in zip(zip(*rows), kinds)]
+                if keep:
+                    columns += [b.column(2).take(pa.array(at, pa.int32())), pa.array(files_, pa.binary())]  # noqa: B023
+                return pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int32())), *columns], names)  # noqa: B023
+
             for i in range(b.num_rows):
-                media, rows, error = b.column(1)[i].as_py(), [], None
+                media, n, error = b.column(1)[i].as_py(), 0, None
                 try:
                     for tags, x in pages(media) if media is not None else ():
-                        rows.append((len(rows), x.shape[1], x.shape[0], x.shape[2], tags.get(COMPRESSION, [NONE])[0], x.tobytes(), None))
+                        rows.append((n, x.shape[1], x.shape[0], x.shape[2], tags.get(COMPRESSION, [NONE])[0], x.tobytes(), None))
+                        n += 1
                 except ValueError as e:
                     error = str(e)
                 if error:
-                    rows.append((len(rows), None, None, None, None, None, error))
-                if rows:
-                    columns = [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.string()))]
-                    names = ["doc_id", "page", "width", "height", "samples_per_pixel", "compression", "samples", "error"]
-                    if keep:
-                        columns += [pa.concat_arrays([b.column(2).slice(i, 1)] * len(rows)), pa.array([media] + [None] * (len(rows) - 1), pa.binary())]
-                        names += ["n_bytes", "media"]
-                    yield pa.RecordBatch.from_arrays([pa.concat_arrays([b.column(0).slice(i, 1)] * len(rows)), *columns], names)
+                    rows.append((n, None, None, None, None, None, error))
+                    n += 1
+                at += [i] * n
+                files_ += [media if k == 0 else None for k in range(n)]
+                size += 2 * len(media or b"")
+                if size > PART:
+                    yield made()
+                    at, rows, files_, size = [], [], [], 0
+            if rows:
+                yield made()
 
     kind = files.schema["doc_id"].dataType.simpleString()
     given = ["doc_id", "media", "n_bytes"] if keep else ["doc_id", "media"]
@@ -375,23 +391,34 @@ def folded(rows: DataFrame, digest) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list | None = None  # doc_id, n_bytes, file, pages
+        done: list = []
+        types = None
+
+        def made() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done), types)], ["doc_id", "n_bytes", *digest.columns])
 
-        def ended() -> pa.RecordBatch:
+        def end() -> None:
             got = digest(held[2], b"".join(held[3]))
-            return pa.RecordBatch.from_arrays([held[0], held[1], *[pa.array([got[k]], t) for k, t in digest.columns.items()]], ["doc_id", "n_bytes", *digest.columns])
+            done.append((held[0], held[1], *[got[k] for k in digest.columns]))
 
         for b in batches:
-            pages_, samples, errors, files = (b.column(b.schema.get_field_index(c)) for c in ("page", "samples", "error", "media"))
+            types = [b.schema.field(0).type, pa.int64(), *digest.columns.values()]
+            idents, pages_, samples, errors, sizes, files = (b.column(b.schema.get_field_index(c)) for c in ("doc_id", "page", "samples", "error", "n_bytes", "media"))
             for i in range(b.num_rows):
                 if errors[i].as_py() is not None:
                     raise ValueError(errors[i].as_py())
                 if pages_[i].as_py() == 0:
                     if held is not None:
-                        yield ended()
-                    held = [b.column(0).slice(i, 1), b.column(b.schema.get_field_index("n_bytes")).slice(i, 1), files[i].as_py(), []]
+                        end()
+                    held = [idents[i].as_py(), sizes[i].as_py(), files[i].as_py(), []]
                 held[3].append(samples[i].as_py())
+            if len(done) >= 256:
+                yield made()
+                done.clear()
         if held is not None:
-            yield ended()
+            end()
+        if done:
+            yield made()
 
     kind = rows.schema["doc_id"].dataType.simpleString()
     names = {pa.int64(): "long", pa.string(): "string"}
