@@ -32,7 +32,6 @@ import ipaddress
 import re
 import unicodedata
 from collections.abc import Iterator
-from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -101,9 +100,16 @@ def _digits(text: str) -> str:
     return "".join(str(unicodedata.digit(c)) for c in text if c.isdecimal())
 
 
-@cache
+#: What this process knows of characters: scripts, and letters by script. (Plain dictionaries, as they travel with the functions.)
+_SCRIPTS: dict[str, str] = {}
+_LETTERS_OF: dict[str, str] = {}
+
+
 def _script_of(c: str) -> str:
-    return unicodedata.name(c, "latin").split(" ")[0].split("-")[0].lower()
+    s = _SCRIPTS.get(c)
+    if s is None:
+        s = _SCRIPTS[c] = unicodedata.name(c, "latin").split(" ")[0].split("-")[0].lower()
+    return s
 
 
 def _script(text: str) -> str:
@@ -111,14 +117,16 @@ def _script(text: str) -> str:
     return next((s for c in text if c.isalpha() and (s := _script_of(c)) != "latin"), "latin")
 
 
-@cache
 def _letters_of(script: str) -> str:
     """Letters that surrogates of a script are made of: the small ones, or those without case, of its basic range."""
     if script == "latin":
         return "abcdefghijklmnopqrstuvwxyz"
+    if script in _LETTERS_OF:
+        return _LETTERS_OF[script]
     every = [c for c in map(chr, range(0x80, 0xD7A4)) if c.isalpha() and c == c.lower() and _script_of(c) == script and unicodedata.normalize("NFKC", c) == c]
     cased = [c for c in every if c != c.upper()]
-    return "".join(cased or every) or "abcdefghijklmnopqrstuvwxyz"
+    _LETTERS_OF[script] = "".join(cased or every) or "abcdefghijklmnopqrstuvwxyz"
+    return _LETTERS_OF[script]
 
 
 def _named(word: str) -> bool:
