@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.genotype import ALTERNATE
+from ..storage import materialise
 
 
 def latest_calls(calls: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -105,6 +106,7 @@ def crossed(samples: DataFrame, listed: DataFrame, chunk: int = 10_000) -> DataF
     """Each of samples with each row of a list, which is dealt to chunks of about so many rows; samples meet chunks in an equi join that Spark sizes."""
     n = max(1, -(-listed.count() // chunk))
     lists = listed.groupBy(F.pmod(F.xxhash64(*listed.columns), F.lit(n)).cast("int").alias("__chunk")).agg(F.collect_list(F.struct(*listed.columns)).alias("__rows"))
+    lists = materialise(lists, "crossed-lists", few=True)
     each = samples.withColumn("__chunk", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).join(lists, "__chunk")
     return each.select(*samples.columns, F.inline("__rows"))
 

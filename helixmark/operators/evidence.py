@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import encode
 from ..functions.genotype import ALTERNATE, REFERENCE
+from ..storage import materialise
 
 # Call and status names, and what the counts are called, are part of the output format.
 BASELINE_CALLS = ("baseline_match",)
@@ -14,14 +15,19 @@ NONBASELINE_CALLS = ("alt_match", "known_nonbaseline_match")
 ASSUMED = "assumed_reference"
 
 
-def histograms(rows: DataFrame, by: list[str], columns: dict[str, str]) -> DataFrame:
-    """by, with a map value to count (in order of the values) for each of columns (name: column); NULL is left out."""
+def histograms(combined: DataFrame, by: list[str], columns: dict[str, str]) -> DataFrame:
+    """by, with a map value to count (in order of the values) for each of columns (name: column); NULL is left out. combined: rows with `n`, how often each occurs."""
     each = F.array(*[F.struct(F.lit(k).alias("name"), F.col(c).cast("string").alias("value")) for k, c in columns.items()])
-    n = rows.select(*by, F.explode(each).alias("x")).where("x.value IS NOT NULL").groupBy(*by, "x.name", "x.value").agg(F.count("*").alias("n"))
+    n = combined.select(*by, F.explode(each).alias("x"), "n").where("x.value IS NOT NULL").groupBy(*by, "x.name", "x.value").agg(F.sum("n").alias("n"))
     of = lambda k: F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("name") == k, F.struct("value", "n")))))
     return n.groupBy(*by).agg(*[of(k).alias(k) for k in columns])
 
 
+def _counted(condition: Column) -> Column:
+    """Over combined rows, how many rows meet a condition."""
+    return F.coalesce(F.sum(F.when(condition, F.col("n"))), F.lit(0))
+
+
 def histogram_text(c: Column | str) -> Column:
     """A histogram as value=count, comma-joined in order of the values; empty for none."""
     entries = F.array_sort(F.map_entries(F.col(c) if isinstance(c, str) else c))
@@ -30,9 +36,11 @@ def histogram_text(c: Column | str) -> Column:
 
 def mapping_summary(calls: DataFrame) -> DataFrame:
     """Per sample of (sample, value, mapping_status, allele_call, call_state): 13 counts and three histograms."""
-    n, status, call, state = F.count_if, F.coalesce("mapping_status", F.lit("")), F.coalesce("allele_call", F.lit("")), F.coalesce("call_state", F.lit(""))
-    per = calls.groupBy("sample").agg(
-        F.count("*").alias("n_feature_calls"),
+    every = ["sample", "value", "mapping_status", "allele_call", "call_state"]
+    combined = materialise(calls.groupBy(*every).agg(F.count("*").alias("n")), "evidence-calls", few=True)  # a few rows per sample
+    n, status, call, state = _counted, F.coalesce("mapping_status", F.lit("")), F.coalesce("allele_call", F.lit("")), F.coalesce("call_state", F.lit(""))
+    per = combined.groupBy("sample").agg(
+        F.sum("n").alias("n_feature_calls"),
         n(F.col("value") == 1).alias("n_encoded_active_features"),
         n(call.isin(*BASELINE_CALLS, *NONBASELINE_CALLS, ASSUMED)).alias("n_resolved_features"),
         n(call.isin(*BASELINE_CALLS, ASSUMED)).alias("n_resolved_baseline_features"),
@@ -46,7 +54,7 @@ def mapping_summary(calls: DataFrame) -> DataFrame:
         n(status.contains("non_training_allele")).alias("n_non_training_allele_calls"),
         n(call == ASSUMED).alias("n_assumed_reference"),
     )
-    return per.join(histograms(calls, ["sample"], {"status_counts": "mapping_status", "allele_call_counts": "allele_call", "call_state_counts": "call_state"}), "sample", "left")
+    return per.join(histograms(combined, ["sample"], {"status_counts": "mapping_status", "allele_call_counts": "allele_call", "call_state_counts": "call_state"}), "sample", "left")
 
 
 def model_evidence(cells: DataFrame) -> DataFrame:
@@ -59,14 +67,17 @@ def model_evidence(cells: DataFrame) -> DataFrame:
     mapped = F.col("mapping_status").isNotNull() | F.col("allele_call").isNotNull()
     role = encode.evidence_role(F.col("allele_call"), F.col("mapping_status"), F.col("available"), F.col("value"))
     df = cells.withColumns({"__mapped": mapped, "__role": role, "__active": F.coalesce(F.col("value") != 0, F.lit(False))})
-    by, n = ["sample", "node"], F.count_if
+    by, n = ["sample", "node"], _counted
+    cells = materialise(df.select(*by, "feature", "mapping_status", "allele_call", "__mapped", "__role", "__active"), "evidence-cells")  # read twice
+    active_ids = cells.where("__active").groupBy(*by).agg(F.array_sort(F.collect_list("feature")).alias("active_feature_ids"))
+    df = cells.groupBy(*by, "mapping_status", "allele_call", "__mapped", "__role", "__active").agg(F.count("*").alias("n"))
+    df = materialise(df, "evidence-counts", few=True)  # a few rows per sample and node
     is_ = lambda *r: F.col("__role").isin(*r)
     resolved = is_("resolved_baseline_state", "resolved_nonbaseline_state", "resolved_trained_zero_state")
     per = df.groupBy(*by).agg(
-        F.count("*").alias("n_selected_features"),
-        n("__active").alias("n_active_features"),
-        F.array_sort(F.collect_list(F.when(F.col("__active"), F.col("feature")))).alias("active_feature_ids"),
-        n("__mapped").alias("n_features_with_mapping_metadata"),
+        F.sum("n").alias("n_selected_features"),
+        n(F.col("__active")).alias("n_active_features"),
+        n(F.col("__mapped")).alias("n_features_with_mapping_metadata"),
         n(F.col("mapping_status") == "mapped_unique_context").alias("n_unique_mapped_features"),
         n(resolved).alias("__resolved"),
         n(is_("aligned_matrix_state")).alias("__aligned"),
@@ -81,6 +92,7 @@ def model_evidence(cells: DataFrame) -> DataFrame:
         (n(call == "ambiguous_base") + n(status.contains("ambiguous_base"))).alias("n_ambiguous_base_calls"),
         (n(call == "non_training_allele") + n(status.contains("non_training_allele"))).alias("n_non_training_allele_calls"),
     )
+    per = per.join(active_ids, by, "left").withColumn("active_feature_ids", F.coalesce("active_feature_ids", F.array().cast(active_ids.schema["active_feature_ids"].dataType)))
     has = F.col("n_features_with_mapping_metadata") > 0
     per = per.withColumns({"has_mapping_metadata": has, "n_resolved_features": F.col("__resolved") + F.when(has, F.lit(0)).otherwise(F.col("__aligned"))}).drop("__resolved", "__aligned")
     share = lambda c: F.col(c) / F.greatest("n_selected_features", F.lit(1))
