@@ -100,7 +100,8 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> list[float]:
     """The log-likelihood ratio of each transition, random against ordinary; SPAN * SPAN numbers."""
     spark = docs.sparkSession
     texts = sampled(docs, sample_docs)
-    rows = _pairs(random_strings(spark)).withColumn("random", F.lit(True)).unionByName(_pairs(identifiers(texts)).withColumn("random", F.lit(False)))
+    spread = texts.repartition(max(2, spark.sparkContext.defaultParallelism))  # few rows, but much work for each
+    rows = _pairs(random_strings(spark)).withColumn("random", F.lit(True)).unionByName(_pairs(identifiers(spread)).withColumn("random", F.lit(False)))
     n = {True: {}, False: {}}
     for code, count, which in rows.select("code", "n", "random").collect():  # at most 2 * SPAN * SPAN rows
         n[which][code] = count
