@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, mixing, pii, quality_classifier, quality_rules, secrets, simhash, tiff, warc
+from . import bpe, chat, decontamination, lexical_search, mixing, pii, quality_classifier, quality_rules, secrets, simhash, tiff, warc
 
 HELD_OUT_FOLDS = 5
 KEEP_FROM = 0.3
@@ -137,11 +137,23 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(_read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents within occurrences of windows of the benchmark, and the items that occur. Null and empty texts have no words."""
+    found = decontamination.scan(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+    n_items, digest = F.size("items").cast("long"), F.sha2(F.array_join("items", ",").cast("binary"), 256)
+    return found.select("doc_id", "n_words", "n_hit", n_items.alias("n_items"), digest.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents of all for each benchmark item. Null and empty texts are never found, items without terms have no rows."""
+    return lexical_search.search(lexical_search.index(_read(spark, sf_dir, "documents")), _read(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality_classifier, op2_pii, op3_tiff, op4_chat, op5_warc, op6_bpe, op7_simhash, op8_quality_rules, op9_secrets, op10_mixing)}
+    return {f.__name__: f for f in (op1_quality_classifier, op2_pii, op3_tiff, op4_chat, op5_warc, op6_bpe, op7_simhash, op8_quality_rules, op9_secrets, op10_mixing, op11_decontamination, op12_lexical_search)}
 
 
 def oracle_sql() -> dict[str, str]:
     from . import sql
 
-    return {"op5_warc": sql.WARC, "op8_quality_rules": sql.QUALITY_RULES, "op10_mixing": sql.MIXING}
+    return {"op5_warc": sql.WARC, "op8_quality_rules": sql.QUALITY_RULES, "op10_mixing": sql.MIXING, "op11_decontamination": sql.DECONTAMINATION, "op12_lexical_search": sql.LEXICAL_SEARCH}

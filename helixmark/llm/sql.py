@@ -103,3 +103,53 @@ SELECT page_id, strlen(html)::BIGINT AS payload_bytes,
        CASE WHEN page_id IS NOT DISTINCT FROM first THEN 'response' ELSE 'revisit' END AS record_type,
        CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers_to
 FROM p JOIN f USING (html)"""
+
+#: Windows of the items as strings of words; a document's window of that many words that equals one is hit, word by word.
+DECONTAMINATION = r"""
+WITH item_words AS (
+  SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE text IS NOT NULL
+), item_places AS (
+  SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, least(len(w), 1)) + 1)) AS p FROM item_words
+), windows AS (
+  SELECT DISTINCT item_id, least(len(w), 10) AS size, array_to_string(w[p : p + 9], ' ') AS words FROM item_places
+), sizes AS (
+  SELECT DISTINCT size FROM windows
+), docs AS (
+  SELECT row_number() OVER () AS k, doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM documents
+), places AS (
+  SELECT k, w, size, unnest(range(1, len(w) - size + 2)) AS p FROM docs, sizes
+), met AS (
+  SELECT k, p, s.size, v.item_id FROM (SELECT k, size, p, array_to_string(w[p : p + size - 1], ' ') AS words FROM places) s JOIN windows v ON s.size = v.size AND s.words = v.words
+), hit AS (
+  SELECT k, count(DISTINCT word) AS n_hit FROM (SELECT k, unnest(range(p, p + size)) AS word FROM met) GROUP BY k
+), items AS (
+  SELECT k, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT k, coalesce(CAST(item_id AS VARCHAR), '') AS id FROM met) GROUP BY k
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs LEFT JOIN hit USING (k) LEFT JOIN items USING (k)
+"""
+
+#: Scores of all documents with a term of the item; the ten best of each item.
+LEXICAL_SEARCH = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS k, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents WHERE text IS NOT NULL
+), totals AS (
+  SELECT count(*) AS n_docs, CAST(sum(len(terms)) AS BIGINT) AS length FROM docs WHERE len(terms) > 0
+), postings AS (
+  SELECT k, term, count(*) AS tf FROM (SELECT k, unnest(terms) AS term FROM docs) GROUP BY k, term
+), weights AS (
+  SELECT term, CAST(floor(1000 * ln((2 * any_value(n_docs) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM postings, totals GROUP BY term
+), factors AS (
+  SELECT k, doc_id, 100 - 75 + (75 * len(terms) * n_docs) // length AS m FROM docs, totals WHERE len(terms) > 0
+), items AS (
+  SELECT row_number() OVER () AS i, item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM benchmark WHERE text IS NOT NULL
+), asked AS (
+  SELECT i, item_id, unnest(terms) AS term FROM items
+), scores AS (
+  SELECT i, item_id, k, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score
+  FROM asked JOIN postings USING (term) JOIN weights USING (term) JOIN factors USING (k) GROUP BY i, item_id, k, doc_id
+), ranked AS (
+  SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id) AS rank FROM scores WHERE score > 0
+)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranked WHERE rank <= 10
+"""
