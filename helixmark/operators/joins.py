@@ -1,10 +1,13 @@
-"""Joins that Spark has no operator for: point in interval, nearest interval, tiered lookup, seeded sequence search."""
+"""Joins that Spark has no operator for: point in interval, nearest interval, tiered lookup; and searches of sequences."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.sequence import reverse_complement
+from . import search
+
 
 def bins_of(start: Column, end: Column, width: int) -> Column:
     return F.sequence(F.floor(start / width), F.floor(end / width))
@@ -97,46 +100,23 @@ def tiered_lookup(requests: DataFrame, tiers: list[tuple[str, DataFrame, bool]],
     return out.select(*requests.columns, *[F.when(~several, F.col(f"b.__v.{v}")).alias(v) for v in value], F.when(several, F.concat(F.lit("ambiguous_"), F.col("b.__name"))).otherwise(F.coalesce(F.col("b.__name"), F.lit("absent"))).alias("match"))
 
 
-#: Seeds have at most so many letters; longer ones hardly meet fewer places.
-SEED = 16
-
-
-def grams(subjects: DataFrame, size: int) -> DataFrame:
-    """Rows (subject_id, seq, p, seed): all substrings of so many letters."""
-    return subjects.where(F.length("seq") >= size).withColumn("p", F.explode(F.sequence(F.lit(0), F.length("seq") - size))).select("subject_id", "seq", "p", F.substring("seq", F.col("p") + 1, F.lit(size)).alias("seed"))
-
-
 def seeded_search(subjects: DataFrame, patterns: DataFrame, mismatches: int = 0) -> DataFrame:
     """Every place where a pattern occurs in a sequence with at most so many substitutions: (pattern_id, subject_id, at, mismatches).
 
-    subjects: (subject_id, seq); patterns: (pattern_id, pattern), longer than `mismatches`. at is 0-based;
-    overlapping hits count. A pattern is cut into mismatches + 1 disjoint parts, one of which must occur as
-    it is; the parts' first letters and the subjects' substrings meet in an equi join, and Hamming distance decides.
+    subjects: (subject_id, seq); patterns: (pattern_id, pattern). at is 0-based; overlapping hits count; empty patterns occur nowhere.
     """
-    m = mismatches + 1
-    size = patterns.where(F.length("pattern") >= m).agg(F.min(F.floor(F.length("pattern") / m))).first()[0]
-    size = min(int(size or 1), SEED)
-    seeds = patterns.where(F.length("pattern") >= m).select("pattern_id", "pattern", F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias("k"))
-    seeds = seeds.withColumn("from", F.floor(F.col("k") * F.length("pattern") / m).cast("int")).withColumn("seed", F.substring("pattern", F.col("from") + 1, F.lit(size)))
-    hits = seeds.join(grams(subjects, size), "seed").withColumn("at", F.col("p") - F.col("from")).where((F.col("at") >= 0) & (F.col("at") + F.length("pattern") <= F.length("seq")))
-    hits = hits.withColumn("window", F.substring("seq", F.col("at") + 1, F.length("pattern")))
-    differ = F.when(F.col("window") == F.col("pattern"), F.lit(0)).otherwise(F.expr("size(filter(sequence(1, length(pattern)), i -> substring(window, i, 1) <> substring(pattern, i, 1)))"))
-    return hits.withColumn("mismatches", differ).where(F.col("mismatches") <= mismatches).select("pattern_id", "subject_id", "at", "mismatches").distinct()
+    p = patterns.select("pattern_id", F.col("pattern").alias("letters"), F.lit(0).alias("centre")).distinct()
+    return search.search(subjects, p, mismatches).select("pattern_id", "subject_id", F.col("at").cast("int").alias("at"), "mismatches")
 
 
 def flank_search(subjects: DataFrame, contexts: DataFrame) -> DataFrame:
     """Places of contexts with exact flanks and a free centre, on both strands: (context_id, subject_id, at, strand, centre).
 
-    contexts: (context_id, left, right), flanks not empty. Reverse hits have the complement of the centre; palindromic ones hit twice.
+    contexts: (context_id, left, right); either flank may be empty. Reverse hits have the complement of the centre; palindromic ones hit twice.
     """
-    from ..functions.sequence import reverse_complement
-
     plus = contexts.select("context_id", "left", "right", F.lit("+").alias("strand"))
     minus = contexts.select("context_id", reverse_complement(F.col("right")).alias("left"), reverse_complement(F.col("left")).alias("right"), F.lit("-").alias("strand"))
-    both = plus.unionByName(minus)
-    size = min(int(both.where("left <> ''").agg(F.min(F.length("left"))).first()[0] or 1), SEED)
-    both = both.where("left <> ''").withColumn("seed", F.substring("left", 1, size))
-    hits = both.join(grams(subjects, size), "seed").where(F.expr("substring(seq, p + 1, length(left)) = left AND substring(seq, p + length(left) + 2, length(right)) = right"))
-    centre = F.expr("substring(seq, p + length(left) + 1, 1)")
-    hits = hits.where(F.length(centre) == 1)
-    return hits.select("context_id", "subject_id", (F.col("p") + F.length("left")).alias("at"), "strand", F.when(F.col("strand") == "-", reverse_complement(centre)).otherwise(centre).alias("centre"))
+    both = plus.unionByName(minus).select("context_id", "strand", F.concat("left", F.lit(search.ANY), "right").alias("letters"), F.length("left").alias("centre"), F.length("left").alias("before"))
+    hits = search.search(subjects, both)
+    letter = F.col("letter")
+    return hits.select("context_id", "subject_id", (F.col("at") + F.col("before")).cast("int").alias("at"), "strand", F.when(F.col("strand") == "-", reverse_complement(letter)).otherwise(letter).alias("centre"))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,7 +9,7 @@ from ..functions import encode
 from ..functions.genotype import ABSENT as NOT_PRESENT
 from ..functions.genotype import REFERENCE, UNRESOLVED
 from ..functions.sequence import reverse_complement
-from . import cohort, joins
+from . import cohort, joins, search
 
 #: How a request was met.
 EXACT, BLOCK, ALIAS, ALIAS_BLOCK, AMBIGUOUS, ABSENT = ("exact_sequence_position", "gvcf_ref_block", "contig_alias", "gvcf_ref_block_contig_alias", "ambiguous_contig_alias", "absent")
@@ -85,37 +83,40 @@ def resolve_features(calls: DataFrame, blocks: DataFrame | None, manifest: DataF
     return df.select("sample", "feature", "state", "assumed", "from_block", "match", F.col("e.value").alias("value"), F.col("e.label").alias("label"))
 
 
+def _both_strands(contexts: DataFrame) -> DataFrame:
+    """(context_id, strand, letters, centre) of contexts (context_id, context, centre) whose centre lies within them, read in both directions."""
+    c = contexts.where(F.col("centre").between(0, F.length("context") - 1)).select("context_id", F.upper("context").alias("letters"), F.col("centre").cast("int").alias("centre"))
+    minus = c.select("context_id", F.lit("minus").alias("strand"), reverse_complement(F.col("letters")).alias("letters"), (F.length("letters") - 1 - F.col("centre")).alias("centre"))
+    return c.select("context_id", F.lit("plus").alias("strand"), "letters", "centre").unionByName(minus)
+
+
+def _observed(hits: DataFrame) -> DataFrame:
+    letter = F.col("letter")
+    return hits.withColumn("observed", F.when(F.col("strand") == "minus", reverse_complement(letter)).otherwise(letter))
+
+
 def context_hits(subjects: DataFrame, contexts: DataFrame, mismatches: int = 6, min_coverage: float = 0.8) -> DataFrame:
     """Ungapped hits of contexts on either strand: (context_id, subject_id, at, strand, observed, mismatches, aligned, coverage).
 
     subjects: (subject_id, seq); contexts: (context_id, context, centre), centre 0-based. A hit may hang over
     an end of the subject, if what lies on it covers the centre and at least min_coverage of the context.
-    at is the centre's 1-based place on the subject, observed its letter on the context's strand.
-    A context is cut into so many parts that mismatches + 1 of them lie within any such stretch, so one of
-    them occurs as it is: parts and the subjects' substrings meet in an equi join. Contexts shorter than their number of parts are left out.
+    at is the centre's 1-based place on the subject, observed its letter on the context's strand. Contexts may be of any length.
+    """
+    p = _both_strands(contexts).distinct()
+    hits = _observed(search.search(subjects.select("subject_id", F.upper("seq").alias("seq")), p.withColumns({"size": F.length("letters"), "mid": F.col("centre")}), mismatches, min_coverage))
+    aligned = (F.col("hi") - F.col("lo")).cast("int")
+    return hits.select("context_id", "subject_id", (F.col("at") + F.col("mid") + 1).cast("int").alias("at"), "strand", "observed", "mismatches", aligned.alias("aligned"), (aligned / F.col("size")).alias("coverage"))
+
+
+def gapped_context_hits(subjects: DataFrame, contexts: DataFrame, edits: int = 4, min_coverage: float = 0.8) -> DataFrame:
+    """As context_hits, of local alignments with gaps: with score and gaps (openings); aligned counts columns, and coverage is of them.
+
+    The centre's place counts from the beginning of the alignment on the context's strand, as if it had no gap before the centre.
     """
-    # a stretch of that share of the letters holds at least share * parts - 2 whole parts
-    parts = math.ceil((mismatches + 3) / min_coverage) if min_coverage < 1 else mismatches + 1
-    c = contexts.where((F.length("context") >= parts) & F.col("centre").between(0, F.length("context") - 1)).select("context_id", F.upper("context").alias("context"), F.col("centre").cast("int").alias("centre"))
-    plus = c.select("context_id", "context", "centre", F.lit("plus").alias("strand"))
-    minus = c.select("context_id", reverse_complement(F.col("context")).alias("context"), (F.length("context") - 1 - F.col("centre")).alias("centre"), F.lit("minus").alias("strand"))
-    both = plus.unionByName(minus)
-    size = both.agg(F.min(F.floor(F.length("context") / parts))).first()[0]
-    size = min(int(size or 1), joins.SEED)
-    seeds = both.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).withColumn("from", F.floor(F.col("k") * F.length("context") / parts).cast("int"))
-    seeds = seeds.withColumn("seed", F.substring("context", F.col("from") + 1, F.lit(size)))
-    grams = joins.grams(subjects.select("subject_id", F.upper("seq").alias("seq")), size)
-    hits = seeds.join(grams, "seed").withColumn("start", F.col("p") - F.col("from"))  # of the context on the subject, may be below 0
-    hits = hits.withColumns({"lo": F.greatest(F.lit(0), -F.col("start")), "hi": F.least(F.length("context"), F.length("seq") - F.col("start"))})  # the part of the context on the subject
-    n = F.length("context")
-    hits = hits.where((F.col("centre") >= F.col("lo")) & (F.col("centre") < F.col("hi")) & ((F.col("hi") - F.col("lo")) >= min_coverage * n))
-    hits = hits.select("context_id", "subject_id", "strand", "start", "lo", "hi", "centre", "context", "seq").distinct()
-    hits = hits.withColumns({"a": F.expr("substring(context, lo + 1, hi - lo)"), "b": F.expr("substring(seq, start + lo + 1, hi - lo)")})
-    differ = F.when(F.col("a") == F.col("b"), F.lit(0)).otherwise(F.expr("size(filter(sequence(1, length(a)), i -> substring(a, i, 1) <> substring(b, i, 1)))"))
-    hits = hits.withColumn("mismatches", differ).where(F.col("mismatches") <= mismatches)
-    letter = F.expr("substring(seq, start + centre + 1, 1)")
-    aligned = F.col("hi") - F.col("lo")
-    return hits.select("context_id", "subject_id", (F.col("start") + F.col("centre") + 1).alias("at"), "strand", F.when(F.col("strand") == "minus", reverse_complement(letter)).otherwise(letter).alias("observed"), "mismatches", aligned.alias("aligned"), (aligned / F.length("context")).alias("coverage"))
+    # of the reverse strand an alignment's beginning on the context is its end on the subject
+    p = _both_strands(contexts).distinct().withColumn("from_end", F.col("strand") == "minus")
+    hits = _observed(search.gapped(subjects.select("subject_id", F.upper("seq").alias("seq")), p, edits, min_coverage))
+    return hits.select("context_id", "subject_id", (F.col("at") + 1).cast("int").alias("at"), "strand", "observed", "mismatches", "aligned", "coverage", "score", "gaps", "identity")
 
 
 #: Score of an aligned letter that agrees, and what one that doesn't takes off.
@@ -123,12 +124,14 @@ MATCH, MISMATCH = 1, 3
 
 
 def best_context_hits(hits: DataFrame, by: list[str]) -> DataFrame:
-    """by, with the best hit, its status and numbers of hits: ranked by score, identity, coverage, length, mismatches.
+    """by, with the best hit, its status and numbers of hits: ranked by score, identity, coverage, length, mismatches, gaps.
 
     Several equally good hits make the context multi_hit_context; the least (subject, place, strand) stands for them.
     """
-    score = MATCH * (F.col("aligned") - F.col("mismatches")) - MISMATCH * F.col("mismatches")
-    rank = F.struct((-score).alias("s"), (-(1 - F.col("mismatches") / F.col("aligned"))).alias("i"), (-F.col("coverage")).alias("c"), (-F.col("aligned")).alias("a"), F.col("mismatches").alias("m"))
+    if "score" not in hits.columns:
+        agree = F.col("aligned") - F.col("mismatches")
+        hits = hits.withColumns({"score": MATCH * agree - MISMATCH * F.col("mismatches"), "identity": agree / F.col("aligned"), "gaps": F.lit(0)})
+    rank = F.struct((-F.col("score")).alias("s"), (-F.col("identity")).alias("i"), (-F.col("coverage")).alias("c"), (-F.col("aligned")).alias("a"), F.col("mismatches").alias("m"), F.col("gaps").alias("g"))
     per = hits.withColumn("__rank", rank).groupBy(*by, "__rank").agg(F.min(F.struct("subject_id", "at", "strand", "observed", "mismatches", "aligned", "coverage")).alias("h"), F.count("*").alias("n"))
     best = per.groupBy(*by).agg(F.min(F.struct("__rank", "h", "n")).alias("b"), F.sum("n").alias("n_context_hits"))
     status = F.when(F.col("b.n") == 1, F.lit("mapped_unique_context")).otherwise(F.lit("multi_hit_context"))

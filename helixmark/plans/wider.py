@@ -121,6 +121,36 @@ def marker_states(s, d):
     return lookup.marker_states(best, markers, "binary")
 
 
+_PASSAGES = f"""subj AS (SELECT doc_id AS subject_id, upper(translate(text, 'ß', 's')) AS seq FROM documents WHERE text IS NOT NULL), ctx0 AS (SELECT item_id AS context_id, upper(translate(substr(text, 11, 41), 'ß', 's')) AS context, 20 AS centre FROM benchmark WHERE length(text) >= 51),
+ctx AS (SELECT context_id, context, centre, 'plus' AS strand FROM ctx0 UNION ALL SELECT context_id, {_RC("context")}, 40 - centre, 'minus' FROM ctx0),
+parts AS (SELECT context_id, strand, centre, context, k * 41 // 3 AS f, substr(context, k * 41 // 3 + 1, 13) AS seed FROM ctx, (SELECT unnest(range(3)) AS k)),
+grams AS (SELECT subject_id, seq, p, substr(seq, p + 1, 13) AS seed FROM (SELECT subject_id, seq, unnest(range(0, length(seq) - 12)) AS p FROM subj)),
+inside AS (SELECT DISTINCT context_id, strand, centre, context, subject_id, seq, p - f AS p FROM grams JOIN parts USING (seed) WHERE p >= f AND p - f + 41 <= length(seq)),
+over AS (SELECT context_id, strand, centre, context, subject_id, seq, p FROM (SELECT subject_id, seq, unnest(list_distinct(range(-8, 0) || range(greatest(-8, length(seq) - 40), length(seq) - 32))) AS p FROM subj), ctx),
+al AS (SELECT *, greatest(0, -p) AS lo, least(41, length(seq) - p) AS hi FROM (SELECT * FROM inside UNION ALL SELECT * FROM over)),
+both_ AS (SELECT *, substr(context, lo + 1, hi - lo) AS x, substr(seq, p + lo + 1, hi - lo) AS y FROM al WHERE hi - lo >= 33 AND centre >= lo AND centre < hi),
+hits AS (SELECT context_id, subject_id, p + centre + 1 AS at_, strand, substr(seq, p + centre + 1, 1) AS letter, CASE WHEN strlen(x) = length(x) AND strlen(y) = length(y) THEN hamming(x, y) ELSE len(list_filter(range(1, hi - lo + 1), lambda i: substr(x, i::INT, 1) <> substr(y, i::INT, 1))) END AS m, hi - lo AS aligned FROM both_)"""
+
+
+def _passages(s, d):
+    """Whole documents, and contexts from the benchmark; ß has no capital of one letter everywhere."""
+    one = lambda c: F.translate(c, "ß", "s")
+    x = a.table(s, d, "documents").select(F.col("doc_id").alias("subject_id"), one("text").alias("seq"))
+    return x, a.table(s, d, "benchmark").where(F.length("text") >= 51).select(F.col("item_id").alias("context_id"), one(F.substring("text", 11, 41)).alias("context"), F.lit(20).alias("centre"))
+
+
+@query(f"""WITH {_PASSAGES} SELECT context_id, subject_id, at_::INT AS "at", strand, CASE WHEN strand = 'minus' THEN translate(letter, 'ACGTN', 'TGCAN') ELSE letter END AS observed, m::INT AS mismatches, aligned::INT AS aligned FROM hits WHERE m <= 2""")
+def document_context_search(s, d):
+    """Contexts of 41 letters from the benchmark in whole documents, on both strands, up to two letters replaced."""
+    return lookup.context_hits(*_passages(s, d), 2, 0.8).drop("coverage")
+
+
+@query(None)
+def gapped_context_search(s, d):
+    """Each such context's best local alignment with gaps, on either strand, in whole documents."""
+    return lookup.best_context_hits(lookup.gapped_context_hits(*_passages(s, d), 2, 0.8), ["context_id"])
+
+
 @query("SELECT p_partkey, array_to_string(list_sort(list_distinct(regexp_extract_all(upper(p_name), '[ACGT]'))), '') AS alleles FROM part")
 def allowed_alleles(s, d):
     return a.table(s, d, "part").select("p_partkey", F.array_join(lookup.allowed_alleles(F.col("p_name")), "").alias("alleles"))
