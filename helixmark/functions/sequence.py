@@ -12,9 +12,14 @@ BASES = "TCAG"
 AMINO = "FFLLSSSSYY**CC*WLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG"
 
 
+def capitals(seq: Column) -> Column:
+    """A-Z for a-z; other letters stay, so that every letter keeps its place."""
+    return F.translate(seq, "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
+
+
 def reverse_complement(seq: Column, iupac: bool = False) -> Column:
     a, b = (IUPAC, IUPAC_COMPLEMENT) if iupac else ("ACGTN", "TGCAN")
-    return F.reverse(F.translate(F.upper(seq), a, b))
+    return F.reverse(F.translate(capitals(seq), a, b))
 
 
 def circular_context(genome: Column, pos: Column, flank: int) -> Column:

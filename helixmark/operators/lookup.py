@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import encode
 from ..functions.genotype import ABSENT as NOT_PRESENT
 from ..functions.genotype import REFERENCE, UNRESOLVED
-from ..functions.sequence import reverse_complement
+from ..functions.sequence import capitals, reverse_complement
 from . import cohort, joins, search
 
 #: How a request was met.
@@ -85,7 +85,7 @@ def resolve_features(calls: DataFrame, blocks: DataFrame | None, manifest: DataF
 
 def _both_strands(contexts: DataFrame) -> DataFrame:
     """(context_id, strand, letters, centre) of contexts (context_id, context, centre) whose centre lies within them, read in both directions."""
-    c = contexts.where(F.col("centre").between(0, F.length("context") - 1)).select("context_id", F.upper("context").alias("letters"), F.col("centre").cast("int").alias("centre"))
+    c = contexts.where(F.col("centre").between(0, F.length("context") - 1)).select("context_id", capitals(F.col("context")).alias("letters"), F.col("centre").cast("int").alias("centre"))
     minus = c.select("context_id", F.lit("minus").alias("strand"), reverse_complement(F.col("letters")).alias("letters"), (F.length("letters") - 1 - F.col("centre")).alias("centre"))
     return c.select("context_id", F.lit("plus").alias("strand"), "letters", "centre").unionByName(minus)
 
@@ -103,7 +103,7 @@ def context_hits(subjects: DataFrame, contexts: DataFrame, mismatches: int = 6,
     at is the centre's 1-based place on the subject, observed its letter on the context's strand. Contexts may be of any length.
     """
     p = _both_strands(contexts).distinct()
-    hits = _observed(search.search(subjects.select("subject_id", F.upper("seq").alias("seq")), p.withColumns({"size": F.length("letters"), "mid": F.col("centre")}), mismatches, min_coverage))
+    hits = _observed(search.search(subjects.select("subject_id", capitals(F.col("seq")).alias("seq")), p.withColumns({"size": F.length("letters"), "mid": F.col("centre")}), mismatches, min_coverage))
     aligned = (F.col("hi") - F.col("lo")).cast("int")
     return hits.select("context_id", "subject_id", (F.col("at") + F.col("mid") + 1).cast("int").alias("at"), "strand", "observed", "mismatches", aligned.alias("aligned"), (aligned / F.col("size")).alias("coverage"))
 
@@ -115,7 +115,7 @@ def gapped_context_hits(subjects: DataFrame, contexts: DataFrame, edits: int = 4
     """
     # of the reverse strand an alignment's beginning on the context is its end on the subject
     p = _both_strands(contexts).distinct().withColumn("from_end", F.col("strand") == "minus")
-    hits = _observed(search.gapped(subjects.select("subject_id", F.upper("seq").alias("seq")), p, edits, min_coverage))
+    hits = _observed(search.gapped(subjects.select("subject_id", capitals(F.col("seq")).alias("seq")), p, edits, min_coverage))
     return hits.select("context_id", "subject_id", (F.col("at") + 1).cast("int").alias("at"), "strand", "observed", "mismatches", "aligned", "coverage", "score", "gaps", "identity")
 
 

@@ -121,7 +121,8 @@ def marker_states(s, d):
     return lookup.marker_states(best, markers, "binary")
 
 
-_PASSAGES = f"""subj AS (SELECT doc_id AS subject_id, upper(translate(text, 'ß', 's')) AS seq FROM documents WHERE text IS NOT NULL), ctx0 AS (SELECT item_id AS context_id, upper(translate(substr(text, 11, 41), 'ß', 's')) AS context, 20 AS centre FROM benchmark WHERE length(text) >= 51),
+_CAPITALS = lambda x: f"translate({x}, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ')"
+PASSAGES = f"""subj AS (SELECT doc_id AS subject_id, {_CAPITALS('text')} AS seq FROM documents WHERE text IS NOT NULL), ctx0 AS (SELECT item_id AS context_id, {_CAPITALS('substr(text, 11, 41)')} AS context, 20 AS centre FROM benchmark WHERE length(text) >= 51),
 ctx AS (SELECT context_id, context, centre, 'plus' AS strand FROM ctx0 UNION ALL SELECT context_id, {_RC("context")}, 40 - centre, 'minus' FROM ctx0),
 parts AS (SELECT context_id, strand, centre, context, k * 41 // 3 AS f, substr(context, k * 41 // 3 + 1, 13) AS seed FROM ctx, (SELECT unnest(range(3)) AS k)),
 grams AS (SELECT subject_id, seq, p, substr(seq, p + 1, 13) AS seed FROM (SELECT subject_id, seq, unnest(range(0, length(seq) - 12)) AS p FROM subj)),
@@ -133,13 +134,12 @@ hits AS (SELECT context_id, subject_id, p + centre + 1 AS at_, strand, substr(se
 
 
 def _passages(s, d):
-    """Whole documents, and contexts from the benchmark; ß has no capital of one letter everywhere."""
-    one = lambda c: F.translate(c, "ß", "s")
-    x = a.table(s, d, "documents").select(F.col("doc_id").alias("subject_id"), one("text").alias("seq"))
-    return x, a.table(s, d, "benchmark").where(F.length("text") >= 51).select(F.col("item_id").alias("context_id"), one(F.substring("text", 11, 41)).alias("context"), F.lit(20).alias("centre"))
+    """Whole documents, and contexts from the benchmark."""
+    x = a.table(s, d, "documents").select(F.col("doc_id").alias("subject_id"), F.col("text").alias("seq"))
+    return x, a.table(s, d, "benchmark").where(F.length("text") >= 51).select(F.col("item_id").alias("context_id"), F.substring("text", 11, 41).alias("context"), F.lit(20).alias("centre"))
 
 
-@query(f"""WITH {_PASSAGES} SELECT context_id, subject_id, at_::INT AS "at", strand, CASE WHEN strand = 'minus' THEN translate(letter, 'ACGTN', 'TGCAN') ELSE letter END AS observed, m::INT AS mismatches, aligned::INT AS aligned FROM hits WHERE m <= 2""")
+@query(f"""WITH {PASSAGES} SELECT context_id, subject_id, at_::INT AS "at", strand, CASE WHEN strand = 'minus' THEN translate(letter, 'ACGTN', 'TGCAN') ELSE letter END AS observed, m::INT AS mismatches, aligned::INT AS aligned FROM hits WHERE m <= 2""")
 def document_context_search(s, d):
     """Contexts of 41 letters from the benchmark in whole documents, on both strands, up to two letters replaced."""
     return lookup.context_hits(*_passages(s, d), 2, 0.8).drop("coverage")
