@@ -10,8 +10,8 @@ rise along it, so what the mix takes of a queue's c-th pass is a prefix: one dig
 pass decides every document, and texts meet these few rows in a join that Spark broadcasts by their size.
 
 Prefix sums never gather a source in one task: the digest's leading hex digits split each queue into
-buckets, whose sums are added up first; a window then runs within a bucket. Rows that are alike in all
-columns are one row with a count. The end of the budget is found from the sums of the sorted ranges, and
+buckets, whose sums are added up first, over ranges of them; a window then runs within a bucket. Rows that are alike in all
+columns, maps and variants too (by a digest of the row as JSON), are one row with a count. The end of the budget is found from the sums of the sorted ranges, and
 within the one range that holds it. Buckets grow with the number of rows, ranges with the partitions.
 
 Defined results: a null text has size 0; a null source is a source, last in order; repeated rows are
@@ -40,12 +40,12 @@ _ROW = ["__hx_queue", "__hx_digest", "__hx_rest"]
 
 def placed_in_queues(docs: DataFrame) -> DataFrame:
     """docs with the queue and the place in its shuffled order: a digest of doc_id and text, and one of the other columns."""
-    others = [F.col(f"`{c}`") for c, t in docs.dtypes if c.lower() != "text" and "map<" not in t and "variant" not in t]
+    others = F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c.lower() != "text"]))
     return docs.withColumns(
         {
             "__hx_queue": F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col("source"))),
             "__hx_digest": F.md5(F.concat(F.lit(f"{KEY}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.md5(F.coalesce(F.col("text"), F.lit(""))))),
-            "__hx_rest": F.xxhash64(*others),
+            "__hx_rest": F.md5(others),
         }
     )
 
@@ -96,8 +96,9 @@ def plan(rows: DataFrame, weights: tuple = WEIGHTS, max_copies: int = MAX_COPIES
     digits = min(max(1, math.ceil(math.log(max(n, 1) / rows_per_bucket + 1, 16))), 16)
     light = light.withColumn("bucket", F.substring("__hx_digest", 1, digits))
     sums = light.groupBy("__hx_queue", "bucket").agg(F.sum(F.col("__hx_size") * F.col("k")).alias("n"))
-    earlier = Window.partitionBy("__hx_queue").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = materialise(sums.select("__hx_queue", "bucket", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("offset")), "mix-offsets", few=True)
+    before = running(sums, ["__hx_queue", "bucket"], {"before": F.col("n")})
+    first = before.groupBy("__hx_queue").agg(F.min("before").alias("first"))
+    offsets = materialise(before.join(first, "__hx_queue").select("__hx_queue", "bucket", (F.col("before") - F.col("first")).alias("offset")), "mix-offsets", few=True)
     own = Window.partitionBy("__hx_queue", "bucket").orderBy("__hx_digest", "__hx_rest").rowsBetween(Window.unboundedPreceding, -1)
     queued = light.join(offsets, ["__hx_queue", "bucket"]).withColumn("from", F.col("offset") + F.coalesce(F.sum(F.col("__hx_size") * F.col("k")).over(own), F.lit(0)))
     queued = materialise(queued.where("__hx_size > 0").join(queues, "__hx_queue").select(*_ROW, "__hx_size", "k", "from", "source_size", "target"), "mix-queued")
@@ -123,7 +124,7 @@ def plan(rows: DataFrame, weights: tuple = WEIGHTS, max_copies: int = MAX_COPIES
     whole = F.least(F.col("r.k"), F.floor((F.col("reach") - F.col("r.from")) / F.col("r.__hx_size")))
     ends = ends.select("__hx_queue", F.struct("pass", F.col("r.__hx_digest").alias("digest"), F.col("r.__hx_rest").alias("rest"), whole.alias("m"), F.col("r.k").alias("k")).alias("e"))
     ends = ends.groupBy("__hx_queue").agg(F.sort_array(F.collect_list("e")).alias("ends"))  # at most max_copies
-    none = F.expr("cast(array() AS array<struct<pass:int,digest:string,rest:bigint,m:bigint,k:bigint>>)")
+    none = F.expr("cast(array() AS array<struct<pass:int,digest:string,rest:string,m:bigint,k:bigint>>)")
     out = queues.join(ends, "__hx_queue", "left").select("__hx_queue", F.col("source_size").alias("__hx_source_size"), F.col("target").alias("__hx_target"), F.coalesce("ends", none).alias("__hx_ends"))
     out = materialise(out, "mix-ends", few=True)
     split = not out.where("exists(__hx_ends, e -> e.m < e.k)").isEmpty()

@@ -91,3 +91,21 @@ def test_many_sources(spark):
     for r in M.mix_report(docs).collect():
         n, s, t, w = wanted[r["doc_id"]]
         assert (r["size"], r["source_size"], r["taken"]) == (n, s, w) and r["target"] == pytest.approx(t)
+
+
+def test_rows_that_differ_in_maps_or_variants_only_stay_apart(spark):
+    docs = spark.range(21).selectExpr("cast(id div 7 AS string) AS source", "1L AS doc_id", "'a b c d e' AS text", "map('k', id % 7, 'same', 1L) AS meta", "parse_json('{\"v\": ' || id || '}') AS v", "cast(null AS string) AS lang")
+    counted = lambda df: {(r["source"], r["k"], r["v"]): r["n"] for r in df.selectExpr("source", "meta['k'] AS k", "to_json(v) AS v").groupBy("source", "k", "v").agg(F.count("*").alias("n")).collect()}
+    for weights in ((7, 3, 2),):
+        mixed = counted(M.mix_documents(docs, weights))
+        assert set(mixed) <= set(counted(docs)) and max(mixed.values()) <= M.MAX_COPIES
+        report = M.mix_report(docs, weights)
+        taken = {(r["source"], r["k"], r["v"]): r["taken"] // 5 for r in report.selectExpr("source", "meta['k'] AS k", "to_json(v) AS v", "taken").collect()}
+        assert len(taken) == 21 and {k: n for k, n in taken.items() if n} == mixed
+        assert 100 <= 5 * sum(mixed.values()) <= 105
+
+
+def test_rows_alike_in_all_columns_are_dealt_out_by_number(spark):
+    docs = spark.range(40).selectExpr("cast(id % 2 AS string) AS source", "1L AS doc_id", "'a b c' AS text", "map('k', 1) AS meta")
+    out = M.mix_report(docs)
+    assert out.count() == 40 and out.agg(F.sum("taken")).first()[0] == M.mix_documents(docs).count() * 3 == 120
