@@ -42,8 +42,6 @@ from .decontamination import words_of
 K = 10
 BLOCK_DOCS, BLOCK_WORDS = 4_096, 1_000_000
 TERMS_PER_PASS = 500_000
-#: A term: letters, digits and anything outside ASCII.
-TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 STEPS, TOP = 255, 1_000_000
 #: Of each byte: the greatest impact that it stands for, and the least.
 UPPER = np.arange(STEPS + 1, dtype=np.int64) * TOP // STEPS
@@ -106,8 +104,14 @@ def index(docs: DataFrame) -> Index:
     """The index of all of docs (doc_id, text)."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    terms = F.regexp_count("text", F.lit(TERM)).cast("long")
-    n_docs, length = docs.agg(F.count_if(terms > 0), F.coalesce(F.sum(terms), F.lit(0).cast("long"))).first()
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n = [len(words_of(t or b"")) for t in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([sum(map(bool, n))], pa.int64()), pa.array([sum(n)], pa.int64())], ["n", "length"])
+
+    texts = docs.select(F.col("text").cast("binary"))
+    n_docs, length = texts.mapInArrow(counted, "n bigint, length bigint").agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("n", "length")]).first()
     kind = docs.schema["doc_id"].dataType
     schema = T.StructType([T.StructField("docs", T.ArrayType(kind)), *T.StructType.fromDDL("m binary, terms array<binary>, offsets binary, doc binary, bytes binary, tf binary")])
 
