@@ -116,8 +116,8 @@ def inflated(stream) -> Iterator[bytes]:
                     if not data:
                         break
                     z = zlib.decompressobj(31)
-                yield z.decompress(data)
-                data = z.unused_data
+                yield z.decompress(data, CHUNK)  # so much at most, however well it was packed
+                data = z.unconsumed_tail or z.unused_data
                 if z.eof:
                     z = None
     except zlib.error as e:

@@ -170,3 +170,16 @@ def test_any_page_id_comes_back(spark):
     out = warc.round_trip(pages).collect()
     assert sorted(map(str, (r["page_id"] for r in out))) == sorted(map(str, [*ids, "", "b"]))
     assert [r["refers_to"] for r in out if r["page_id"] == "b"] == [""]
+
+
+def test_inflating_is_bounded_however_well_a_stream_is_packed():
+    import gzip
+    import io
+
+    plain = b"a" * 40_000_000 + bytes(range(256)) * 3
+    packed = gzip.compress(plain) + gzip.compress(b"tail") + b"\0" * 9
+    chunks = list(warc.inflated(io.BytesIO(packed)))
+    assert max(map(len, chunks)) <= warc.CHUNK and b"".join(chunks) == plain + b"tail"
+    for cut in (len(packed) - 30, 100):
+        with pytest.raises(ValueError, match="inside a gzip member"):
+            list(warc.inflated(io.BytesIO(packed[:cut])))
