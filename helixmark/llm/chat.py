@@ -51,6 +51,8 @@ NAME = re.compile(r"\s*([A-Z][\w.-]{1,20}):[ \t]+")
 CLASSES = ("none", *SPEAKERS, "name")
 OBSERVED = {"marker": len(CLASSES), "length": 10, "question": 2, "listing": 2}
 SMOOTH = 0.5
+#: Letters of a transcript's undecided chunks, beyond which what nothing later can change is written.
+HELD = 1 << 22
 
 
 def marker_of(line: str) -> tuple[str, int]:
@@ -125,16 +127,17 @@ def arranged(rows: DataFrame, ident: str, place: str, text: str, *keep: Column)
     return df.repartitionByRange(n, "ident", "place", "text", "__hx_tie").sortWithinPartitions("ident", "place", "text", "__hx_tie").drop("__hx_tie").checkpoint()
 
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[object, list]]:
-    """Consecutive rows of a partition with the same ident, as (ident, rows), in chunks of a few thousand rows; a chunk that goes on has the same ident."""
-    held, who = [], None
+def _runs(batches: Iterator[pa.RecordBatch], letters: int = HELD) -> Iterator[tuple[object, list]]:
+    """Consecutive rows of a partition with the same ident, as (ident, rows), in chunks of a few thousand rows and so many letters; a chunk that goes on has the same ident."""
+    held, who, size = [], None, 0
     for b in batches:
         for row in zip(*(b.column(i).to_pylist() for i in range(b.num_columns))):
-            if held and (row[0] != who or len(held) >= 4096):
+            if held and (row[0] != who or len(held) >= 4096 or size > letters):
                 yield who, held
-                held = []
+                held, size = [], 0
             who = row[0]
             held.append(row)
+            size += len(row[2] or "")
     if held:
         yield who, held
 
@@ -208,8 +211,11 @@ def _observed(chunk: list, by_line: bool) -> list[tuple]:
     return [(row, *x) for row in chunk for x in _cut(row[2], by_line)]
 
 
-def parse(rows: DataFrame, model: Model, by_line: bool = False) -> DataFrame:
-    """Arranged rows as turns: their columns but text, and block (the turn's number in its row), role, continues, turn_text; by_line: and line, the number of its first line."""
+def parse(rows: DataFrame, model: Model, by_line: bool = False, most: int = HELD) -> DataFrame:
+    """Arranged rows as turns: their columns but text, and block (the turn's number in its row), role, continues, turn_text; by_line: and line, the number of its first line.
+
+    Of a transcript with more than `most` letters, turns are written as soon as all best paths go through one role after them.
+    """
     s = len(ROLES)
     names = [c for c in rows.columns if c != "text"]
     keep = [i for i, c in enumerate(rows.columns) if c != "text"]
@@ -257,18 +263,30 @@ def parse(rows: DataFrame, model: Model, by_line: bool = False) -> DataFrame:
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pid = TaskContext.get().partitionId()
         known_before, known_after = shared.value
-        held: list = []  # chunks of the current transcript: their blocks and emissions
-        opened, who = True, None
+        held: list = []  # chunks of the current transcript that aren't decided: their blocks and emissions
+        who, entry, size, limit = None, known_before.get(pid), 0, most  # entry: scores before the first of them; None: the transcript starts there
 
-        def turns(is_last: bool) -> Iterator[pa.RecordBatch]:
-            start = known_before.get(pid) if opened else None
-            # scores before each chunk, then backwards: each chunk's ends follow from the next one
-            starts, score = [], start
+        def before_each() -> list:
+            """Scores before each held chunk."""
+            starts, score = [], entry
             for parts, e in held:
                 starts.append(score)
                 steps = [x[3] for x in parts]
                 score = (_through(model, e[1:], (model.start + e[0])[None], steps[1:]) if score is None else _through(model, e, score[None], steps))[0]
-            end = known_after.get(pid) if is_last else None
+            return starts
+
+        def settled(starts: list) -> tuple[int, int]:
+            """How many of the held chunks nothing later can change, and the role at their end: all best paths go through it."""
+            live = set(range(s))
+            for k in range(len(held) - 1, 0, -1):
+                parts, e = held[k]
+                live = {viterbi(model, e, starts[k], np.where(np.arange(s) == r, 0.0, -np.inf), [x[3] for x in parts])[1] for r in live}
+                if len(live) == 1:
+                    return k, live.pop()
+            return 0, 0
+
+        def turns(held: list, starts: list, end: np.ndarray | None) -> Iterator[list]:
+            # backwards: each chunk's ends follow from the next one
             role_after, out = None, []
             for (parts, e), b in zip(reversed(held), reversed(starts)):
                 if role_after is not None:
@@ -290,8 +308,8 @@ def parse(rows: DataFrame, model: Model, by_line: bool = False) -> DataFrame:
                     rows_out.append((*(row[i] for i in keep), k, ROLES[r], same, f"<|{ROLES[r]}|>\n{text}\n<|end|>\n", *([at] if by_line else [])))
                 yield rows_out
 
-        def flush(is_last: bool) -> Iterator[pa.RecordBatch]:
-            for rows_out in turns(is_last):
+        def written(chunks: list, starts: list, end: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+            for rows_out in turns(chunks, starts, end):
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows_out), kinds)], [*names, *outputs])
 
         kinds = None
@@ -305,15 +323,23 @@ def parse(rows: DataFrame, model: Model, by_line: bool = False) -> DataFrame:
             yield first
             yield from source
 
-        for ident, chunk in _runs(again()):
+        for ident, chunk in _runs(again(), most):
             if held and ident != who:
-                yield from flush(False)
-                held, opened = [], False
+                yield from written(held, before_each(), None)
+                held, entry, size, limit = [], None, 0, most
             who = ident
             parts = _observed(chunk, by_line)
             held.append((parts, model.emissions([observe(*x[1:3]) for x in parts])))
+            size += sum(len(x[2]) for x in parts)
+            if size > limit:  # a long transcript: what is decided goes
+                starts = before_each()
+                done, role = settled(starts)
+                yield from written(held[:done], starts[:done], np.where(np.arange(s) == role, 0.0, -np.inf))
+                held, entry = held[done:], starts[done]
+                size = sum(len(x[2]) for parts, _ in held for x in parts)
+                limit = max(most, 2 * size)
         if held:
-            yield from flush(True)
+            yield from written(held, before_each(), known_after.get(pid))
 
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "text"]
     return rows.mapInArrow(decode, ", ".join([*fields, "block int", "role string", "continues boolean", "turn_text string", *(["line int"] if by_line else [])]))

@@ -79,3 +79,11 @@ def test_whole_transcripts(spark):
     bare = queries.transcripts(conv).where("NOT marked").select("conv_id", "turn").toPandas()
     found = bare.merge(out, on=["conv_id", "turn"])
     assert len(found) > 0.35 * len(bare) and (found.role == found.given_role).mean() > 0.75
+
+
+def test_long_transcripts_are_written_as_they_are_decided(spark):
+    conv = spark.read.parquet("/root/testdata/sf0.01/conversations.parquet").withColumn("turn", F.col("conv_id") * 100 + F.col("turn")).withColumn("conv_id", F.lit(7))
+    rows = chat.arranged(queries.transcripts(conv), "conv_id", "turn", "raw", F.col("role"))
+    model = chat.fit(rows)
+    shown = lambda most: sorted(map(str, chat.parse(rows.drop("role"), model, most=most).collect()))
+    assert shown(0) == shown(3000) == shown(chat.HELD)
