@@ -102,7 +102,7 @@ class Matcher:
         return [{"start": a, "end": b} for a, b in zip(places[edges[2 * r[::2]]].tolist(), places[edges[2 * r[1::2] - 1]].tolist())]
 
 
-def pieces(items: DataFrame, columns: tuple[str, ...] = ("text",), window: int = WINDOW) -> DataFrame:
+def pieces(items: DataFrame, columns: tuple[str, ...] = ("text",), window: int = WINDOW, piece: int = PIECE) -> DataFrame:
     """(item, piece, n) of items (item_id and text columns, such as questions and answers): words in order, and their number, by pieces that overlap so that each window lies within one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,8 +110,8 @@ def pieces(items: DataFrame, columns: tuple[str, ...] = ("text",), window: int =
             out = []
             for item, *texts in zip(*[c.to_pylist() for c in b.columns]):
                 for words in map(words_of, [t for t in texts if t]):
-                    for at in range(0, max(len(words) - window + 1, min(len(words), 1)), PIECE):
-                        part = words[at : at + PIECE + window - 1]
+                    for at in range(0, max(len(words) - window + 1, min(len(words), 1)), piece):
+                        part = words[at : at + piece + window - 1]
                         out.append((item or "", b" ".join(part), len(part)))
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.string(), pa.binary(), pa.int64()))], ["item", "piece", "n"])
 

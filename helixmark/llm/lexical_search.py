@@ -43,6 +43,8 @@ K = 10
 BLOCK_DOCS, BLOCK_WORDS = 4_096, 1_000_000
 TERMS_PER_PASS = 500_000
 STEPS, TOP = 255, 1_000_000
+#: A posting's document is a number of 16 bits in its block.
+DOC_BITS = 16
 #: Of each byte: the greatest impact that it stands for, and the least.
 UPPER = np.arange(STEPS + 1, dtype=np.int64) * TOP // STEPS
 LOWER = np.concatenate([[0], UPPER[:-1] + 1])
@@ -91,16 +93,16 @@ class _Block:
 
     def row(self, n_docs: int, length: int) -> tuple:
         keys = np.concatenate(self.words)
-        keys = keys * BLOCK_DOCS + np.repeat(np.arange(len(self.docs)), self.sizes)
+        keys = (keys << DOC_BITS) + np.repeat(np.arange(len(self.docs)), self.sizes)
         keys, tf = np.unique(keys, return_counts=True)  # by term, then by document
         m = np.array([25 + 75 * n * n_docs // length for n in self.sizes], np.int64)
-        term, doc = np.divmod(keys, BLOCK_DOCS)
+        term, doc = keys >> DOC_BITS, keys & ((1 << DOC_BITS) - 1)
         offsets = np.searchsorted(term, np.arange(len(self.vocabulary) + 1))
         values = to_bytes(impact(tf, m[doc]))
         return self.docs, m.tobytes(), list(self.vocabulary), offsets.tobytes(), doc.astype("<u2").tobytes(), values.tobytes(), _width(tf).tobytes()
 
 
-def index(docs: DataFrame) -> Index:
+def index(docs: DataFrame, block_docs: int = BLOCK_DOCS, block_words: int = BLOCK_WORDS) -> Index:
     """The index of all of docs (doc_id, text)."""
     spark = docs.sparkSession
     bounded_batches(spark)
@@ -129,7 +131,7 @@ def index(docs: DataFrame) -> Index:
                 words = words_of(text or b"")
                 if not words:
                     continue
-                if block.docs and (len(block.docs) == BLOCK_DOCS or size + len(words) > BLOCK_WORDS):
+                if block.docs and (len(block.docs) == block_docs or size + len(words) > block_words):
                     yield written()
                     block, size = _Block(), 0
                 block.add(doc, words)

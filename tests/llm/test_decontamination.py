@@ -64,12 +64,11 @@ def test_against_brute_force(spark):
     assert shown(d.scan(*given_, words_per_pass=40).collect()) == want  # several passes
 
 
-def test_long_items_are_cut_into_pieces(spark, monkeypatch):
-    monkeypatch.setattr(d, "PIECE", 7)
+def test_long_items_are_cut_into_pieces(spark):
     words = [f"v{k}" for k in range(61)]
     items = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(words[:17])), (3, " ".join(words[:18]))], "item_id long, text string")
     for a in range(52):
-        found = {r["item"] for r in d.pieces(items).collect() if f" {' '.join(words[a : a + 10])} " in f" {bytes(r['piece']).decode()} "}
+        found = {r["item"] for r in d.pieces(items, piece=7).collect() if f" {' '.join(words[a : a + 10])} " in f" {bytes(r['piece']).decode()} "}
         assert "1" in found and ("2" in found) == (a < 8) and ("3" in found) == (a < 9)
 
 

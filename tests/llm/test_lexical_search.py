@@ -30,8 +30,8 @@ def brute(docs, items, k=10):
     return sorted(out, key=str)
 
 
-def got(spark, docs, items, **options):
-    i = ls.index(spark.createDataFrame(docs, "doc_id long, text string").repartition(3))
+def got(spark, docs, items, block_docs=ls.BLOCK_DOCS, block_words=ls.BLOCK_WORDS, **options):
+    i = ls.index(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), block_docs, block_words)
     return sorted(map(tuple, ls.search(i, spark.createDataFrame(items, "item_id long, text string"), **options).collect()), key=str)
 
 
@@ -52,11 +52,9 @@ def test_against_brute_force(spark):
     assert got(spark, docs, items, k=3) == brute(docs, items, 3)
 
 
-def test_small_blocks_change_nothing(spark, monkeypatch):
+def test_small_blocks_change_nothing(spark):
     docs, items = corpus(4, 120)
-    monkeypatch.setattr(ls, "BLOCK_DOCS", 7)
-    monkeypatch.setattr(ls, "BLOCK_WORDS", 300)
-    assert got(spark, docs, items) == brute(docs, items)
+    assert got(spark, docs, items, block_docs=7, block_words=300) == brute(docs, items)
 
 
 def test_bytes_bound_impacts():
