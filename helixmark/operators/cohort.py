@@ -103,12 +103,21 @@ def imputed(matrix: DataFrame, fill: DataFrame) -> DataFrame:
 
 
 def crossed(samples: DataFrame, listed: DataFrame, chunk: int = 10_000) -> DataFrame:
-    """Each of samples with each row of a list, which is dealt to chunks of about so many rows; samples meet chunks in an equi join that Spark sizes."""
+    """Each of samples with each row of a list, which is dealt to chunks of about so many rows; samples meet chunks in an equi join.
+
+    A list of one chunk is small enough for Spark to broadcast. Of a longer one each chunk stands under several keys, among which the samples
+    are dealt by a digest, so that there are as many keys as shuffle partitions, however few chunks. Counts and writes the list first.
+    """
     n = max(1, -(-listed.count() // chunk))
     lists = listed.groupBy(F.pmod(F.xxhash64(*listed.columns), F.lit(n)).cast("int").alias("__chunk")).agg(F.collect_list(F.struct(*listed.columns)).alias("__rows"))
     lists = materialise(lists, "crossed-lists", few=True)
-    each = samples.withColumn("__chunk", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).join(lists, "__chunk")
-    return each.select(*samples.columns, F.inline("__rows"))
+    each = samples.withColumn("__chunk", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    if n == 1:
+        return each.join(lists, "__chunk").select(*samples.columns, F.inline("__rows"))
+    salts = max(1, -(-int(listed.sparkSession.conf.get("spark.sql.shuffle.partitions")) // n))
+    each = each.withColumn("__salt", F.pmod(F.xxhash64(*samples.columns), F.lit(salts)).cast("int"))
+    lists = lists.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return each.join(lists.hint("merge"), ["__chunk", "__salt"]).select(*samples.columns, F.inline("__rows"))
 
 
 def aligned(matrix: DataFrame, features: DataFrame) -> DataFrame:

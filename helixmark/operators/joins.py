@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.sequence import reverse_complement
+from ..storage import materialise
 from . import search
 
 
@@ -13,25 +14,35 @@ def bins_of(start: Column, end: Column, width: int) -> Column:
     return F.sequence(F.floor(start / width), F.floor(end / width))
 
 
-def range_join(points: DataFrame, blocks: DataFrame, keys: list[str], pos: str, start: str, end: str, width: int, long_bins: int = 64, how: str = "inner") -> DataFrame:
-    """points with the blocks (closed intervals) that cover them: an equi join on bins, then the exact test.
-
-    A block of more than `long_bins` bins goes to bins of `width * long_bins` instead, so a block becomes at
-    most long_bins + 1 rows per level however long it is (levels grow by that factor, four of them; the last
-    is one bin for all). Neither side is a nested loop, and skewed keys are split by AQE.
-    """
+def _binned(points: DataFrame, blocks: DataFrame, pos: str, start: str, end: str, width: int, long_bins: int) -> tuple[DataFrame, DataFrame]:
+    """Both with __level and __bin: a point for each level that blocks have, a block for each bin that it lies in."""
     widths = [width * long_bins**k for k in range(4)]
     span = F.col(end) - F.col(start)
     level = F.lit(len(widths))
     for k in reversed(range(len(widths))):
         level = F.when(span <= widths[k] * long_bins, F.lit(k)).otherwise(level)
     b = blocks.where(F.col(end) >= F.col(start)).withColumn("__level", level)
+    levels = sorted(r[0] for r in b.select("__level").distinct().collect()) or [0]  # at most five
     each = F.when(F.col("__level") == len(widths), F.array(F.lit(0).cast("long")))
     for k, w in enumerate(widths):
         each = each.when(F.col("__level") == k, bins_of(F.col(start), F.col(end), w))
     b = b.withColumn("__bin", F.explode(each))
-    p = points.withColumn("__at", F.explode(F.array(*[F.struct(F.lit(k).alias("level"), F.floor(F.col(pos) / w).alias("bin")) for k, w in enumerate(widths)], F.struct(F.lit(len(widths)).alias("level"), F.lit(0).cast("long").alias("bin")))))
-    p = p.withColumns({"__level": F.col("__at.level"), "__bin": F.col("__at.bin")}).drop("__at")
+    bin_at = lambda k: F.floor(F.col(pos) / widths[k]) if k < len(widths) else F.lit(0).cast("long")
+    if len(levels) == 1:
+        return points.withColumns({"__level": F.lit(levels[0]), "__bin": bin_at(levels[0])}), b
+    p = points.withColumn("__at", F.explode(F.array(*[F.struct(F.lit(k).alias("level"), bin_at(k).alias("bin")) for k in levels])))
+    return p.withColumns({"__level": F.col("__at.level"), "__bin": F.col("__at.bin")}).drop("__at"), b
+
+
+def range_join(points: DataFrame, blocks: DataFrame, keys: list[str], pos: str, start: str, end: str, width: int, long_bins: int = 64, how: str = "inner") -> DataFrame:
+    """points with the blocks (closed intervals) that cover them: an equi join on bins, then the exact test.
+
+    A block of more than `long_bins` bins goes to bins of `width * long_bins` instead, so a block becomes at
+    most long_bins + 1 rows per level however long it is (levels grow by that factor, four of them; the last
+    is one bin for all); a point is a row for each level that occurs, which one aggregate of the blocks tells.
+    Neither side is a nested loop, and skewed keys are split by AQE.
+    """
+    p, b = _binned(points, blocks, pos, start, end, width, long_bins)
     out = p.join(b, [*keys, "__level", "__bin"]).where((F.col(pos) >= F.col(start)) & (F.col(pos) <= F.col(end))).drop("__level", "__bin")
     if how == "inner":
         return out
@@ -39,12 +50,19 @@ def range_join(points: DataFrame, blocks: DataFrame, keys: list[str], pos: str,
     return points.join(out.select(*points.columns, *extra), points.columns, "left")
 
 
-def first_covering(points: DataFrame, blocks: DataFrame, keys: list[str], pos: str, start: str, end: str, order: str, width: int) -> DataFrame:
-    """points with the covering block of least order; without one its columns are NULL. Points are distinct rows."""
+def first_covering(points: DataFrame, blocks: DataFrame, keys: list[str], pos: str, start: str, end: str, order: str, width: int, long_bins: int = 64) -> DataFrame:
+    """points with the covering block of least order; without one its columns are NULL. Points are distinct rows.
+
+    One outer join on bins and one aggregate; points needn't be joined back.
+    """
     extra = [c for c in blocks.columns if c not in keys]
-    hits = range_join(points, blocks, keys, pos, start, end, width)
-    best = hits.groupBy(*points.columns).agg(F.min_by(F.struct(*extra), F.col(order)).alias("__b"))
-    return points.join(best, points.columns, "left").select(*points.columns, *[F.col(f"__b.{c}").alias(c) for c in extra])
+    p, b = _binned(points, blocks, pos, start, end, width, long_bins)
+    b = b.select(*[F.col(k).alias(f"__k_{k}") for k in keys], F.col("__level").alias("__l"), F.col("__bin").alias("__b"), F.struct(*extra).alias("__block"))
+    same = (F.col("__level") == F.col("__l")) & (F.col("__bin") == F.col("__b")) & F.col(pos).between(F.col(f"__block.{start}"), F.col(f"__block.{end}"))
+    for k in keys:
+        same = same & (F.col(k) == F.col(f"__k_{k}"))
+    best = p.join(b, same, "left").groupBy(*points.columns).agg(F.min_by("__block", f"__block.{order}").alias("__best"))
+    return best.select(*points.columns, *[F.col(f"__best.{c}").alias(c) for c in extra])
 
 
 def nearest(points: DataFrame, blocks: DataFrame, keys: list[str], pos: str, start: str, end: str, order: str, width: int = 100_000) -> DataFrame:
@@ -53,10 +71,11 @@ def nearest(points: DataFrame, blocks: DataFrame, keys: list[str], pos: str, sta
     Points inside blocks meet them in a range join. For the others, the places of a key are cut into tiles of
     `width`: within a tile, points and edges are sorted together; what the tiles before and after it offer
     (the latest end, the first start) is carried over from one row per tile. No task holds all of a key's places.
+    The points within blocks are written first, in a job of its own.
     """
     extra = [c for c in blocks.columns if c not in keys]
     good = blocks.where(F.col(end) >= F.col(start))
-    inside = first_covering(points, good, keys, pos, start, end, order, width)
+    inside = materialise(first_covering(points, good, keys, pos, start, end, order, width), "nearest-inside")  # read twice
     hit = F.col(f"{order}").isNotNull()
     out = inside.where(~hit).select(*points.columns)
     block = F.struct(*[F.col(c) for c in extra])

@@ -9,6 +9,7 @@ from ..functions import encode
 from ..functions.genotype import ABSENT as NOT_PRESENT
 from ..functions.genotype import REFERENCE, UNRESOLVED
 from ..functions.sequence import capitals, reverse_complement
+from ..storage import materialise
 from . import cohort, joins, search
 
 #: How a request was met.
@@ -44,10 +45,13 @@ def call_lookup(requests: DataFrame, calls: DataFrame, blocks: DataFrame | None
     A call at the very place wins, then a reference block of the same contig; then all of a contig's aliases
     are tried as a set, each in the same way, and count only if one of them alone is met. calls: one row per
     (sample, chrom, pos), with state and allele. blocks: (sample, chrom, start, end, ord, ref), closed.
-    aliases: (source, target). position_only: at last a call of the sample at that position on any contig, if there is one alone.
+    aliases: (source, target). With either of the last two, points and what their own contigs give are written first. position_only: at last a call of the sample at that position on any contig, if there is one alone.
     """
     points = requests.select(*PLACE).where("pos IS NOT NULL").distinct()
+    several = aliases is not None or position_only
     own = _found(points, calls, blocks, width).withColumn("match", F.when(F.col("block"), F.lit(BLOCK)).otherwise(F.lit(EXACT)))
+    if several:  # read for the result and for what is left over
+        points, own = materialise(points, "lookup-points"), materialise(own, "lookup-own")
     out = own
     if aliases is not None:
         left = points.join(own.select(*PLACE), PLACE, "left_anti")
@@ -70,8 +74,10 @@ def resolve_features(calls: DataFrame, blocks: DataFrame | None, manifest: DataF
     """Every sample and feature of a manifest (feature, chrom, pos, ref, alt, baseline) with state, assumed, from_block, match, value and label.
 
     Samples are those that have calls, unless given. A feature that no call or block covers is a reference
-    that is assumed, or absent; one that several of its contig's aliases cover is unresolved.
+    that is assumed, or absent; one that several of its contig's aliases cover is unresolved. Calls, blocks and the manifest are written first.
     """
+    calls = materialise(calls.select(*PLACE, "state", "allele"), "lookup-calls")  # read for the samples, the calls and the gaps between
+    blocks = None if blocks is None else materialise(blocks.select("sample", "chrom", "start", "end", "ord", "ref"), "lookup-blocks")
     who = (calls.select("sample") if samples is None else samples.select("sample")).distinct()
     listed = manifest.select("feature", "chrom", "pos", F.upper("ref").alias("__ref"), F.upper("alt").alias("__alt"), F.upper("baseline").alias("__baseline"))
     df = call_lookup(cohort.crossed(who, listed), calls, blocks, aliases, width=width)

@@ -52,13 +52,13 @@ def codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
 
 
-def tiled(subjects: DataFrame, longest: int, step: int = STEP, long: int = LONG) -> Tiles:
+def tiled(subjects: DataFrame, longest: int, step: int | None = None, long: int | None = None) -> Tiles:
     """Tiles of (subject_id, seq) for patterns of at most `longest` letters; null and empty sequences have none.
 
     Sequences of at most `long` letters are cut where they are, others' tiles are dealt to all tasks.
     """
     margin = max(longest, 32)
-    step = max(step, margin)
+    step, long = max(step or STEP, margin), LONG if long is None else long
     kind = subjects.schema["subject_id"].dataType
     schema = T.StructType([T.StructField("subject_id", kind), *T.StructType.fromDDL("tile bigint, start bigint, length bigint, seq string")])
 

@@ -70,7 +70,7 @@ def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def resolved(spark: SparkSession, sf_dir: str, absent_is_reference: bool = True) -> DataFrame:
     """Every (sample, feature) with its state, encoded value and label."""
-    calls = latest(spark, sf_dir)
+    calls = materialise(latest(spark, sf_dir), "latest-calls")  # read for the samples and for their calls
     m = manifest(spark, sf_dir)
     grid = cohort.crossed(calls.select("sample").distinct(), m)
     c = calls.select("sample", "chrom", "pos", F.col("state").alias("called"), "allele")

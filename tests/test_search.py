@@ -48,6 +48,7 @@ def brute_context_hits(seqs, contexts, mismatches, coverage):
 @pytest.mark.parametrize("step", [64, 2048])
 def test_patterns_of_any_length(spark, monkeypatch, step):
     monkeypatch.setattr(search, "STEP", step)
+    monkeypatch.setattr(search, "LONG", 600)
     rng = random.Random(step)
     subjects = [(i, letters(rng, n)) for i, n in enumerate((0, 1, 5, 90, 700, 1500))] + [(9, None), (10, "A" * 300), (11, "ACACACAC" * 40), (12, "é日\U0001f600x" * 60)]
     texts = dict(subjects)
