@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import encode
-from ..operators import hierarchy, lookup, models, stats
+from ..operators import boosting, hierarchy, lookup, models, stats
 from ..sources import readers
+from ..storage import materialise
 from . import adapters as a
 from .registry import query
 
@@ -231,3 +232,30 @@ def decision_paths(s, d):
     features = list(range(1, 201))
     wide = models.table(a.matrix(s, d), features)
     return models.tree_paths(models.train(wide, labels, features, models.ESTIMATORS["decision_tree"]()), wide, features)
+
+
+# boosting -------------------------------------------------------------------------------------------
+
+
+@query(f"""WITH {a.MATRIX}, stumps AS (SELECT p_size - 1 AS r, p_partkey % 3 AS k, min(p_partkey) AS m FROM part GROUP BY ALL), samples AS (SELECT DISTINCT sample FROM matrix WHERE value IS NOT NULL),
+ends AS (SELECT s.sample, k, CASE WHEN coalesce(value <= 0, m % 2 = 0) THEN m % 7 - 3 ELSE m % 5 - 2 END::DOUBLE AS v FROM samples s CROSS JOIN stumps t LEFT JOIN matrix x ON x.sample = s.sample AND x.feature = t.m % 200 + 1)
+SELECT sample, round(sum(v) FILTER (k = 0), 6) AS m0, round(sum(v) FILTER (k = 1), 6) AS m1, round(sum(v) FILTER (k = 2), 6) AS m2 FROM ends GROUP BY sample""")
+def boosted_scoring(s, d):
+    """Margins of all samples by trees that are given as a table: a stump for each size and residue class of the parts."""
+    t = a.table(s, d, "part").groupBy((F.col("p_size") - 1).cast("int").alias("round"), (F.col("p_partkey") % 3).cast("int").alias("class")).agg(F.min("p_partkey").alias("m"))
+    null = lambda kind: F.lit(None).cast(kind)
+    node = lambda n, feature, threshold, left, value: F.struct(F.lit(n).cast("long").alias("node"), feature.alias("feature"), threshold.alias("threshold"), left.alias("missing_left"), value.alias("value"))
+    root = node(0, F.col("m") % 200 + 1, F.lit(0.0), F.col("m") % 2 == 0, null("double"))
+    leaves = [node(n, null("bigint"), null("double"), null("boolean"), v.cast("double")) for n, v in ((1, F.col("m") % 7 - 3), (2, F.col("m") % 5 - 2))]
+    trees = materialise(t.select("round", "class", F.inline(F.array(root, *leaves))), "given-trees", few=True)
+    rounds = trees.agg(F.max("round")).first()[0] + 1
+    found = boosting.margins(a.matrix(s, d), trees, 3, rounds, 1)
+    return found.select("sample", *[F.round(F.col("margins")[k], 6).alias(f"m{k}") for k in range(3)])
+
+
+@query(None)
+def boosted_trees(s, d):
+    """Regions of all suppliers by boosted trees, with the probability of the predicted one."""
+    labels = a.sample_labels(s, d).select("sample", F.col("labels")[0].alias("label"))
+    m = materialise(a.matrix(s, d), "boosted-matrix")
+    return boosting.predict(m, boosting.fit(m, labels, rounds=3, depth=2, rate=0.3)).select("sample", "predicted", F.round("support", 6).alias("support"))
