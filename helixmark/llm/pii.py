@@ -73,7 +73,7 @@ PATTERNS = {
         rf"\+1(?:{_SEP}{{0,2}}\d){{10}}"  # +1 and ten digits
         rf"|\+(?:\d{_SEP}{{0,3}}){{7,14}}\d"  # + and 8 to 15 digits
         r"|(?=(?:[ .-]?\d){9,11}(?![ .-]?\d))0\d{1,4}([ .-])\d{2,4}(?:\1\d{2,4}){1,4}"  # groups of two to four after a 0
-        r"|(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,5}\)[ .-]?|\d{2,5}[ .-])\d{3,4}[ .-]?\d{3,4}"
+        r"|(?:(?:\+|00)\d{1,3}[ .-]?|1[ .-])?(?:\(\d{2,5}\)[ .-]?|\d{2,5}[ .-])\d{3,4}[ .-]?\d{3,4}"
         r"|(?:[2-9]\d\d[2-9]\d{6}|0[1-9]\d{8,9})(?![.-]\d)"  # without separators
         r")(?!\w)"
     ),
@@ -84,6 +84,35 @@ _LETTERS = re.compile(r"[^\W\d_]+")
 _DIGIT = re.compile(r"\d")
 
 
+#: The country whose numbers are written without a country code, unless given.
+REGION = "1"
+#: Words before ten bare digits, or four numbers with dots, that are no telephone number, or no address.
+NO_PHONE = {"order", "invoice", "ticket", "item", "isbn", "ref", "reference", "serial", "sku", "id"}
+NO_ADDRESS = {"version", "release", "build", "section", "chapter", "v"}
+_BEFORE = re.compile(r"([^\W\d_]+)[.:#]?[ #]{0,2}$")
+
+
+def phone_form(text: str, region: str = REGION) -> tuple[str, str, str]:
+    """A number's country code (empty where nothing tells it), the digits before the national number as written, and the national number without trunk 0."""
+    digits = _digits(text)
+    abroad = 0 if text[0] == "+" else 2 if digits.startswith("00") else None
+    if abroad is not None:
+        code = _CODE.match(digits[abroad:])[0] if len(digits) > abroad else ""
+        rest = digits[abroad + len(code) :]
+        trunk = rest[:1] if "(0)" in text and rest.startswith("0") else ""
+        return code, digits[:abroad] + code + trunk, rest[len(trunk) :]
+    if digits.startswith("0"):
+        return "" if region in ("1", "7") else region, "0", digits[1:]
+    if region == "1" and len(digits) in (10, 11) and (len(digits) == 10 or digits[0] == "1"):
+        return "1", digits[:-10], digits[-10:]
+    return "", "", digits
+
+
+def _word_before(text: str, at: int) -> str:
+    m = _BEFORE.search(text, max(0, at - 24), at)
+    return m[1].lower() if m else ""
+
+
 def luhn(digits: str) -> bool:
     total = 0
     for i, c in enumerate(reversed(digits)):
@@ -189,7 +218,7 @@ def _persons(text: str) -> list[tuple[int, int, list[tuple[int, int, str, str]]]
     return out + [(run[0][0], run[-1][1], [part(*n, k == len(run) - 1) for k, n in enumerate(run)]) for run in others]
 
 
-def find(text: str) -> list[tuple[int, int, str, list[tuple[int, int, str, str]]]]:
+def find(text: str, region: str = REGION) -> list[tuple[int, int, str, list[tuple[int, int, str, str]]]]:
     """Entities as (start, end, kind, parts); a part is (start, end, entity kind, canonical form)."""
     found = []
 
@@ -210,14 +239,16 @@ def find(text: str) -> list[tuple[int, int, str, list[tuple[int, int, str, str]]
                 if kind == "phone":
                     if not 7 <= len(canon) <= 15:
                         continue
-                    code = _CODE.match(canon)[0] if m[0][0] == "+" else None
-                    canon = f"+{code}:{canon[len(code):]}" if code else f":{canon}"
+                    if m[0].isdecimal() and _word_before(text, m.start()) in NO_PHONE:
+                        continue
+                    code, _, rest = phone_form(m[0], region)
+                    canon = f"+{code}:{rest}" if code else f":{rest}"
                 if kind != "card" or 13 <= len(canon) <= 19 and luhn(canon):
                     add(kind, *m.span(), [(*m.span(), kind, canon)])
         if "." in text:
             for m in PATTERNS["ip"].finditer(text):
                 octets = [int(_digits(o)) for o in m[0].split(".")]
-                if max(octets) < 256:
+                if max(octets) < 256 and _word_before(text, m.start()) not in NO_ADDRESS:
                     add("ip", *m.span(), [(*m.span(), "ip", ".".join(map(str, octets)))])
     for start, end, parts in _persons(text):
         add("person", start, end, parts)
@@ -290,7 +321,10 @@ def surrogate(key: bytes, kind: str, canon: str, attempt: int = 0) -> str:
         return f"{_like(local, draw, more)}@{_like(host, Drawn(key, f'domain|{domain}'))}.{top}"
     if kind == "phone":
         code, _, rest = canon.partition(":")
-        return f"{code}:{2 + draw.below(8)}{draw.digits(len(rest) - 1 + more)}"
+        new = f"{2 + draw.below(8)}{draw.digits(len(rest) - 1 + more)}"
+        if code == "+1" and len(rest) == 10:  # the fourth digit can't be 0 or 1
+            new = f"{new[:3]}{2 + draw.below(8)}{new[4:]}"
+        return f"{code}:{new}"
     if kind == "card":
         body = canon[0] + draw.digits(len(canon) - 2 + more)
         return next(body + c for c in "0123456789" if luhn(body + c))
@@ -309,14 +343,15 @@ def surrogate(key: bytes, kind: str, canon: str, attempt: int = 0) -> str:
     return "".join(parts[draw.below(len(parts))] for _ in range(2 + draw.below(2) + more)) + ends[draw.below(len(ends))]
 
 
-def formatted(kind: str, mention: str, new: str) -> str:
-    """A surrogate's canonical form, written as the mention is."""
+def formatted(kind: str, mention: str, new: str, region: str = REGION) -> str:
+    """A surrogate's canonical form, written as the mention is: a telephone number with the country code or trunk 0 that the mention has, an address with its leading zeros."""
     if kind in ("card", "ssn", "phone", "iban"):
-        signs = iter(new.lstrip("+").replace(":", ""))
+        signs = iter(phone_form(mention, region)[1] + new.partition(":")[2] if kind == "phone" else new)
         out = "".join(c if not c.isalnum() else (lambda d: chr(ord(c) - unicodedata.digit(c) + int(d)) if c.isdecimal() and d.isdigit() else d)(next(signs)) for c in mention)
         return out + "".join(signs)  # of a surrogate that is longer than its entity
     if kind == "ip":
         zero = next((ord(c) - unicodedata.digit(c) for c in mention if c.isdecimal()), 48)
+        new = ".".join(n.zfill(len(m)) if _digits(m)[:1] == "0" else n for n, m in zip(new.split("."), mention.split(".")))
         return "".join(chr(zero + int(c)) if c.isdigit() else c for c in new)
     if mention.isupper() and len(mention) > 1:
         return new.upper()
@@ -325,18 +360,18 @@ def formatted(kind: str, mention: str, new: str) -> str:
     return new[:1].upper() + new[1:]
 
 
-def replace(text: str, key: bytes, attempts: dict, kinds: dict | None = None) -> tuple[str, list[tuple[int, int, str]]]:
+def replace(text: str, key: bytes, attempts: dict, kinds: dict | None = None, region: str = REGION) -> tuple[str, list[tuple[int, int, str]]]:
     """The text with surrogates, and its entities (start, end, kind); kinds: of entities (kind, canon) that have another kind in the corpus than in their text."""
-    out, at, found = [], 0, find(text)
+    out, at, found = [], 0, find(text, region)
     for start, end, kind, parts in found:
         for a, b, entity, canon in parts:
             entity = (kinds or {}).get((entity, canon), entity)
-            out += [text[at:a], formatted(entity.split("-")[0], text[a:b], surrogate(key, entity, canon, attempts.get((entity, canon), 0)))]
+            out += [text[at:a], formatted(entity.split("-")[0], text[a:b], surrogate(key, entity, canon, attempts.get((entity, canon), 0)), region)]
             at = b
     return "".join(out) + text[at:], [f[:3] for f in found]
 
 
-def entities(docs: DataFrame, extra: list[str] = ()) -> DataFrame:
+def entities(docs: DataFrame, extra: list[str] = (), region: str = REGION) -> DataFrame:
     """Distinct rows (extra columns, kind, canon) of all texts."""
     extra = list(extra)
 
@@ -346,7 +381,7 @@ def entities(docs: DataFrame, extra: list[str] = ()) -> DataFrame:
             for i, text in enumerate(b.column(0).to_pylist()):
                 if text:
                     own = tuple(b.column(1 + k)[i].as_py() for k in range(len(extra)))
-                    rows |= {(*own, kind, canon) for *_, parts in find(text) for _, _, kind, canon in parts}
+                    rows |= {(*own, kind, canon) for *_, parts in find(text, region) for _, _, kind, canon in parts}
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*sorted(rows))], [*extra, "kind", "canon"])
 
@@ -402,10 +437,13 @@ def _told(later) -> tuple[dict, dict]:
     return {(x["as_kind"], x["canon"]): x["attempt"] for x in later}, {(x["kind"], x["canon"]): x["as_kind"] for x in later}
 
 
-def pseudonymise(docs: DataFrame, key: bytes, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
-    """docs' columns with surrogates in the text, the number of entities of each kind (n_<kind>), and the entities' places in the input text."""
+def pseudonymise(docs: DataFrame, key: bytes, max_broadcast: int = MAX_BROADCAST, region: str = REGION) -> DataFrame:
+    """docs' columns with surrogates in the text, the number of entities of each kind (n_<kind>), and the entities' places in the input text.
+
+    region: the country code of telephone numbers that are written without one.
+    """
     bounded_batches(docs.sparkSession)
-    found = materialise(resolved(entities(docs)), "pii-found", few=True)
+    found = materialise(resolved(entities(docs, region=region)), "pii-found", few=True)
     drawn = assign(found.select(F.col("as_kind").alias("kind"), "canon"), key).select(F.col("kind").alias("as_kind"), "canon", "attempt")
     later = materialise(found.join(drawn, ["as_kind", "canon"]).where("attempt > 0 OR kind <> as_kind").select("kind", "canon", "as_kind", "attempt"), "pii-later", few=True)
     outputs = ["text", *[f"n_{k}" for k in KINDS], "entities"]
@@ -416,7 +454,7 @@ def pseudonymise(docs: DataFrame, key: bytes, max_broadcast: int = MAX_BROADCAST
         shared = docs.sparkSession.sparkContext.broadcast(_told(later.collect()))
     else:
         keyed = docs.select("text", F.sha2("text", 256).alias("__hx_text"))
-        own = entities(keyed, ["__hx_text"]).join(later, ["kind", "canon"])
+        own = entities(keyed, ["__hx_text"], region).join(later, ["kind", "canon"])
         own = own.groupBy("__hx_text").agg(F.collect_list(F.struct("kind", "canon", "as_kind", "attempt")).alias("__hx_later"))  # of one text
         df = df.withColumn("__hx_text", F.sha2("text", 256)).join(own, "__hx_text", "left").drop("__hx_text")
     width = len(given)
@@ -429,7 +467,7 @@ def pseudonymise(docs: DataFrame, key: bytes, max_broadcast: int = MAX_BROADCAST
                 texts, counts, places = [], {k: [] for k in KINDS}, []
                 for i, text in enumerate(b.column(width).to_pylist()):
                     told = shared.value if few else _told(b.column(width + 1)[i].as_py() or ())
-                    new, found = replace(text, key, *told) if text is not None else (None, [])
+                    new, found = replace(text, key, *told, region) if text is not None else (None, [])
                     texts.append(new)
                     for k in KINDS:
                         counts[k].append(sum(f[2] == k for f in found))

@@ -136,3 +136,42 @@ def test_columns_with_dots(spark):
     df = spark.createDataFrame([(1, "a.b@c.example.org", 2)], "doc_id long, text string, `x.y` int")
     out = pii.pseudonymise(df, KEY)
     assert "x.y" in out.columns and out.first()["n_email"] == 1
+
+
+def test_one_number_in_any_form_has_one_surrogate():
+    new, found = pii.replace("(415) 555-2671 and +1 415 555 2671, 4155552671, 1-415-555-2671 or 001 415 555 2671", KEY, {})
+    digits = ["".join(c for c in x if c.isdigit())[-10:] for x in new.replace(" and ", "|").replace(", ", "|").replace(" or ", "|").split("|")]
+    assert len(found) == 5 and len(set(digits)) == 1 and digits[0] != "4155552671"
+    assert new.split(", ")[1].startswith(digits[0]) and "(" + digits[0][:3] + ")" in new and "+1 " in new
+    new, found = pii.replace("06 12 34 56 78, +33 6 12 34 56 78 and +33 (0)6 12 34 56 78", KEY, {}, region="33")
+    assert len(found) == 3 and new.startswith("0") and "+33 (0)" in new
+    parts = [x[-14:].replace(" ", "")[-8:] for x in new.replace(" and ", ", ").split(", ")]
+    assert len(set(parts)) == 1
+    assert [f[2] for f in pii.find(new, "33")] == ["phone"] * 3
+
+
+def test_trunk_zero_and_leading_zeros_stay():
+    new, _ = pii.replace("06 12 34 56 78", KEY, {})
+    assert new[0] == "0" and [f[2] for f in pii.find(new)] == ["phone"]
+    new, _ = pii.replace("0612345678", KEY, {})
+    assert new[0] == "0" and len(new) == 10 and [f[2] for f in pii.find(new)] == ["phone"]
+    new, _ = pii.replace("192.168.001.010 or 192.168.1.10", KEY, {})
+    a, b = new.split(" or ")
+    assert [int(x) for x in a.split(".")] == [int(x) for x in b.split(".")] and all(len(x) == 3 for x in a.split("."))
+
+
+def test_numbers_of_other_things_stay():
+    for text in ("order 4155552671", "Invoice #4155552671", "version 1.2.3.4", "Release: 10.0.0.1"):
+        assert pii.replace(text, KEY, {}) == (text, [])
+    assert len(pii.find("call 4155552671 at 10.0.0.1")) == 2
+
+
+def test_surrogates_of_numbers_are_found_again():
+    import random
+
+    rng = random.Random(2)
+    for _ in range(300):
+        n = f"{rng.randint(2, 9)}{rng.randint(0, 99):02d}{rng.randint(2, 9)}{rng.randint(0, 999999):06d}"
+        for text in (n, f"+1{n}", f"({n[:3]}) {n[3:6]}-{n[6:]}", f"0{n[:9]}"):
+            new, found = pii.replace(text, KEY, {})
+            assert len(found) == 1 and len(new) == len(text) and [f[:3] for f in pii.find(new)] == [(0, len(new), "phone")], (text, new)
