@@ -105,10 +105,9 @@ def branch(samples: DataFrame, scorer, max_depth: int, specificity: float, sensi
     return both.groupBy("sample", "path").agg(F.max("score").alias("score"), F.max("depth").alias("depth"), F.max("terminal").alias("terminal"))
 
 
-def recursive_paths(edges: DataFrame, name: str = "helixmark_edges") -> DataFrame:
+def recursive_paths(edges: DataFrame) -> DataFrame:
     """All root-to-node paths with the least edge score, by a recursive query: (path, score, depth). edges: (node, child, score); the root is ''."""
-    edges.createOrReplaceTempView(name)
-    return edges.sparkSession.sql(f"WITH RECURSIVE p(path, score, depth) AS (SELECT child, score, 1 FROM {name} WHERE node = '' UNION ALL SELECT e.child, least(p.score, e.score), p.depth + 1 FROM p JOIN {name} e ON e.node = p.path) SELECT * FROM p")
+    return edges.sparkSession.sql("WITH RECURSIVE p(path, score, depth) AS (SELECT child, score, 1 FROM {edges} WHERE node = '' UNION ALL SELECT e.child, least(p.score, e.score), p.depth + 1 FROM p JOIN {edges} e ON e.node = p.path) SELECT * FROM p", edges=edges)
 
 
 def support_policy(labels: DataFrame, min_class: int = 2, min_review: int = 10) -> DataFrame:
@@ -163,9 +162,9 @@ def guarded(steps: DataFrame, columns: tuple[str, ...], terminal: DataFrame | No
 
 
 def fallback_model(steps: DataFrame, models: DataFrame) -> DataFrame:
-    """(sample, model, source): that of the deepest predicted label with one, else the global one. models: (label, model); the global label is ''."""
+    """(sample, model, source): that of the deepest predicted label with one, else the global one (of several the least). models: (label, model); the global label is ''."""
     hits = steps.join(models.where("label <> ''"), "label").groupBy("sample").agg(F.max_by("model", "depth").alias("m"))
-    every = F.broadcast(models.where("label = ''").select(F.col("model").alias("g")).limit(1))
+    every = F.broadcast(models.where("label = ''").agg(F.min("model").alias("g")))
     df = steps.select("sample").distinct().join(hits, "sample", "left").join(every, F.lit(True), "left")  # one row
     return df.select("sample", F.coalesce("m", "g").alias("model"), F.when(F.col("m").isNotNull(), F.lit("parent")).when(F.col("g").isNotNull(), F.lit("global")).alias("source"))
 
@@ -201,9 +200,17 @@ def newick(edges: DataFrame, delimiter: str = "|") -> str:
     for r in edges.select("node", "child").distinct().collect():
         below.setdefault(r["node"], []).append(r["child"])
 
-    def text(node: str) -> str:
-        inner = ",".join(text(c) for c in sorted(below.get(node, [])))
+    # each node's text after those of its children, without recursion
+    done: dict[str, str] = {}
+    open_ = [""]
+    while open_:
+        node = open_[-1]
+        waiting = [c for c in below.get(node, []) if c not in done]
+        if waiting:
+            open_ += waiting
+            continue
+        open_.pop()
+        inner = ",".join(done[c] for c in sorted(below.get(node, [])))
         name = node.split(delimiter)[-1].replace(" ", "_")
-        return f"({inner}){name}" if inner else name
-
-    return text("") + ";"
+        done[node] = f"({inner}){name}" if inner else name
+    return done[""] + ";"

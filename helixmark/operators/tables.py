@@ -129,3 +129,19 @@ def pairwise_complete(matrix: DataFrame, least: float) -> DataFrame:
         return pd.DataFrame({"i": np.minimum(u, v), "j": np.maximum(u, v), "complete": share[i, j]})
 
     return pairs.block_pairs(sets, "sample", both, f"i {kind}, j {kind}, complete double")
+
+
+def positions(text: Column, length: Column | int | None = None) -> Column:
+    """The 1-based positions that a text lists (commas, semicolons or white space between them), each once, in order; what is no number, or lies outside 1 to length, raises an error."""
+    words = F.filter(F.split(F.trim(F.coalesce(text, F.lit(""))), r"[\s,;]+"), lambda w: w != "")
+    numbers = F.transform(words, lambda w: w.try_cast("bigint"))
+    top = F.lit(2**62) if length is None else length if isinstance(length, Column) else F.lit(length)
+    bad = F.exists(numbers, lambda n: n.isNull() | (n < 1) | (n > top))
+    message = F.concat(F.lit("positions must be whole numbers from 1 to the length: "), F.coalesce(text, F.lit("")))
+    return F.when(bad, F.raise_error(message).cast("array<bigint>")).otherwise(F.array_sort(F.array_distinct(numbers)))
+
+
+def kept_positions(rows: DataFrame, listed: DataFrame, by: list[str], position: str) -> DataFrame:
+    """rows with `kept`: whether listed (by..., position) names their place; a list may be of any length."""
+    names = listed.select(*by, F.col(position), F.lit(True).alias("kept")).distinct()
+    return rows.join(names, [*by, position], "left").withColumn("kept", F.coalesce("kept", F.lit(False)))

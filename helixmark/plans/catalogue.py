@@ -287,12 +287,14 @@ def report_paths(s, d):
     return _paths(s, d).select("id", p["shown"].alias("shown"), p["omitted"].alias("omitted"))
 
 
-@query("SELECT p_partkey, p_size BETWEEN 5 AND 20 AS in_list FROM part")
+@query("""WITH lists AS (SELECT p_brand, string_agg(CAST(p_size AS VARCHAR), ', ' ORDER BY p_partkey) AS t FROM part WHERE p_size % 3 = 0 GROUP BY p_brand), named AS (SELECT DISTINCT p_brand, CAST(unnest(string_split(t, ', ')) AS BIGINT) AS p FROM lists)
+SELECT part.p_partkey, part.p_brand, part.p_size, named.p IS NOT NULL AS kept FROM part LEFT JOIN named ON part.p_brand = named.p_brand AND part.p_size = named.p""")
 def position_list(s, d):
-    """Force-kept positions, from a text of 1-based numbers."""
-    text = ",".join(str(i) for i in range(5, 21)) + ",7,x"
-    keep = F.array_distinct(F.filter(F.transform(F.split(F.lit(text), ","), lambda x: x.try_cast("int")), lambda x: x.isNotNull()))
-    return a.table(s, d, "part").select("p_partkey", F.array_contains(keep, F.col("p_size")).alias("in_list"))
+    """Force-kept positions of each brand, from its text of 1-based numbers with repeats."""
+    part = a.table(s, d, "part").select("p_partkey", "p_brand", "p_size")
+    texts = part.where("p_size % 3 = 0").groupBy("p_brand").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", "p_size"))), lambda x: x["p_size"].cast("string")), ", ").alias("t"))
+    listed = texts.select("p_brand", F.explode(tables.positions(F.col("t"), 50)).alias("p_size"))
+    return tables.kept_positions(part, listed, ["p_brand"], "p_size")
 
 
 @query("SELECT p_partkey AS sample, p_brand AS feature, upper(trim(p_type)) AS state, dense_rank() OVER (PARTITION BY p_brand ORDER BY upper(trim(p_type)))::INT - 1 AS code FROM part")

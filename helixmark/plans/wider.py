@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import encode
-from ..operators import boosting, hierarchy, lookup, models, stats
+from ..operators import boosting, hierarchy, lookup, models, stats, traverse
 from ..sources import readers
 from ..storage import materialise
 from . import adapters as a
@@ -259,3 +259,49 @@ def boosted_trees(s, d):
     labels = a.sample_labels(s, d).select("sample", F.col("labels")[0].alias("label"))
     m = materialise(a.matrix(s, d), "boosted-matrix")
     return boosting.predict(m, boosting.fit(m, labels, rounds=3, depth=2, rate=0.3)).select("sample", "predicted", F.round("support", 6).alias("support"))
+
+
+# from cells to a guarded path -----------------------------------------------------------------------
+
+_CONF = lambda sup: f"CASE WHEN coalesce(res, 0) = 0 THEN 'low_confidence' WHEN {sup} IS NULL THEN 'evidence_available_support_unavailable' WHEN {sup} >= 0.7 AND nb > 0 AND rf >= 0.5 AND act = 0 THEN 'high_confidence_baseline_pattern' WHEN {sup} >= 0.7 AND nb > 0 AND rf >= 0.5 THEN 'high_confidence' WHEN {sup} >= 0.5 THEN 'moderate_confidence' WHEN es IN ('resolved_marker_evidence_present', 'partial_resolved_marker_evidence') THEN 'low_to_moderate_confidence' ELSE 'low_confidence' END"
+_WHY = "CASE WHEN s = 'unavailable' THEN 'branch_node_unavailable' WHEN s = 'success' AND confidence IN ('low_confidence', 'low_to_moderate_confidence') THEN 'low_branch_confidence' WHEN s = 'success' AND branch <> other AND os IS NOT NULL AND os >= sup THEN 'global_lineage_disagreement_recovery' END"
+_GUARDED = f"""{a.MATRIX}, slabels AS (SELECT s_suppkey AS sample, r_name, CASE WHEN n_nationkey % 2 = 0 THEN 'susceptible' ELSE 'resistant' END AS amr FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
+members AS (SELECT sample, '' AS node, r_name AS child FROM slabels UNION ALL SELECT sample, r_name, r_name || '|' || amr FROM slabels), profiles AS (SELECT node, child, feature, avg(value) AS mean FROM matrix JOIN members USING (sample) WHERE value IS NOT NULL GROUP BY ALL),
+sc AS (SELECT x.sample, p.node, p.child, power(round(avg(1 - abs(x.value - p.mean)), 9), 40) AS score FROM matrix x JOIN profiles p USING (feature) WHERE x.value IS NOT NULL GROUP BY ALL), tot AS (SELECT sample, node, sum(score) AS t FROM sc GROUP BY ALL),
+top AS (SELECT * FROM sc QUALIFY row_number() OVER (PARTITION BY sample, node ORDER BY score DESC, child) = 1), br AS (SELECT sample, node, string_split(child, '|')[-1] AS branch, round(score / t, 9) AS sup FROM top JOIN tot USING (sample, node)),
+e0 AS (SELECT sample, count(*) AS n, avg((value IS NOT NULL)::INT) AS c, count(*) FILTER (value <> 0) AS act, count(*) FILTER (value = 1 AND (sample % 4 <> 0 OR feature % 40 = 0)) AS nb, count(*) FILTER (value IS NOT NULL AND (sample % 4 <> 0 OR feature % 40 = 0)) AS res FROM matrix GROUP BY sample),
+ev AS (SELECT *, res / n AS rf, CASE WHEN res / n >= .8 THEN 'resolved_marker_evidence_present' WHEN res / n >= .5 THEN 'partial_resolved_marker_evidence' WHEN res > 0 THEN 'low_resolved_marker_evidence' ELSE 'no_resolved_marker_evidence' END AS es, CASE WHEN c >= 0.6 AND c > 0 THEN 'predict' ELSE 'abstain' END AS verdict FROM e0),
+p1 AS (SELECT e.*, '' AS node, 'region' AS lc, CASE WHEN verdict = 'predict' THEN branch END AS branch, CASE WHEN verdict = 'predict' THEN sup END AS sup, CASE WHEN verdict = 'abstain' THEN 'abstained' ELSE 'success' END AS s, CASE WHEN e.sample % 3 = 0 THEN 'ASIA' END AS other, CASE WHEN e.sample % 3 = 0 THEN 0.9 END AS os FROM ev e LEFT JOIN br ON br.sample = e.sample AND br.node = ''),
+q1 AS (SELECT *, {_CONF("sup")} AS confidence FROM p1), w1 AS (SELECT *, {_WHY} AS why FROM q1), o1 AS (SELECT *, why IS NOT NULL AND other IS NOT NULL AS takes FROM w1),
+one AS (SELECT *, 1 AS depth, CASE WHEN s = 'abstained' THEN s WHEN takes THEN 'global_lineage_fallback' ELSE s END AS status, CASE WHEN s = 'abstained' THEN NULL WHEN takes THEN other ELSE branch END AS label, CASE WHEN takes THEN os WHEN s = 'success' THEN sup END AS support FROM o1),
+p2 AS (SELECT e.*, o.label AS node, 'amr' AS lc, CASE WHEN e.verdict = 'predict' AND o.label <> 'AFRICA' THEN b.branch END AS branch, CASE WHEN e.verdict = 'predict' AND o.label <> 'AFRICA' THEN b.sup END AS sup, CASE WHEN o.label = 'AFRICA' THEN 'unavailable' WHEN e.verdict = 'abstain' THEN 'abstained' WHEN b.branch IS NULL THEN 'unavailable' ELSE 'success' END AS s,
+  CASE WHEN e.sample % 5 = 0 THEN 'resistant' END AS other, CASE WHEN e.sample % 5 = 0 THEN 0.6 END AS os FROM one o JOIN ev e USING (sample) LEFT JOIN br b ON b.sample = o.sample AND b.node = o.label WHERE o.label IS NOT NULL),
+q2 AS (SELECT *, {_CONF("sup")} AS confidence FROM p2), w2 AS (SELECT *, {_WHY} AS why FROM q2), o2 AS (SELECT *, why IS NOT NULL AND other IS NOT NULL AS takes FROM w2),
+two AS (SELECT *, 2 AS depth, CASE WHEN s = 'abstained' THEN s WHEN takes THEN 'global_lineage_fallback' WHEN s = 'success' THEN s ELSE 'stopped' END AS status, CASE WHEN s = 'abstained' THEN NULL WHEN takes THEN other ELSE branch END AS label, CASE WHEN takes THEN os WHEN s = 'success' THEN sup END AS support FROM o2),
+steps AS (SELECT * FROM one UNION ALL SELECT * FROM two), g AS (SELECT *, coalesce(lc = 'amr' AND label = 'susceptible' AND (coalesce(res, 0) <= 0 OR es = 'low_resolved_marker_evidence' OR rf < 0.05), false) AS weak, sample % 8 = 0 AS resistant FROM steps)"""
+
+
+@query(f"""WITH {_GUARDED} SELECT sample, depth, node, lc AS label_column, status, label, CASE WHEN weak AND resistant THEN 'resistant' ELSE label END AS reported, CASE WHEN weak AND resistant THEN 'resistant' ELSE label END AS routing,
+CASE WHEN weak AND resistant THEN 'amr_terminal_fallback_escalation' WHEN weak THEN 'amr_weak_evidence_warning' ELSE 'none' END AS guard, CASE WHEN weak AND resistant THEN 'terminal' END AS source, round(support, 6) AS support, CASE WHEN takes THEN why END AS reason, confidence, round(rf, 6) AS resolved, res AS n_resolved, es AS evidence_status FROM g""")
+def query_walk(s, d):
+    """From all samples' cells to guarded paths: gates, evidence, confidence, the global model's fallback, and the guard of susceptible calls."""
+    m = materialise(a.matrix(s, d), "walk-matrix")
+    nation = a.table(s, d, "nation").select("n_nationkey", "n_name")
+    labels = a.sample_labels(s, d).join(nation, F.col("labels")[1] == F.col("n_name")).select("sample", F.array(F.col("labels")[0], F.when(F.col("n_nationkey") % 2 == 0, "susceptible").otherwise("resistant")).alias("labels"))
+    members = labels.select("sample", F.explode(F.expr("transform(sequence(1, size(labels)), k -> array_join(slice(labels, 1, k), '|'))")).alias("child"))
+    prof = materialise(hierarchy.profiles(m, members, hierarchy.prefixes(labels)), "walk-profiles", few=True)
+    scorer = lambda f: hierarchy.profile_scores(f, m, prof).where("n > 0").withColumn("score", F.pow(F.round("score", 9), 40))
+    region = a.table(s, d, "region")
+    root = s.createDataFrame([("", "region", "success", None)], "node string, label_column string, status string, constant string")
+    nodes = root.unionByName(region.select(F.col("r_name").alias("node"), F.lit("amr").alias("label_column"), F.when(F.col("r_name") == "AFRICA", "failed").otherwise("success").alias("status"), F.lit(None).cast("string").alias("constant")))
+    mapped = F.col("value").isNotNull() & ((F.col("sample") % 4 != 0) | (F.col("feature") % 40 == 0))
+    call = F.when(~mapped, "not_called").when(F.col("value") == 1, "alt_match").otherwise("baseline_match")
+    names = nodes.agg(F.collect_list("node").alias("nodes"))  # a row
+    cells = m.crossJoin(F.broadcast(names)).select("sample", F.explode("nodes").alias("node"), "feature", "value", F.when(mapped, "mapped_unique_context").otherwise("unresolved_context_not_encoded_as_zero").alias("mapping_status"), call.alias("allele_call"), F.col("value").isNotNull().alias("available"))
+    samples = m.select("sample").distinct()
+    third, fifth = F.col("sample") % 3 == 0, F.col("sample") % 5 == 0
+    fallback = samples.select("sample", F.lit(1).alias("depth"), F.when(third, "ASIA").alias("label"), F.when(third, 0.9).alias("support")).unionByName(samples.select("sample", F.lit(2).alias("depth"), F.when(fifth, "resistant").alias("label"), F.when(fifth, 0.6).alias("support")))
+    terminal = samples.select("sample", F.when(F.col("sample") % 8 == 0, "resistant").otherwise("susceptible").alias("prediction"), F.lit(0.8).alias("resistant_probability"), F.lit("terminal").alias("source"))
+    policy = hierarchy.support_policy(labels.select(F.lit("amr").alias("label_column"), F.col("labels")[1].alias("label")), 2, 1)
+    out = traverse.query_walk(cells, nodes, scorer, policy, fallback, 2, ("amr",), terminal, min_recovery=0.6, min_callable=0.6)
+    return out.withColumns({"support": r6("support"), "resolved": r6("resolved")})

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def wrapped(seq: Column, width: int = 60) -> Column:
@@ -46,17 +47,51 @@ def audit(steps: DataFrame) -> DataFrame:
     return steps.groupBy("sample").agg(F.to_json(each).alias("route"))
 
 
+def _cut(rows: DataFrame, limit: int) -> tuple[list, str]:
+    """At most `limit` rows, and a note of how many there are, where there are more."""
+    first = rows.limit(limit + 1).collect()
+    return first[:limit], f"{limit} of {rows.count()} rows" if len(first) > limit else ""
+
+
 def html_report(rows: DataFrame, title: str, limit: int = 10_000) -> str:
-    """An HTML table of at most `limit` rows (a report is for reading)."""
+    """An HTML table of at most `limit` rows, which says so where there are more (html_lines has all)."""
     from html import escape
 
+    shown, note = _cut(rows, limit)
     head = "".join(f"<th>{escape(c)}</th>" for c in rows.columns)
-    body = "\n".join("<tr>" + "".join(f"<td>{escape('' if v is None else str(v))}</td>" for v in r) + "</tr>" for r in rows.limit(limit).collect())
-    return f"<!DOCTYPE html><html><head><meta charset='utf-8'><title>{escape(title)}</title></head><body><h1>{escape(title)}</h1><table><tr>{head}</tr>\n{body}</table></body></html>"
+    body = "\n".join("<tr>" + "".join(f"<td>{escape('' if v is None else str(v))}</td>" for v in r) + "</tr>" for r in shown)
+    return f"<!DOCTYPE html><html><head><meta charset='utf-8'><title>{escape(title)}</title></head><body><h1>{escape(title)}</h1>{f'<p>{note}</p>' if note else ''}<table><tr>{head}</tr>\n{body}</table></body></html>"
 
 
 def text_report(rows: DataFrame, limit: int = 10_000) -> str:
-    return "\n".join("; ".join(f"{c}: {v}" for c, v in zip(rows.columns, r)) for r in rows.limit(limit).collect())
+    """A line for each of at most `limit` rows, and a last one that says so where there are more (text_lines has all)."""
+    shown, note = _cut(rows, limit)
+    return "\n".join(["; ".join(f"{c}: {v}" for c, v in zip(rows.columns, r)) for r in shown] + ([note] if note else []))
+
+
+def _text(c: str) -> Column:
+    return F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(""))
+
+
+def html_lines(rows: DataFrame, title: str, order: list[str]) -> DataFrame:
+    """Lines (ord, value) of an HTML table of all rows, for write_lines; made by the tasks."""
+    safe = lambda c: F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    body = rows.select(F.struct(F.lit(1).alias("k"), *order).alias("ord"), F.concat(F.lit("<tr><td>"), F.concat_ws("</td><td>", *[safe(_text(c)) for c in rows.columns]), F.lit("</td></tr>")).alias("value"))
+    kind = body.schema["ord"].dataType
+    head = "<!DOCTYPE html><html><head><meta charset='utf-8'></head><body><h1>" + title.replace("&", "&amp;").replace("<", "&lt;") + "</h1><table><tr>" + "".join(f"<th>{c}</th>" for c in rows.columns) + "</tr>"
+    nulls = {f.name: None for f in kind.fields}
+    ends = rows.sparkSession.createDataFrame([(nulls | {"k": 0}, head), (nulls | {"k": 2}, "</table></body></html>")], T.StructType([T.StructField("ord", _nullable(kind)), T.StructField("value", T.StringType())]))
+    return ends.unionByName(body)
+
+
+def _nullable(kind: T.StructType) -> T.StructType:
+    return T.StructType([T.StructField(f.name, f.dataType, True) for f in kind.fields])
+
+
+def text_lines(rows: DataFrame) -> DataFrame:
+    """A line (value) for each of all rows, with their own columns."""
+    parts = [F.concat(F.lit(f"{c}: "), F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("None"))) for c in rows.columns]
+    return rows.withColumn("value", F.concat_ws("; ", *parts))
 
 
 def write_lines(lines: DataFrame, path: str, order: list[str] | None = None) -> None:

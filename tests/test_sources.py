@@ -183,3 +183,28 @@ def test_lines_keep_their_order(spark, tmp_path):
         assert calls.count() == 50 and {r["state"] for r in calls.collect()} == {ALTERNATE} and blocks.count() == 0
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_reports_tell_what_they_leave_out(spark, tmp_path):
+    from helixmark.sources import writers
+
+    rows = spark.range(25).selectExpr("id", "concat('<', id, '&') AS t", "cast(null AS int) AS n")
+    assert "<p>10 of 25 rows</p>" in writers.html_report(rows, "t", 10) and "<p>" not in writers.html_report(rows, "t", 25)
+    assert writers.text_report(rows, 3).split("\n")[-1] == "3 of 25 rows" and len(writers.text_report(rows, 25).split("\n")) == 25
+    writers.write_lines(writers.html_lines(rows, "a<b", ["id"]), f"file://{tmp_path}/html", ["ord"])
+    lines = [r["value"] for r in spark.read.text(f"file://{tmp_path}/html").collect()]
+    assert len(lines) == 27 and "<tr><td>7</td><td>&lt;7&amp;</td><td></td></tr>" in lines and sum("a&lt;b" in x for x in lines) == 1
+    assert sorted(r["value"] for r in writers.text_lines(rows).collect()) == sorted(writers.text_report(rows).split("\n"))
+
+
+def test_positions(spark):
+    import pytest
+    from pyspark.sql import functions as F
+
+    from helixmark.operators import tables
+
+    one = lambda t, n=None: spark.createDataFrame([(t,)], "t string").select(tables.positions(F.col("t"), n).alias("p")).first()["p"]
+    assert one("7, 3;3\n12  7,") == [3, 7, 12] and one(None) == [] and one(" ") == []
+    for bad, n in (("0", None), ("4,x", None), ("11", 10), ("-2", None), ("1.5", None)):
+        with pytest.raises(Exception, match="positions must be"):
+            one(bad, n)
