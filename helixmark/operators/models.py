@@ -158,14 +158,9 @@ def cross_validate_neighbours(wide: DataFrame, labels: DataFrame, features: list
     """As cross_validate for the `of` nearest neighbours by Hamming distance over 0/1 features."""
     bits = F.array(*[F.col(f"f_{f}").cast("int") for f in features])
     vectors = wide.join(labels.select("sample"), "sample", "left_semi").select(F.col("sample").alias("id"), bits.alias("bits"))
-    distances = stats.hamming(vectors)
     dealt = folds(labels, k).select(F.col("sample").alias("id"), "label", "fold")
-    both = distances.select(F.col("i").alias("id"), F.col("j").alias("other"), "d").unionByName(distances.select(F.col("j").alias("id"), F.col("i").alias("other"), "d"))
-    own, other = dealt.select("id", "fold"), dealt.select(F.col("id").alias("other"), F.col("fold").alias("of_fold"), "label")
-    met = both.join(own, "id").join(other, "other").where("fold <> of_fold")
-    near = met.withColumn("n", F.row_number().over(Window.partitionBy("id").orderBy("d", "other"))).where(F.col("n") <= of)
-    votes = near.groupBy("id", "label").agg(F.round(F.sum(1 / (F.col("d") + 1e-9)), 6).alias("w"))
-    got = votes.groupBy("id").agg(F.min_by("label", F.struct((-F.col("w")).alias("w"), "label")).alias("predicted"))
+    near = stats.nearest(stats.vector_sets(vectors.join(dealt.select("id", "fold"), "id")), of, apart="fold")
+    got = stats.votes(near, dealt).select("id", "predicted")
     per = dealt.join(got, "id").groupBy("fold", "label").agg(F.avg((F.col("label") == F.col("predicted")).cast("double")).alias("r"))
     return float(per.groupBy("fold").agg(F.avg("r").alias("r")).agg(F.avg("r")).first()[0])
 

@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import materialise
 from . import pairs
 from .ordering import numbered
 
@@ -20,16 +21,43 @@ def ones(vectors: DataFrame) -> DataFrame:
     return vectors.where("bits IS NOT NULL").select("id", F.explode_outer(_set_features("bits")).alias("feature"))
 
 
+def member_sets(members: DataFrame) -> DataFrame:
+    """(id, features, size) of rows (id, feature)."""
+    return members.groupBy("id").agg(F.collect_list("feature").alias("features")).withColumn("size", F.size("features").cast("long"))
+
+
+def vector_sets(vectors: DataFrame) -> DataFrame:
+    """(id, features, size) of vectors (id, bits) and their other columns; size is the vector's length."""
+    others = [c for c in vectors.columns if c not in ("id", "bits")]
+    return vectors.where("bits IS NOT NULL").select("id", *others, _set_features("bits").alias("features"), F.size("bits").cast("long").alias("size"))
+
+
+def jaccard_of(c, n, _):
+    """Distances by the numbers of shared features and of both sets together."""
+    union = n - c
+    return np.where(union > 0, 1 - c / np.maximum(union, 1), 0.0)
+
+
+def hamming_of(c, n, size):
+    """Shares of differing symbols."""
+    return (n - 2 * c) / np.maximum(size, 1)
+
+
+def _matrix(x: pd.DataFrame, y: pd.DataFrame, distance) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distances of rows of x and of y (id, features, size), whether x's id is the lesser, and both sides' places in the order of ids."""
+    order = pd.factorize(pd.concat([x["id"], y["id"]]), sort=True)[0]
+    p, q = order[: len(x)], order[len(x) :]
+    first = p[:, None] < q[None]
+    n, m = (t["features"].map(len).to_numpy(np.int64) for t in (x, y))
+    size = np.where(first, x["size"].to_numpy()[:, None], y["size"].to_numpy()[None])
+    return distance(pairs.shared(x["features"].tolist(), y["features"].tolist()), n[:, None] + m[None], size), first, p, q
+
+
 def _distances(sets: DataFrame, distance, within: float | None) -> DataFrame:
     """(i, j, d), i < j, of all pairs of rows (id, features, size) at most `within` apart; distance: of the numbers (shared, of both together, size of i)."""
 
     def both(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        order = pd.factorize(pd.concat([x["id"], y["id"]]), sort=True)[0]
-        p, q = order[: len(x)], order[len(x) :]
-        first = p[:, None] < q[None]
-        n, m = (t["features"].map(len).to_numpy(np.int64) for t in (x, y))
-        size = np.where(first, x["size"].to_numpy()[:, None], y["size"].to_numpy()[None])
-        d = distance(pairs.shared(x["features"].tolist(), y["features"].tolist()), n[:, None] + m[None], size)
+        d, first, p, q = _matrix(x, y, distance)
         keep = first if np.array_equal(p, q) else p[:, None] != q[None]
         a, b = np.nonzero(keep if within is None else keep & (d <= within))
         u, v, first = x["id"].to_numpy()[a], y["id"].to_numpy()[b], first[a, b]
@@ -45,19 +73,12 @@ def jaccard(members: DataFrame, within: float | None = None) -> DataFrame:
     members: (id, feature), distinct; a NULL feature is none, so that an id can be empty. Pairs meet by
     blocks of ids, and co-occurrences are products of matrices.
     """
-    sets = members.groupBy("id").agg(F.collect_list("feature").alias("features")).withColumn("size", F.size("features").cast("long"))
-
-    def distance(c, n, _):
-        union = n - c
-        return np.where(union > 0, 1 - c / np.maximum(union, 1), 0.0)
-
-    return _distances(sets, distance, within)
+    return _distances(member_sets(members), jaccard_of, within)
 
 
 def hamming(vectors: DataFrame, within: float | None = None) -> DataFrame:
     """Shares of differing symbols (i, j, d), i < j, of all pairs of vectors (id, bits), or of those at most `within` apart, as |a| + |b| - 2 |a and b|."""
-    sets = vectors.where("bits IS NOT NULL").select("id", _set_features("bits").alias("features"), F.size("bits").cast("long").alias("size"))
-    return _distances(sets, lambda c, n, size: (n - 2 * c) / np.maximum(size, 1), within)
+    return _distances(vector_sets(vectors), hamming_of, within)
 
 
 def pseudo_f(n: Column, k: Column, total: Column, within: Column) -> Column:
@@ -118,6 +139,44 @@ def permuted_r(distances: DataFrame, labels: DataFrame, replicates: int, seed: i
     return met.groupBy("replicate").agg(F.when((F.stddev_pop("d") > 0) & (F.stddev_pop(x) > 0), F.corr("d", x)).alias("r"))
 
 
+def permuted_tests(sets: DataFrame, labels: DataFrame, replicates: int, seed: int, distance=jaccard_of) -> DataFrame:
+    """(replicate, f, r) of pseudo-F and Mantel statistics under label permutations, in one pass over the pairs; replicate 0 is the observed one.
+
+    sets: (id, features, size); labels: (id, label), all ids. Each row carries its labels of all replicates; two blocks' distances are
+    multiplied with the matrix of these, group by group, and only sums of each replicate leave the task: pairs are no table. Group sizes
+    and numbers of pairs are the same in all replicates. Sums are rounded to nine digits, so that equal statistics are equal.
+    """
+    sizes = labels.groupBy("label").agg(F.count("*").alias("n"))
+    known = materialise(numbered(sizes.where("label IS NOT NULL"), ["label"], "code").select("label", F.col("code").cast("int").alias("code"), "n"), "permuted-groups", few=True)
+    counts = known.agg(F.sum("n").alias("n"), F.count("*").alias("k"), F.sum(F.col("n") * (F.col("n") - 1) / 2).alias("same")).first()
+    new = permuted_labels(labels, replicates, seed).join(known.select("label", "code", "n"), "label")
+    codes = new.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("replicate", "code", "n"))).alias("a"))
+    rows = sets.where("id IS NOT NULL").join(codes, "id").select("id", "features", "size", F.transform("a", lambda x: x["code"]).alias("codes"), F.transform("a", lambda x: x["n"]).alias("sizes"))
+
+    def both(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        if not len(x) or not len(y):
+            return pd.DataFrame({"replicate": [], "within": [], "alike": [], "d": [], "dd": []})
+        d, first, p, q = _matrix(x, y, distance)
+        d = np.where(first, d, 0.0) if np.array_equal(p, q) else d
+        a, b = (np.stack(t["codes"].to_numpy()) for t in (x, y))
+        weight = 1.0 / np.stack(x["sizes"].to_numpy())
+        within, alike = np.zeros(a.shape[1]), np.zeros(a.shape[1])
+        for code in np.intersect1d(a, b):
+            mine, other = a == code, (b == code).astype(float)
+            within += np.where(mine, (d * d) @ other * weight, 0.0).sum(0)
+            alike += np.where(mine, d @ other, 0.0).sum(0)
+        return pd.DataFrame({"replicate": np.arange(a.shape[1]), "within": within, "alike": alike, "d": d.sum(), "dd": (d * d).sum()})
+
+    sums = pairs.block_pairs(rows, "id", both, "replicate int, within double, alike double, d double, dd double")
+    per = sums.groupBy("replicate").agg(*[F.round(F.sum(c), 9).alias(c) for c in ("within", "alike", "d", "dd")])
+    n, k = F.lit(counts["n"]), F.lit(counts["k"])
+    total = (counts["n"] or 0) * ((counts["n"] or 0) - 1) / 2
+    apart = total - (counts["same"] or 0)  # pairs with different labels: the sum, and the sum of squares, of inequality
+    cov = total * (F.col("d") - F.col("alike")) - F.col("d") * apart
+    spread = (total * F.col("dd") - F.col("d") * F.col("d")) * (total * apart - apart * apart)
+    return per.select("replicate", pseudo_f(n, k, F.col("dd") / n, F.col("within")).alias("f"), F.when(spread > 0, cov / F.sqrt(spread)).alias("r"))
+
+
 def permutation_p(values: DataFrame, value: str, two_sided: bool = False) -> DataFrame:
     """(#null >= observed + 1) / (B + 1), of rows (replicate, value) whose replicate 0 is observed.
 
@@ -132,12 +191,50 @@ def permutation_p(values: DataFrame, value: str, two_sided: bool = False) -> Dat
     return n.select((F.when((F.col("known") > 0), p) if two_sided else p).alias("p"))
 
 
+def nearest(sets: DataFrame, k: int, distance=hamming_of, apart: str | None = None) -> DataFrame:
+    """(id, other, d) of the k nearest others of each of sets (id, features, size), by distance, then by id; apart: a column that must differ.
+
+    Of two blocks each row keeps its k best; k-best lists are merged by groups of blocks, then over all. So a row is at most k rows for each
+    block, and pairs are no table.
+    """
+    groups = 64
+
+    def both(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        if not len(x) or not len(y):
+            return pd.DataFrame({"id": [], "other": [], "d": [], "g": []})
+        d, _, p, q = _matrix(x, y, distance)
+        bad = p[:, None] == q[None]
+        if apart:
+            bad |= x[apart].to_numpy()[:, None] == y[apart].to_numpy()[None]
+        d = np.where(bad, np.inf, d)
+        out = []
+        for m, own, other, mine, theirs in [(d, p, q, x, y)] + ([] if np.array_equal(p, q) else [(d.T, q, p, y, x)]):
+            by_id = np.argsort(other)
+            best = by_id[np.argsort(m[:, by_id], axis=1, kind="stable")[:, :k]]
+            rows = np.repeat(np.arange(len(own)), best.shape[1])
+            best = best.ravel()
+            good = np.isfinite(m[rows, best])
+            out.append(pd.DataFrame({"id": mine["id"].to_numpy()[rows[good]], "other": theirs["id"].to_numpy()[best[good]], "d": m[rows, best][good]}))
+        return pd.concat(out)
+
+    kind = dict(sets.dtypes)["id"]
+    columns = ["id", "features", "size", *([apart] if apart else [])]
+    met = pairs.block_pairs(sets.where("id IS NOT NULL").select(*columns), "id", lambda x, y: both(x, y)[["id", "other", "d"]], f"id {kind}, other {kind}, d double")
+    first = lambda c: F.slice(F.array_sort(c), 1, k)
+    part = met.groupBy("id", F.pmod(F.xxhash64("other"), F.lit(groups)).alias("g")).agg(first(F.collect_list(F.struct("d", "other"))).alias("a"))
+    return part.groupBy("id").agg(first(F.flatten(F.collect_list("a"))).alias("a")).select("id", F.inline("a")).select("id", "other", "d")
+
+
+def votes(near: DataFrame, labels: DataFrame) -> DataFrame:
+    """(id, predicted, weight) by the nearest others (id, other, d), each vote weighing 1 / (d + 1e-9); of equal weights the least label."""
+    summed = near.join(labels.select(F.col("id").alias("other"), "label"), "other").groupBy("id", "label").agg(F.round(F.sum(1 / (F.col("d") + 1e-9)), 6).alias("w"))
+    return summed.groupBy("id").agg(F.min_by(F.struct("label", "w"), F.struct((-F.col("w")).alias("w"), "label")).alias("b")).select("id", F.col("b.label").alias("predicted"), F.col("b.w").alias("weight"))
+
+
 def knn(distances: DataFrame, labels: DataFrame, k: int) -> DataFrame:
-    """(id, predicted, votes) by the k nearest others, each vote weighing 1 / (d + 1e-9); distances have both directions' pairs once."""
+    """As votes, of the k nearest by distances (i, j, d) that are there already; both directions' pairs once."""
     both = distances.select(F.col("i").alias("id"), F.col("j").alias("other"), "d").unionByName(distances.select(F.col("j").alias("id"), F.col("i").alias("other"), "d"))
-    near = both.withColumn("n", F.row_number().over(Window.partitionBy("id").orderBy("d", "other"))).where(F.col("n") <= k)
-    votes = near.join(labels.select(F.col("id").alias("other"), "label"), "other").groupBy("id", "label").agg(F.round(F.sum(1 / (F.col("d") + 1e-9)), 6).alias("w"))
-    return votes.groupBy("id").agg(F.min_by(F.struct("label", "w"), F.struct((-F.col("w")).alias("w"), "label")).alias("b")).select("id", F.col("b.label").alias("predicted"), F.col("b.w").alias("weight"))
+    return votes(both.withColumn("n", F.row_number().over(Window.partitionBy("id").orderBy("d", "other"))).where(F.col("n") <= k), labels)
 
 
 def naive_bayes(matrix: DataFrame, labels: DataFrame, alpha: float = 1.0) -> DataFrame:

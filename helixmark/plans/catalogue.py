@@ -553,14 +553,14 @@ def mantel(s, d):
 def permutation_test(s, d):
     """P value of the pseudo-F under 19 label permutations."""
     v = a.vectors(s, d)
-    return stats.permutation_p(stats.permuted_f(stats.jaccard(stats.ones(v)), v.select("id", "label"), 19, 1), "f")
+    return stats.permutation_p(stats.permuted_tests(stats.member_sets(stats.ones(v)), v.select("id", "label"), 19, 1), "f")
 
 
 @query(f"""WITH {a.VECTORS}, b AS (SELECT i AS id, j AS other, lj AS label, h FROM dist UNION ALL SELECT j, i, li, h FROM dist), n AS (SELECT * FROM b QUALIFY row_number() OVER (PARTITION BY id ORDER BY h, other) <= 5), v AS (SELECT id, label, round(sum(1 / (h + 1e-9)), 6) AS w FROM n GROUP BY ALL)
 SELECT id, label AS predicted, round(w, 3) AS weight FROM v QUALIFY row_number() OVER (PARTITION BY id ORDER BY w DESC, label) = 1""")
 def nearest_neighbours(s, d):
     v = a.vectors(s, d)
-    return stats.knn(stats.hamming(v), v.select("id", "label"), 5).select("id", "predicted", F.round("weight", 3).alias("weight"))
+    return stats.votes(stats.nearest(stats.vector_sets(v.select("id", "bits")), 5), v.select("id", "label")).select("id", "predicted", F.round("weight", 3).alias("weight"))
 
 
 @query(f"""WITH {a.MATRIX}, {a.LABELS}, m AS (SELECT matrix.*, r_name AS label FROM matrix JOIN slabels USING (sample) WHERE value IS NOT NULL), p AS (SELECT label, feature, (sum(value) + 1) / (count(*) + 2) AS p FROM m GROUP BY ALL), pr AS (SELECT r_name AS label, count(*) AS n FROM slabels GROUP BY ALL),
