@@ -6,6 +6,7 @@ import math
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+from pyspark.errors import IllegalArgumentException
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml import classification as C
 from pyspark.ml.feature import IndexToString, StringIndexer, VectorAssembler
@@ -183,13 +184,15 @@ def search(wide: DataFrame, labels: DataFrame, features: list, names: list[str]
             if every[name] is None:
                 return cross_validate_neighbours(wide, labels, features, k, neighbours(c.n_samples))
             return cross_validate(wide, labels, features, lambda: every[name](len(features), c.n_classes), k)
-        except (ValueError, TypeError, ArithmeticError):
+        except IllegalArgumentException:  # the data don't suit the estimator
             return None
 
     wide = wide.persist()
-    with ThreadPoolExecutor(8) as pool:  # small fits, most of whose time is the driver's
-        got = list(zip(names, pool.map(score, names)))
-    wide.unpersist()
+    try:
+        with ThreadPoolExecutor(8) as pool:  # small fits, most of whose time is the driver's
+            got = list(zip(names, pool.map(score, names)))
+    finally:
+        wide.unpersist()
     return sorted(got, key=lambda x: (x[1] is None, -(x[1] or 0.0)))
 
 
@@ -281,13 +284,15 @@ def recommend(wide: DataFrame, levels: list[tuple[str, DataFrame]], features: li
     def score(x: tuple) -> float | None:
         try:
             return cross_validate(wide, x[1], features, x[0], k)
-        except (ValueError, TypeError, ArithmeticError):
+        except IllegalArgumentException:  # the data don't suit the estimator
             return None
 
-    with ThreadPoolExecutor(8) as pool:  # small fits, most of whose time is the driver's
-        got = list(pool.map(score, [(make, labels) for make in candidates.values() for labels in scored]))
-    for df in (wide, *(labels for _, labels in levels)):
-        df.unpersist()
+    try:
+        with ThreadPoolExecutor(8) as pool:  # small fits, most of whose time is the driver's
+            got = list(pool.map(score, [(make, labels) for make in candidates.values() for labels in scored]))
+    finally:
+        for df in (wide, *(labels for _, labels in levels)):
+            df.unpersist()
     out = []
     for i, name in enumerate(candidates):
         own = [x for x in got[i * len(scored) : (i + 1) * len(scored)] if x is not None]
