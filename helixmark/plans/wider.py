@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import encode
-from ..operators import boosting, hierarchy, lookup, models, stats, traverse
+from ..operators import boosting, hierarchy, kernels, lookup, models, stats, traverse
 from ..sources import readers
 from ..storage import materialise
 from . import adapters as a
@@ -305,3 +305,12 @@ def query_walk(s, d):
     policy = hierarchy.support_policy(labels.select(F.lit("amr").alias("label_column"), F.col("labels")[1].alias("label")), 2, 1)
     out = traverse.query_walk(cells, nodes, scorer, policy, fallback, 2, ("amr",), terminal, min_recovery=0.6, min_callable=0.6)
     return out.withColumns({"support": r6("support"), "resolved": r6("resolved")})
+
+
+@query(None)
+def kernel_machine(s, d):
+    """Labels of all vectors by a machine with an RBF kernel on 32 landmarks."""
+    x = a.table(s, d, "embeddings").select(F.col("vec_id").alias("sample"), F.transform("embedding", lambda v: v.cast("double")).alias("x"), F.col("label").cast("string").alias("label"))
+    features = list(range(x.agg(F.max(F.size("x"))).first()[0]))
+    wide = x.select("sample", *[F.get("x", F.lit(k)).alias(f"f_{k}") for k in features])
+    return kernels.predict(kernels.train(wide, x.select("sample", "label"), features, most=32, iterations=5), wide, features)
