@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from . import cohort, ordering, stats
 
-#: Estimators by name; linear one-vs-rest stands in for kernel machines and multiclass boosting.
+#: Estimators by name; kernels.py and boosting.py have machines of their own.
 ESTIMATORS = {
     "random_forest": lambda: C.RandomForestClassifier(numTrees=50, seed=1),
     "decision_tree": lambda: C.DecisionTreeClassifier(seed=1),

@@ -372,3 +372,25 @@ def test_neighbourhoods_of_one_list(spark):
     for i, g in got.items():
         members.setdefault(g, set()).add(i)
     assert len(got) == 500 and all((frozenset(members[got[i]]) if got[i] is not None else None) == want.get(i) for i, _ in rows)
+
+
+def test_crossing_by_several_chunks(spark):
+    samples = spark.createDataFrame([("a",), ("b",), (None,), ("d",)], "sample string")
+    listed = spark.createDataFrame([(i, None if i % 4 else f"x{i}") for i in range(11)], "feature long, name string")
+    for chunk in (3, 100):
+        df = cohort.crossed(samples, listed, chunk)
+        assert "NestedLoop" not in df._jdf.queryExecution().toString() and "Cartesian" not in df._jdf.queryExecution().toString()
+        got = sorted(map(str, df.collect()))
+        assert got == sorted(map(str, samples.crossJoin(listed).collect()))
+
+
+def test_covering_blocks_of_any_level(spark):
+    rng = random.Random(31)
+    points = [(i, rng.choice("ab"), rng.randint(0, 5000)) for i in range(60)]
+    for longest in (5, 300, 5000):
+        blocks = [(rng.choice("ab"), s, s + rng.randint(-1, longest), o) for o, s in enumerate(rng.randint(0, 4000) for _ in range(80))]
+        p = spark.createDataFrame(points, "id long, k string, pos long")
+        b = spark.createDataFrame(blocks, "k string, start long, end long, ord long")
+        got = {r["id"]: r["ord"] for r in joins.first_covering(p, b, ["k"], "pos", "start", "end", "ord", 10, 4).collect()}
+        assert got == {i: min((o for kb, s, e, o in blocks if kb == k and s <= x <= e), default=None) for i, k, x in points}
+    assert joins.first_covering(p, b.limit(0), ["k"], "pos", "start", "end", "ord", 10).where("ord IS NOT NULL").count() == 0
