@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import genotype
@@ -52,18 +52,37 @@ def _listed(spark: SparkSession, path: str) -> list[str]:
     return sorted(out)
 
 
-def _lines(spark: SparkSession, path) -> DataFrame:
+def text_lines(spark: SparkSession, path) -> DataFrame:
     """(file, n, line): lines of each file, as many tasks as Spark cuts a file into; n orders a file's lines."""
     rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.col("value").alias("line"))
     return rows.select("file", F.struct("block", F.monotonically_increasing_id().alias("row")).alias("n"), "line").where("line <> ''")
 
 
+def sections(lines: DataFrame, sums: dict[str, Column], last: dict[str, Column] | None = None) -> DataFrame:
+    """lines (file, n, ...) with running values over each file, the line itself included: sums, and of `last` the latest that isn't NULL.
+
+    A file's lines meet by the ranges that Spark cut it into; what a range needs of those before it is one row.
+    """
+    last = last or {}
+    df = lines.withColumn("__block", F.col("n.block"))
+    values = {**{k: v.cast("long") for k, v in sums.items()}, **{k: F.when(v.isNotNull(), F.struct("n", v.alias("v"))) for k, v in last.items()}}
+    total = lambda k, c: F.sum(c) if k in sums else F.max(c)
+    per = df.groupBy("file", "__block").agg(*[total(k, v).alias(f"__all_{k}") for k, v in values.items()])
+    earlier = Window.partitionBy("file").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)  # a row per range
+    per = per.select("file", "__block", *[total(k, F.col(f"__all_{k}")).over(earlier).alias(f"__from_{k}") for k in values])
+    own = Window.partitionBy("file", "__block").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
+    df = df.join(per, ["file", "__block"])
+    out = [(F.coalesce(F.col(f"__from_{k}"), F.lit(0)) + F.sum(values[k]).over(own)).alias(k) for k in sums]
+    out += [F.coalesce(F.max(values[k]).over(own), F.col(f"__from_{k}"))["v"].alias(k) for k in last]
+    return df.select(*lines.columns, *out)
+
+
 def vcf(spark: SparkSession, path) -> DataFrame:
     """Records of single-sample VCF files: (sample, line_no, chrom, pos, ref, alt, qual, filter, info, sample_fields).
 
     line_no orders a file's lines. The header's tenth column names the sample, else the file. Lines with fewer than 8 fields are dropped.
     """
-    lines = _lines(spark, path)
+    lines = text_lines(spark, path)
     head = lines.where(F.col("line").startswith("#CHROM")).groupBy("file").agg(F.max(F.get(F.split("line", "\t"), F.lit(9))).alias("named"))
     body = lines.where(~F.col("line").startswith("#")).withColumn("f", F.split("line", "\t")).where(F.size("f") >= 8)
     get = lambda i: F.get("f", F.lit(i))
@@ -181,19 +200,46 @@ def _cells(spark: SparkSession, path: str, delimiter: str, encodings: tuple[str,
 def gff(spark: SparkSession, path) -> DataFrame:
     """Features of GFF files: (contig, source, type, start, end, score, strand, phase, attributes); strand is 1, -1 or 0. What follows ##FASTA has fewer columns and is left out."""
     f = F.split("line", "\t")
-    lines = _lines(spark, path).where(~F.col("line").startswith("#") & (F.size(f) == 9)).withColumn("f", f)
+    lines = text_lines(spark, path).where(~F.col("line").startswith("#") & (F.size(f) == 9)).withColumn("f", f)
     get = lambda i: F.get("f", F.lit(i))
     known = lambda i: F.nullif(get(i), F.lit("."))
     strand = F.when(get(6) == "+", 1).when(get(6) == "-", -1).otherwise(0)
     return lines.select(get(0).alias("contig"), get(1).alias("source"), get(2).alias("type"), get(3).try_cast("long").alias("start"), get(4).try_cast("long").alias("end"), genotype.number(known(5)).alias("score"), strand.alias("strand"), known(7).try_cast("int").alias("phase"), genotype.info_map(get(8)).alias("attributes"))
 
 
+#: Letters of a piece of a sequence; a line is never cut.
+PIECE = 65536
+
+
+def fasta_pieces(spark: SparkSession, path, letters: int = PIECE) -> tuple[DataFrame, DataFrame]:
+    """Records of FASTA files, (file, record_no, id, description, base), and their sequences as pieces of about `letters` letters: (file, record_no, start, seq).
+
+    start is a piece's first letter in its record, from 0. A file is read by as many tasks as Spark cuts it
+    into, and a row is never longer than a piece and a line. Lines before the first header are left out.
+    """
+    header = F.col("line").startswith(">")
+    clean = F.when(header, "").otherwise(F.upper(F.regexp_replace("line", r"\s+", "")))
+    lines = text_lines(spark, path).withColumn("line", F.when(header, F.col("line")).otherwise(clean))
+    lines = sections(lines, {"record_no": header.cast("long"), "at": F.when(header, 0).otherwise(F.length("line"))}).where("record_no > 0")
+    lines = lines.withColumns({"record_no": F.col("record_no").cast("int"), "at": F.when(header, F.col("at")).otherwise(F.col("at") - F.length("line"))})
+    about = F.substring("line", 2, 2**31 - 1)
+    heads = lines.where(header).select("file", "record_no", F.regexp_extract(about, r"^(\S*)", 1).alias("id"), about.alias("description"), F.col("at").alias("base"))
+    pieces = lines.where(~header & (F.length("line") > 0)).groupBy("file", "record_no", F.floor(F.col("at") / letters).alias("piece"))
+    each = F.array_sort(F.collect_list(F.struct("at", "line")))
+    pieces = pieces.agg(F.min("at").alias("at"), F.array_join(F.transform(each, lambda r: r["line"]), "").alias("seq"))
+    return heads, pieces.join(heads, ["file", "record_no"]).select("file", "record_no", (F.col("at") - F.col("base")).alias("start"), "seq")
+
+
+def whole_sequences(records: DataFrame, pieces: DataFrame) -> DataFrame:
+    """records (file, record_no, ...) with `seq`, their pieces in one value: for records that a row can hold."""
+    each = F.array_sort(F.collect_list(F.struct("start", "seq")))
+    seqs = pieces.groupBy("file", "record_no").agg(F.array_join(F.transform(each, lambda r: r["seq"]), "").alias("seq"))
+    return records.join(seqs, ["file", "record_no"], "left").withColumn("seq", F.coalesce("seq", F.lit("")))
+
+
 def fasta(spark: SparkSession, path) -> DataFrame:
-    """(file, record_no, id, description, seq), in order; the id is the header's first word."""
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.concat(F.lit("\n"), F.col("value")).alias("value"))
-    parts = whole.select("file", F.posexplode(F.split("value", "\r?\n>")).alias("record_no", "r")).where("record_no > 0")
-    header = F.regexp_extract("r", r"^([^\r\n]*)", 1)
-    return parts.select("file", "record_no", F.regexp_extract(header, r"^(\S*)", 1).alias("id"), header.alias("description"), F.upper(F.regexp_replace(F.regexp_replace("r", r"^[^\r\n]*", ""), r"\s+", "")).alias("seq"))
+    """(file, record_no, id, description, seq), numbered in order; the id is the header's first word."""
+    return whole_sequences(*fasta_pieces(spark, path)).select("file", "record_no", "id", "description", "seq")
 
 
 def joined_sequence(records: DataFrame, spacer: int = 100, longest: bool = False) -> DataFrame:
@@ -224,7 +270,7 @@ def metadata(spark: SparkSession, path: str, sep: str = "\t") -> DataFrame:
 
 def markers(spark: SparkSession, path: str) -> DataFrame:
     """(ord, marker) of a list with # comments, distinct, in order of first occurrence."""
-    lines = _lines(spark, path).select("n", F.trim(F.regexp_replace("line", "#.*", "")).alias("marker")).where("marker <> ''")
+    lines = text_lines(spark, path).select("n", F.trim(F.regexp_replace("line", "#.*", "")).alias("marker")).where("marker <> ''")
     return lines.groupBy("marker").agg(F.min("n").alias("ord")).select("ord", "marker")
 
 
@@ -291,12 +337,12 @@ def data_type(states: DataFrame, missing: str = "nd") -> str:
 def bed(spark: SparkSession, path: str) -> DataFrame:
     """(chrom, pos, name) of a BED file; starts count from 0, positions from 1."""
     f = F.split("line", "\t")
-    return _lines(spark, path).where(~F.col("line").rlike("^(#|track|browser)")).select(F.get(f, F.lit(0)).alias("chrom"), (F.get(f, F.lit(1)).try_cast("long") + 1).alias("pos"), F.get(f, F.lit(3)).alias("name"))
+    return text_lines(spark, path).where(~F.col("line").rlike("^(#|track|browser)")).select(F.get(f, F.lit(0)).alias("chrom"), (F.get(f, F.lit(1)).try_cast("long") + 1).alias("pos"), F.get(f, F.lit(3)).alias("name"))
 
 
 def pileup(spark: SparkSession, path: str) -> DataFrame:
     f = F.split("line", "\t")
-    return _lines(spark, path).where(F.size(f) >= 5).select(F.get(f, F.lit(0)).alias("chrom"), F.get(f, F.lit(1)).try_cast("long").alias("pos"), F.upper(F.get(f, F.lit(2))).alias("ref"), F.get(f, F.lit(3)).try_cast("int").alias("depth"), F.get(f, F.lit(4)).alias("bases"))
+    return text_lines(spark, path).where(F.size(f) >= 5).select(F.get(f, F.lit(0)).alias("chrom"), F.get(f, F.lit(1)).try_cast("long").alias("pos"), F.upper(F.get(f, F.lit(2))).alias("ref"), F.get(f, F.lit(3)).try_cast("int").alias("depth"), F.get(f, F.lit(4)).alias("bases"))
 
 
 def fastq_names(names: DataFrame) -> DataFrame:

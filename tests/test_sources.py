@@ -208,3 +208,58 @@ def test_positions(spark):
     for bad, n in (("0", None), ("4,x", None), ("11", 10), ("-2", None), ("1.5", None)):
         with pytest.raises(Exception, match="positions must be"):
             one(bad, n)
+
+
+@pytest.fixture
+def small_splits(spark):
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    yield
+    spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_fasta_over_several_splits(spark, tmp_path, small_splits):
+    """Records that start, end or lie as a whole in any of a file's ranges; two files; text before the first header."""
+    import random
+
+    rng = random.Random(3)
+    want = {}
+    for f in ("a.fa", "b.fa"):
+        text = "no header yet\n"
+        for k in range(1, 9):
+            seq = "".join(rng.choice("acgtN") for _ in range(rng.choice([0, 3, 61, 900, 4000])))
+            text += f">{f}{k} about > it\r\n" + "".join(seq[i : i + 60] + rng.choice(["\n", " \n", "\n\n"]) for i in range(0, len(seq), 60))
+            want[f, k] = (f"{f}{k}", f"{f}{k} about > it", seq.upper())
+        (tmp_path / f).write_text(text)
+    assert readers.text_lines(spark, str(tmp_path)).rdd.getNumPartitions() > 4
+    rows = readers.fasta(spark, str(tmp_path)).collect()
+    assert {(r["file"].rsplit("/", 1)[1], r["record_no"]): (r["id"], r["description"], r["seq"]) for r in rows} == want and len(rows) == len(want)
+    heads, pieces = readers.fasta_pieces(spark, str(tmp_path), 500)
+    for r in pieces.collect():
+        seq = want[r["file"].rsplit("/", 1)[1], r["record_no"]][2]
+        assert len(r["seq"]) <= 560 and seq[r["start"] : r["start"] + len(r["seq"])] == r["seq"]
+    assert pieces.agg(F.sum(F.length("seq"))).first()[0] == sum(len(v[2]) for v in want.values())
+
+
+def test_genbank_over_several_splits(spark, tmp_path, small_splits):
+    import random
+
+    from helixmark.sources import genbank
+
+    rng = random.Random(4)
+    text, want, parts = "", {}, set()
+    k = 0
+    for no in range(1, 7):
+        seq = "".join(rng.choice("acgt") for _ in range(rng.choice([0, 59, 1300])))
+        text += f"LOCUS       L{no} {len(seq)} bp\nDEFINITION  about\n            it, number {no}\n" + (f"VERSION     V{no}.1\n" if no % 2 else "") + "FEATURES             Location/Qualifiers\n     source          1..9\n                     /gene=\"not coding\"\n"
+        for g in range(rng.randrange(4)):
+            text += f"     CDS             complement(join(5..9,\n                     {20 + g}..30))\n                     /note=\"LOCUS x\n                     ORIGIN\"\n" + f'                     /locus_tag="t{g}"\n                     /gene="g{g}"\n'
+            name = f"V{no}.1" if no % 2 else f"L{no}"
+            parts |= {(name, k, 0, 5, 9, -1, f"t{g}"), (name, k, 1, 20 + g, 30, -1, f"t{g}")}
+            k += 1
+        text += "ORIGIN      \n" + "".join(f"{i + 1:>9} " + " ".join(seq[j : j + 10] for j in range(i, min(i + 60, len(seq)), 10)) + "\n" for i in range(0, len(seq), 60)) + "//\n"
+        want[no] = (f"V{no}.1" if no % 2 else f"L{no}", f"about it, number {no}", seq.upper())
+    (tmp_path / "x.gbk").write_text(text)
+    assert readers.text_lines(spark, str(tmp_path)).rdd.getNumPartitions() > 2
+    assert {r["record_no"]: (r["id"], r["description"], r["seq"]) for r in genbank.records(spark, str(tmp_path)).collect()} == want
+    assert {tuple(r) for r in genbank.coding_parts(spark, str(tmp_path)).collect()} == parts
