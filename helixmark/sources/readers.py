@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import genotype
+from . import bgzf
 
 FASTQ, VCF, FASTA, MATRIX = "fastq", "vcf", "fasta", "matrix"
 #: Suffixes by input type, in the order a folder is searched.
@@ -38,7 +39,11 @@ def discover(spark: SparkSession, path: str, kind: str) -> list[str]:
 
 
 def _listed(spark: SparkSession, path: str) -> list[str]:
-    """Files that a path names, or that lie in folders it names, sorted."""
+    return [p for p, _ in _sized(spark, path)]
+
+
+def _sized(spark: SparkSession, path: str) -> list[tuple[str, int]]:
+    """Files that a path names, or that lie in folders it names, with their sizes, sorted."""
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     found = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(p)
@@ -46,9 +51,9 @@ def _listed(spark: SparkSession, path: str) -> list[str]:
     for s in found or []:
         if s.isDirectory():
             fs = s.getPath().getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-            out += [x.getPath().toString() for x in fs.listStatus(s.getPath()) if not x.isDirectory()]
+            out += [(x.getPath().toString(), x.getLen()) for x in fs.listStatus(s.getPath()) if not x.isDirectory()]
         else:
-            out.append(s.getPath().toString())
+            out.append((s.getPath().toString(), s.getLen()))
     return sorted(out)
 
 
@@ -77,12 +82,32 @@ def sections(lines: DataFrame, sums: dict[str, Column], last: dict[str, Column]
     return df.select(*lines.columns, *out)
 
 
-def vcf(spark: SparkSession, path) -> DataFrame:
+def packed_lines(spark: SparkSession, path, split: int = bgzf.SPLIT) -> DataFrame:
+    """As text_lines, but block-gzipped files (.gz) larger than `split` compressed bytes are read by several tasks."""
+    found = [f for p in ([path] if isinstance(path, str) else path) for f in _sized(spark, p) if not f[0].rsplit("/", 1)[1].startswith((".", "_"))]
+    packed = [f for f in found if f[0].endswith(".gz")]
+    if not packed:
+        return text_lines(spark, path)
+    out, plain = bgzf.text_lines(spark, packed, split), [p for p, _ in found if not p.endswith(".gz")]
+    return out.unionByName(text_lines(spark, plain)) if plain else out
+
+
+def bam(spark: SparkSession, path, split: int = bgzf.SPLIT) -> DataFrame:
+    """Alignments of BAM files, with the sample that a file's name tells: (sample, file, n, name, flag, contig, pos, mapq, cigar, seq, qual)."""
+    found = [f for p in ([path] if isinstance(path, str) else path) for f in _sized(spark, p) if f[0].lower().endswith(".bam")]
+    if not found:
+        raise ValueError(f"no BAM files in {path}")
+    sample = genotype.sample_id(F.regexp_replace(F.element_at(F.split("file", "/"), -1), r"(?i)\.bam$", ""))
+    df = bgzf.reads(spark, found, split)
+    return df.select(sample.alias("sample"), *df.columns)
+
+
+def vcf(spark: SparkSession, path, split: int = bgzf.SPLIT) -> DataFrame:
     """Records of single-sample VCF files: (sample, line_no, chrom, pos, ref, alt, qual, filter, info, sample_fields).
 
-    line_no orders a file's lines. The header's tenth column names the sample, else the file. Lines with fewer than 8 fields are dropped.
+    line_no orders a file's lines. The header's tenth column names the sample, else the file. Block-gzipped files are cut at `split` compressed bytes. Lines with fewer than 8 fields are dropped.
     """
-    lines = text_lines(spark, path)
+    lines = packed_lines(spark, path, split)
     head = lines.where(F.col("line").startswith("#CHROM")).groupBy("file").agg(F.max(F.get(F.split("line", "\t"), F.lit(9))).alias("named"))
     body = lines.where(~F.col("line").startswith("#")).withColumn("f", F.split("line", "\t")).where(F.size("f") >= 8)
     get = lambda i: F.get("f", F.lit(i))
