@@ -761,4 +761,4 @@ def event_windows(s, d):
     return streams.windowed_counts(a.table(s, d, "events")).select(F.unix_timestamp("start").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
-from . import extended, wider  # noqa: E402, F401  (they register their queries)
+from . import extended, files, wider  # noqa: E402, F401  (they register their queries)
