@@ -174,14 +174,14 @@ def _header(stream: _Stream) -> tuple[list[tuple[str, int]], int]:
     return refs, at
 
 
-_FIXED = struct.Struct("<iiiBBHHHiiii")
+_FIXED = "<iiiBBHHHiiii"
 
 
 def _plausible(stream: _Stream, at: int, refs: list[tuple[str, int]]) -> int | None:
     """Where the record at a place ends, None if none can stand there."""
     if not stream.holds(at + 36):
         return None
-    size, ref, pos, n_name, _, _, n_cigar, _, n_seq, ref2, pos2, _ = _FIXED.unpack_from(stream.data, at)
+    size, ref, pos, n_name, _, _, n_cigar, _, n_seq, ref2, pos2, _ = struct.unpack_from(_FIXED, stream.data, at)
     for r, p in ((ref, pos), (ref2, pos2)):
         if r < -1 or r >= len(refs) or p < -1 or (r >= 0 and p >= max(refs[r][1], 1)):
             return None
@@ -225,7 +225,7 @@ def records_of(f, size: int, start: int, end: int) -> Iterator[tuple]:
         if at is None:
             return
     while stream.holds(at + 36) and stream.block(at) < end:
-        n, ref, pos, n_name, mapq, _, n_cigar, flag, n_seq, *_ = _FIXED.unpack_from(stream.data, at)
+        n, ref, pos, n_name, mapq, _, n_cigar, flag, n_seq, *_ = struct.unpack_from(_FIXED, stream.data, at)
         if not stream.holds(at + 4 + n):
             raise ValueError("the file ends within a record")
         k = at + 36

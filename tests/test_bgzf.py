@@ -129,3 +129,15 @@ def test_panel_calls_of_bam(spark, tmp_path):
         assert (r["allele"], r["depth"], r["state"]) == (best, len(x), state) and r["fraction"] == pytest.approx(share)
         states.add(state)
     assert len(states) >= 4
+
+
+def test_reader_travels_by_value():
+    from pyspark import cloudpickle
+
+    import helixmark
+
+    cloudpickle.register_pickle_by_value(helixmark)
+    try:
+        assert cloudpickle.loads(cloudpickle.dumps(bgzf.BlockGzip)).name() == "blockgzip"
+    finally:
+        cloudpickle.unregister_pickle_by_value(helixmark)
