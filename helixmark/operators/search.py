@@ -78,6 +78,22 @@ def tiled(subjects: DataFrame, longest: int, step: int | None = None, long: int
     return Tiles(materialise(rows, "search-tiles"), step, margin)
 
 
+def from_pieces(pieces: DataFrame, longest: int, step: int | None = None) -> Tiles:
+    """Tiles as of tiled, of sequences that are pieces (subject_id, start, seq), from 0 and without gaps or overlaps: no row ever holds a sequence."""
+    margin = max(longest, 32)
+    step = max(step or STEP, margin)
+    p = pieces.select("subject_id", F.col("start").cast("long").alias("from"), "seq").where(F.length("seq") > 0).withColumn("to", F.col("from") + F.length("seq"))
+    first, last = F.greatest(F.lit(0), F.floor((F.col("from") - margin) / step)), F.floor((F.col("to") - 1 + margin) / step)
+    lo, hi = F.greatest("from", F.col("tile") * step - margin), F.least("to", (F.col("tile") + 1) * step + margin)
+    cut = p.withColumn("tile", F.explode(F.sequence(first, last))).withColumns({"start": lo, "stop": hi})
+    cut = cut.select("subject_id", "tile", "start", F.expr("substring(seq, int(start - from) + 1, int(stop - start))").alias("seq"))
+    each = F.array_sort(F.collect_list(F.struct("start", "seq")))  # of a tile
+    rows = cut.groupBy("subject_id", "tile").agg(F.min("start").alias("start"), F.array_join(F.transform(each, lambda x: x["seq"]), "").alias("seq"))
+    length = p.groupBy("subject_id").agg(F.max("to").alias("length"))
+    rows = rows.join(length, "subject_id").where(F.col("tile") * step < F.col("length"))
+    return Tiles(materialise(rows.select("subject_id", "tile", "start", "length", "seq"), "search-tiles"), step, margin)
+
+
 def hashes(letters: np.ndarray, k: int) -> np.ndarray:
     """A hash of each substring of k letters."""
     n = max(0, len(letters) - k + 1)

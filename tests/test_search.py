@@ -193,3 +193,27 @@ def test_time_grows_in_proportion_to_length(spark):
     assert took[2] < 60 and took[2] < 6 * took[0] + 10
     t = search.tiled(seqs, 81)
     assert t.rows.selectExpr("max(length(seq))").first()[0] <= search.STEP + 2 * 81
+
+
+def test_tiles_of_pieces(spark):
+    """The same tiles and hits from pieces of any length as from whole sequences."""
+    import random
+
+    from helixmark.operators import search
+
+    rng = random.Random(12)
+    seqs = {k: "".join(rng.choice("ACGT") for _ in range(n)) for k, n in enumerate((1, 99, 100, 101, 260, 3000, 7777))}
+    pieces = []
+    for k, seq in seqs.items():
+        at = 0
+        while at < len(seq):
+            n = rng.choice([1, 40, 100, 900])
+            pieces.append((k, at, seq[at : at + n]))
+            at += n
+    whole = spark.createDataFrame(list(seqs.items()), "subject_id int, seq string")
+    for longest, step in ((40, 100), (100, 100), (33, None)):
+        a, b = search.tiled(whole, longest, step), search.from_pieces(spark.createDataFrame(pieces, "subject_id int, start long, seq string"), longest, step)
+        assert (a.step, a.margin) == (b.step, b.margin)
+        assert sorted(map(tuple, a.rows.collect())) == sorted(map(tuple, b.rows.collect()))
+    patterns = spark.createDataFrame([(k, seqs[6][a : a + 33], 16) for k, a in enumerate(range(0, 7700, 331))], "id int, letters string, centre int")
+    assert sorted(map(tuple, search.search(None, patterns, 2, tiles=b).collect())) == sorted(map(tuple, search.search(whole, patterns, 2).collect()))
