@@ -241,7 +241,7 @@ def _numbered(patterns: DataFrame) -> DataFrame:
     return materialise(patterns.where(F.length("letters") > 0).withColumn("key", F.monotonically_increasing_id()), "search-patterns", few=True)
 
 
-def search(subjects: DataFrame, patterns: DataFrame, mismatches: int = 0, min_coverage: float = 1.0, tiles: Tiles | None = None) -> DataFrame:
+def search(subjects: DataFrame | None, patterns: DataFrame, mismatches: int = 0, min_coverage: float = 1.0, tiles: Tiles | None = None) -> DataFrame:
     """Every ungapped hit of patterns (letters, centre and any other columns) in sequences (subject_id, seq).
 
     A row has the other columns of the pattern, subject_id, at (the place of the pattern's first letter, from 0, below 0 where it hangs
