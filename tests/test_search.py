@@ -217,3 +217,41 @@ def test_tiles_of_pieces(spark):
         assert sorted(map(tuple, a.rows.collect())) == sorted(map(tuple, b.rows.collect()))
     patterns = spark.createDataFrame([(k, seqs[6][a : a + 33], 16) for k, a in enumerate(range(0, 7700, 331))], "id int, letters string, centre int")
     assert sorted(map(tuple, search.search(None, patterns, 2, tiles=b).collect())) == sorted(map(tuple, search.search(whole, patterns, 2).collect()))
+
+
+def test_what_a_task_makes_is_bounded_and_sieved(spark):
+    """Minimizers leave a task in batches of few rows, and those that no pattern has stay in it."""
+    rng = random.Random(4)
+    subjects = table(spark, [(i, letters(rng, 3000)) for i in range(400)], "subject_id long, seq string")
+    t = search.tiled(subjects, 33)
+    seeds = search.part_seeds(table(spark, [(0, t.rows.where("tile = 0").first()["seq"][:33])], "key long, letters string"), 3, search.CLASSES)
+    k, w = seeds.select("k", "w").first()
+    only = search.sieve(seeds)
+    assert len(only) == search.SIEVE
+    every, few = search.minimizers(t, k, w), search.minimizers(t, k, w, only=only)
+    assert few.count() < every.count() / 1000
+    for m in (every, few):
+        assert m.join(seeds, "seed").count() == every.join(seeds, "seed").count() >= 3
+
+    def sizes(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows])], ["n"])
+
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "1000"
+    assert t.rows.select("subject_id").mapInArrow(sizes, "n long").agg({"n": "max"}).first()[0] <= 1000
+
+
+def test_patterns_alike_are_searched_once(spark, monkeypatch):
+    """Work follows the distinct patterns; each of those that are alike has its hits."""
+    seen = []
+    compared = search._compared
+    monkeypatch.setattr(search, "_compared", lambda t, p, *rest: seen.append(p.count()) or compared(t, p, *rest))
+    subjects = table(spark, [(i, f"ACGTTAC{i:03d}GATTACA") for i in range(50)], "subject_id long, seq string")
+    contexts = table(spark, [(i, "GTTA", "TTAC"[: 1 + i % 2]) for i in range(200)], "context_id long, left string, right string")
+    hits = joins.flank_search(subjects, contexts)
+    assert seen == [4]
+    assert hits.where("context_id = 0 AND strand = '+'").count() == hits.where("context_id = 198 AND strand = '+'").count()
+    want = sorted((c, i, p, f"ACGTTAC{i:03d}GATTACA"[p]) for c in (0, 1) for i in range(50) for p in range(4, 14) if f"ACGTTAC{i:03d}GATTACA"[p - 4 : p] == "GTTA" and f"ACGTTAC{i:03d}GATTACA"[p + 1 :].startswith("TTAC"[: 1 + c]))
+    assert sorted(tuple(r) for r in hits.where("context_id < 2 AND strand = '+'").select("context_id", "subject_id", "at", "centre").collect()) == want
