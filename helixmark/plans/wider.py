@@ -88,13 +88,14 @@ def _contexts(s, d):
     seq = F.translate(F.upper("url"), "BEFHIJKLMOPQRSUVWXYZ", "ACGTACGTACGTACGTACGT")
     x = a.table(s, d, "pages").select(F.col("page_id").alias("subject_id"), seq.alias("seq"))
     ctx = x.where("subject_id % 100 = 0 AND length(seq) >= 26").select(F.col("subject_id").alias("context_id"), F.substring("seq", 6, 21).alias("context"), (10 + F.col("subject_id") % 3).cast("int").alias("centre"))  # the search's queries
-    return ctx, lookup.context_hits(x, ctx, 2, 0.8)
+    return ctx, x
 
 
 @query(f"WITH {_CONTEXTS} SELECT context_id, b.a AS subject_id, b.b::INT AS \"at\", b.c AS strand, b.d AS observed, b.e::INT AS mismatches, b.f::INT AS aligned, CASE WHEN n = 1 THEN 'mapped_unique_context' ELSE 'multi_hit_context' END AS status, n AS n_equivalent_best_hits, total AS n_context_hits FROM best")
 def best_context(s, d):
     """Each context's best place on either strand, and whether there are others as good."""
-    return lookup.best_context_hits(_contexts(s, d)[1], ["context_id"]).drop("coverage")
+    ctx, x = _contexts(s, d)
+    return lookup.best_contexts(x, ctx, 2, 0.8).drop("coverage")
 
 
 @query(f"""WITH {_CONTEXTS}, e AS (SELECT c.context_id, substr(c.context, centre::INT + 1, 1) AS ref, translate(substr(c.context, centre::INT + 1, 1), 'ACGT', 'CGTA') AS alt, best.b, best.n FROM ctx0 c LEFT JOIN best USING (context_id))
@@ -104,8 +105,8 @@ SELECT context_id, CASE WHEN n IS NULL OR n > 1 OR b.d NOT IN ('A', 'C', 'G', 'T
   CASE WHEN n IS NULL OR n > 1 OR b.d NOT IN ('A', 'C', 'G', 'T') OR b.d NOT IN (ref, alt) THEN 'UNRESOLVED_OR_AMBIGUOUS' WHEN b.d = ref THEN 'CALLED_REFERENCE' ELSE 'CALLED_ALTERNATE' END AS call_state FROM e""")
 def context_encoding(s, d):
     """Contexts mapped and encoded against their baseline."""
-    ctx, hits = _contexts(s, d)
-    best = lookup.best_context_hits(hits, ["context_id"]).select("context_id", "observed", "status")
+    ctx, x = _contexts(s, d)
+    best = lookup.best_contexts(x, ctx, 2, 0.8).select("context_id", "observed", "status")
     letter = F.expr("substring(context, centre + 1, 1)")
     df = ctx.select("context_id", letter.alias("ref"), F.translate(letter, "ACGT", "CGTA").alias("alt")).join(best, "context_id", "left")
     return df.select("context_id", encode.context_encode(F.col("status"), F.col("observed"), F.col("ref"), F.col("alt"), F.lit(""), F.lit(True)).alias("e")).select("context_id", "e.*")
@@ -115,10 +116,12 @@ def context_encoding(s, d):
 SELECT smp.sample, c.context_id AS marker, CASE WHEN w.observed IS NULL THEN 'nd' WHEN w.observed = substr(c.context, centre::INT + 1, 1) THEN '0' ELSE '1' END AS state FROM smp CROSS JOIN ctx0 c LEFT JOIN w ON w.sample = smp.sample AND w.context_id = c.context_id WHERE substr(c.context, centre::INT + 1, 1) IN ('A', 'C', 'G', 'T')""")
 def marker_states(s, d):
     """Binary states of all markers in each sequence that has any, by the context's nearest place."""
-    ctx, hits = _contexts(s, d)
+    ctx, x = _contexts(s, d)
     letter = F.expr("substring(context, centre + 1, 1)")
     markers = ctx.select(F.col("context_id").alias("marker"), letter.alias("common")).where("common IN ('A', 'C', 'G', 'T')")
-    best = lookup.nearest_to_context(hits.withColumn("sample", F.col("subject_id")), ["sample", "context_id"])
+    hits, names, samples = lookup.distinct_context_hits(x, ctx, 2, 0.8)
+    best = lookup.nearest_to_context(hits.withColumn("sample", F.col("subject_id")), ["sample", "context_id"]).select("sample", F.col("context_id").alias("of"), "observed")
+    best = best.join(names, "of").drop("of").withColumnRenamed("sample", "of").join(samples.withColumnRenamed("subject_id", "sample"), "of").drop("of")
     return lookup.marker_states(best, markers, "binary")
 
 

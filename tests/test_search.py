@@ -255,3 +255,19 @@ def test_patterns_alike_are_searched_once(spark, monkeypatch):
     assert hits.where("context_id = 0 AND strand = '+'").count() == hits.where("context_id = 198 AND strand = '+'").count()
     want = sorted((c, i, p, f"ACGTTAC{i:03d}GATTACA"[p]) for c in (0, 1) for i in range(50) for p in range(4, 14) if f"ACGTTAC{i:03d}GATTACA"[p - 4 : p] == "GTTA" and f"ACGTTAC{i:03d}GATTACA"[p + 1 :].startswith("TTAC"[: 1 + c]))
     assert sorted(tuple(r) for r in hits.where("context_id < 2 AND strand = '+'").select("context_id", "subject_id", "at", "centre").collect()) == want
+
+
+def test_contexts_and_sequences_alike_are_searched_once(spark, monkeypatch):
+    """The best hits and their numbers are those of all contexts in all subjects; what is searched is what differs."""
+    seen = []
+    plain = lookup.context_hits
+    monkeypatch.setattr(lookup, "context_hits", lambda s, c, *rest: seen.append((s.count(), c.count())) or plain(s, c, *rest))
+    rng = random.Random(8)
+    texts = [letters(rng, 60) for _ in range(4)]
+    subjects = table(spark, [(i, texts[i % 4].lower() if i % 3 else texts[i % 4]) for i in range(40)] + [(99, None)], "subject_id long, seq string")
+    contexts = table(spark, [(i, texts[i % 2][10:31], 10 + i // 6) for i in range(12)], "context_id long, context string, centre int")
+    got = lookup.best_contexts(subjects, contexts, 2, 0.8)
+    assert seen == [(4, 4)]
+    want = lookup.best_context_hits(plain(subjects, contexts, 2, 0.8), ["context_id"])
+    assert sorted(map(tuple, got.select(*want.columns).collect())) == sorted(map(tuple, want.collect()))
+    assert got.first()["n_context_hits"] >= 10
