@@ -174,3 +174,30 @@ def test_recommendation_over_all_levels(spark, monkeypatch):
     out = extended.model_recommendation(spark, "/root/testdata/sf0.01").collect()
     assert [(r["level"], r["model"]) for r in out] == [("region", "naive_bayes"), ("nation", "naive_bayes")]
     assert seen[0][0] == 5 and seen[1][0] > 5 and {x[2] for x in seen} == {3}
+
+
+def test_fits_read_one_partition_a_core(spark):
+    """A fit is a job an iteration: its partitions follow the cores and the size of the table, not the shuffle partitions."""
+    from pyspark.ml.classification import NaiveBayes
+
+    seen = []
+
+    class Watched(NaiveBayes):
+        def fit(self, data):
+            seen.append((data.rdd.getNumPartitions(), [c for c in data.columns if c.startswith("f_")]))
+            return super().fit(data)
+
+    wide = spark.createDataFrame([(i, float(i % 2), float(i % 3 == 0)) for i in range(60)], "sample int, f_1 double, f_2 double").repartition(30)
+    labels = spark.createDataFrame([(i, "ab"[i % 2]) for i in range(60)], "sample int, label string")
+    conf = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        score = models.cross_validate(wide, labels, [1, 2], lambda: Watched(modelType="bernoulli"), 3)
+        found = models.search(wide, labels, [1, 2], ["naive_bayes", "nearest_neighbours"])
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert score == 1.0 and dict(found)["naive_bayes"] == 1.0
+    assert seen == [(spark.sparkContext.defaultParallelism, [])] * 3
