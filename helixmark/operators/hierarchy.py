@@ -29,10 +29,19 @@ def profiles(matrix: DataFrame, members: DataFrame, tree: DataFrame) -> DataFram
 
 
 def profile_scores(frontier: DataFrame, matrix: DataFrame, profile: DataFrame) -> DataFrame:
-    """(sample, node, child, score, n): mean of 1 - |value - mean| over the callable features; 0 without any."""
-    cells = frontier.select("sample", "node").distinct().join(profile, "node").join(matrix, ["sample", "feature"], "left")
-    per = cells.groupBy("sample", "node", "child").agg(F.avg(1 - F.abs(F.col("value") - F.col("mean"))).alias("s"), F.count("value").alias("n"), F.count("*").alias("asked"))
-    return per.select("sample", "node", "child", F.least(F.greatest(F.coalesce("s", F.lit(0.0)), F.lit(0.0)), F.lit(1.0)).alias("score"), "n", "asked")
+    """(sample, node, child, score, n, asked): mean of 1 - |value - mean| over the callable features; 0 without any.
+
+    Cells meet the frontier by sample and the profile by node and feature, whose rows carry all children: only cells that exist are scored, and what a
+    sample's cells add up to leaves a task, not the cells of each child. How many features were asked for is the profile's own.
+    """
+    at = frontier.select("sample", "node").distinct()
+    cells = at.join(matrix.where("value IS NOT NULL").select("sample", "feature", "value").hint("merge"), "sample")  # so a task sums few samples, each whole
+    means = profile.groupBy("node", "feature").agg(F.collect_list(F.struct("child", "mean")).alias("__of"))
+    cells = cells.join(means, ["node", "feature"]).select("sample", "node", "value", F.inline("__of"))
+    per = cells.groupBy("sample", "node", "child").agg(F.avg(1 - F.abs(F.col("value") - F.col("mean"))).alias("s"), F.count("*").alias("n"))
+    asked = profile.groupBy("node", "child").agg(F.count("*").alias("asked"))
+    df = at.join(asked, "node").join(per, ["sample", "node", "child"], "left")
+    return df.select("sample", "node", "child", F.least(F.greatest(F.coalesce("s", F.lit(0.0)), F.lit(0.0)), F.lit(1.0)).alias("score"), F.coalesce("n", F.lit(0).cast("long")).alias("n"), "asked")
 
 
 def symbol_scores(frontier: DataFrame, markers: DataFrame, frequencies: DataFrame) -> DataFrame:
