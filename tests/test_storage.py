@@ -2,6 +2,7 @@ import os
 from types import SimpleNamespace
 
 import pytest
+from pyspark.sql import functions as F
 
 from helixmark import storage
 
@@ -30,3 +31,12 @@ def test_a_cluster_must_name_its_folder():
             storage.shared_dir(SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master=master)))
     given = SimpleNamespace(get=lambda k, default=None: "hdfs://n/ck/")
     assert storage.shared_dir(SimpleNamespace(conf=given)) == "hdfs://n/ck"
+
+
+def test_few_files_keep_the_plan_s_tasks(spark):
+    """Of a small result from many partitions, a file a core at most; the partitions themselves stay tasks of their own."""
+    rows = spark.range(0, 400, 1, 40).select("id", F.spark_partition_id().alias("part"))
+    attempt = F.udf(lambda _: __import__("pyspark").TaskContext.get().taskAttemptId(), "long").asNondeterministic()
+    out = storage.materialise(rows.withColumn("task", attempt("id")), "few", few=True)
+    assert out.count() == 400 and out.select("task").distinct().count() == 40
+    assert len(out.inputFiles()) <= spark.sparkContext.defaultParallelism
