@@ -407,3 +407,41 @@ def test_tables_of_places_are_not_broadcast(spark):
     assert df.where("match = 'gvcf_ref_block'").count() == 1000
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_profile_scores_shuffle_a_sample_s_own_cells(spark):
+    """A row that is shuffled is a cell of the matrix or a child's sum, never a cell of each child; features without a cell are asked for all the same."""
+    cells = [("a", 1, 1.0), ("a", 2, None), ("a", 9, 1.0), ("b", 3, 0.0), ("c", 1, None)]
+    m = spark.createDataFrame(cells, "sample string, feature int, value double")
+    prof = spark.createDataFrame([("", c, f, x) for f in (1, 2, 3, 4) for c, x in (("p", 0.25), ("q", 1.0))] + [("p", "p|r", 1, 0.5)], "node string, child string, feature int, mean double")
+    frontier = spark.createDataFrame([("a", ""), ("a", "p"), ("b", ""), ("c", ""), ("d", "")], "sample string, node string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = hierarchy.profile_scores(frontier, m, prof)
+        got = {(r["sample"], r["node"], r["child"]): (r["score"], r["n"], r["asked"]) for r in out.collect()}
+        plan = out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    zero = {(s, "", c): (0.0, 0, 4) for s in "cd" for c in "pq"}
+    assert got == zero | {("a", "", "p"): (0.25, 1, 4), ("a", "", "q"): (1.0, 1, 4), ("a", "p", "p|r"): (0.5, 1, 1), ("b", "", "p"): (0.75, 1, 4), ("b", "", "q"): (0.0, 1, 4)}
+    assert not [x for x in plan.split("hashpartitioning(")[1:] if x.startswith("sample#") and ", feature#" in x.split(")")[0]]
+
+
+def test_alias_lookup_shuffles_by_place(spark):
+    """Calls have few contigs: no shuffle is keyed by the contig alone."""
+    from helixmark.plans import extended
+
+    out = extended.alias_lookup(spark, "/root/testdata/sf0.001")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert [x for x in plan.split("hashpartitioning(")[1:]] and not [x for x in plan.split("hashpartitioning(")[1:] if x.startswith("chrom#") and "," not in x.split(", 6")[0]]
+
+
+def test_tiers_take_one_aggregate(spark):
+    """The first tier with a hit decides, with one shuffle of the hits; NULL is a value like any other."""
+    req = spark.createDataFrame([(k,) for k in "abcdef"], "k string")
+    one = spark.createDataFrame([("a", "x"), ("a", "x"), ("b", "x"), ("b", "y"), ("e", None), ("f", None), ("f", "x")], "k string, v string")
+    two = spark.createDataFrame([("a", "z"), ("c", "p"), ("c", "q"), ("b", "w")], "k string, v string")
+    out = joins.tiered_lookup(req, [("one", one, True), ("two", two, False)], ["k"], ["v"])
+    assert {r["k"]: (r["v"], r["match"]) for r in out.collect()} == {"a": ("x", "one"), "b": (None, "ambiguous_one"), "c": ("p", "two"), "d": (None, "absent"), "e": (None, "one"), "f": (None, "ambiguous_one")}
+    assert "distinct" not in out._jdf.queryExecution().optimizedPlan().toString().lower()
