@@ -21,8 +21,8 @@ def tiles(genome: DataFrame, flank: int = 0, width: int = TILE) -> DataFrame:
     n = F.length("seq")
     around = F.expr(f"repeat(seq, cast(ceil({flank} / length(seq)) AS int))")
     whole = F.concat(F.substring(around, -flank, flank), F.col("seq"), F.substring(around, 1, flank)) if flank else F.col("seq")
-    df = genome.where(n > 0).select("contig", whole.alias("seq"), F.explode(F.sequence(F.lit(0), F.floor((n - 1) / width))).alias("tile"))
-    return df.select("contig", F.col("tile").cast("long").alias("tile"), F.expr(f"substring(seq, cast(tile * {width} + 1 AS int), {width + 2 * flank})").alias("piece"))
+    cut = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / width)), lambda k: F.struct(k.cast("long").alias("tile"), F.substring("__seq", (k * width + 1).cast("int"), F.lit(width + 2 * flank)).alias("piece")))
+    return genome.where(n > 0).select("contig", "seq", whole.alias("__seq")).select("contig", F.inline(cut))
 
 
 def tile_of(pos, width: int = TILE):

@@ -151,10 +151,12 @@ def _genome(s, d):
 
 
 def _snps(s, d):
-    g = _genome(s, d)
-    at = g.select("contig", "seq", F.explode(F.sequence(F.lit(1), F.floor((F.length("seq") + 2) / 3))).alias("k")).withColumn("pos", (F.col("k") * 3 - 2 + F.col("k") % 3).cast("long")).where(F.col("pos") <= F.length("seq"))
-    ref = F.expr("substring(seq, cast(pos AS int), 1)")
-    return g, at.select("contig", "pos", F.when(F.col("k") % 20 == 0, "N").otherwise(ref).alias("ref"), F.translate(ref, "ACGT", "CGTA").alias("alt"))
+    """The genome, and a variant in each three letters; letters come from tiles, so no row of a place carries its contig."""
+    g = materialise(_genome(s, d), "genome")  # read for the variants and for the tiles
+    at = annotation.tiles(g).select("contig", "tile", F.posexplode(F.split("piece", "")).alias("i", "ref"))
+    at = at.select("contig", (F.col("tile") * annotation.TILE + F.col("i") + 1).alias("pos"), "ref").withColumn("k", F.floor((F.col("pos") + 2) / 3))
+    at = at.where(F.col("pos") == F.col("k") * 3 - 2 + F.col("k") % 3)
+    return g, at.select("contig", "pos", F.when(F.col("k") % 20 == 0, "N").otherwise(F.col("ref")).alias("ref"), F.translate("ref", "ACGT", "CGTA").alias("alt"))
 
 
 _PARTS = [("c0", 0, 0, 10, 60, 1), ("c0", 1, 0, 50, 100, -1), ("c1", 2, 0, 20, 40, -1), ("c1", 2, 1, 60, 81, -1), ("c2", 3, 0, 200, 262, 1), ("c3", 4, 0, 5, 7, 1), ("c3", 4, 1, 11, 13, 1), ("c3", 4, 2, 30, 32, 1)]

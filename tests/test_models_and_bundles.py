@@ -201,3 +201,23 @@ def test_fits_read_one_partition_a_core(spark):
             spark.conf.set(k, v)
     assert score == 1.0 and dict(found)["naive_bayes"] == 1.0
     assert seen == [(spark.sparkContext.defaultParallelism, [])] * 3
+
+
+def test_variants_of_a_long_contig(spark, monkeypatch):
+    """Places don't carry their contig: work grows with the letters, not with their square."""
+    import threading
+
+    from helixmark.plans import extended
+
+    n = 1_200_000
+    one = spark.range(1).select(F.lit("c").alias("contig"), F.expr(f"substring(repeat('ACGTTGCA', {n // 8}), 1, {n})").alias("seq"))
+    monkeypatch.setattr(extended, "_genome", lambda s, d: one)
+    late = threading.Timer(60, spark.sparkContext.cancelAllJobs)
+    late.start()
+    try:
+        snps = extended._snps(spark, "")[1]
+        got = snps.agg(F.count("*"), F.sum("pos"), F.min("pos"), F.max("pos"), F.sum(F.when(F.col("ref") == "N", 1))).first()
+    finally:
+        late.cancel()
+    want = [k * 3 - 2 + k % 3 for k in range(1, n // 3 + 1)]
+    assert tuple(got) == (len(want), sum(want), want[0], want[-1], len(want) // 20)
