@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from ..functions import encode
 from ..storage import materialise
 from . import hierarchy
-from .evidence import model_evidence
 
 #: What can become of a step.
 STATUSES = ("constant", "success", "abstained", "global_lineage_fallback", "stopped")
@@ -80,14 +79,27 @@ def query_walk(cells: DataFrame, nodes: DataFrame, scorer, policy: DataFrame, fa
     gates (shares of available and callable features) and the marker evidence of each node; that and a branch's support give its confidence, which lets
     the global model's label win (walk, whose nodes, scorer, policy, fallback and options these are); susceptible calls of the guarded label columns on weak evidence are
     escalated to the terminal model, warned of, or blocked (hierarchy.guarded, whose terminal and mode these are). Rows: sample, depth, node, label_column,
-    status, label, reported, routing, guard, source, support, reason, confidence, resolved, n_resolved, evidence_status. Cells and evidence are written first.
+    status, label, reported, routing, guard, source, support, reason, confidence, resolved, n_resolved, evidence_status. Cells are read once, and what they add up to is written first: as model_evidence counts, without its lists and histograms.
     """
-    cells = materialise(cells, "walk-cells")  # read for the gates and for the evidence
-    per = cells.groupBy("sample", "node").agg(F.avg(F.col("available").cast("double")).alias("r"), F.avg(F.col("value").isNotNull().cast("double")).alias("c"))
+    mapped, call, state = (F.col(c) for c in ("mapping_status", "allele_call", "value"))
+    role = encode.evidence_role(call, mapped, F.col("available"), state)
+    is_ = lambda *r: F.count_if(role.isin(*r))
+    per = cells.groupBy("sample", "node").agg(
+        F.count("*").alias("n"),
+        F.avg(F.col("available").cast("double")).alias("r"),
+        F.avg(state.isNotNull().cast("double")).alias("c"),
+        F.count_if(state != 0).alias("n_active"),
+        F.count_if(mapped.isNotNull() | call.isNotNull()).alias("mapped"),
+        is_("resolved_nonbaseline_state").alias("n_supporting"),
+        is_("resolved_baseline_state", "resolved_nonbaseline_state", "resolved_trained_zero_state").alias("known"),
+        is_("aligned_matrix_state").alias("aligned"),
+    )
     passed = (F.col("r") >= min_recovery) & (F.col("c") >= min_callable) & (F.col("c") > 0)
-    gates = materialise(per.select("sample", "node", F.when(passed, F.lit("predict")).otherwise(F.lit("abstain")).alias("verdict")), "walk-gates", few=True)
-    found = model_evidence(cells).select("sample", "node", F.col("n_resolved_nonbaseline_features").alias("n_supporting"), F.col("resolved_feature_fraction").alias("resolved"), F.col("n_resolved_features").alias("n_resolved"), F.col("n_active_features").alias("n_active"), F.col("resolved_marker_evidence_status").alias("evidence_status"))
+    has = F.col("mapped") > 0
+    per = per.withColumn("n_resolved", F.col("known") + F.when(has, F.lit(0)).otherwise(F.col("aligned"))).withColumn("resolved", F.col("n_resolved") / F.greatest("n", F.lit(1)))
+    found = per.select("sample", "node", F.when(passed, F.lit("predict")).otherwise(F.lit("abstain")).alias("verdict"), "n_supporting", "resolved", "n_resolved", "n_active", encode.resolved_status(F.col("resolved"), F.col("n_resolved"), has).alias("evidence_status"))
     found = materialise(found, "walk-evidence", few=True)
+    gates = found.select("sample", "node", "verdict")
 
     def guard(step: DataFrame) -> DataFrame:
         given = step.withColumnsRenamed({"status": "__step", "reported": "__reviewed", "evidence_status": "status"})
@@ -95,7 +107,7 @@ def query_walk(cells: DataFrame, nodes: DataFrame, scorer, policy: DataFrame, fa
         # a rare class stays for review, where the guard has nothing to say
         return out.withColumn("reported", F.when(F.col("guard") == "none", F.col("__reviewed")).otherwise(F.col("reported"))).drop("__reviewed")
 
-    steps = walk(cells.select("sample").distinct(), nodes, scorer, gates, policy, fallback, max_depth, evidence=found, guard=guard, **options)
+    steps = walk(found.select("sample").distinct(), nodes, scorer, gates, policy, fallback, max_depth, evidence=found, guard=guard, **options)
     return steps.select("sample", "depth", "node", "label_column", "status", "label", "reported", "routing", "guard", "source", "support", "reason", *["confidence", "resolved", "n_resolved", "evidence_status"])
 
 

@@ -288,7 +288,7 @@ steps AS (SELECT * FROM one UNION ALL SELECT * FROM two), g AS (SELECT *, coales
 CASE WHEN weak AND resistant THEN 'amr_terminal_fallback_escalation' WHEN weak THEN 'amr_weak_evidence_warning' ELSE 'none' END AS guard, CASE WHEN weak AND resistant THEN 'terminal' END AS source, round(support, 6) AS support, CASE WHEN takes THEN why END AS reason, confidence, round(rf, 6) AS resolved, res AS n_resolved, es AS evidence_status FROM g""")
 def query_walk(s, d):
     """From all samples' cells to guarded paths: gates, evidence, confidence, the global model's fallback, and the guard of susceptible calls."""
-    m = materialise(a.matrix(s, d), "walk-matrix")
+    m = materialise(a.matrix(s, d).repartition("sample"), "walk-matrix")  # so a task adds up the cells of whole samples
     nation = a.table(s, d, "nation").select("n_nationkey", "n_name")
     labels = a.sample_labels(s, d).join(nation, F.col("labels")[1] == F.col("n_name")).select("sample", F.array(F.col("labels")[0], F.when(F.col("n_nationkey") % 2 == 0, "susceptible").otherwise("resistant")).alias("labels"))
     members = labels.select("sample", F.explode(F.expr("transform(sequence(1, size(labels)), k -> array_join(slice(labels, 1, k), '|'))")).alias("child"))

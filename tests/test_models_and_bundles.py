@@ -221,3 +221,16 @@ def test_variants_of_a_long_contig(spark, monkeypatch):
         late.cancel()
     want = [k * 3 - 2 + k % 3 for k in range(1, n // 3 + 1)]
     assert tuple(got) == (len(want), sum(want), want[0], want[-1], len(want) // 20)
+
+
+def test_query_walk_writes_sums_not_cells(spark, monkeypatch):
+    """Cells are samples times nodes times features; only what they add up to is written, and the levels."""
+    from helixmark.operators import evidence
+    from helixmark.plans import wider
+
+    seen = []
+    for module in (traverse, evidence):
+        real = module.materialise
+        monkeypatch.setattr(module, "materialise", lambda df, name, few=False, real=real: seen.append(name) or real(df, name, few))
+    wider.query_walk(spark, "/root/testdata/sf0.001")
+    assert seen == ["walk-evidence", "walk-level"]
