@@ -7,10 +7,12 @@ Equal fingerprints are one node. Correlated bits are put into the same part, and
 thresholds t with sum(t + 1) = DISTANCE + 1 (t = -1: the part isn't probed): two fingerprints within
 DISTANCE differ by at most t in some part. The number of parts and the thresholds come from dynamic
 programming over the expected cost of each part at each threshold: probes sent, and candidates met,
-estimated from the pairs of a bounded sample (SAMPLE nodes) and from chance. Every node then probes the
-keys within t of its own in each part, and candidates are verified.
+estimated from the pairs of a bounded sample (SAMPLE nodes) and from chance. Pairs of one group of alike
+nodes don't count: pivots (below) spare them, so a large group is no reason to send all nodes' probes
+further. Every node then probes the keys within t of its own in each part, and candidates are verified.
 
-A key that more than LIGHT nodes share never meets its probes in one join. Up to PIVOTS of its nodes are
+A key that more than LIGHT nodes share never meets its probes in one join. They are found from the key's
+side: it names the keys within t of its own, and their nodes are its probes. Up to PIVOTS of its nodes are
 compared with all of its probes first; pivots that share a neighbour are one class, and within the class
 that has most rows nothing is left to be found. What lies outside it (as a rule few, where a key is heavy
 because its nodes are alike) is dealt to cells with all the others, of at most about 2 * BLOCK rows, so that
@@ -124,7 +126,13 @@ def allocate(cost: list[list[float]], distance: int = DISTANCE) -> tuple[float,
 
 def design(order: list[int], sample: np.ndarray, n: int, distance: int = DISTANCE) -> list[tuple[int, int]]:
     """Parts as (mask, threshold) for n nodes."""
+    sample = np.unique(sample)
     bits = np.unpackbits(sample.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)[:, order].astype(np.float32)
+    group = {int(x): int(x) for x in sample}
+    for x, y in forest(sample, 2 * distance):  # nodes that a pivot may have as neighbours differ by so much; x has its group already
+        group[y] = group[x]
+    names = np.array([group[int(x)] for x in sample], np.uint64)
+    apart = (names[:, None] != names[None, :])[np.triu_indices(len(sample), 1)]
     chosen: tuple[float, list[tuple[int, int]]] = (math.inf, [])
     for m in range(1, distance + 2):
         edges = [round(i * BITS / m) for i in range(m + 1)]
@@ -137,7 +145,7 @@ def design(order: list[int], sample: np.ndarray, n: int, distance: int = DISTANC
             for t in range(distance + 1):
                 probes = sum(math.comb(b - a, k) for k in range(t + 1))
                 chance = probes / 2.0 ** (b - a)
-                met = max(float((d <= t).mean()) if len(d) else 0.0, chance)
+                met = max(float(((d <= t) & apart).mean()) if len(d) else 0.0, chance)
                 line.append(PROBE_COST * n * probes + n * n * met if probes <= 5000 else math.inf)
             cost.append(line)
         total, ts = allocate(cost, distance)
@@ -189,17 +197,20 @@ def links(nodes: DataFrame, parts: list[tuple[int, int]], distance: int = DISTAN
     few = few.where((F.col("fp") != F.col("other")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= distance)).select(F.least("fp", "other").alias("a"), F.greatest("fp", "other").alias("b")).distinct()
     if heavy.isEmpty():
         return few
-    return few.unionByName(_heavy_links(index, probes, heavy.select("part", "key"), parts, distance, block, pivots)).distinct()
+    flipped = F.get(F.array(*[F.array(*[F.lit(signed(f)) for f in flips(mask, t)]) for mask, t in parts]), F.col("part"))
+    around = heavy.select("part", "key", F.explode(flipped).alias("flip")).select("part", "key", F.col("key").bitwiseXOR(F.col("flip")).alias("from"))
+    around = materialise(around, "simhash-around", few=True)
+    return few.unionByName(_heavy_links(index, around, heavy.select("part", "key"), distance, block, pivots)).distinct()
 
 
-def _heavy_links(index: DataFrame, probes: DataFrame, heavy: DataFrame, parts: list[tuple[int, int]], distance: int, block: int, pivots: int) -> DataFrame:
-    """Links of the heavy keys' nodes (part, key, fp) and probes (part, key, other): to pivots, and of cells."""
+def _heavy_links(index: DataFrame, around: DataFrame, heavy: DataFrame, distance: int, block: int, pivots: int) -> DataFrame:
+    """Links of the heavy keys' nodes (part, key, fp) and of those with a key (from) around them: to pivots, and of cells."""
     by = ["part", "key"]
     chosen = index.join(heavy, by).groupBy(*by, F.pmod(F.xxhash64("fp"), F.lit(pivots)).alias("slot")).agg(F.min("fp").alias("fp"))
     chosen = materialise(chosen.groupBy(*by).agg(F.array_sort(F.collect_list("fp")).alias("pivots")), "simhash-pivots", few=True)  # at most PIVOTS a key
-    close = F.filter("pivots", lambda p: F.bit_count(p.bitwiseXOR(F.col("other"))) <= distance)
-    masks = F.array(*[F.lit(signed(mask)) for mask, _ in parts])
-    reached = probes.join(chosen, by).select(*by, F.col("other").alias("fp"), close.alias("near"), (F.col("other").bitwiseAND(F.get(masks, F.col("part"))) == F.col("key")).alias("own"))
+    close = F.filter("pivots", lambda p: F.bit_count(p.bitwiseXOR(F.col("fp"))) <= distance)
+    probes = index.withColumnRenamed("key", "from").join(around, ["part", "from"])
+    reached = probes.join(chosen, by).select(*by, "fp", close.alias("near"), (F.col("from") == F.col("key")).alias("own"))
     reached = materialise(reached, "simhash-reached")
     to_first = reached.where(F.size("near") > 0).select("fp", F.col("near")[0].alias("p"))
     between = reached.where(F.size("near") > 1).select("fp", F.col("near")[0].alias("p"), F.explode(F.slice("near", 2, pivots)).alias("q"))

@@ -76,6 +76,30 @@ def test_links_equal_brute_force_with_heavy_keys(spark):
             assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
 
 
+def test_a_large_group_sends_no_more_probes(spark, monkeypatch):
+    """Neither does a group of alike nodes make the design send all nodes' probes further, nor are they sent again for its heavy keys."""
+    rng = np.random.default_rng(1)
+    single = rng.integers(0, 1 << 63, 42000).astype(np.uint64)
+    flipped = rng.integers(0, 64, (16000, 8))
+    group = np.unique(single[0] ^ np.bitwise_or.reduce(np.uint64(1) << flipped.astype(np.uint64), axis=1))[:8000]
+    sent = []
+    for fps in (single, np.concatenate([single, group])):
+        parts = S.design(list(range(64)), rng.permutation(fps)[: S.SAMPLE], len(fps))
+        sent.append(sum(len(S.flips(m, t)) for m, t in parts))
+    assert sent == [5, 5]
+    plans = []
+    plain_materialise = S.materialise
+
+    def seen(df, name, few=False):
+        plans.append((name, df._jdf.queryExecution().optimizedPlan().toString()))
+        return plain_materialise(df, name, few)
+
+    monkeypatch.setattr(S, "materialise", seen)
+    nodes = spark.createDataFrame([(S.signed(int(f)),) for f in group[:300]], "fp long")
+    S.links(nodes, [(0xFFFF << 16 * k, 1 if k == 3 else 0) for k in range(4)], light=30)
+    assert "simhash-reached" in [name for name, _ in plans] and not [name for name, plan in plans if "flatten" in plan]
+
+
 def test_thresholds_are_optimal_and_enough():
     rng = np.random.default_rng(6)
     cost = [[0.0, *np.cumsum(rng.random(5)).tolist()] for _ in range(4)]
