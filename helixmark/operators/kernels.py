@@ -3,7 +3,7 @@
 exp(-gamma * |x - y|^2) of any two rows is approximated by the product of their maps: a row's kernel with the landmarks, times the inverse root of the
 kernel among the landmarks. With all distinct rows as landmarks it is exact. Landmarks are drawn by digest, so they are the same at each rerun, and only
 they go to the driver: at most `LANDMARKS` rows, and no more than `MOST_CELLS` numbers. Rows are mapped in batches by the tasks; the linear machines are Spark's, one
-for each class, with classes weighted to the same total. Fitting runs jobs.
+for each class, with classes weighted to the same total. Fitting runs jobs; rows meet their labels once, in a join that broadcasts neither, and are read from there.
 """
 
 from __future__ import annotations
@@ -19,6 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..storage import materialise
+
 LANDMARKS = 256
 MOST_CELLS = 50_000_000
 #: Directions whose share of the greatest eigenvalue is below this are left out.
@@ -65,12 +67,13 @@ def fit(rows: DataFrame, x: str = "x", most: int = LANDMARKS, gamma: float | Non
 
 def mapped(rows: DataFrame, m: Map, x: str = "x", out: str = "z") -> DataFrame:
     """rows with their map, an array of numbers."""
-    told = rows.sparkSession.sparkContext.broadcast(m)  # bounded by its landmarks
+    told = rows.sparkSession.sparkContext.broadcast((m.landmarks, m.root, m.gamma))  # bounded by its landmarks; arrays, as executors need not have our class
 
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def z(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        landmarks, root, gamma = told.value
         for b in batches:
-            yield pd.Series(list(told.value(np.stack(b.to_numpy()).astype(float))) if len(b) else [], dtype=object)
+            yield pd.Series(list(rbf(np.stack(b.to_numpy()).astype(float), landmarks, gamma) @ root) if len(b) else [], dtype=object)
 
     return rows.withColumn(out, z(F.col(x)))
 
@@ -88,13 +91,16 @@ def _x(features: list) -> Column:
 
 def train(wide: DataFrame, labels: DataFrame, features: list, c: float = 1.0, most: int = LANDMARKS, gamma: float | None = None, iterations: int = 100) -> Machine:
     """A machine from wide rows (sample, f_<feature>...) and labels (sample, label); c weighs errors against the margin."""
-    data = wide.join(labels.where("label IS NOT NULL"), "sample").select("sample", "label", _x(features).alias("x"))
+    # labels are as many as rows, and a file's size says little about theirs: never broadcast
+    data = wide.select("sample", _x(features).alias("x")).join(labels.where("label IS NOT NULL").hint("merge"), "sample").select("sample", "label", "x")
+    data = materialise(data, "kernel-rows")
     sizes = {r["label"]: r["n"] for r in data.groupBy("label").agg(F.count("*").alias("n")).orderBy("label").collect()}  # a row a class
     classes, n = list(sizes), sum(sizes.values())
     m = fit(data, most=most, gamma=gamma)
     number = F.array_position(F.array(*[F.lit(k) for k in classes]), F.col("label")) - 1
     weight = F.element_at(F.array(*[F.lit(n / (len(classes) * sizes[k])) for k in classes]), (F.col("y") + 1).cast("int"))
-    ready = mapped(data, m).select(array_to_vector("z").alias("features"), number.cast("double").alias("y")).withColumn("w", weight)
+    ready = materialise(mapped(data, m).select("z", number.cast("double").alias("y")).withColumn("w", weight), "kernel-mapped")
+    ready = ready.select(array_to_vector("z").alias("features"), "y", "w")
     one = C.LinearSVC(maxIter=iterations, regParam=1.0 / (c * max(1, n)))
     return Machine(m, C.OneVsRest(classifier=one, labelCol="y", weightCol="w").fit(ready), classes)
 

@@ -1,6 +1,7 @@
 """The kernel map against the exact kernel, and a machine on rings that no line parts."""
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from helixmark.operators import kernels
 
@@ -48,3 +49,22 @@ def test_held_out_accuracy_beside_the_exact_kernel(spark):
     a = np.linalg.solve(k + 0.1 * np.eye(160), np.eye(2)[y[:160]])
     exact = np.mean((kernels.rbf(x[160:], x[:160], machine.map.gamma) @ a).argmax(1) == y[160:])
     assert right > 0.9 and right > exact - 0.05
+
+
+def test_rows_and_labels_are_not_broadcast(spark, tmp_path):
+    """Files of copies are small, so their size would have Spark broadcast all labels, at each of the jobs."""
+    wide = spark.range(400).select(F.col("id").alias("sample"), (F.col("id") % 7).cast("double").alias("f_a"), (F.col("id") % 2).cast("double").alias("f_b"))
+    wide.write.parquet(f"{tmp_path}/wide")
+    wide = spark.read.parquet(f"{tmp_path}/wide")
+    store = spark._jsparkSession.sharedState().statusStore()
+
+    def executions():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        found = store.executionsList()
+        return {found.apply(i).executionId(): found.apply(i).physicalPlanDescription() for i in range(found.size())}
+
+    before = max(executions(), default=-1)
+    machine = kernels.train(wide, wide.select("sample", F.when(F.col("f_b") == 1, "p").otherwise("q").alias("label")), ["a", "b"], most=8, iterations=2)
+    plans = [plan for k, plan in executions().items() if k > before]
+    assert machine.classes == ["p", "q"]
+    assert sum("Join" in plan for plan in plans) == 1 and not [plan for plan in plans if "BroadcastExchange" in plan]
