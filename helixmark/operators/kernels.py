@@ -3,7 +3,7 @@
 exp(-gamma * |x - y|^2) of any two rows is approximated by the product of their maps: a row's kernel with the landmarks, times the inverse root of the
 kernel among the landmarks. With all distinct rows as landmarks it is exact. Landmarks are drawn by digest, so they are the same at each rerun, and only
 they go to the driver: at most `LANDMARKS` rows, and no more than `MOST_CELLS` numbers. Rows are mapped in batches by the tasks; the linear machines are Spark's, one
-for each class, with classes weighted to the same total. Fitting runs jobs; rows meet their labels once, in a join that broadcasts neither, and are read from there.
+for each class, with classes weighted to the same total; classes of few rows are fitted side by side. Fitting runs jobs; rows meet their labels once, in a join that broadcasts neither, and are read from there.
 """
 
 from __future__ import annotations
@@ -23,6 +23,8 @@ from ..storage import materialise
 
 LANDMARKS = 256
 MOST_CELLS = 50_000_000
+#: Numbers in a partition of the mapped rows: each step of a fit is a job over all of them.
+PART_CELLS = 2_000_000
 #: Directions whose share of the greatest eigenvalue is below this are left out.
 FLAT = 1e-10
 
@@ -100,9 +102,12 @@ def train(wide: DataFrame, labels: DataFrame, features: list, c: float = 1.0, mo
     number = F.array_position(F.array(*[F.lit(k) for k in classes]), F.col("label")) - 1
     weight = F.element_at(F.array(*[F.lit(n / (len(classes) * sizes[k])) for k in classes]), (F.col("y") + 1).cast("int"))
     ready = materialise(mapped(data, m).select("z", number.cast("double").alias("y")).withColumn("w", weight), "kernel-mapped")
-    ready = ready.select(array_to_vector("z").alias("features"), "y", "w")
+    cells = n * max(1, m.root.shape[1])
+    # few numbers: no more partitions than they fill, and classes side by side, as most of a step's time is the driver's; many: a class at a time, as each keeps its rows
+    ready = ready.select(array_to_vector("z").alias("features"), "y", "w").coalesce(-(-cells // PART_CELLS) or 1)
+    beside = max(1, min(8, MOST_CELLS // max(1, cells)))
     one = C.LinearSVC(maxIter=iterations, regParam=1.0 / (c * max(1, n)))
-    return Machine(m, C.OneVsRest(classifier=one, labelCol="y", weightCol="w").fit(ready), classes)
+    return Machine(m, C.OneVsRest(classifier=one, labelCol="y", weightCol="w", parallelism=beside).fit(ready), classes)
 
 
 def predict(machine: Machine, wide: DataFrame, features: list) -> DataFrame:

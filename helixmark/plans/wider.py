@@ -312,8 +312,8 @@ def query_walk(s, d):
 
 @query(None)
 def kernel_machine(s, d):
-    """Labels of all vectors by a machine with an RBF kernel on 32 landmarks."""
+    """Labels of all vectors by a machine with an RBF kernel, with the operator's own landmarks and iterations."""
     x = a.table(s, d, "embeddings").select(F.col("vec_id").alias("sample"), F.transform("embedding", lambda v: v.cast("double")).alias("x"), F.col("label").cast("string").alias("label"))
     features = list(range(x.agg(F.max(F.size("x"))).first()[0]))
     wide = x.select("sample", *[F.get("x", F.lit(k)).alias(f"f_{k}") for k in features])
-    return kernels.predict(kernels.train(wide, x.select("sample", "label"), features, most=32, iterations=5), wide, features)
+    return kernels.predict(kernels.train(wide, x.select("sample", "label"), features), wide, features)

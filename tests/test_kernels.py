@@ -68,3 +68,23 @@ def test_rows_and_labels_are_not_broadcast(spark, tmp_path):
     plans = [plan for k, plan in executions().items() if k > before]
     assert machine.classes == ["p", "q"]
     assert sum("Join" in plan for plan in plans) == 1 and not [plan for plan in plans if "BroadcastExchange" in plan]
+
+
+def test_query_leaves_landmarks_and_iterations_to_the_operator(spark, monkeypatch):
+    from helixmark.plans import catalogue
+
+    given = []
+    monkeypatch.setattr(kernels, "train", lambda wide, labels, features, **more: given.append(more))
+    monkeypatch.setattr(kernels, "predict", lambda machine, wide, features: wide.select("sample"))
+    catalogue.QUERIES["kernel_machine"](spark, "/root/testdata/sf0.001")
+    assert given == [{}]
+
+
+def test_classes_of_few_rows_are_fitted_side_by_side(spark, monkeypatch):
+    """The steps of a fit are jobs over no more partitions than the numbers fill."""
+    seen, fit = [], kernels.C.OneVsRest.fit
+    monkeypatch.setattr(kernels.C.OneVsRest, "fit", lambda self, data: seen.append((data.rdd.getNumPartitions(), self.getParallelism())) or fit(self, data))
+    df = rows(spark, np.arange(40.0).reshape(20, 2)).repartition(4)
+    wide = df.select("sample", F.col("x")[0].alias("f_0"), F.col("x")[1].alias("f_1"))
+    kernels.train(wide, wide.select("sample", (F.col("sample") % 2).cast("string").alias("label")), [0, 1], iterations=2)
+    assert seen == [(1, 8)]
