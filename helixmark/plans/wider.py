@@ -225,7 +225,7 @@ def node_scores(s, d):
 def mantel_test(s, d):
     """Two-sided p value of the Mantel correlation under 19 label permutations."""
     v = a.vectors(s, d)
-    return stats.permutation_p(stats.permuted_tests(stats.member_sets(stats.ones(v)), v.select("id", "label"), 19, 1), "r", two_sided=True)
+    return stats.permutation_p(stats.permuted_tests(stats.member_sets(stats.ones(v)), v.select("id", "label"), 19, 1, of=("r",)), "r", two_sided=True)
 
 
 @query(None)
