@@ -82,3 +82,39 @@ def test_cuts(spark):
     rows = [(i, "many", float(i)) for i in range(1000)] + [(i, "few", float(i % 3)) for i in range(10)] + [(1, "none", None)]
     c = {r["feature"]: r["cuts"] for r in b.cuts(spark.createDataFrame(rows, "sample long, feature string, value double"), 16).collect()}
     assert c["few"] == [0.0, 1.0, 2.0] and len(c["many"]) == 16 and c["many"][-1] == 999.0 and "none" not in c
+
+
+def test_trees_in_a_task_are_those_of_spark(spark):
+    """Without a share of the rows, margins of 0/1 features are those of Spark's boosted trees, for rows that weren't fitted too."""
+    from pyspark.ml.classification import GBTClassifier
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(3)
+    x = (rng.random((160, 7)) < 0.5).astype(np.uint8)
+    y = np.where((x[:, 0] + x[:, 1] + 0.5 * x[:, 2] + rng.random(160)) > 1.8, 1.0, -1.0)
+    df = spark.createDataFrame([(i, [float(v) for v in r], float(t > 0)) for i, (r, t) in enumerate(zip(x, y))], "i int, x array<double>, label double").withColumn("features", array_to_vector("x"))
+    model = GBTClassifier(maxIter=4, maxDepth=2, stepSize=0.05, seed=1).fit(df.where("i < 120"))
+    want = [r["m"] for r in model.transform(df).orderBy("i").select(vector_to_array("rawPrediction")[1].alias("m")).collect()]
+    got = b.two_classes(x, y, np.arange(120), 4, 2, 0.05, 1.0)
+    assert np.allclose(got, want, atol=1e-6)
+
+
+def test_recommendation_runs_every_candidate(spark, monkeypatch):
+    from helixmark.operators import models
+    from helixmark.plans import catalogue
+
+    asked = []
+    monkeypatch.setattr(models, "search", lambda wide, labels, features, names=None, *more: asked.append(names) or [("x", 0.5)])
+    assert catalogue.QUERIES["model_recommendation"](spark, "/root/testdata/sf0.001").count() == 2 and asked == [None, None]
+
+
+def test_boosted_candidate_learns(spark):
+    from pyspark.sql import functions as F
+
+    from helixmark.operators import models
+
+    ids = spark.range(90)
+    wide = ids.select(F.col("id").alias("sample"), *[((F.col("id") % 3 == k) if k < 3 else (F.xxhash64("id") % 2 == 0)).cast("double").alias(f"f_{k}") for k in range(4)])
+    labels = ids.select(F.col("id").alias("sample"), F.element_at(F.array(*[F.lit(c) for c in "abc"]), (F.col("id") % 3 + 1).cast("int")).alias("label"))
+    assert models.search(wide, labels, [0, 1, 2, 3], ["boosted_trees"]) == [("boosted_trees", 1.0)]
