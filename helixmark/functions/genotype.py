@@ -5,6 +5,7 @@ All return Columns; nothing here reads a table. Not-callable is NULL, never NaN.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -85,7 +86,8 @@ def concrete(alt: Column) -> Column:
 
 def called_from(alt: Column) -> Column:
     """The alternates that a genotype's indices count: the concrete ones, or the symbolic ones where there are no others."""
-    return F.when(F.size(concrete(alt)) > 0, concrete(alt)).otherwise(alternates(alt))
+    every = lambda all_: once(F.filter(all_, lambda x: ~x.isin(*SYMBOLIC)), lambda c: F.when(F.size(c) > 0, c).otherwise(all_))
+    return once(alternates(alt), every)
 
 
 def is_symbolic(alt: Column) -> Column:
@@ -117,9 +119,17 @@ def qc_reasons(qual: Column, flt: Column, dp: Column, gq: Column, mq: Column, mq
     return F.filter(F.array(*arms), lambda r: r.isNotNull())
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value computed once, however often it is used: Spark computes an expression again at each place where a higher-order function holds it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def genotype_state(ref: Column, alt: Column, gt: Column, q: Quality = Quality()) -> Column:
     """The genotype ladder; its order is part of the meaning."""
-    idx, alts = gt_indices(gt), called_from(alt)
+    return once(F.struct(gt_indices(gt).alias("idx"), called_from(alt).alias("alts")), lambda s: _ladder(gt, s["idx"], s["alts"], q))
+
+
+def _ladder(gt: Column, idx: Column, alts: Column, q: Quality) -> Column:
     distinct = F.array_distinct(idx)
     called = F.get(alts, F.get(distinct, F.lit(0)) - 1)
     return (
